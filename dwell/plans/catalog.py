@@ -105,6 +105,836 @@ def q_daily_productivity(spark, sf):
     return RP.daily_productivity(labelled_sessions(spark, sf, "user"))
 
 
+
+def _drop(df: DataFrame) -> DataFrame:
+    return O.drop_bucket(df)
+
+
+def raw_sessions(spark, sf, device="mod4"):
+    return S.sessionize(samples(spark, sf, device))
+
+
+SAMPLES_MOD4 = "WITH " + Q.samples_cte("mod4").strip()
+SAMPLES_USER = "WITH " + Q.samples_cte("user").strip()
+IDLE_S = 600
+GAP_S = 900
+
+
+# ------------------------------------------------------------------ W2 segments
+
+@register(
+    "segments",
+    SAMPLES_MOD4
+    + f""",
+seg_in AS (
+  SELECT device_id, ts, seq, app, title, coalesce(url, '') AS url, coalesce(idle_seconds >= {IDLE_S}, FALSE) AS idle
+  FROM samples WHERE app IS NOT NULL AND app <> '' AND coalesce(title <> 'frontProcess Error', TRUE)),
+seg_k AS (
+  SELECT *, idle AS ki, CASE WHEN idle THEN NULL ELSE app END AS ka, CASE WHEN idle THEN NULL ELSE url END AS ku,
+         CASE WHEN idle THEN NULL WHEN url = '' THEN title END AS kt FROM seg_in),
+seg_l AS (
+  SELECT *, row_number() OVER w AS rn, lag(ki) OVER w AS pki, lag(ka) OVER w AS pka, lag(ku) OVER w AS pku,
+         lag(kt) OVER w AS pkt
+  FROM seg_k WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq)),
+seg_b AS (
+  SELECT * FROM seg_l WHERE rn = 1 OR ki IS DISTINCT FROM pki OR ka IS DISTINCT FROM pka
+                         OR ku IS DISTINCT FROM pku OR kt IS DISTINCT FROM pkt),
+seg_e AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS end_time FROM seg_b)
+SELECT device_id, {Q.us('ts')} / 1e6 AS start_ts, {Q.us('end_time')} / 1e6 AS end_ts, app,
+       coalesce(title, '') AS title, url, CAST(NULL AS VARCHAR) AS content_hash
+FROM seg_e WHERE end_time IS NOT NULL AND NOT idle""",
+)
+def q_segments(spark, sf):
+    sm = samples(spark, sf)
+    return _drop(S.segments(sm, idle=S.is_idle("idle_seconds", IDLE_S)))
+
+
+# ---------------------------------------------------------------- W3 / W4
+
+@register(
+    "stitch",
+    Q.sessions_ctes()
+    + f""",
+st AS (SELECT *, nullif(url, '') AS u FROM sessions),
+st_l AS (
+  SELECT *, row_number() OVER w AS rn, lag(app) OVER w AS pa, lag(title) OVER w AS pt, lag(u) OVER w AS pu,
+         lag(end_time) OVER w AS pe
+  FROM st WINDOW w AS (PARTITION BY device_id ORDER BY start_time, end_time)),
+st_n AS (
+  SELECT *, CASE WHEN rn > 1 AND app IS NOT DISTINCT FROM pa AND title IS NOT DISTINCT FROM pt
+                  AND u IS NOT DISTINCT FROM pu AND {Q.secs('pe', 'start_time')} >= 0
+                  AND {Q.secs('pe', 'start_time')} <= {GAP_S} THEN 0 ELSE 1 END AS nw FROM st_l),
+st_i AS (
+  SELECT *, sum(nw) OVER (PARTITION BY device_id ORDER BY start_time, end_time ROWS UNBOUNDED PRECEDING) AS island
+  FROM st_n),
+st_g AS (
+  SELECT device_id, min(start_time) AS start_time, arg_max(end_time, start_time) AS end_time,
+         arg_min(app, start_time) AS app, arg_min(title, start_time) AS title, arg_min(url, start_time) AS url,
+         arg_min(category, start_time) AS category, arg_min(is_productive, start_time) AS is_productive
+  FROM st_i GROUP BY device_id, island)
+SELECT start_time, end_time, {Q.secs('start_time', 'end_time')} AS duration_sec, app, title, url, category,
+       is_productive, device_id FROM st_g""",
+)
+def q_stitch(spark, sf):
+    return S.stitch(labelled_sessions(spark, sf), gap_seconds=GAP_S)
+
+
+@register(
+    "gap_fill",
+    Q.sessions_ctes()
+    + f""",
+gf AS (SELECT *, lead(start_time) OVER (PARTITION BY device_id ORDER BY start_time, end_time) AS ns FROM sessions),
+gf2 AS (SELECT *, coalesce({Q.secs('end_time', 'ns')} >= 0 AND {Q.secs('end_time', 'ns')} <= {GAP_S}, FALSE) AS resumed
+        FROM gf)
+SELECT start_time, CASE WHEN resumed THEN ns ELSE end_time END AS end_time,
+       {Q.secs('start_time', 'CASE WHEN resumed THEN ns ELSE end_time END')} AS duration_sec,
+       app, title, url, category, is_productive, device_id, resumed FROM gf2""",
+)
+def q_gap_fill(spark, sf):
+    return S.gap_fill(labelled_sessions(spark, sf), gap_seconds=GAP_S)
+
+
+# ---------------------------------------------------------------- P5-P7
+
+@register(
+    "idle_collapse",
+    SAMPLES_MOD4
+    + f""",
+ic AS (SELECT *, coalesce(idle_seconds >= {IDLE_S}, FALSE) AS is_idle FROM samples),
+ic_l AS (SELECT *, lag(is_idle) OVER (PARTITION BY device_id ORDER BY ts, seq) AS p FROM ic)
+SELECT device_id, ts, seq,
+       CASE WHEN is_idle THEN 'Idle' ELSE app END AS app,
+       CASE WHEN is_idle THEN 'Idle' ELSE title END AS title,
+       CASE WHEN is_idle THEN NULL ELSE url END AS url,
+       idle_seconds, is_idle
+FROM ic_l WHERE NOT is_idle OR NOT coalesce(p, FALSE)""",
+)
+def q_idle_collapse(spark, sf):
+    sm = samples(spark, sf)
+    return _drop(S.collapse_idle(sm, S.is_idle("idle_seconds", IDLE_S)))
+
+
+DEVICE_SETTINGS_SQL = """
+devs AS (SELECT DISTINCT device_id FROM samples),
+settings AS (
+  SELECT device_id, kv.key AS key, kv.value AS value FROM (
+    SELECT device_id, unnest(list_slice([
+        {'key': 'displaysleep', 'value': '10'}, {'key': 'sleep', 'value': '0'},
+        {'key': 'screensaver', 'value': 'abc'}, {'key': 'screensaver', 'value': '300'}],
+        1, CAST(regexp_extract(device_id, '[0-9]+', 0) AS INTEGER) % 4 + 1)) AS kv FROM devs))"""
+
+
+@register(
+    "idle_threshold",
+    SAMPLES_MOD4
+    + ","
+    + DEVICE_SETTINGS_SQL
+    + """
+SELECT device_id, least(300, coalesce(min(
+  CASE WHEN key IN ('displaysleep', 'sleep') AND TRY_CAST(value AS INTEGER) > 0
+         THEN greatest(1, TRY_CAST(value AS INTEGER) * 60 - 1)
+       WHEN key = 'screensaver' AND TRY_CAST(value AS INTEGER) > 0 THEN TRY_CAST(value AS INTEGER) END), 300))
+  AS idle_threshold
+FROM settings GROUP BY device_id""",
+)
+def q_idle_threshold(spark, sf):
+    settings = SM.device_settings(SM.load(spark, sf, "events").transform(lambda e: e))
+    return S.idle_threshold(settings)
+
+
+# ---------------------------------------------------------------- J4 as-of
+
+SNAPSHOTS_SQL = """
+snaps AS (
+  SELECT 'dev-' || CAST(page_id % 4 AS VARCHAR) AS device_id, TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INTEGER)) AS ts,
+         page_id AS seq, CASE WHEN page_id % 2 = 0 THEN 'Page ' || CAST(page_id AS VARCHAR) END AS title,
+         CASE WHEN page_id % 9 = 0 THEN 'about:' || url ELSE url END AS url
+  FROM pages),
+snaps_ok AS (
+  SELECT * FROM snaps WHERE url IS NOT NULL AND url <> '' AND NOT (starts_with(url, 'about:')
+     OR starts_with(url, 'chrome:') OR starts_with(url, 'moz-extension:') OR starts_with(url, 'resource:')))"""
+
+
+@register(
+    "override_asof",
+    SAMPLES_MOD4
+    + ","
+    + SNAPSHOTS_SQL
+    + """,
+j AS (
+  SELECT s.*, p.title AS pt, p.url AS pu, p.ts AS pts FROM samples s
+  ASOF LEFT JOIN snaps_ok p ON s.device_id = p.device_id AND s.ts >= p.ts),
+j2 AS (SELECT *, starts_with(lower(replace(coalesce(app, ''), ' ', '')), 'firefox') AND pts IS NOT NULL AS overridden FROM j)
+SELECT device_id, ts, seq, app,
+       CASE WHEN overridden AND coalesce(pt, '') <> '' THEN pt ELSE title END AS title,
+       CASE WHEN overridden AND coalesce(pu, '') <> '' THEN pu ELSE url END AS url,
+       idle_seconds, overridden
+FROM j2""",
+)
+def q_override_asof(spark, sf):
+    from dwell.functions.urls import tab_should_transmit
+    from dwell.operators.asof import apply_tab_override
+
+    snaps = SM.tab_snapshots(SM.load(spark, sf, "pages")).where(tab_should_transmit("url"))
+    return _drop(apply_tab_override(samples(spark, sf), snaps))
+
+
+@register(
+    "tab_filter",
+    "WITH "
+    + SNAPSHOTS_SQL.strip()
+    + "\nSELECT device_id, ts, seq, title, url FROM snaps_ok",
+)
+def q_tab_filter(spark, sf):
+    from dwell.functions.urls import tab_should_transmit
+
+    return SM.tab_snapshots(SM.load(spark, sf, "pages")).where(tab_should_transmit("url"))
+
+
+# --------------------------------------------------------- classification
+
+@register(
+    "classify_rules_v1",
+    SAMPLES_MOD4
+    + ","
+    + Q.rule_dims_cte()
+    + ","
+    + Q.classify_cte("samples", ["device_id", "seq"], "cv1", variant="v1")
+    + """
+SELECT device_id, seq, app, title, url, category AS category_id, is_productive, rule_id, CAST(1.0 AS DOUBLE) AS confidence,
+       '{"productive":' || CASE WHEN is_productive THEN 'true' ELSE 'false' END || '}' AS meta_json
+FROM cv1""",
+)
+def q_classify_v1(spark, sf):
+    from dwell.functions.text import canonical_json
+
+    rs = C.RuleSet.build(spark)
+    out = C.classify_v1(samples(spark, sf), rs)
+    return out.select(
+        "device_id", "seq", "app", "title", "url", "category_id", "is_productive", "rule_id", "confidence",
+        canonical_json("meta").alias("meta_json"),
+    )
+
+
+def _ctx_sql(app: str, host: str, title: str) -> str:
+    a = f"lower(trim(coalesce({app}, '')))"
+    kw = Q.keyword_sql(title)
+    return (
+        f"CASE WHEN ({a} IN {Q.BROWSERS} OR {a} = '') AND {host} <> '' THEN "
+        f"(CASE WHEN {host} IN {Q.AMBIG} AND {kw} IS NOT NULL THEN {host} || '|' || {kw} ELSE {host} END) "
+        f"ELSE coalesce(nullif({a}, ''), nullif({host}, ''), 'unknown') END"
+    )
+
+
+CLASSIFY_KW_SQL = (
+    SAMPLES_MOD4
+    + ","
+    + Q.rule_dims_cte()
+    + ","
+    + Q.keyword_dim_cte()
+    + ","
+    + Q.classify_cte("samples", ["device_id", "seq"], "ckw", variant="legacy", keywords=True)
+)
+
+
+@register(
+    "classify_keywords",
+    CLASSIFY_KW_SQL
+    + f"""
+SELECT device_id, seq, ts, app, title, url, category, is_productive, matched_keyword,
+       {Q.keyword_sql('title')} AS keyword, {_ctx_sql('app', 'host', 'title')} AS context_key
+FROM ckw""",
+)
+def q_classify_keywords(spark, sf):
+    from dwell.functions import text as T
+    from dwell.sources.rules import DEFAULT_KEYWORD_INDEX
+
+    rs = C.RuleSet.build(spark, keyword_index=DEFAULT_KEYWORD_INDEX)
+    out = C.classify(samples(spark, sf), rs, variant="legacy")
+    return out.select(
+        "device_id", "seq", "ts", "app", "title", "url", "category", "is_productive", "matched_keyword",
+        T.keyword("title").alias("keyword"),
+        T.context_key(F.col("app"), T.url_host("url"), F.col("title")).alias("context_key"),
+    )
+
+
+# ----------------------------------------------------------- midnight split
+
+REF_SPLIT_SQL = f"""
+rs AS (
+  SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_ FROM sessions),
+parts AS (
+  SELECT device_id, app, title, url, category, is_productive, start_time, end_time, 1 AS part FROM rs WHERE NOT cross_
+  UNION ALL
+  SELECT device_id, app, title, url, category, is_productive, start_time,
+         CAST(CAST(start_time AS DATE) AS TIMESTAMP) + INTERVAL 86399 SECOND, 1 FROM rs WHERE cross_
+  UNION ALL
+  SELECT device_id, app, title, url, category, is_productive, CAST(CAST(end_time AS DATE) AS TIMESTAMP), end_time, 2
+  FROM rs WHERE cross_)"""
+
+
+@register(
+    "split_midnight_reference",
+    Q.sessions_ctes("user")
+    + ","
+    + REF_SPLIT_SQL
+    + f"""
+SELECT device_id, app, title, url, category, is_productive, start_time, end_time,
+       {Q.secs('start_time', 'end_time')} AS duration_sec, part FROM parts""",
+)
+def q_split_reference(spark, sf):
+    return split_midnight(labelled_sessions(spark, sf, "user"), mode="reference")
+
+
+def _rint1_sql(x: str) -> str:
+    return f"(round_even(({x}) * 10, 0) / 10)"
+
+
+@register(
+    "daily_timeline",
+    Q.sessions_ctes("user")
+    + f""",
+ps AS (
+  SELECT *, CASE WHEN is_productive THEN 'productive' ELSE 'unproductive' END AS productive,
+         {_rint1_sql('duration_sec / 60')} AS duration_min FROM sessions),
+rs AS (SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_, CAST(start_time AS DATE) AS day,
+              category || '|' || productive AS activity_id FROM ps),
+parts AS (
+  SELECT device_id, day, start_time, end_time, app, title, category, activity_id, duration_min, 1 AS part FROM rs WHERE NOT cross_
+  UNION ALL
+  SELECT device_id, day, start_time, CAST(CAST(start_time AS DATE) AS TIMESTAMP) + INTERVAL 86399 SECOND, app, title,
+         category, activity_id, duration_min, 1 FROM rs WHERE cross_
+  UNION ALL
+  SELECT device_id, day, CAST(CAST(end_time AS DATE) AS TIMESTAMP), end_time, app, title, category, activity_id,
+         duration_min, 2 FROM rs WHERE cross_)
+SELECT * FROM parts""",
+)
+def q_daily_timeline(spark, sf):
+    return RP.daily_timeline(labelled_sessions(spark, sf, "user"))
+
+
+@register(
+    "activity_rollup",
+    Q.sessions_ctes("user")
+    + f""",
+ps AS (
+  SELECT *, CASE WHEN is_productive THEN 'productive' ELSE 'unproductive' END AS productive,
+         {_rint1_sql('duration_sec / 60')} AS duration_min FROM sessions),
+rs AS (SELECT *, CASE WHEN CAST(start_time AS DATE) <> CAST(end_time AS DATE) THEN 2 ELSE 1 END AS n,
+              CAST(start_time AS DATE) AS day, category || '|' || productive AS activity_id FROM ps)
+SELECT day, activity_id, CAST(sum(n) AS BIGINT) AS bars, round(sum(duration_min * n), 1) AS minutes
+FROM rs GROUP BY day, activity_id""",
+)
+def q_activity_rollup(spark, sf):
+    return RP.activity_rollup(labelled_sessions(spark, sf, "user"))
+
+
+def _anchor_sql(ts: str) -> str:
+    return f"make_timestamp(2000, 1, 1, hour({ts}), minute({ts}), floor(second({ts})))"
+
+
+def _prod_sql(col: str = "is_productive") -> str:
+    return f"CASE WHEN {col} THEN 'productive' WHEN NOT {col} THEN 'unproductive' END"
+
+
+@register(
+    "weekly_timeline",
+    Q.sessions_ctes("user")
+    + ","
+    + REF_SPLIT_SQL.replace("SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_ FROM sessions",
+                            "SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_, CAST(date_trunc('week', start_time) AS DATE) AS week_start FROM sessions")
+    .replace("SELECT device_id, app, title, url,", "SELECT week_start, device_id, app, title, url,")
+    + f"""
+SELECT device_id, week_start, strftime(start_time, '%a') AS day_label, {_anchor_sql('start_time')} AS time_start,
+       {_anchor_sql('end_time')} AS time_end, {_prod_sql()} AS productivity, app, title, start_time,
+       ({Q.us('end_time')} - {Q.us('start_time')}) / 60000000.0 AS duration_min
+FROM parts""",
+)
+def q_weekly_timeline(spark, sf):
+    return RP.weekly_timeline(labelled_sessions(spark, sf, "user"))
+
+
+@register(
+    "monthly_timeline",
+    Q.sessions_ctes("user")
+    + ","
+    + REF_SPLIT_SQL.replace("SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_ FROM sessions",
+                            "SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_, CAST(date_trunc('month', start_time) AS DATE) AS month_start FROM sessions")
+    .replace("SELECT device_id, app, title, url,", "SELECT month_start, device_id, app, title, url,")
+    + f"""
+SELECT device_id, month_start, strftime(start_time, '%Y-%m-%d') AS date_label, {_anchor_sql('start_time')} AS time_start,
+       {_anchor_sql('end_time')} AS time_end, {_prod_sql()} AS productivity, app, title, start_time,
+       ({Q.us('end_time')} - {Q.us('start_time')}) / 60000000.0 AS duration_min
+FROM parts""",
+)
+def q_monthly_timeline(spark, sf):
+    return RP.monthly_timeline(labelled_sessions(spark, sf, "user"))
+
+
+WEEK_PARTS = (
+    Q.sessions_ctes("user")
+    + ","
+    + REF_SPLIT_SQL.replace("SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_ FROM sessions",
+                            "SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_, CAST(date_trunc('week', start_time) AS DATE) AS week_start FROM sessions")
+    .replace("SELECT device_id, app, title, url,", "SELECT week_start, device_id, app, title, url,")
+)
+WEEK_TOTALS = f"""
+wt AS (
+  SELECT week_start, strftime(start_time, '%a') AS day_label, CAST(start_time AS DATE) AS date, {_prod_sql()} AS productivity,
+         sum({Q.us('end_time')} - {Q.us('start_time')}) / 60000000.0 AS duration_min
+  FROM parts WHERE is_productive IS NOT NULL GROUP BY ALL)"""
+MONTH_PARTS = (
+    Q.sessions_ctes("user")
+    + ","
+    + REF_SPLIT_SQL.replace("SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_ FROM sessions",
+                            "SELECT *, CAST(start_time AS DATE) <> CAST(end_time AS DATE) AS cross_, CAST(date_trunc('month', start_time) AS DATE) AS month_start FROM sessions")
+    .replace("SELECT device_id, app, title, url,", "SELECT month_start, device_id, app, title, url,")
+)
+MONTH_TOTALS = f"""
+mt AS (
+  SELECT month_start, CAST(dayofmonth(start_time) AS INTEGER) AS day, CAST(start_time AS DATE) AS date,
+         {_prod_sql()} AS productivity, sum({Q.us('end_time')} - {Q.us('start_time')}) / 60000000.0 AS duration_min
+  FROM parts WHERE is_productive IS NOT NULL GROUP BY ALL)"""
+
+
+@register("weekly_totals", WEEK_PARTS + "," + WEEK_TOTALS + "\nSELECT * FROM wt")
+def q_weekly_totals(spark, sf):
+    return RP.weekly_totals(labelled_sessions(spark, sf, "user"))
+
+
+@register("monthly_totals", MONTH_PARTS + "," + MONTH_TOTALS + "\nSELECT * FROM mt")
+def q_monthly_totals(spark, sf):
+    return RP.monthly_totals(labelled_sessions(spark, sf, "user"))
+
+
+@register(
+    "max_daily_total",
+    WEEK_PARTS + "," + WEEK_TOTALS + """
+SELECT week_start, coalesce(max(total), 0.0) AS max_daily_min FROM (
+  SELECT week_start, day_label, date, sum(duration_min) AS total FROM wt GROUP BY ALL) GROUP BY week_start""",
+)
+def q_max_daily_total(spark, sf):
+    return RP.max_daily_total(labelled_sessions(spark, sf, "user"), "week")
+
+
+@register(
+    "max_daily_total_month",
+    MONTH_PARTS + "," + MONTH_TOTALS + """
+SELECT month_start, coalesce(max(total), 0.0) AS max_daily_min FROM (
+  SELECT month_start, day, date, sum(duration_min) AS total FROM mt GROUP BY ALL) GROUP BY month_start""",
+)
+def q_max_daily_total_month(spark, sf):
+    return RP.max_daily_total(labelled_sessions(spark, sf, "user"), "month")
+
+
+@register(
+    "category_rollup",
+    Q.sessions_ctes("user")
+    + """,
+parts AS (
+  SELECT s.*, d::DATE AS day FROM sessions s,
+         unnest(generate_series(CAST(start_time AS DATE), CAST(end_time AS DATE), INTERVAL 1 DAY)) t(d)),
+p2 AS (
+  SELECT category, greatest(start_time, CAST(day AS TIMESTAMP)) AS ps, least(end_time, CAST(day + 1 AS TIMESTAMP)) AS pe,
+         start_time AS s0, end_time AS e0 FROM parts),
+p3 AS (SELECT category, CAST(ps AS DATE) AS date, """
+    + Q.us("pe")
+    + " - "
+    + Q.us("ps")
+    + """ AS us_ FROM p2 WHERE pe > ps OR s0 = e0)
+SELECT date, category, sum(us_) / 60000000.0 AS minutes, count(*) AS parts,
+       CASE WHEN grouping(date) = 1 THEN 'all' WHEN grouping(category) = 1 THEN 'date' ELSE 'date_category' END AS level
+FROM p3 GROUP BY ROLLUP (date, category)""",
+)
+def q_category_rollup(spark, sf):
+    return RP.category_rollup(labelled_sessions(spark, sf, "user"))
+
+
+@register(
+    "last_n_sessions",
+    Q.sessions_ctes()
+    + """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY start_time DESC, end_time DESC) AS rank_from_end
+  FROM sessions) WHERE rank_from_end <= 5""",
+)
+def q_last_n(spark, sf):
+    return RP.last_n_sessions(labelled_sessions(spark, sf), n=5)
+
+
+# --------------------------------------------------------------- label store
+
+STORE_SQL = f""",
+store_events AS (
+  SELECT seq AS id, {Q.us('ts')} / 1e6 AS start_ts,
+         CASE WHEN seq % 50 = 0 THEN NULL WHEN seq % 50 = 1 THEN {Q.us('ts')} / 1e6 - 1
+              ELSE {Q.us('ts')} / 1e6 + idle_seconds / 10 END AS end_ts,
+         app, title, coalesce(url, '') AS url, CAST(NULL AS VARCHAR) AS content_hash, ts AS created_at, device_id
+  FROM samples),
+valid AS (SELECT * FROM store_events WHERE end_ts IS NOT NULL AND end_ts >= start_ts),
+clog AS (
+  SELECT id AS event_id, 'rules-v1' AS engine_version, lower(app) AS category_id, CAST(1.0 AS DOUBLE) AS confidence,
+         CAST(NULL AS VARCHAR) AS rule_id, '{{"n":0}}' AS meta_json, created_at, id * 10 AS seq FROM valid
+  UNION ALL
+  SELECT id, 'rules-v1', 'relabelled', 1.0, NULL, '{{"n":1}}', created_at + INTERVAL 60 SECOND, id * 10 + 1
+  FROM valid WHERE id % 7 = 0
+  UNION ALL
+  SELECT id, 'rules-v0', 'legacy', 1.0, NULL, '{{"n":2}}', created_at + INTERVAL 30 SECOND, id * 10 + 2
+  FROM valid WHERE id % 5 = 0
+  UNION ALL
+  SELECT -1 - id, 'rules-v1', lower(app), 1.0, NULL, '{{"n":3}}', created_at, id * 10 + 3 FROM valid WHERE id % 100 = 0),
+olog AS (
+  SELECT event_id, 'set' AS op, 'focus' AS category_id, CAST(NULL AS VARCHAR) AS note, event_id * 10 + 1 AS seq
+  FROM events WHERE event_id % 10 = 0
+  UNION ALL SELECT event_id, 'set', 'deep-work', 'adjusted', event_id * 10 + 2 FROM events WHERE event_id % 20 = 0
+  UNION ALL SELECT event_id, 'clear', NULL, NULL, event_id * 10 + 3 FROM events WHERE event_id % 40 = 0),
+latest_c AS (
+  SELECT * EXCLUDE (r) FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_id, engine_version ORDER BY created_at DESC, seq DESC) AS r FROM clog)
+  WHERE r = 1),
+cur_o AS (
+  SELECT event_id, category_id, note, seq FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq DESC) AS r FROM olog) WHERE r = 1 AND op = 'set')"""
+STORE = SAMPLES_MOD4 + STORE_SQL
+
+
+def _store(spark, sf):
+    ev = SM.load(spark, sf, "events")
+    return SM.store_events(ev), SM.classification_log(ev), SM.override_log(ev)
+
+
+@register("valid_events", STORE + "\nSELECT * FROM valid")
+def q_valid_events(spark, sf):
+    from dwell.operators.labels import valid_events
+
+    return valid_events(_store(spark, sf)[0])
+
+
+@register(
+    "latest_classification",
+    STORE + "\nSELECT event_id, engine_version, category_id, confidence, rule_id, meta_json, created_at FROM latest_c",
+)
+def q_latest_classification(spark, sf):
+    from dwell.operators.labels import latest_classification
+
+    return latest_classification(_store(spark, sf)[1])
+
+
+@register("current_overrides", STORE + "\nSELECT * FROM cur_o")
+def q_current_overrides(spark, sf):
+    from dwell.operators.labels import current_overrides
+
+    return current_overrides(_store(spark, sf)[2])
+
+
+@register(
+    "effective_labels",
+    STORE
+    + """
+SELECT v.id, coalesce(o.category_id, c.category_id) AS category_id,
+       CASE WHEN o.category_id IS NOT NULL THEN 'override' WHEN c.category_id IS NOT NULL THEN 'engine' END AS label_source,
+       c.category_id AS engine_category, o.category_id AS override_category
+FROM valid v LEFT JOIN (SELECT * FROM latest_c WHERE engine_version = 'rules-v1') c ON c.event_id = v.id
+LEFT JOIN cur_o o ON o.event_id = v.id""",
+)
+def q_effective_labels(spark, sf):
+    from dwell.operators.labels import effective_labels, valid_events
+
+    ev, cl, ov = _store(spark, sf)
+    return effective_labels(valid_events(ev), cl, ov, "rules-v1")
+
+
+@register(
+    "orphan_labels",
+    STORE
+    + """
+SELECT event_id, 'classification' AS kind, seq FROM clog WHERE event_id NOT IN (SELECT id FROM valid)
+UNION ALL
+SELECT event_id, 'override' AS kind, seq FROM olog WHERE event_id NOT IN (SELECT id FROM valid)""",
+)
+def q_orphan_labels(spark, sf):
+    from dwell.operators.labels import orphan_labels, valid_events
+
+    ev, cl, ov = _store(spark, sf)
+    return orphan_labels(valid_events(ev), cl, ov)
+
+
+@register(
+    "change_feed",
+    STORE
+    + """
+SELECT 'event_recorded' AS kind, 0 AS kind_ord, id AS event_id, id AS seq FROM valid
+UNION ALL SELECT 'label_updated', 1, event_id, seq FROM clog
+UNION ALL SELECT 'override_updated', 2, event_id, seq FROM olog""",
+)
+def q_change_feed(spark, sf):
+    from dwell.operators.labels import change_feed, valid_events
+
+    ev, cl, ov = _store(spark, sf)
+    return change_feed(valid_events(ev), cl, ov)
+
+
+@register(
+    "store_counts",
+    STORE
+    + """
+SELECT 'events' AS table_name, count(*) AS n FROM valid
+UNION ALL SELECT 'engine_classifications', count(*) FROM latest_c
+UNION ALL SELECT 'user_overrides', count(*) FROM cur_o""",
+)
+def q_store_counts(spark, sf):
+    from dwell.operators.labels import store_counts, valid_events
+
+    ev, cl, ov = _store(spark, sf)
+    return store_counts(valid_events(ev), cl, ov)
+
+
+@register(
+    "latest_events",
+    STORE + "\nSELECT id, app, title, start_ts, end_ts, end_ts - start_ts AS duration_sec FROM valid ORDER BY id DESC LIMIT 5",
+)
+def q_latest_events(spark, sf):
+    from dwell.operators.labels import latest_events, valid_events
+
+    return latest_events(valid_events(_store(spark, sf)[0]))
+
+
+@register(
+    "event_ids",
+    SAMPLES_MOD4
+    + ","
+    + Q.raw_sessions_cte()
+    + "\nSELECT row_number() OVER (ORDER BY start_time, device_id) AS id, start_time, device_id, app, title, url FROM raw_sessions",
+)
+def q_event_ids(spark, sf):
+    from dwell.operators.labels import sequential_ids
+
+    sess = _drop(raw_sessions(spark, sf)).select("start_time", "device_id", "app", "title", "url")
+    return sequential_ids(sess, ["start_time", "device_id"])
+
+
+# ------------------------------------------------------------ keyword learning
+
+KW_HITS_SQL = (
+    CLASSIFY_KW_SQL
+    + f""",
+hits AS (
+  SELECT *, {_ctx_sql('app', 'host', 'title')} AS context_key FROM ckw WHERE matched_keyword IS NOT NULL),
+ks AS (
+  SELECT *, lag(matched_keyword) OVER w AS pk, lag(ts) OVER w AS pts, row_number() OVER w AS rn
+  FROM hits WHERE context_key IS NOT NULL AND context_key <> ''
+  WINDOW w AS (PARTITION BY context_key ORDER BY ts, seq)),
+kss AS (
+  SELECT *, NOT coalesce(rn > 1 AND pk = matched_keyword AND {Q.secs('pts', 'ts')} < {GAP_S}, FALSE) AS is_new FROM ks)"""
+)
+
+
+@register(
+    "keyword_sessions",
+    KW_HITS_SQL
+    + "\nSELECT device_id, seq, ts, context_key, category, matched_keyword, is_new FROM kss",
+)
+def q_keyword_sessions(spark, sf):
+    return _keyword_sessions(spark, sf).select(
+        "device_id", "seq", "ts", "context_key", "category", "matched_keyword", "is_new"
+    )
+
+
+def _keyword_classified(spark, sf):
+    from dwell.sources.rules import DEFAULT_KEYWORD_INDEX
+
+    rs = C.RuleSet.build(spark, keyword_index=DEFAULT_KEYWORD_INDEX)
+    return C.classify(samples(spark, sf), rs, variant="legacy"), rs
+
+
+def _keyword_sessions(spark, sf):
+    from dwell.operators import keywords as K
+
+    cl, _ = _keyword_classified(spark, sf)
+    return K.keyword_sessions(K.keyword_hits(cl), reset_seconds=GAP_S)
+
+
+KW_COUNTS_SQL = """,
+kc AS (
+  SELECT category, matched_keyword AS keyword, sum(CAST(is_new AS BIGINT)) AS count, min(ts) AS first_seen
+  FROM kss GROUP BY ALL HAVING sum(CAST(is_new AS BIGINT)) > 0)"""
+
+
+@register("keyword_counts", KW_HITS_SQL + KW_COUNTS_SQL + "\nSELECT * FROM kc")
+def q_keyword_counts(spark, sf):
+    from dwell.operators import keywords as K
+
+    return K.keyword_counts(_keyword_sessions(spark, sf))
+
+
+@register(
+    "keyword_top_k",
+    KW_HITS_SQL
+    + KW_COUNTS_SQL
+    + """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY count DESC, first_seen, keyword) AS rank FROM kc)
+WHERE rank <= 2""",
+)
+def q_keyword_top_k(spark, sf):
+    from dwell.operators import keywords as K
+
+    return K.keyword_top_k(K.keyword_counts(_keyword_sessions(spark, sf)), k=2)
+
+
+BACKLOG_SQL = (
+    CLASSIFY_KW_SQL
+    + f""",
+bl0 AS (
+  SELECT *, cands[1] AS keyword, {_ctx_sql('app', 'host', 'title')} AS cache_key FROM ckw
+  WHERE len(cands) > 0 AND (host IN {Q.AMBIG} OR category = 'Unknown') AND matched_keyword IS NULL),
+backlog AS (
+  SELECT keyword, arg_min(app, (ts, seq)) AS app, arg_min(title, (ts, seq)) AS title, arg_min(url, (ts, seq)) AS url,
+         arg_min(cache_key, (ts, seq)) AS cache_key, arg_min(category, (ts, seq)) AS rule_category,
+         arg_min(is_productive, (ts, seq)) AS rule_productive, min(ts) AS first_seen, count(*) AS rows
+  FROM bl0 GROUP BY keyword),
+sugg AS (
+  SELECT keyword, CASE length(keyword) % 3 WHEN 0 THEN 'Research' WHEN 1 THEN 'Shopping' ELSE 'Unknown' END AS category,
+         length(keyword) % 2 = 0 AS productive FROM backlog)"""
+)
+
+
+@register("label_backlog", BACKLOG_SQL + "\nSELECT * FROM backlog")
+def q_label_backlog(spark, sf):
+    from dwell.operators import keywords as K
+
+    cl, _ = _keyword_classified(spark, sf)
+    return K.label_backlog(cl)
+
+
+@register(
+    "apply_suggestions",
+    BACKLOG_SQL
+    + f""",
+ok AS (SELECT * FROM sugg WHERE category IS NOT NULL AND category <> 'Unknown'),
+ap AS (
+  SELECT c.*, (len(cands) > 0 AND (host IN {Q.AMBIG} OR c.category = 'Unknown') AND matched_keyword IS NULL) AS need,
+         s1.category AS s1c, s1.productive AS s1p, s2.category AS s2c, s2.productive AS s2p
+  FROM ckw c LEFT JOIN ok s1 ON s1.keyword = c.cands[1] LEFT JOIN ok s2 ON s2.keyword = c.cands[2])
+SELECT device_id, seq, app, title, url,
+       CASE WHEN need AND (s1c IS NOT NULL OR s2c IS NOT NULL) THEN coalesce(s1c, s2c) ELSE category END AS category,
+       CASE WHEN need AND (s1c IS NOT NULL OR s2c IS NOT NULL)
+            THEN coalesce(CASE WHEN s1c IS NOT NULL THEN s1p ELSE s2p END, FALSE) ELSE is_productive END AS is_productive,
+       CASE WHEN need AND (s1c IS NOT NULL OR s2c IS NOT NULL) THEN 'suggestion' ELSE 'rules' END AS label_source
+FROM ap""",
+)
+def q_apply_suggestions(spark, sf):
+    from dwell.operators import keywords as K
+
+    cl, _ = _keyword_classified(spark, sf)
+    sg = K.derived_suggestions(K.label_backlog(cl))
+    out = K.apply_suggestions(cl, sg)
+    return out.select("device_id", "seq", "app", "title", "url", "category", "is_productive", "label_source")
+
+
+@register(
+    "learned_rules",
+    BACKLOG_SQL
+    + f""",
+acc AS (SELECT b.*, s.category, s.productive FROM backlog b JOIN sugg s USING (keyword) WHERE s.category <> 'Unknown'),
+cand AS (
+  SELECT category, productive,
+         CASE WHEN (lower(coalesce(app, '')) IN {Q.BROWSERS} OR lower(coalesce(app, '')) = '') AND {Q.host_sql('url')} <> '' THEN 'domain'
+              WHEN lower(coalesce(app, '')) <> '' AND NOT lower(coalesce(app, '')) IN {Q.BROWSERS} THEN 'app' END AS kind,
+         CASE WHEN (lower(coalesce(app, '')) IN {Q.BROWSERS} OR lower(coalesce(app, '')) = '') AND {Q.host_sql('url')} <> '' THEN {Q.host_sql('url')}
+              WHEN lower(coalesce(app, '')) <> '' AND NOT lower(coalesce(app, '')) IN {Q.BROWSERS} THEN lower(coalesce(app, '')) END AS token
+  FROM acc WHERE NOT {Q.host_sql('url')} IN {Q.AMBIG}),
+existing AS (
+  SELECT category, 'app' AS kind, lower(tok) AS token FROM rules_app
+  UNION ALL SELECT category, 'domain', lower(tok) FROM rules_dom)
+SELECT c.category, c.kind, c.token, first(c.productive) AS productive FROM cand c
+WHERE c.kind IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM existing e WHERE e.category = c.category AND e.kind = c.kind AND e.token = c.token)
+GROUP BY ALL""",
+)
+def q_learned_rules(spark, sf):
+    from dwell.operators import keywords as K
+
+    cl, rs = _keyword_classified(spark, sf)
+    bl = K.label_backlog(cl)
+    return K.learned_rules(bl, K.derived_suggestions(bl), rs.rules)
+
+
+@register(
+    "parse_suggestions",
+    BACKLOG_SQL
+    + """,
+msgs AS (
+  SELECT keyword, CASE length(keyword) % 4
+      WHEN 0 THEN '{"category":"Research","productive":true}'
+      WHEN 1 THEN '{"productive":false,"confidence":0.9}'
+      WHEN 2 THEN '{"category":"","rationale":"fine"}'
+      ELSE '{"category":"Shopping","productive":null}' END AS message FROM backlog)
+SELECT keyword, coalesce(nullif(json_extract_string(message, '$.category'), ''), 'Unknown') AS category,
+       coalesce(CAST(json_extract(message, '$.productive') AS BOOLEAN), FALSE) AS productive,
+       CAST(json_extract(message, '$.confidence') AS DOUBLE) AS confidence,
+       json_extract_string(message, '$.rationale') AS rationale
+FROM msgs""",
+)
+def q_parse_suggestions(spark, sf):
+    from dwell.functions.text import parse_suggestion
+    from dwell.operators import keywords as K
+
+    cl, _ = _keyword_classified(spark, sf)
+    msgs = K.suggestion_messages(K.label_backlog(cl))
+    return msgs.select("keyword", parse_suggestion("message").alias("s")).select("keyword", "s.*")
+
+
+# ------------------------------------------------------------------- ingest
+
+@register(
+    "manifest_diff",
+    """
+WITH d AS (SELECT doc_id, md5(text) AS md5 FROM documents),
+remote AS (SELECT doc_id AS file_id, 'activity_' || CAST(doc_id AS VARCHAR) || '.parquet' AS name,
+                  CASE WHEN doc_id % 11 = 0 THEN NULL ELSE md5 END AS md5 FROM d),
+state AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN md5 || 'x' ELSE md5 END AS md5
+          FROM d WHERE doc_id % 3 <> 0),
+loc AS (SELECT 'activity_' || CAST(doc_id AS VARCHAR) || '.parquet' AS name,
+               CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN md5 || 'y' ELSE md5 END AS md5
+        FROM d WHERE doc_id % 4 <> 0),
+j AS (
+  SELECT r.*, s.file_id IS NOT NULL AS in_state, s.md5 AS state_md5, l.name IS NOT NULL AS has_local, l.md5 AS local_md5
+  FROM remote r LEFT JOIN state s ON s.file_id = r.file_id LEFT JOIN loc l ON l.name = r.name),
+k AS (
+  SELECT *, in_state AND state_md5 IS NOT DISTINCT FROM md5 AND has_local AS skip_state,
+         coalesce(md5 IS NOT NULL AND md5 <> '' AND has_local AND local_md5 = md5, FALSE) AS skip_digest FROM j)
+SELECT file_id, name, md5, NOT (skip_state OR skip_digest) AS load,
+       CASE WHEN skip_state THEN 'state' WHEN skip_digest THEN 'digest' END AS skip_reason FROM k""",
+)
+def q_manifest_diff(spark, sf):
+    from dwell.operators.ingest import manifest_diff
+
+    remote, state, local = SM.manifests(SM.load(spark, sf, "documents"))
+    return manifest_diff(remote, state, local)
+
+
+@register(
+    "schema_align",
+    Q.sessions_ctes()
+    + """,
+old_gen AS (SELECT start_time, end_time, duration_sec, app, title, category, is_productive FROM sessions
+            WHERE dayofmonth(start_time) <= 15),
+new_gen AS (SELECT start_time, end_time, duration_sec, app, title, url, category, is_productive, device_id FROM sessions
+            WHERE dayofmonth(start_time) > 15)
+SELECT * FROM old_gen UNION ALL BY NAME SELECT * FROM new_gen""",
+)
+def q_schema_align(spark, sf):
+    from dwell.operators.ingest import align_schemas
+
+    s = labelled_sessions(spark, sf)
+    old = s.where(F.dayofmonth("start_time") <= 15).select(
+        "start_time", "end_time", "duration_sec", "app", "title", "category", "is_productive"
+    )
+    new = s.where(F.dayofmonth("start_time") > 15)
+    return align_schemas(old, new)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -121,8 +121,7 @@ kw_dim AS (
     SELECT lower(trim(keyword)) AS keyword, category,
            row_number() OVER (PARTITION BY lower(trim(keyword)) ORDER BY cat_ord, ord) AS r
     FROM kw_index WHERE lower(trim(keyword)) <> '') k
-  LEFT JOIN (SELECT DISTINCT category, productive FROM rules_app UNION SELECT DISTINCT category, productive FROM rules_dom
-             UNION SELECT * FROM (VALUES ('Research', TRUE), ('Social/Forums', FALSE), ('Shopping', FALSE))) r
+  LEFT JOIN (SELECT DISTINCT category, productive FROM rules_app UNION SELECT DISTINCT category, productive FROM rules_dom) r
     ON r.category = k.category
   WHERE k.r = 1)"""
 
@@ -134,7 +133,9 @@ def words_sql(title: str) -> str:
 def candidates_sql(title: str) -> str:
     w = words_sql(title)
     return (
-        f"CASE WHEN len({w}) >= 2 THEN list_distinct_ordered([array_to_string({w}[1:2], ' '), array_to_string({w}[-2:], ' ')]) "
+        f"CASE WHEN len({w}) >= 2 AND array_to_string({w}[1:2], ' ') = array_to_string({w}[-2:], ' ') "
+        f"THEN [array_to_string({w}[1:2], ' ')] "
+        f"WHEN len({w}) >= 2 THEN [array_to_string({w}[1:2], ' '), array_to_string({w}[-2:], ' ')] "
         f"WHEN len({w}) = 1 THEN [{w}[1]] ELSE [] END"
     )
 
