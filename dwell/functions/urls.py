@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -137,90 +137,165 @@ def is_sensitive_value(val: Column) -> Column:
     )
 
 
-def _query_items(query: Column) -> Column:
-    """parse_qsl(keep_blank_values=True) + strip + redaction, in input order:
-    array<struct<lk, i, key, val, red>>."""
-    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
-
-    def item(p: Column, i: Column) -> Column:
-        has_eq = F.instr(p, "=") > 0
-        name = F.when(has_eq, F.substring_index(p, "=", 1)).otherwise(p)
-        value = F.when(has_eq, F.substr(p, F.instr(p, "=") + 1)).otherwise(F.lit(""))
-        k = pystrip(unquote_plus(name))
-        v = pystrip(unquote_plus(value))
-        red = is_sensitive_key(k) | is_sensitive_value(v)
-        return F.struct(
-            F.lower(k).alias("lk"), i.alias("i"), k.alias("key"), F.when(red, F.lit(REDACTED)).otherwise(v).alias("val"),
-            red.alias("red"),
-        )
-
-    items = F.transform(pieces, item)
-    return F.filter(items, lambda it: it.getField("key") != "")
-
-
 def _split_url(url: Column) -> dict[str, Column]:
-    """urlsplit of an http(s) URL: scheme, netloc, path, query, fragment flag."""
+    """urlsplit of an http(s) URL: scheme, netloc, path, query, fragment."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     rest = F.substr(url, F.length(scheme) + 2)
     has_netloc = rest.startswith("//")
     netloc = F.when(has_netloc, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit(""))
     after = F.when(has_netloc, F.regexp_extract(rest, r"^//[^/?#]*(.*)$", 1)).otherwise(rest)
-    no_frag = F.substring_index(after, "#", 1)
-    frag = F.when(F.instr(after, "#") > 0, F.substr(after, F.instr(after, "#") + 1)).otherwise(F.lit(""))
-    path = F.substring_index(no_frag, "?", 1)
-    query = F.when(F.instr(no_frag, "?") > 0, F.substr(no_frag, F.instr(no_frag, "?") + 1)).otherwise(F.lit(""))
-    return {"scheme": scheme, "netloc": netloc, "path": path, "query": query, "frag": frag}
+    return {"scheme": scheme, "netloc": netloc, "after": after}
+
+
+def _item_struct(key: Column, val: Column, i: Column, red: Column) -> Column:
+    return F.struct(F.lower(key).alias("lk"), i.alias("i"), key.alias("key"), val.alias("val"), red.alias("red"))
 
 
-def sanitize_url(url: Column | str, on_error: str = "null") -> Column:
-    """F8 + F15 as one struct column:
-    ``struct(sanitized_url, dropped_fragment, redacted_keys, sanitize_error)``.
+def sanitize_urls(df: DataFrame, url: str = "url", on_error: str = "null", keep_work: bool = False) -> DataFrame:
+    """F8 + F15 over a URL column: adds ``sanitized_url``, ``dropped_fragment``,
+    ``redacted_keys`` and ``sanitize_error``.
 
-    Only http/https URLs are rewritten (after trimming); other schemes pass
+    Only http/https URLs are rewritten (after stripping); other schemes pass
     through; '' stays ''. A bad port or unbalanced IPv6 bracket is an error:
-    ``on_error="null"`` (default) gives a null URL, ``"keep"`` returns the
-    trimmed input as the capture loop does.
+    ``on_error="null"`` (default, fail closed) gives a null URL, ``"keep"``
+    returns the stripped input as the capture loop does.
+
+    Written as a chain of projections so every intermediate (split parts,
+    decoded keys/values, their decoded-again forms) is computed once per row;
+    Catalyst keeps projections apart when merging them would repeat costly
+    expressions, and lambdas only read struct fields of the previous stage.
     """
-    raw = pystrip(F.coalesce(_c(url), F.lit("")))
-    # urlsplit drops tab/CR/LF anywhere
-    u = F.regexp_replace(raw, r"[\t\r\n]", "")
-    p = _split_url(u)
-    is_http = p["scheme"].isin("http", "https")
-    hostinfo = F.substring_index(p["netloc"], "@", -1)
-    br = hostinfo.contains("[")
-    host_raw = F.when(br, F.regexp_extract(hostinfo, r"\[([^\]]*)", 1)).otherwise(F.substring_index(hostinfo, ":", 1))
-    port_raw = F.when(br, F.regexp_extract(hostinfo, r"\][^:]*:(.*)$", 1)).otherwise(
-        F.when(F.instr(hostinfo, ":") > 0, F.substr(hostinfo, F.instr(hostinfo, ":") + 1)).otherwise(F.lit(""))
-    )
-    bad_brackets = p["netloc"].contains("[") != p["netloc"].contains("]")
-    digits = port_raw.rlike(r"^[0-9]+$") & (F.length(F.regexp_replace(port_raw, "^0+", "")) <= 5)
-    port_num = F.when(digits, port_raw.cast("int"))
-    port_ok = (port_raw == "") | (digits & (port_num <= 65535))
-    error = is_http & (bad_brackets | ~port_ok)
-    host = F.lower(host_raw)
-    netloc = F.when(port_raw == "", host).otherwise(F.concat(host, F.lit(":"), port_num.cast("string")))
-    items = _query_items(p["query"])
-    ordered = F.array_sort(items)
+    raw = pystrip(F.coalesce(F.col(url), F.lit("")))
+    d = df.withColumn("_raw", raw).withColumn("_u", F.regexp_replace("_raw", r"[\t\r\n]", ""))
+    parts = _split_url(F.col("_u"))
+    d = d.withColumn("_scheme", parts["scheme"])
+    parts = _split_url(F.col("_u"))
+    d = d.withColumns({"_netloc": parts["netloc"], "_after": parts["after"]})
+    after = F.col("_after")
+    d = d.withColumns(
+        {
+            "_frag": F.when(F.instr(after, "#") > 0, F.substr(after, F.instr(after, "#") + 1)).otherwise(F.lit("")),
+            "_nofrag": F.substring_index(after, "#", 1),
+            "_hostinfo": F.substring_index(F.col("_netloc"), "@", -1),
+        }
+    )
+    nf, hi = F.col("_nofrag"), F.col("_hostinfo")
+    br = hi.contains("[")
+    d = d.withColumns(
+        {
+            "_path": F.substring_index(nf, "?", 1),
+            "_query": F.when(F.instr(nf, "?") > 0, F.substr(nf, F.instr(nf, "?") + 1)).otherwise(F.lit("")),
+            "_host": F.lower(F.when(br, F.regexp_extract(hi, r"\[([^\]]*)", 1)).otherwise(F.substring_index(hi, ":", 1))),
+            "_port": F.when(br, F.regexp_extract(hi, r"\][^:]*:(.*)$", 1)).otherwise(
+                F.when(F.instr(hi, ":") > 0, F.substr(hi, F.instr(hi, ":") + 1)).otherwise(F.lit(""))
+            ),
+        }
+    )
+    port = F.col("_port")
+    digits = port.rlike(r"^[0-9]+$") & (F.length(F.regexp_replace(port, "^0+", "")) <= 5)
+    d = d.withColumns({"_pnum": F.when(digits, port.cast("int")), "_is_http": F.col("_scheme").isin("http", "https")})
+    port_ok = (port == "") | (F.col("_pnum").isNotNull() & (F.col("_pnum") <= 65535))
+    bad_br = F.col("_netloc").contains("[") != F.col("_netloc").contains("]")
+    d = d.withColumn("_err", F.col("_is_http") & (bad_br | ~port_ok))
+    # query: split -> decode once -> decode the value twice more -> classify
+    pieces = F.filter(F.split(F.col("_query"), "&"), lambda x: x != "")
+
+    def raw_item(p: Column, i: Column) -> Column:
+        has_eq = F.instr(p, "=") > 0
+        return F.struct(
+            F.when(has_eq, F.substring_index(p, "=", 1)).otherwise(p).alias("n"),
+            F.when(has_eq, F.substr(p, F.instr(p, "=") + 1)).otherwise(F.lit("")).alias("v"),
+            i.alias("i"),
+        )
+
+    d = d.withColumn("_q0", F.transform(pieces, raw_item))
+    d = d.withColumn(
+        "_q1",
+        F.transform(
+            "_q0",
+            lambda x: F.struct(
+                pystrip(unquote_plus(x.getField("n"))).alias("key"),
+                pystrip(unquote_plus(x.getField("v"))).alias("v"),
+                x.getField("i").alias("i"),
+            ),
+        ),
+    )
+    d = d.withColumn(
+        "_q2",
+        F.transform("_q1", lambda x: F.struct(x.getField("key").alias("key"), x.getField("v").alias("v"), x.getField("i").alias("i"),
+                                              unquote(x.getField("v")).alias("d1"))),
+    )
+    d = d.withColumn(
+        "_q3",
+        F.transform(
+            "_q2",
+            lambda x: F.struct(
+                x.getField("key").alias("key"), x.getField("v").alias("v"), x.getField("i").alias("i"),
+                F.when(x.getField("d1") == x.getField("v"), x.getField("d1")).otherwise(unquote(x.getField("d1"))).alias("d2"),
+            ),
+        ),
+    )
+
+    def classify_item(x: Column) -> Column:
+        v = x.getField("v")
+        red = is_sensitive_key(x.getField("key")) | _sensitive_value(v, x.getField("d2"))
+        return _item_struct(x.getField("key"), F.when(red, F.lit(REDACTED)).otherwise(v), x.getField("i"), red)
+
+    d = d.withColumn("_items", F.filter(F.transform("_q3", classify_item), lambda it: it.getField("key") != ""))
+    items = F.col("_items")
     qs = F.array_join(
-        F.transform(ordered, lambda it: F.concat(quote_plus(it.getField("key")), F.lit("="), quote_plus(it.getField("val")))),
+        F.transform(F.array_sort(items), lambda it: F.concat(quote_plus(it.getField("key")), F.lit("="), quote_plus(it.getField("val")))),
         "&",
     )
-    clean = F.concat(
-        p["scheme"], F.lit("://"), netloc, sanitize_path(p["path"]), F.when(qs != "", F.concat(F.lit("?"), qs)).otherwise(F.lit(""))
-    )
     red = F.transform(
         F.filter(items, lambda it: it.getField("red")),
         lambda it: F.struct(it.getField("lk").alias("lk"), it.getField("key").alias("key")),
     )
     red_keys = F.array_distinct(F.transform(F.array_sort(red), lambda r: r.getField("key")))
-    fallback = F.lit(None).cast("string") if on_error == "null" else raw
-    out_url = F.when(raw == "", F.lit("")).when(~is_http, raw).when(error, fallback).otherwise(clean)
-    return F.struct(
-        out_url.alias("sanitized_url"),
-        F.when(is_http & ~error, p["frag"] != "").otherwise(F.lit(False)).alias("dropped_fragment"),
-        F.when(is_http & ~error, red_keys).otherwise(F.array().cast("array<string>")).alias("redacted_keys"),
-        error.alias("sanitize_error"),
+    netloc = F.when(port == "", F.col("_host")).otherwise(F.concat(F.col("_host"), F.lit(":"), F.col("_pnum").cast("string")))
+    clean = F.concat(
+        F.col("_scheme"), F.lit("://"), netloc, sanitize_path(F.col("_path")),
+        F.when(qs != "", F.concat(F.lit("?"), qs)).otherwise(F.lit("")),
+    )
+    ok = F.col("_is_http") & ~F.col("_err")
+    fallback = F.lit(None).cast("string") if on_error == "null" else F.col("_raw")
+    out = d.withColumns(
+        {
+            "sanitized_url": F.when(F.col("_raw") == "", F.lit("")).when(~F.col("_is_http"), F.col("_raw"))
+            .when(F.col("_err"), fallback).otherwise(clean),
+            "dropped_fragment": F.when(ok, F.col("_frag") != "").otherwise(F.lit(False)),
+            "redacted_keys": F.when(ok, red_keys).otherwise(F.array().cast("array<string>")),
+            "sanitize_error": F.col("_err"),
+        }
+    )
+    if keep_work:
+        return out
+    return out.drop(
+        "_raw", "_u", "_scheme", "_netloc", "_after", "_frag", "_nofrag", "_hostinfo", "_path", "_query", "_host",
+        "_port", "_pnum", "_is_http", "_err", "_q0", "_q1", "_q2", "_q3", "_items",
+    )
+
+
+def _sensitive_value(val: Column, decoded2: Column) -> Column:
+    return (val != "") & (
+        val.rlike(EMAIL_RE)
+        | val.rlike(JWT_RE)
+        | val.rlike(UUID_RE)
+        | val.rlike(HEX_RE)
+        | val.rlike(B64URL_RE)
+        | _embedded_url(decoded2)
+        | looks_like_compact_secret(val)
+        | (F.length(val) > MAX_VALUE_LEN)
+    )
+
+
+def _embedded_url(d2: Column) -> Column:
+    netloc = F.regexp_extract(d2, r"^[Hh][Tt][Tt][Pp][Ss]?://([^/?#]*)", 1)
+    hostinfo = F.substring_index(netloc, "@", -1)
+    host = F.when(hostinfo.startswith("["), F.regexp_extract(hostinfo, r"^\[([^\]]*)", 1)).otherwise(
+        F.substring_index(hostinfo, ":", 1)
     )
+    return d2.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://") & (host != "")
 
 
 def tab_should_transmit(url: Column | str) -> Column:

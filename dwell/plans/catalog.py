@@ -935,6 +935,147 @@ def q_schema_align(spark, sf):
     return align_schemas(old, new)
 
 
+
+# ------------------------------------------------------------ URL sanitizer
+
+def url_corpus(spark, sf) -> DataFrame:
+    """Every URL the tables hold: raw web pages plus the samples' browser URLs."""
+    pages = SM.load(spark, sf, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), "url")
+    smp = samples(spark, sf).where(F.col("url").isNotNull()).select(F.lit("sample").alias("src"), F.col("seq").alias("id"), "url")
+    return pages.unionByName(smp)
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _unquote_plus_sql(x: str) -> str:
+    return f"url_decode(replace({x}, '+', ' '))"
+
+
+def _quote_plus_sql(x: str) -> str:
+    return f"replace(url_encode({x}), '%20', '+')"
+
+
+def _sensitive_value_sql(v: str) -> str:
+    from dwell.functions import urls as U
+
+    d1 = f"url_decode({v})"
+    d2 = f"(CASE WHEN {d1} = {v} THEN {d1} ELSE url_decode({d1}) END)"
+    net = f"regexp_extract({d2}, '^[Hh][Tt][Tt][Pp][Ss]?://([^/?#]*)', 1)"
+    hi = f"regexp_extract({net}, '([^@]*)$', 1)"
+    host = f"(CASE WHEN starts_with({hi}, '[') THEN regexp_extract({hi}, '^\\[([^\\]]*)', 1) ELSE split_part({hi}, ':', 1) END)"
+    emb = f"(regexp_matches({d2}, '^[Hh][Tt][Tt][Pp][Ss]?://') AND {host} <> '')"
+    classes = (
+        f"(CAST(regexp_matches({v}, '\\p{{Ll}}') AS INTEGER) + CAST(regexp_matches({v}, '\\p{{Lu}}') AS INTEGER)"
+        f" + CAST(regexp_matches({v}, '\\p{{Nd}}') AS INTEGER) + CAST(regexp_matches({v}, '[^\\p{{L}}\\p{{N}}]') AS INTEGER))"
+    )
+    compact = f"(length({v}) >= {U.COMPACT_SECRET_MIN_LEN} AND NOT regexp_matches({v}, '\\s') AND {classes} >= 3)"
+    pats = " OR ".join(f"regexp_full_match({v}, '{r[1:-1]}')" for r in (U.EMAIL_RE, U.JWT_RE, U.UUID_RE, U.HEX_RE, U.B64URL_RE))
+    return f"({v} <> '' AND ({pats} OR {emb} OR {compact} OR length({v}) > {U.MAX_VALUE_LEN}))"
+
+
+def _segment_sql(seg: str) -> str:
+    from dwell.functions import urls as U
+
+    s = _strip_sql(seg)
+    return (
+        f"CASE WHEN {s} = '' THEN '' WHEN regexp_full_match({s}, '\\p{{Nd}}+') THEN '[INT]' "
+        f"WHEN regexp_full_match({s}, '{U.UUID_RE[1:-1]}') THEN '[UUID]' "
+        f"WHEN regexp_full_match({s}, '{U.EMAIL_RE[1:-1]}') THEN '[EMAIL]' "
+        f"WHEN regexp_full_match({s}, '{U.JWT_RE[1:-1]}') THEN '[JWT]' "
+        f"WHEN regexp_full_match({s}, '{U.HEX_RE[1:-1]}') OR regexp_full_match({s}, '{U.B64URL_RE[1:-1]}') THEN '[ID]' "
+        f"WHEN length({s}) > 64 THEN '[TEXT_LONG]' ELSE {s} END"
+    )
+
+
+def _sanitize_sql() -> str:
+    from dwell.functions import urls as U
+
+    key_re = U.SENSITIVE_KEY_RE.replace("\\", "")
+    return (
+        SAMPLES_MOD4
+        + f""",
+corpus AS (
+  SELECT 'page' AS src, page_id AS id, url FROM pages
+  UNION ALL SELECT 'sample', seq, url FROM samples WHERE url IS NOT NULL),
+u1 AS (SELECT *, {_strip_sql("coalesce(url, '')")} AS raw FROM corpus),
+u2 AS (SELECT *, regexp_replace(raw, '[\\t\\r\\n]', '', 'g') AS u FROM u1),
+u3 AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM u2),
+u4 AS (SELECT *, substr(u, length(scheme) + 2) AS rest FROM u3),
+u5 AS (SELECT *, CASE WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//([^/?#]*)', 1) ELSE '' END AS netloc,
+              CASE WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//[^/?#]*(.*)$', 1) ELSE rest END AS after FROM u4),
+u6 AS (SELECT *, split_part(after, '#', 1) AS no_frag,
+              CASE WHEN instr(after, '#') > 0 THEN substr(after, instr(after, '#') + 1) ELSE '' END AS frag FROM u5),
+u7 AS (SELECT *, split_part(no_frag, '?', 1) AS path,
+              CASE WHEN instr(no_frag, '?') > 0 THEN substr(no_frag, instr(no_frag, '?') + 1) ELSE '' END AS query,
+              regexp_extract(netloc, '([^@]*)$', 1) AS hostinfo FROM u6),
+u8 AS (SELECT *,
+         CASE WHEN contains(hostinfo, '[') THEN regexp_extract(hostinfo, '\\[([^\\]]*)', 1) ELSE split_part(hostinfo, ':', 1) END AS host_raw,
+         CASE WHEN contains(hostinfo, '[') THEN regexp_extract(hostinfo, '\\][^:]*:(.*)$', 1)
+              WHEN instr(hostinfo, ':') > 0 THEN substr(hostinfo, instr(hostinfo, ':') + 1) ELSE '' END AS port_raw
+       FROM u7),
+u9 AS (SELECT *, regexp_full_match(port_raw, '[0-9]+') AND length(ltrim(port_raw, '0')) <= 5 AS digits,
+              scheme IN ('http', 'https') AS is_http FROM u8),
+u10 AS (SELECT *, CASE WHEN digits THEN CAST(port_raw AS INTEGER) END AS port_num FROM u9),
+u11 AS (SELECT *, is_http AND (contains(netloc, '[') <> contains(netloc, ']') OR NOT (port_raw = '' OR (digits AND port_num <= 65535))) AS err
+        FROM u10),
+q1 AS (SELECT *, list_filter(string_split(query, '&'), lambda p: p <> '') AS pieces FROM u11),
+q2 AS (SELECT *, list_transform(pieces, lambda p, i: {{
+          'lk': lower({_strip_sql(_unquote_plus_sql("CASE WHEN instr(p, '=') > 0 THEN split_part(p, '=', 1) ELSE p END"))}),
+          'i': i,
+          'key': {_strip_sql(_unquote_plus_sql("CASE WHEN instr(p, '=') > 0 THEN split_part(p, '=', 1) ELSE p END"))},
+          'v': {_strip_sql(_unquote_plus_sql("CASE WHEN instr(p, '=') > 0 THEN substr(p, instr(p, '=') + 1) ELSE '' END"))}}}) AS items0
+        FROM q1 WHERE is_http AND NOT err),
+q3 AS (SELECT *, list_filter(list_transform(items0, lambda it: {{'lk': it.lk, 'i': it.i, 'key': it.key,
+          'red': regexp_matches(lower(it.key), '{key_re}') OR {_sensitive_value_sql('it.v')}, 'v': it.v}}),
+          lambda it: it.key <> '') AS items FROM q2),
+q4 AS (SELECT *, list_sort(items) AS sorted_items,
+              list_transform(list_sort(list_transform(list_filter(items, lambda it: it.red), lambda it: {{'lk': it.lk, 'key': it.key}})),
+                             lambda r: r.key) AS red_sorted FROM q3),
+q5 AS (SELECT src, id,
+         array_to_string(list_transform(sorted_items, lambda it: {_quote_plus_sql('it.key')} || '=' ||
+             {_quote_plus_sql("CASE WHEN it.red THEN '_REDACTED_' ELSE it.v END")}), '&') AS qs,
+         list_filter(red_sorted, lambda x, i: NOT list_contains(red_sorted[1:i - 1], x)) AS red_keys
+       FROM q4),
+p1 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM u11),
+p2 AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE '/' || array_to_string(list_transform(segs, lambda s: {_segment_sql('s')}), '/') END AS spath
+       FROM p1)
+SELECT p.src, p.id, p.url,
+       CASE WHEN p.raw = '' THEN '' WHEN NOT p.is_http THEN p.raw WHEN p.err THEN NULL
+            ELSE p.scheme || '://' || lower(p.host_raw) || CASE WHEN p.port_raw = '' THEN '' ELSE ':' || CAST(p.port_num AS VARCHAR) END
+                 || p.spath || CASE WHEN coalesce(q.qs, '') <> '' THEN '?' || q.qs ELSE '' END END AS sanitized_url,
+       CASE WHEN p.is_http AND NOT p.err THEN p.frag <> '' ELSE FALSE END AS dropped_fragment,
+       CASE WHEN p.is_http AND NOT p.err THEN coalesce(q.red_keys, CAST([] AS VARCHAR[])) ELSE CAST([] AS VARCHAR[]) END AS redacted_keys,
+       p.err AS sanitize_error
+FROM p2 p LEFT JOIN q5 q ON q.src = p.src AND q.id = p.id"""
+    )
+
+
+SANITIZE_SQL = _sanitize_sql()
+
+
+@register("sanitize_urls", SANITIZE_SQL)
+def q_sanitize_urls(spark, sf):
+    from dwell.functions.urls import sanitize_urls
+
+    return sanitize_urls(url_corpus(spark, sf))
+
+
+@register(
+    "redaction_report",
+    "WITH s AS (" + SANITIZE_SQL + ")\n"
+    + f"""SELECT {Q.host_sql('url')} AS host, key, count(*) AS urls
+FROM (SELECT url, unnest(redacted_keys) AS key FROM s) GROUP BY ALL
+UNION ALL
+SELECT {Q.host_sql('url')} AS host, '#fragment' AS key, count(*) AS urls FROM s WHERE dropped_fragment GROUP BY ALL""",
+)
+def q_redaction_report(spark, sf):
+    from dwell.plans.urls_report import redaction_report
+
+    return redaction_report(q_sanitize_urls(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
