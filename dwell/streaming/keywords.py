@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from dwell.operators.keywords import KEYWORD_SESSION_RESET_SECONDS, KEYWORDS_PER_CATEGORY
 
 HIT_OUT_SCHEMA = "context_key string, ts timestamp_ntz, seq long, category string, matched_keyword string, is_new boolean"
-HIT_STATE_SCHEMA = "keyword string, ts timestamp_ntz"
+HIT_STATE_SCHEMA = "keyword string, ts timestamp_ntz, seq long"
 INDEX_OUT_SCHEMA = "category string, position int, keyword string, count long"
 INDEX_STATE_SCHEMA = "entries string"
 
@@ -27,17 +27,23 @@ INDEX_STATE_SCHEMA = "entries string"
 def _hits_fn(reset_seconds: float):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
+        if state.exists:
+            kw0, ts0, seq0 = state.get
+            ts0 = pd.Timestamp(ts0)
+            # rows not after the last counted hit are late: dropped, as in stream_sessions
+            pdf = pdf[(pdf["ts"] > ts0) | ((pdf["ts"] == ts0) & (pdf["seq"] > seq0))].reset_index(drop=True)
+            if pdf.empty:
+                return
         prev_kw = pdf["matched_keyword"].shift(1)
         prev_ts = pdf["ts"].shift(1)
         if state.exists:
-            kw0, ts0 = state.get
             prev_kw.iloc[0] = kw0
-            prev_ts.iloc[0] = pd.Timestamp(ts0)
+            prev_ts.iloc[0] = ts0
         gap = (pdf["ts"] - pd.to_datetime(prev_ts)).dt.total_seconds()
         same = prev_kw.notna() & (prev_kw == pdf["matched_keyword"]) & (gap < reset_seconds)
         pdf["is_new"] = ~same.fillna(False)
         last = pdf.iloc[-1]
-        state.update((last["matched_keyword"], pd.Timestamp(last["ts"]).to_pydatetime()))
+        state.update((last["matched_keyword"], pd.Timestamp(last["ts"]).to_pydatetime(), int(last["seq"])))
         pdf["context_key"] = key[0]
         yield pdf[["context_key", "ts", "seq", "category", "matched_keyword", "is_new"]]
 
