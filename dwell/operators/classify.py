@@ -25,6 +25,22 @@ def checked_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> D
     return F.broadcast(df) if n <= limit_rows else df
 
 
+_CACHE: dict = {}
+
+
+def _doc_size(doc) -> int | None:
+    """Rows a rules / keyword document can yield (known without a Spark job)."""
+    if isinstance(doc, dict):
+        n = 0
+        for v in doc.values():
+            if isinstance(v, dict):
+                n += len(v.get("apps", []) or []) + len(v.get("domains", []) or [])
+            else:
+                n += len(v or [])
+        return n
+    return None
+
+
 @dataclass
 class RuleSet:
     """Pre-built dimensions (cached in the driver as small DataFrames)."""
@@ -41,16 +57,26 @@ class RuleSet:
         rules: dict | str = R.DEFAULT_RULES,
         keyword_index: dict | str | None = None,
     ) -> "RuleSet":
+        import json as _json
+
+        key = (id(spark), _json.dumps(rules, sort_keys=True, default=str), _json.dumps(keyword_index, sort_keys=True, default=str))
+        if key in _CACHE:
+            return _CACHE[key]
         rdf = R.rules_frame(spark, rules)
+
+        def bcast(df: DataFrame, doc) -> DataFrame:
+            # a dict document bounds the dimension's rows without running a job
+            n = _doc_size(doc)
+            if n is not None:
+                return F.broadcast(df) if n <= BROADCAST_ROW_LIMIT else df
+            return checked_broadcast(df)
+
         kw = None
         if keyword_index is not None:
-            kw = checked_broadcast(R.keyword_dim(R.keyword_index_frame(spark, keyword_index), rdf))
-        return cls(
-            apps=checked_broadcast(R.app_dim(rdf)),
-            domains=checked_broadcast(R.domain_dim(rdf)),
-            keywords=kw,
-            rules=rdf,
-        )
+            kw = bcast(R.keyword_dim(R.keyword_index_frame(spark, keyword_index), rdf), keyword_index)
+        out = cls(apps=bcast(R.app_dim(rdf), rules), domains=bcast(R.domain_dim(rdf), rules), keywords=kw, rules=rdf)
+        _CACHE[key] = out
+        return out
 
 
 def classify(

@@ -143,6 +143,8 @@ def learned_rules(backlog: DataFrame, suggestions: DataFrame, rules_df: DataFram
     cand = acc.where(~T.is_ambiguous_host(host)).select(
         "category",
         "productive",
+        "first_seen",
+        "keyword",
         F.when(browserish & (host != ""), F.lit("domain")).when((app_norm != "") & ~browserish, F.lit("app")).alias("kind"),
         F.when(browserish & (host != ""), host).when((app_norm != "") & ~browserish, app_norm).alias("token"),
     ).where(F.col("kind").isNotNull())
@@ -154,7 +156,11 @@ def learned_rules(backlog: DataFrame, suggestions: DataFrame, rules_df: DataFram
     )
     cand = cand.withColumn("_t", F.concat("kind", F.lit("|"), "token"))
     new = cand.join(F.broadcast(existing), ["category", "_t"], "left_anti").drop("_t")
-    return new.groupBy("category", "kind", "token").agg(F.first("productive").alias("productive"))
+    # the earliest suggestion decides the flag (it creates a new category)
+    return new.groupBy("category", "kind", "token").agg(
+        F.min_by("productive", F.struct("first_seen", "keyword")).alias("productive"),
+        F.min("first_seen").alias("first_seen"),
+    )
 
 
 def derived_suggestions(backlog: DataFrame) -> DataFrame:

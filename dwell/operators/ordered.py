@@ -33,6 +33,17 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def _whole_row(d: DataFrame, fn: str, order: Sequence[str]) -> Column:
+    """The first/last row of a bucket as one struct of *all* columns.
+
+    Referencing every column keeps the summary branch's projection identical
+    to the main branch, so both read one shuffle (exchange reuse) instead of
+    re-scanning and re-shuffling a narrower copy of the input."""
+    row = F.struct(*[F.col(c) for c in d.columns])
+    agg = F.max_by if fn == "max_by" else F.min_by
+    return agg(row, F.struct(*_cols(order)))
+
+
 def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Add the time-bucket column (no-op when already present)."""
     if BUCKET in df.columns:
@@ -43,6 +54,18 @@ def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int = DEFAULT_BUCKET_
     return df.withColumn(BUCKET, F.floor(micros / F.lit(bucket_seconds * 1_000_000)))
 
 
+def _keyed(df: DataFrame, keys: Sequence[str], ts_col: str, bucket_seconds: int) -> DataFrame:
+    """Rows with a key and a timestamp, bucketed. Stating the not-null filter
+    here keeps it identical on the main and the summary branch (otherwise the
+    optimizer infers it only on the join's summary side and the two branches
+    stop sharing their shuffle)."""
+    d = add_bucket(df, ts_col, bucket_seconds)
+    cond = F.col(BUCKET).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return d.where(cond)
+
+
 def with_prev(
     df: DataFrame,
     keys: Sequence[str],
@@ -54,17 +77,15 @@ def with_prev(
 ) -> DataFrame:
     """Add ``prev_<c>`` (value of ``c`` on the preceding row of the same key in
     ``order``) and a ``has_prev`` flag. ``order[0]`` must be the timestamp."""
-    d = add_bucket(df, order[0], bucket_seconds)
+    d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order))
     d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns(
         {f"_lag_{c}": F.lag(c).over(w) for c in cols}
     )
-    summ = d1.groupBy(*part).agg(
-        F.max_by(F.struct(*_cols(cols)), F.struct(*_cols(order))).alias("_last")
-    )
+    summ = d1.groupBy(*part).agg(_whole_row(d1, "max_by", order).alias("_last"))
     ws = Window.partitionBy(*keys).orderBy(BUCKET)
-    summ = summ.select(*part, F.lag("_last").over(ws).alias("_pl"))
+    summ = summ.select(*part, F.lag(F.struct(*[F.col("_last").getField(c).alias(c) for c in cols])).over(ws).alias("_pl"))
     j = d1.join(summ, list(part), "left")
     first = F.col("_rn") == 1
     out = j.withColumns(
@@ -82,17 +103,15 @@ def with_next(
     prefix: str = "next_",
 ) -> DataFrame:
     """Add ``next_<c>``: value of ``c`` on the following row of the same key."""
-    d = add_bucket(df, order[0], bucket_seconds)
+    d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order))
     d1 = d.withColumns({f"_lead_{c}": F.lead(c).over(w) for c in cols}).withColumn(
         "_rl", F.lead(F.lit(1)).over(w).isNull()
     )
-    summ = d1.groupBy(*part).agg(
-        F.min_by(F.struct(*_cols(cols)), F.struct(*_cols(order))).alias("_first")
-    )
+    summ = d1.groupBy(*part).agg(_whole_row(d1, "min_by", order).alias("_first"))
     ws = Window.partitionBy(*keys).orderBy(BUCKET)
-    summ = summ.select(*part, F.lead("_first").over(ws).alias("_nf"))
+    summ = summ.select(*part, F.lead(F.struct(*[F.col("_first").getField(c).alias(c) for c in cols])).over(ws).alias("_nf"))
     j = d1.join(summ, list(part), "left")
     out = j.withColumns(
         {
@@ -113,7 +132,7 @@ def with_last_non_null(
 ) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row (per key, in
     ``order``): the backward as-of building block."""
-    d = add_bucket(df, order[0], bucket_seconds)
+    d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     d1 = d.withColumn("_lnn", F.last(value, ignorenulls=True).over(w))
@@ -121,8 +140,9 @@ def with_last_non_null(
     summ = d1.groupBy(*part).agg(
         F.max(F.when(F.col(value).isNotNull(), F.struct(*_cols(order), F.col(value).alias("_v"))))
         .getField("_v")
-        .alias("_bl")
-    )
+        .alias("_bl"),
+        _whole_row(d1, "max_by", order).alias("_w"),
+    ).drop("_w")
     ws = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -140,12 +160,12 @@ def with_running_count(
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """``out`` = number of rows with ``flag`` true at or before each row (per key)."""
-    d = add_bucket(df, order[0], bucket_seconds)
+    d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     f = F.col(flag).cast("long")
     w = Window.partitionBy(*part).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     d1 = d.withColumn("_rc", F.sum(f).over(w))
-    summ = d1.groupBy(*part).agg(F.sum(f).alias("_bc"))
+    summ = d1.groupBy(*part).agg(F.sum(f).alias("_bc"), _whole_row(d1, "max_by", order).alias("_w")).drop("_w")
     ws = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*part, F.coalesce(F.sum("_bc").over(ws), F.lit(0)).alias("_pc"))
     j = d1.join(summ, list(part), "left")

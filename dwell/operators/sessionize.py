@@ -73,7 +73,9 @@ def sessionize(
         close_ts = F.lit(close_ts).cast("timestamp_ntz")
     key = F.struct("app", "title", "url")
     has_labels = "category" in samples.columns and "is_productive" in samples.columns
-    out = _change_points(samples, key, device, ts, seq, close_ts, bucket_seconds)
+    keep = [device, ts, seq, "app", "title", "url"] + (["category", "is_productive"] if has_labels else [])
+    keep += [O.BUCKET] if O.BUCKET in samples.columns else []
+    out = _change_points(samples.select(*keep), key, device, ts, seq, close_ts, bucket_seconds)
     out = out.where(F.col("app").isNotNull())
     return out.select(
         F.col(ts).alias("start_time"),

@@ -326,17 +326,32 @@ def _ctx_sql(app: str, host: str, title: str) -> str:
     )
 
 
+VISITS_SQL = f"""
+visits AS (
+  SELECT 'dev-' || CAST(page_id % 4 AS VARCHAR) AS device_id, TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INTEGER)) AS ts,
+         page_id + {SM.VISIT_SEQ_OFFSET} AS seq, 'Google Chrome' AS app,
+         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, 0.0 AS idle_seconds
+  FROM pages),
+kw_src AS (SELECT * FROM samples UNION ALL SELECT * FROM visits)"""
+
 CLASSIFY_KW_SQL = (
     SAMPLES_MOD4
     + ","
+    + VISITS_SQL
+    + ","
     + Q.rule_dims_cte()
     + ","
     + Q.keyword_dim_cte()
     + ","
-    + Q.classify_cte("samples", ["device_id", "seq"], "ckw", variant="legacy", keywords=True)
+    + Q.classify_cte("kw_src", ["device_id", "seq"], "ckw", variant="legacy", keywords=True)
 )
 
 
+def keyword_corpus(spark, sf) -> DataFrame:
+    """Samples plus browser visits derived from pages: the input of keyword learning."""
+    return samples(spark, sf).unionByName(SM.browser_visits(SM.load(spark, sf, "pages")))
+
+
 @register(
     "classify_keywords",
     CLASSIFY_KW_SQL
@@ -350,7 +365,7 @@ def q_classify_keywords(spark, sf):
     from dwell.sources.rules import DEFAULT_KEYWORD_INDEX
 
     rs = C.RuleSet.build(spark, keyword_index=DEFAULT_KEYWORD_INDEX)
-    out = C.classify(samples(spark, sf), rs, variant="legacy")
+    out = C.classify(keyword_corpus(spark, sf), rs, variant="legacy")
     return out.select(
         "device_id", "seq", "ts", "app", "title", "url", "category", "is_productive", "matched_keyword",
         T.keyword("title").alias("keyword"),
@@ -744,7 +759,7 @@ def _keyword_classified(spark, sf):
     from dwell.sources.rules import DEFAULT_KEYWORD_INDEX
 
     rs = C.RuleSet.build(spark, keyword_index=DEFAULT_KEYWORD_INDEX)
-    return C.classify(samples(spark, sf), rs, variant="legacy"), rs
+    return C.classify(keyword_corpus(spark, sf), rs, variant="legacy"), rs
 
 
 def _keyword_sessions(spark, sf):
@@ -838,7 +853,7 @@ def q_apply_suggestions(spark, sf):
     + f""",
 acc AS (SELECT b.*, s.category, s.productive FROM backlog b JOIN sugg s USING (keyword) WHERE s.category <> 'Unknown'),
 cand AS (
-  SELECT category, productive,
+  SELECT category, productive, first_seen, keyword,
          CASE WHEN (lower(coalesce(app, '')) IN {Q.BROWSERS} OR lower(coalesce(app, '')) = '') AND {Q.host_sql('url')} <> '' THEN 'domain'
               WHEN lower(coalesce(app, '')) <> '' AND NOT lower(coalesce(app, '')) IN {Q.BROWSERS} THEN 'app' END AS kind,
          CASE WHEN (lower(coalesce(app, '')) IN {Q.BROWSERS} OR lower(coalesce(app, '')) = '') AND {Q.host_sql('url')} <> '' THEN {Q.host_sql('url')}
@@ -847,7 +862,8 @@ cand AS (
 existing AS (
   SELECT category, 'app' AS kind, lower(tok) AS token FROM rules_app
   UNION ALL SELECT category, 'domain', lower(tok) FROM rules_dom)
-SELECT c.category, c.kind, c.token, first(c.productive) AS productive FROM cand c
+SELECT c.category, c.kind, c.token, arg_min(c.productive, (c.first_seen, c.keyword)) AS productive,
+       min(c.first_seen) AS first_seen FROM cand c
 WHERE c.kind IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM existing e WHERE e.category = c.category AND e.kind = c.kind AND e.token = c.token)
 GROUP BY ALL""",

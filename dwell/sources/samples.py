@@ -185,3 +185,21 @@ def device_settings(events: DataFrame) -> DataFrame:
     return devs.select("device_id", F.explode(F.slice(kv, 1, idx + 1)).alias("kv")).select(
         "device_id", "kv.key", "kv.value"
     )
+
+
+VISIT_SEQ_OFFSET = 1_000_000_000
+
+
+def browser_visits(pages: DataFrame) -> DataFrame:
+    """Browser samples derived from raw pages: one visit per page at
+    2024-01-01 + page_id hours on device page_id % 4, app 'Google Chrome',
+    title = the page's <title>, url = the page URL (same columns as samples)."""
+    return pages.select(
+        F.concat(F.lit("dev-"), (F.col("page_id") % 4).cast("string")).alias("device_id"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("page_id").cast("int"))).alias("ts"),
+        (F.col("page_id") + F.lit(VISIT_SEQ_OFFSET)).alias("seq"),
+        F.lit("Google Chrome").alias("app"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.col("url"),
+        F.lit(0.0).alias("idle_seconds"),
+    )
