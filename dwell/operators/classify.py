@@ -74,7 +74,14 @@ class RuleSet:
         kw = None
         if keyword_index is not None:
             kw = bcast(R.keyword_dim(R.keyword_index_frame(spark, keyword_index), rdf), keyword_index)
-        out = cls(apps=bcast(R.app_dim(rdf), rules), domains=bcast(R.domain_dim(rdf), rules), keywords=kw, rules=rdf)
+        # the dimensions are tiny and derived from a config document: cache them
+        # so every query reuses them instead of re-deriving them
+        out = cls(
+            apps=bcast(R.app_dim(rdf).cache(), rules),
+            domains=bcast(R.domain_dim(rdf).cache(), rules),
+            keywords=None if kw is None else kw.cache(),
+            rules=rdf.cache(),
+        )
         _CACHE[key] = out
         return out
 

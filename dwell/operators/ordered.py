@@ -38,7 +38,8 @@ def _whole_row(d: DataFrame, fn: str, order: Sequence[str]) -> Column:
 
     Referencing every column keeps the summary branch's projection identical
     to the main branch, so both read one shuffle (exchange reuse) instead of
-    re-scanning and re-shuffling a narrower copy of the input."""
+    re-scanning and re-shuffling a narrower copy of the input. Callers keep it
+    alive with a (always true) ``IS NOT NULL`` filter on the aggregate."""
     row = F.struct(*[F.col(c) for c in d.columns])
     agg = F.max_by if fn == "max_by" else F.min_by
     return agg(row, F.struct(*_cols(order)))
@@ -83,7 +84,7 @@ def with_prev(
     d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns(
         {f"_lag_{c}": F.lag(c).over(w) for c in cols}
     )
-    summ = d1.groupBy(*part).agg(_whole_row(d1, "max_by", order).alias("_last"))
+    summ = d1.groupBy(*part).agg(_whole_row(d1, "max_by", order).alias("_last")).where(F.col("_last").isNotNull())
     ws = Window.partitionBy(*keys).orderBy(BUCKET)
     summ = summ.select(*part, F.lag(F.struct(*[F.col("_last").getField(c).alias(c) for c in cols])).over(ws).alias("_pl"))
     j = d1.join(summ, list(part), "left")
@@ -109,7 +110,7 @@ def with_next(
     d1 = d.withColumns({f"_lead_{c}": F.lead(c).over(w) for c in cols}).withColumn(
         "_rl", F.lead(F.lit(1)).over(w).isNull()
     )
-    summ = d1.groupBy(*part).agg(_whole_row(d1, "min_by", order).alias("_first"))
+    summ = d1.groupBy(*part).agg(_whole_row(d1, "min_by", order).alias("_first")).where(F.col("_first").isNotNull())
     ws = Window.partitionBy(*keys).orderBy(BUCKET)
     summ = summ.select(*part, F.lead(F.struct(*[F.col("_first").getField(c).alias(c) for c in cols])).over(ws).alias("_nf"))
     j = d1.join(summ, list(part), "left")
@@ -142,7 +143,7 @@ def with_last_non_null(
         .getField("_v")
         .alias("_bl"),
         _whole_row(d1, "max_by", order).alias("_w"),
-    ).drop("_w")
+    ).where(F.col("_w").isNotNull()).drop("_w")
     ws = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -165,12 +166,64 @@ def with_running_count(
     f = F.col(flag).cast("long")
     w = Window.partitionBy(*part).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     d1 = d.withColumn("_rc", F.sum(f).over(w))
-    summ = d1.groupBy(*part).agg(F.sum(f).alias("_bc"), _whole_row(d1, "max_by", order).alias("_w")).drop("_w")
+    summ = d1.groupBy(*part).agg(F.sum(f).alias("_bc"), _whole_row(d1, "max_by", order).alias("_w"))
+    summ = summ.where(F.col("_w").isNotNull()).drop("_w")
     ws = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*part, F.coalesce(F.sum("_bc").over(ws), F.lit(0)).alias("_pc"))
     j = d1.join(summ, list(part), "left")
     return j.withColumn(out, F.col("_rc") + F.col("_pc")).drop("_rc", "_pc")
 
 
+def change_points(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    key: str,
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Run starts of ``key`` (null-safe) per ``keys`` in ``order``, in one pass.
+
+    Returns only the rows that start a run, with ``_next_start`` = ``order[0]``
+    of the next run's start (null for the last run). Inside a bucket, a row
+    starts a run when its key differs from the previous row; the first row of a
+    bucket compares with the last row of the previous non-empty bucket, and a
+    bucket's last run ends at the first run start of a later bucket — both
+    resolved on one summary row per bucket.
+    """
+    ts = order[0]
+    d = _keyed(df, keys, ts, bucket_seconds)
+    part = [*keys, BUCKET]
+    w = Window.partitionBy(*part).orderBy(*_cols(order))
+    following = w.rowsBetween(1, Window.unboundedFollowing)
+    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumn(
+        "_chg", (F.col("_rn") > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(w))
+    )
+    d1 = d1.withColumn("_next_chg", F.first(F.when(F.col("_chg"), F.col(ts)), ignorenulls=True).over(following))
+    ordk = F.struct(*_cols(order))
+    summ = d1.groupBy(*part).agg(
+        F.min_by(F.col(key), ordk).alias("_fk"),
+        F.max_by(F.col(key), ordk).alias("_lk"),
+        F.min_by(F.col(ts), ordk).alias("_fts"),
+        F.min(F.when(F.col("_chg"), F.col(ts))).alias("_fchg"),
+        _whole_row(d1, "max_by", order).alias("_w"),
+    ).where(F.col("_w").isNotNull())
+    ws = Window.partitionBy(*keys).orderBy(BUCKET)
+    first_is_start = F.lag(BUCKET).over(ws).isNull() | ~F.col("_fk").eqNullSafe(F.lag("_lk").over(ws))
+    summ = summ.select(*part, first_is_start.alias("_fis"), "_fts", "_fchg")
+    summ = summ.withColumn("_bstart", F.when(F.col("_fis"), F.col("_fts")).otherwise(F.col("_fchg")))
+    summ = summ.select(
+        *part,
+        "_fis",
+        F.first("_bstart", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias("_nbs"),
+    )
+    j = d1.join(summ, list(part), "left")
+    start = F.when(F.col("_rn") == 1, F.col("_fis")).otherwise(F.col("_chg"))
+    return (
+        j.where(start)
+        .withColumn("_next_start", F.coalesce(F.col("_next_chg"), F.col("_nbs")))
+        .drop("_rn", "_chg", "_next_chg", "_fis", "_nbs")
+    )
+
+
 def drop_bucket(df: DataFrame) -> DataFrame:
     return df.drop(BUCKET)

@@ -41,15 +41,11 @@ def _change_points(
 ) -> DataFrame:
     """Keep the first sample of every run of equal ``key`` (null-safe) and give
     it ``end_time`` = ts of the next run's first sample (or ``close_ts``)."""
-    d = df.withColumn("_key", key)
-    d = O.with_prev(d, [device], [ts, seq], ["_key"], bucket_seconds, prefix="_p", has_prev="_hp")
-    boundary = ~F.col("_hp") | ~F.col("_key").eqNullSafe(F.col("_p_key"))
-    b = d.where(boundary).drop("_p_key", "_hp")
-    b = O.with_next(b, [device], [ts, seq], [ts], bucket_seconds, prefix="_n")
-    end = F.col(f"_n{ts}")
+    b = O.change_points(df.withColumn("_key", key), [device], [ts, seq], "_key", bucket_seconds)
+    end = F.col("_next_start")
     if close_ts is not None:
         end = F.coalesce(end, close_ts)
-    return b.withColumn("_end", end).where(F.col("_end").isNotNull()).drop(f"_n{ts}", "_key")
+    return b.withColumn("_end", end).where(F.col("_end").isNotNull()).drop("_next_start", "_key")
 
 
 def sessionize(

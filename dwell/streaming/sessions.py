@@ -94,8 +94,9 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
             prod = bool(last["is_productive"]) if has_lab else None
         else:
             is_open, app, title, url, start, cat, prod = False, None, None, None, None, None, None
-        tail = pdf.iloc[-1]
-        last_ts, last_seq = tail["ts"], int(tail["seq"])
+        if len(pdf):
+            tail = pdf.iloc[-1]
+            last_ts, last_seq = tail["ts"], int(tail["seq"])
     elif close_at is not None:
         is_open = False
     state.update(

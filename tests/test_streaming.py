@@ -56,8 +56,8 @@ def test_stream_close_marker(spark):
     schema = "device_id string, ts timestamp_ntz, seq long, app string, title string, url string, is_close boolean"
     df = spark.createDataFrame(rows, schema)
     path = tempfile.mkdtemp(prefix="dwell-stream-close-")
-    df.where("seq < 2").write.parquet(f"{path}/a")
-    df.where("seq >= 2").write.parquet(f"{path}/b")
+    df.where("seq < 2").coalesce(1).write.parquet(f"{path}/a")
+    df.where("seq >= 2").coalesce(1).write.parquet(f"{path}/b")
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
     out = _run_stream(spark, SS.stream_sessions(src), "sess_close").collect()
     assert [(r.app, r.duration_sec) for r in out] == [("A", 600.0)]
