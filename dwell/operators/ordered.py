@@ -225,5 +225,53 @@ def change_points(
     )
 
 
+def islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    cols: Sequence[str],
+    same,
+    out: str = "_island",
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Label every row with the order key (a struct of ``order``) of the first
+    row of its island, in one pass. A row continues its predecessor's island
+    when ``same(cur, prev)`` holds, where both are dicts col -> Column over
+    ``cols``. Inside a bucket this is a lag plus a running last-non-null; the
+    first row of a bucket is resolved against the previous bucket's last row,
+    and rows before the bucket's first new island inherit the island carried
+    over from earlier buckets — all on one summary row per bucket."""
+    d = _keyed(df, keys, order[0], bucket_seconds)
+    part = [*keys, BUCKET]
+    w = Window.partitionBy(*part).orderBy(*_cols(order))
+    ok = F.struct(*_cols(order))
+    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns({f"_l_{c}": F.lag(c).over(w) for c in cols})
+    cont = same({c: F.col(c) for c in cols}, {c: F.col(f"_l_{c}") for c in cols})
+    d1 = d1.withColumn("_inew", (F.col("_rn") > 1) & ~F.coalesce(cont, F.lit(False)))
+    d1 = d1.withColumn(
+        "_istart", F.last(F.when(F.col("_inew"), ok), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop(*[f"_l_{c}" for c in cols])
+    summ = d1.groupBy(*part).agg(
+        F.min_by(F.struct(*_cols(cols), ok.alias("_k")), ok).alias("_f"),
+        F.max_by(F.struct(*_cols(cols)), ok).alias("_l"),
+        F.max(F.when(F.col("_inew"), ok)).alias("_li"),
+        _whole_row(d1, "max_by", order).alias("_w"),
+    ).where(F.col("_w").isNotNull())
+    ws = Window.partitionBy(*keys).orderBy(BUCKET)
+    prev = {c: F.lag(F.col("_l").getField(c)).over(ws) for c in cols}
+    first_cont = F.lag(BUCKET).over(ws).isNotNull() & F.coalesce(
+        same({c: F.col("_f").getField(c) for c in cols}, prev), F.lit(False)
+    )
+    summ = summ.select(*part, (~first_cont).alias("_fnew"), F.col("_f._k").alias("_fk"), "_li")
+    summ = summ.withColumn("_blast", F.coalesce(F.col("_li"), F.when(F.col("_fnew"), F.col("_fk"))))
+    summ = summ.select(
+        *part, "_fnew", "_fk",
+        F.last("_blast", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+    )
+    j = d1.join(summ, list(part), "left")
+    island = F.coalesce(F.col("_istart"), F.when(F.col("_fnew"), F.col("_fk")).otherwise(F.col("_carry")))
+    return j.withColumn(out, island).drop("_rn", "_inew", "_istart", "_fnew", "_fk", "_carry")
+
+
 def drop_bucket(df: DataFrame) -> DataFrame:
     return df.drop(BUCKET)

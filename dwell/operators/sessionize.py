@@ -158,22 +158,21 @@ def stitch(
     equal, url equal with '' = null, and 0 <= start - previous end <= gap.
     The merged row keeps the earliest session's fields and label, ends at the
     last merged end; chains merge transitively (islands)."""
-    ident = ["app", "title", "_u", "end_time"]
+    ident = ["app", "title", "_u", "start_time", "end_time"]
     d = O.drop_bucket(sessions).withColumn("_u", F.nullif(F.col("url"), F.lit("")))
     d = d.withColumn("_sk", F.struct("start_time", "end_time"))
-    d = O.with_prev(d, [device], ["start_time", "_sk"], ident, bucket_seconds, prefix="_p", has_prev="_hp")
-    gap = seconds_between(F.col("_pend_time"), F.col("start_time"))
-    same = (
-        F.col("_hp")
-        & F.col("app").eqNullSafe(F.col("_papp"))
-        & F.col("title").eqNullSafe(F.col("_ptitle"))
-        & F.col("_u").eqNullSafe(F.col("_p_u"))
-        & (gap >= 0)
-        & (gap <= gap_seconds)
-    )
-    d = d.withColumn("_new", ~F.coalesce(same, F.lit(False)))
-    d = d.withColumn("_is", F.when(F.col("_new"), F.struct("start_time", "_sk")))
-    d = O.with_last_non_null(d, [device], ["start_time", "_sk"], "_is", "_island", bucket_seconds)
+
+    def same(cur, prev):
+        gap = seconds_between(prev["end_time"], cur["start_time"])
+        return (
+            cur["app"].eqNullSafe(prev["app"])
+            & cur["title"].eqNullSafe(prev["title"])
+            & cur["_u"].eqNullSafe(prev["_u"])
+            & (gap >= 0)
+            & (gap <= gap_seconds)
+        )
+
+    d = O.islands(d, [device], ["start_time", "_sk"], ident, same, "_island", bucket_seconds)
     first = F.min_by(F.struct("start_time", "app", "title", "url", "category", "is_productive"), F.col("_sk"))
     g = d.groupBy(device, "_island").agg(first.alias("f"), F.max_by("end_time", "_sk").alias("end_time"))
     return g.select(
