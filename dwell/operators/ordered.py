@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bkt"
+
+
+def _epoch_ntz() -> Column:
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 DEFAULT_BUCKET_SECONDS = 3600
 
 
@@ -50,8 +54,8 @@ def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int = DEFAULT_BUCKET_
     if BUCKET in df.columns:
         return df
     ts = F.col(ts_col)
-    # timestamp_ntz and timestamp both map monotonically to micros via a UTC cast
-    micros = F.unix_micros(ts.cast("timestamp"))
+    # micros since the naive epoch: monotone in ts under any session time zone
+    micros = F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts.cast("timestamp_ntz"))
     return df.withColumn(BUCKET, F.floor(micros / F.lit(bucket_seconds * 1_000_000)))
 
 

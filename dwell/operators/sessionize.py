@@ -23,7 +23,9 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
     """D5 exact microseconds between two timestamps (bigint)."""
     s = F.col(start) if isinstance(start, str) else start
     e = F.col(end) if isinstance(end, str) else end
-    return F.unix_micros(e.cast("timestamp")) - F.unix_micros(s.cast("timestamp"))
+    # wall-clock difference of timestamp_ntz values (naive datetimes): no time
+    # zone, so no DST shift and the same under any spark.sql.session.timeZone
+    return F.timestamp_diff("MICROSECOND", s, e)
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:

@@ -30,7 +30,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def epoch_seconds(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+    # naive timestamps read as UTC wall time, independent of the session zone
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), c) / F.lit(1e6)
 
 
 def samples_from_events(events: DataFrame, device: str = "mod4") -> DataFrame:
