@@ -105,8 +105,15 @@ def apply_suggestions(classified: DataFrame, suggestions: DataFrame) -> DataFram
     """Rows that need a label take the suggestion for one of their keyword
     candidates (first hit wins); 'Unknown' suggestions are ignored, so the rule
     label stays. Suggestions are one row per keyword (deduplicated backlog)."""
-    sg = suggestions.where(F.col("category").isNotNull() & (F.col("category") != "Unknown")).select(
-        "keyword", "category", "productive"
+    from dwell.operators.classify import checked_broadcast
+
+    # one row per distinct backlog keyword: broadcast when its checked size
+    # allows, so the fact side is not shuffled (rows without candidates would
+    # otherwise all hash their null key to one partition)
+    sg = checked_broadcast(
+        suggestions.where(F.col("category").isNotNull() & (F.col("category") != "Unknown")).select(
+            "keyword", "category", "productive"
+        )
     )
     cands = T.keyword_candidates(F.col("title"))
     host = T.url_host(F.col("url"))

@@ -135,6 +135,7 @@ def segments(
             F.when(F.col("url") == "", F.col("title")).alias("t"),
         )
     )
+    d = d.select(device, ts, seq, "app", "title", "url", "_idle")
     out = _change_points(d, key, device, ts, seq, close_ts, bucket_seconds).where(~F.col("_idle"))
     from dwell.sources.samples import epoch_seconds
 

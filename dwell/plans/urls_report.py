@@ -11,6 +11,10 @@ from dwell.functions.text import url_host
 def redaction_report(sanitized: DataFrame) -> DataFrame:
     """Per (host, redacted key) the number of URLs, plus a '#fragment' row per
     host counting dropped fragments. ``explode`` + partial aggregate."""
-    keys = sanitized.select(url_host("url").alias("host"), F.explode("redacted_keys").alias("key"))
-    frags = sanitized.where("dropped_fragment").select(url_host("url").alias("host"), F.lit("#fragment").alias("key"))
-    return keys.unionByName(frags).groupBy("host", "key").agg(F.count(F.lit(1)).alias("urls"))
+    # one pass: the fragment flag becomes one more exploded key
+    keys = F.concat(
+        F.col("redacted_keys"),
+        F.when(F.col("dropped_fragment"), F.array(F.lit("#fragment"))).otherwise(F.array().cast("array<string>")),
+    )
+    rows = sanitized.select(url_host("url").alias("host"), F.explode(keys).alias("key"))
+    return rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("urls"))

@@ -92,51 +92,60 @@ def classification_log(events: DataFrame) -> DataFrame:
     """Append-only engine label log (event_id, engine_version, category_id,
     confidence, rule_id, meta_json, created_at, seq): each valid event once as
     rules-v1, relabelled later when id % 7 = 0, a rules-v0 row when id % 5 = 0,
-    and orphan rows (no such event) when id % 100 = 0."""
+    and orphan rows (no such event) when id % 100 = 0. One scan: every event
+    generates its log rows with ``explode``."""
     se = store_events(events).where("end_ts >= start_ts")
-    base = se.select("id", "created_at", F.col("app"), F.col("title"))
     cat = F.lower(F.col("app"))
+    idc = F.col("id")
+
+    def row(cond: Column, event_id: Column, version: str, category: Column, n: int, secs: int) -> Column:
+        return F.when(
+            cond,
+            F.struct(
+                event_id.alias("event_id"),
+                F.lit(version).alias("engine_version"),
+                category.alias("category_id"),
+                F.lit(1.0).alias("confidence"),
+                F.lit(None).cast("string").alias("rule_id"),
+                F.to_json(F.create_map(F.lit("n"), F.lit(n))).alias("meta_json"),
+                (F.col("created_at") + F.expr(f"INTERVAL {secs} SECONDS")).alias("created_at"),
+                (idc * 10 + n).alias("seq"),
+            ),
+        )
 
-    def row(event_id: Column, version: str, category: Column, n: int, secs: int) -> list[Column]:
-        return [
-            event_id.alias("event_id"),
-            F.lit(version).alias("engine_version"),
-            category.alias("category_id"),
-            F.lit(1.0).alias("confidence"),
-            F.lit(None).cast("string").alias("rule_id"),
-            F.to_json(F.create_map(F.lit("n"), F.lit(n))).alias("meta_json"),
-            (F.col("created_at") + F.expr(f"INTERVAL {secs} SECONDS")).alias("created_at"),
-            (F.col("id") * 10 + n).alias("seq"),
-        ]
-
-    first = base.select(*row(F.col("id"), "rules-v1", cat, 0, 0))
-    relabel = base.where(F.col("id") % 7 == 0).select(*row(F.col("id"), "rules-v1", F.lit("relabelled"), 1, 60))
-    older = base.where(F.col("id") % 5 == 0).select(*row(F.col("id"), "rules-v0", F.lit("legacy"), 2, 30))
-    orphan = base.where(F.col("id") % 100 == 0).select(*row(-1 - F.col("id"), "rules-v1", cat, 3, 0))
-    return first.unionByName(relabel).unionByName(older).unionByName(orphan)
+    rows = F.array(
+        row(F.lit(True), idc, "rules-v1", cat, 0, 0),
+        row(idc % 7 == 0, idc, "rules-v1", F.lit("relabelled"), 1, 60),
+        row(idc % 5 == 0, idc, "rules-v0", F.lit("legacy"), 2, 30),
+        row(idc % 100 == 0, -1 - idc, "rules-v1", cat, 3, 0),
+    )
+    return se.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def override_log(events: DataFrame) -> DataFrame:
     """User override operations (event_id, op, category_id, note, seq):
     set 'focus' when id % 10 = 0, later set 'deep-work' when % 20 = 0, later
-    clear when % 40 = 0."""
-    ids = events.select(F.col("event_id").alias("event_id"))
-
-    def op(cond: Column, kind: str, cat: str | None, note: str | None, n: int) -> DataFrame:
-        return ids.where(cond).select(
-            "event_id",
-            F.lit(kind).alias("op"),
-            F.lit(cat).cast("string").alias("category_id"),
-            F.lit(note).cast("string").alias("note"),
-            (F.col("event_id") * 10 + n).alias("seq"),
+    clear when % 40 = 0. One scan + ``explode``."""
+    e = F.col("event_id")
+
+    def op(cond: Column, kind: str, cat: str | None, note: str | None, n: int) -> Column:
+        return F.when(
+            cond,
+            F.struct(
+                e.alias("event_id"),
+                F.lit(kind).alias("op"),
+                F.lit(cat).cast("string").alias("category_id"),
+                F.lit(note).cast("string").alias("note"),
+                (e * 10 + n).alias("seq"),
+            ),
         )
 
-    e = F.col("event_id")
-    return (
-        op(e % 10 == 0, "set", "focus", None, 1)
-        .unionByName(op(e % 20 == 0, "set", "deep-work", "adjusted", 2))
-        .unionByName(op(e % 40 == 0, "clear", None, None, 3))
+    ops = F.array(
+        op(e % 10 == 0, "set", "focus", None, 1),
+        op(e % 20 == 0, "set", "deep-work", "adjusted", 2),
+        op(e % 40 == 0, "clear", None, None, 3),
     )
+    return events.select(F.explode(F.filter(ops, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def tab_snapshots(pages: DataFrame) -> DataFrame:
