@@ -213,3 +213,20 @@ def browser_visits(pages: DataFrame) -> DataFrame:
         F.col("url"),
         F.lit(0.0).alias("idle_seconds"),
     )
+
+
+TAB_SNAPSHOT_SCHEMA = "url string, title string, tabId bigint, windowId bigint, timestamp string"
+
+
+def tab_snapshot_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """Browser tab messages (JSON lines, fixed schema) as a stream, stamped
+    with ``received_at`` on arrival; internal-scheme tabs are filtered (P2)."""
+    from dwell.functions.urls import tab_should_transmit
+
+    return (
+        spark.readStream.schema(TAB_SNAPSHOT_SCHEMA)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .json(path)
+        .where(tab_should_transmit("url"))
+        .withColumn("received_at", F.current_timestamp())
+    )

@@ -182,3 +182,36 @@ def daily_totals_stream(sessions: DataFrame, watermark: str = "1 day") -> DataFr
         .groupBy(F.window("start_ts", "1 day").alias("day"), F.col("is_productive"))
         .agg((F.sum("duration_sec") / 60).alias("minutes"))
     )
+
+
+def label_store_writer(root: str, ruleset, engine_version: str = "rules-v1"):
+    """R6 classify-on-ingest as a ``foreachBatch`` writer: each micro-batch of
+    events is validated (P3), written to ``root/events``, then classified
+    (rules-v1) and its labels appended to ``root/engine_classifications``. Both
+    writes are keyed by ``batch_id`` (dynamic partition overwrite), so a retried
+    batch replaces its own rows; the latest-wins views (W6) make reruns safe.
+    Classification is a total expression: a row it cannot match gets
+    'Unknown', never an error, so ingestion never stops on a label."""
+    from dwell.functions.text import canonical_json
+    from dwell.operators.classify import classify_v1
+    from dwell.operators.labels import valid_events
+
+    ev_writer = idempotent_batch_writer(f"{root}/events")
+    cl_writer = idempotent_batch_writer(f"{root}/engine_classifications")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ev = valid_events(batch)
+        ev_writer(ev, batch_id)
+        labels = classify_v1(ev, ruleset).select(
+            F.col("id").alias("event_id"),
+            F.lit(engine_version).alias("engine_version"),
+            "category_id",
+            "confidence",
+            "rule_id",
+            canonical_json("meta").alias("meta_json"),
+            F.current_timestamp().alias("created_at"),
+            F.col("id").alias("seq"),
+        )
+        cl_writer(labels, batch_id)
+
+    return write
