@@ -105,20 +105,24 @@ def apply_suggestions(classified: DataFrame, suggestions: DataFrame) -> DataFram
     """Rows that need a label take the suggestion for one of their keyword
     candidates (first hit wins); 'Unknown' suggestions are ignored, so the rule
     label stays. Suggestions are one row per keyword (deduplicated backlog)."""
-    from dwell.operators.classify import checked_broadcast
-
-    # one row per distinct backlog keyword: broadcast when its checked size
-    # allows, so the fact side is not shuffled (rows without candidates would
-    # otherwise all hash their null key to one partition)
-    sg = checked_broadcast(
-        suggestions.where(F.col("category").isNotNull() & (F.col("category") != "Unknown")).select(
-            "keyword", "category", "productive"
-        )
+    sg = suggestions.where(F.col("category").isNotNull() & (F.col("category") != "Unknown")).select(
+        "keyword", "category", "productive"
     )
     cands = T.keyword_candidates(F.col("title"))
     host = T.url_host(F.col("url"))
     need = (F.size(cands) > 0) & (T.is_ambiguous_host(host) | (F.col("category") == "Unknown")) & F.col("matched_keyword").isNull()
-    d = classified.withColumns({"_need": need, "_k1": F.get(cands, 0), "_k2": F.get(cands, 1)})
+    d = classified.withColumn("_need", need)
+    # Rows that need no suggestion (or lack a second candidate) get a
+    # deterministic key that can never match, spread by a row hash: no null key
+    # piles every such row into one shuffle partition. Whether the (one row per
+    # keyword) suggestion side is broadcast is left to the planner / AQE.
+    row_hash = F.xxhash64(*[F.col(c) for c in classified.columns]).cast("string")
+    for i in (1, 2):
+        cand = F.get(cands, i - 1)
+        d = d.withColumn(
+            f"_k{i}",
+            F.when(F.col("_need") & cand.isNotNull(), cand).otherwise(F.concat(F.lit("\u0001"), row_hash, F.lit(f"#{i}"))),
+        )
     for i in (1, 2):
         d = d.join(
             sg.select(F.col("keyword").alias(f"_k{i}"), F.col("category").alias(f"_s{i}c"), F.col("productive").alias(f"_s{i}p")),
