@@ -30,7 +30,7 @@ def apply_tab_override(
     seq: str = "seq",
     variant: str = "legacy",
     max_age_seconds: float | None = None,
-    bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """Replace title / url of the overridden app's samples by the latest
     snapshot's non-empty values (no staleness limit unless ``max_age_seconds``)."""

@@ -34,7 +34,7 @@ def keyword_sessions(
     reset_seconds: float = KEYWORD_SESSION_RESET_SECONDS,
     ts: str = "ts",
     seq: str = "seq",
-    bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """Per context, a hit is new unless the previous hit of that context had
     the same keyword less than ``reset_seconds`` earlier (every hit refreshes

@@ -30,7 +30,18 @@ BUCKET = "_bkt"
 
 def _epoch_ntz() -> Column:
     return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-DEFAULT_BUCKET_SECONDS = 3600
+DEFAULT_BUCKET_SECONDS = None  # resolved per session: conf "dwell.bucket.seconds", else 3600
+FALLBACK_BUCKET_SECONDS = 3600
+
+
+def bucket_width(df: DataFrame, bucket_seconds: int | None = None) -> int:
+    """Time-bucket width in seconds: the explicit argument, else the session
+    setting ``dwell.bucket.seconds`` (tune on a cluster: smaller splits hotter
+    keys into more tasks), else one hour."""
+    if bucket_seconds:
+        return int(bucket_seconds)
+    conf = df.sparkSession.conf.get("dwell.bucket.seconds", None)
+    return int(conf) if conf else FALLBACK_BUCKET_SECONDS
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -49,10 +60,11 @@ def _whole_row(d: DataFrame, fn: str, order: Sequence[str]) -> Column:
     return agg(row, F.struct(*_cols(order)))
 
 
-def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Add the time-bucket column (no-op when already present)."""
     if BUCKET in df.columns:
         return df
+    bucket_seconds = bucket_width(df, bucket_seconds)
     ts = F.col(ts_col)
     # micros since the naive epoch: monotone in ts under any session time zone
     micros = F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts.cast("timestamp_ntz"))
@@ -76,7 +88,7 @@ def with_prev(
     keys: Sequence[str],
     order: Sequence[str],
     cols: Sequence[str],
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
     prefix: str = "prev_",
     has_prev: str = "has_prev",
 ) -> DataFrame:
@@ -104,7 +116,7 @@ def with_next(
     keys: Sequence[str],
     order: Sequence[str],
     cols: Sequence[str],
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
     prefix: str = "next_",
 ) -> DataFrame:
     """Add ``next_<c>``: value of ``c`` on the following row of the same key."""
@@ -133,7 +145,7 @@ def with_last_non_null(
     order: Sequence[str],
     value: str,
     out: str,
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row (per key, in
     ``order``): the backward as-of building block."""
@@ -162,7 +174,7 @@ def with_running_count(
     order: Sequence[str],
     flag: str,
     out: str,
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """``out`` = number of rows with ``flag`` true at or before each row (per key)."""
     d = _keyed(df, keys, order[0], bucket_seconds)
@@ -183,7 +195,7 @@ def change_points(
     keys: Sequence[str],
     order: Sequence[str],
     key: str,
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """Run starts of ``key`` (null-safe) per ``keys`` in ``order``, in one pass.
 
@@ -236,7 +248,7 @@ def islands(
     cols: Sequence[str],
     same,
     out: str = "_island",
-    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """Label every row with the order key (a struct of ``order``) of the first
     row of its island, in one pass. A row continues its predecessor's island

@@ -56,7 +56,7 @@ def sessionize(
     ts: str = "ts",
     seq: str = "seq",
     close_ts: Column | str | None = None,
-    bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """W1 change-based sessions.
 
@@ -109,7 +109,7 @@ def segments(
     seq: str = "seq",
     idle: Column | None = None,
     close_ts: Column | str | None = None,
-    bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """W2 segments of the newer capture loop.
 
@@ -155,7 +155,7 @@ def stitch(
     sessions: DataFrame,
     gap_seconds: float = 60,
     device: str = "device_id",
-    bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """W3 stitch adjacent sessions of a device: merge when app and title are
     equal, url equal with '' = null, and 0 <= start - previous end <= gap.
@@ -192,7 +192,7 @@ def stitch(
 
 
 def gap_fill(sessions: DataFrame, gap_seconds: float = 60, device: str = "device_id",
-             bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS) -> DataFrame:
+             bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """W4 short-gap resume in batch form: when the next session of the device
     starts 0..gap seconds after this one ends, the downtime is credited to this
     session (end := next start)."""
@@ -267,7 +267,7 @@ def collapse_idle(
     device: str = "device_id",
     ts: str = "ts",
     seq: str = "seq",
-    bucket_seconds: int = O.DEFAULT_BUCKET_SECONDS,
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
     """P7 (legacy capture): the first idle poll becomes one 'Idle'/'Idle'/null
     sample at that poll's time; following idle polls are swallowed until the
