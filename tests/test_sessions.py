@@ -136,3 +136,19 @@ def test_idle_threshold_and_collapse(spark):
     df = df.withColumn("idle_seconds", F.when(F.col("seq").isin(1, 2), F.lit(700.0)).otherwise(F.lit(0.0)))
     out = S.collapse_idle(df, S.is_idle("idle_seconds", 600)).orderBy("ts").collect()
     assert [(r.app, r.title, r.url) for r in out] == [("A", "t", None), ("Idle", "Idle", None), ("B", "t", None)]
+
+
+def test_stitch_keeps_span_and_never_adds_time(spark):
+    from dwell.plans.catalog import labelled_sessions
+
+    sess = labelled_sessions(spark, "/root/testdata/sf0.001")
+    st = S.stitch(sess, gap_seconds=900)
+
+    def span(df):
+        return {r.device_id: (r.s, r.e) for r in df.groupBy("device_id").agg(F.min("start_time").alias("s"), F.max("end_time").alias("e")).collect()}
+
+    assert span(st) == span(sess)
+    assert st.count() <= sess.count()
+    covered = st.agg(F.sum(S.micros_between("start_time", "end_time"))).first()[0]
+    original_span = sum((e - s).total_seconds() for s, e in span(sess).values()) * 1e6
+    assert covered <= original_span
