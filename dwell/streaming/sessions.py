@@ -26,22 +26,38 @@ SESSION_OUT_SCHEMA = (
 )
 SESSION_STATE_SCHEMA = (
     "open boolean, app string, title string, url string, start_ts timestamp_ntz, category string, is_productive boolean, "
-    "last_ts timestamp_ntz, last_seq long, late_rows long"
+    "last_ts timestamp_ntz, last_seq long, late_rows long, is_idle boolean"
 )
 _NULL = "\u0000<null>"
 
 
-def _key_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf[["app", "title", "url"]].astype(object).where(pdf[["app", "title", "url"]].notna(), _NULL)
-
-
-def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _key_frame(pdf: pd.DataFrame, variant: str) -> pd.DataFrame:
+    """Run identity per row. legacy (W1): (app, title, url), null-safe.
+    segments (W2/R3): idle rows share one key; otherwise (app, url, title only
+    when url is ''), so a title flutter on an unchanged URL continues the run."""
+    if variant == "legacy":
+        k = pdf[["app", "title", "url"]].astype(object)
+    else:
+        idle = pdf["is_idle"].fillna(False).astype(bool)
+        k = pd.DataFrame(
+            {
+                "i": idle,
+                "a": pdf["app"].where(~idle, None),
+                "u": pdf["url"].where(~idle, None),
+                "t": pdf["title"].where(~idle & (pdf["url"] == ""), None),
+            }
+        ).astype(object)
+    return k.where(k.notna(), _NULL)
+
+
+def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, variant: str = "legacy") -> Iterator[pd.DataFrame]:
     device = key[0]
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if state.exists:
-        (is_open, app, title, url, start, cat, prod, last_ts, last_seq, late) = state.get
+        (is_open, app, title, url, start, cat, prod, last_ts, last_seq, late, idle0) = state.get
     else:
         is_open, app, title, url, start, cat, prod, last_ts, last_seq, late = (False, None, None, None, None, None, None, None, None, 0)
+        idle0 = False
     pdf = pdf.sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
     if last_ts is not None:
         last_ts = pd.Timestamp(last_ts)
@@ -58,12 +74,12 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
     if is_open:
         head = pd.DataFrame(
             {"ts": [pd.Timestamp(start)], "seq": [-1], "app": [app], "title": [title], "url": [url],
-             "category": [cat], "is_productive": [prod], "is_close": [False]}
+             "category": [cat], "is_productive": [prod], "is_close": [False], "is_idle": [bool(idle0)]}
         )
         rows = pd.concat([head, rows[head.columns]], ignore_index=True)
     out = pd.DataFrame(columns=["start_time", "end_time", "duration_sec", "app", "title", "url", "category", "is_productive", "device_id"])
     if len(rows):
-        kf = _key_frame(rows)
+        kf = _key_frame(rows, variant)
         change = np.ones(len(rows), dtype=bool)
         if len(rows) > 1:
             change[1:] = (kf.iloc[1:].values != kf.iloc[:-1].values).any(axis=1)
@@ -72,7 +88,7 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
         starts = starts.assign(end_time=ends)
         last = starts.iloc[-1]
         closed = starts if close_at is not None else starts.iloc[:-1]
-        closed = closed[closed["app"].notna()]
+        closed = closed[closed["app"].notna() & ~closed["is_idle"].fillna(False).astype(bool)]
         if len(closed):
             out = pd.DataFrame(
                 {
@@ -90,6 +106,7 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
         if close_at is None:
             has_lab = last["category"] is not None and not pd.isna(last["category"]) and not pd.isna(last["is_productive"])
             is_open, app, title, url, start = True, last["app"], last["title"], last["url"], last["ts"]
+            idle0 = bool(last["is_idle"]) if not pd.isna(last["is_idle"]) else False
             cat = last["category"] if has_lab else None
             prod = bool(last["is_productive"]) if has_lab else None
         else:
@@ -105,6 +122,7 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
             _s(cat), None if prod is None or pd.isna(prod) else bool(prod),
             None if last_ts is None else pd.Timestamp(last_ts).to_pydatetime(), None if last_seq is None else int(last_seq),
             int(late),
+            bool(idle0),
         )
     )
     yield out
@@ -114,22 +132,39 @@ def _s(v):
     return None if v is None or (isinstance(v, float) and np.isnan(v)) else v
 
 
-def stream_sessions(samples: DataFrame, device: str = "device_id") -> DataFrame:
+def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str = "legacy") -> DataFrame:
     """Streaming W1 (change-based sessions) with per-device state.
+    ``variant="segments"`` is the newer capture loop (W2/R3): url '' when
+    missing, title changes on an unchanged non-empty URL continue the segment,
+    samples without an app or titled 'frontProcess Error' are skipped, and
+    ``is_idle`` samples close the open segment and leave a hole.
 
     ``samples`` needs device_id, ts, seq, app, title, url and optionally
-    category / is_productive / is_close (close marker rows)."""
+    category / is_productive / is_close (close marker rows) / is_idle."""
+    import functools
+
     cols = samples.columns
     s = samples
+    if "is_idle" not in cols:
+        s = s.withColumn("is_idle", F.lit(False))
+    if variant == "segments":
+        closing = F.coalesce(F.col("is_close"), F.lit(False)) if "is_close" in cols else F.lit(False)
+        s = s.where(
+            closing
+            | (F.col("app").isNotNull() & (F.col("app") != "") & ~F.coalesce(F.col("title") == "frontProcess Error", F.lit(False)))
+        ).withColumn("url", F.coalesce(F.col("url"), F.lit("")))
     if "category" not in cols:
         s = s.withColumn("category", F.lit(None).cast("string"))
     if "is_productive" not in cols:
         s = s.withColumn("is_productive", F.lit(None).cast("boolean"))
     if "is_close" not in cols:
         s = s.withColumn("is_close", F.lit(False))
-    s = s.select(F.col(device).alias("device_id"), "ts", "seq", "app", "title", "url", "category", "is_productive", "is_close")
+    s = s.select(
+        F.col(device).alias("device_id"), "ts", "seq", "app", "title", "url", "category", "is_productive", "is_close", "is_idle"
+    )
     return s.groupBy("device_id").applyInPandasWithState(
-        _sessions_fn, SESSION_OUT_SCHEMA, SESSION_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        functools.partial(_sessions_fn, variant=variant), SESSION_OUT_SCHEMA, SESSION_STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 

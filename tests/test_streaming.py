@@ -74,3 +74,23 @@ def test_stream_keyword_sessions_equal_batch(spark):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
     out = _run_stream(spark, SK.stream_keyword_sessions(src, reset_seconds=120), "kw_sessions")
     assert {(r.seq, r.is_new) for r in out.collect()} == batch
+
+
+@pytest.mark.parametrize("n_files", [3])
+def test_stream_segments_equal_batch(spark, n_files):
+    sm = samples(spark, SF).select("device_id", "ts", "seq", "app", "title", "url", "idle_seconds")
+    sm = sm.withColumn("is_idle", S.is_idle("idle_seconds", 600)).drop("idle_seconds")
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    batch = {
+        (r.device_id, r.start_ts, r.end_ts, r.app, r.title, r.url)
+        for r in S.segments(sm, idle=F.col("is_idle")).collect()
+    }
+    path, schema = _write_cuts(sm, n_files)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    out = _run_stream(spark, SS.stream_sessions(src, variant="segments"), f"seg_{n_files}")
+    secs = lambda c: F.timestamp_diff("MICROSECOND", epoch, F.col(c)) / F.lit(1e6)
+    got = {
+        (r.device_id, r.s, r.e, r.app, r.title, r.url)
+        for r in out.select("device_id", secs("start_time").alias("s"), secs("end_time").alias("e"), "app", "title", "url").collect()
+    }
+    assert got == batch and len(batch) > 50
