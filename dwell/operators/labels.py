@@ -129,3 +129,30 @@ def latest_events(events: DataFrame, n: int = 5) -> DataFrame:
     return events.orderBy(F.desc("id")).limit(n).select(
         "id", "app", "title", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_sec")
     )
+
+
+def compact_label_store(spark, root: str, version: str) -> dict[str, str]:
+    """S10 ``compact()``: rewrite the append-only logs under ``root`` into
+    current-state tables (W6 latest classification per (event, engine), W7
+    current overrides, only for existing events: J6) under
+    ``root/compacted/<version>``. Each table is written whole to a new
+    version folder, so readers of an older version are never disturbed and a
+    failed run leaves nothing half-written behind the last good version."""
+    ev = spark.read.parquet(f"{root}/events")
+    out = {}
+    cl_path = f"{root}/engine_classifications"
+    ov_path = f"{root}/user_overrides"
+    base = f"{root.rstrip('/')}/compacted/{version}"
+    ev.drop("batch_id").write.mode("overwrite").parquet(f"{base}/events")
+    out["events"] = f"{base}/events"
+    import os
+
+    if cl_path.startswith(("hdfs:", "s3", "gs:", "abfs")) or os.path.exists(cl_path):
+        latest = latest_classification(spark.read.parquet(cl_path).drop("batch_id"))
+        keep_referenced(latest, ev).write.mode("overwrite").parquet(f"{base}/engine_classifications")
+        out["engine_classifications"] = f"{base}/engine_classifications"
+    if ov_path.startswith(("hdfs:", "s3", "gs:", "abfs")) or os.path.exists(ov_path):
+        cur = current_overrides(spark.read.parquet(ov_path).drop("batch_id"))
+        keep_referenced(cur, ev).write.mode("overwrite").parquet(f"{base}/user_overrides")
+        out["user_overrides"] = f"{base}/user_overrides"
+    return out

@@ -250,3 +250,11 @@ def label_store_writer(root: str, ruleset, engine_version: str = "rules-v1"):
         cl_writer(labels, batch_id)
 
     return write
+
+
+def write_raw_polls(polls: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """S9 bronze sink: one JSON line per poll, including polls that produced no
+    sample (null payload columns), appended under ``path``. Returns the query."""
+    w = polls.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()

@@ -120,3 +120,33 @@ def test_labeller_via_map_in_pandas(spark):
 
     got = {r.keyword: r.category for r in K.run_labeller(backlog, labeller).collect()}
     assert got == {"untitled": "Unknown", "cat videos": "Entertainment"}
+
+
+def test_raw_poll_sink(spark):
+    src = tempfile.mkdtemp(prefix="dwell-polls-")
+    spark.createDataFrame([(T0, "A", "t", None), (T0 + dt.timedelta(seconds=1), None, None, None)],
+                          "ts timestamp_ntz, app string, title string, url string").coalesce(1).write.parquet(src + "/p")
+    stream = spark.readStream.schema("ts timestamp_ntz, app string, title string, url string").parquet(src + "/p")
+    out = tempfile.mkdtemp(prefix="dwell-polls-out-") + "/bronze"
+    q = SS.write_raw_polls(stream, out, SS.checkpoint_location(spark, "polls"))
+    q.awaitTermination(300)
+    got = spark.read.json(out).collect()
+    assert len(got) == 2  # the empty poll is kept
+
+
+def test_compact_label_store(spark):
+    root = tempfile.mkdtemp(prefix="dwell-compact-")
+    spark.createDataFrame([(1, 0.0, 1.0), (2, 0.0, 1.0)], "id long, start_ts double, end_ts double").write.parquet(root + "/events")
+    t = T0
+    spark.createDataFrame(
+        [(1, "rules-v1", "a", 1.0, None, None, t, 1), (1, "rules-v1", "b", 1.0, None, None, t + dt.timedelta(seconds=5), 2),
+         (9, "rules-v1", "orphan", 1.0, None, None, t, 3)],
+        "event_id long, engine_version string, category_id string, confidence double, rule_id string, meta_json string, "
+        "created_at timestamp_ntz, seq long",
+    ).write.parquet(root + "/engine_classifications")
+    spark.createDataFrame([(2, "set", "focus", None, 1), (2, "clear", None, None, 2), (1, "set", "deep", "n", 3)],
+                          "event_id long, op string, category_id string, note string, seq long").write.parquet(root + "/user_overrides")
+    paths = L.compact_label_store(spark, root, "v1")
+    cl = [(r.event_id, r.category_id) for r in spark.read.parquet(paths["engine_classifications"]).collect()]
+    ov = [(r.event_id, r.category_id) for r in spark.read.parquet(paths["user_overrides"]).collect()]
+    assert cl == [(1, "b")] and ov == [(1, "deep")]
