@@ -74,13 +74,14 @@ class RuleSet:
         kw = None
         if keyword_index is not None:
             kw = bcast(R.keyword_dim(R.keyword_index_frame(spark, keyword_index), rdf), keyword_index)
-        # the dimensions are tiny and derived from a config document: cache them
-        # so every query reuses them instead of re-deriving them
+        # Not .cache()d on purpose: a cached relation inside a shuffle's subtree
+        # stops AQE from reusing that shuffle across branches (the dimensions are
+        # tiny; re-deriving them costs far less than a second full shuffle).
         out = cls(
-            apps=bcast(R.app_dim(rdf).cache(), rules),
-            domains=bcast(R.domain_dim(rdf).cache(), rules),
-            keywords=None if kw is None else kw.cache(),
-            rules=rdf.cache(),
+            apps=bcast(R.app_dim(rdf), rules),
+            domains=bcast(R.domain_dim(rdf), rules),
+            keywords=kw,
+            rules=rdf,
         )
         _CACHE[key] = out
         return out

@@ -38,8 +38,13 @@ def keyword_sessions(
 ) -> DataFrame:
     """Per context, a hit is new unless the previous hit of that context had
     the same keyword less than ``reset_seconds`` earlier (every hit refreshes
-    the clock). Hits without a context key are never counted."""
-    h = hits.where(F.col("context_key").isNotNull() & (F.col("context_key") != ""))
+    the clock). Hits without a context key are never counted. Output:
+    (context_key, ts, seq, category, matched_keyword, is_new)."""
+    # a fixed projection: the summary branch and the row branch then carry the
+    # same columns and share one shuffle (see ordered._whole_row)
+    h = hits.where(F.col("context_key").isNotNull() & (F.col("context_key") != "")).select(
+        "context_key", ts, seq, "category", "matched_keyword"
+    )
     h = O.with_prev(h, ["context_key"], [ts, seq], ["matched_keyword", ts], bucket_seconds, prefix="_p", has_prev="_hp")
     same = (
         F.col("_hp")

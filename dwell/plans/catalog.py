@@ -747,12 +747,10 @@ kss AS (
 @register(
     "keyword_sessions",
     KW_HITS_SQL
-    + "\nSELECT device_id, seq, ts, context_key, category, matched_keyword, is_new FROM kss",
+    + "\nSELECT seq, ts, context_key, category, matched_keyword, is_new FROM kss",
 )
 def q_keyword_sessions(spark, sf):
-    return _keyword_sessions(spark, sf).select(
-        "device_id", "seq", "ts", "context_key", "category", "matched_keyword", "is_new"
-    )
+    return _keyword_sessions(spark, sf)
 
 
 def _keyword_classified(spark, sf):
