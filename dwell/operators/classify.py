@@ -16,6 +16,7 @@ from dwell.functions import text as T
 from dwell.sources import rules as R
 
 BROADCAST_ROW_LIMIT = 2_000_000
+LOCAL_DIM_ROW_LIMIT = 100_000  # config-derived dimensions up to this size become local relations
 
 
 def checked_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -65,8 +66,13 @@ class RuleSet:
         rdf = R.rules_frame(spark, rules)
 
         def bcast(df: DataFrame, doc) -> DataFrame:
-            # a dict document bounds the dimension's rows without running a job
+            # A dict document bounds the dimension's rows without running a job.
+            # Such a small dimension is derived once per session and re-embedded
+            # as a local relation: broadcasting it then needs no stage per query,
+            # and unlike a cached relation it does not block shuffle reuse.
             n = _doc_size(doc)
+            if n is not None and n <= LOCAL_DIM_ROW_LIMIT:
+                return F.broadcast(spark.createDataFrame(df.collect(), df.schema))
             if n is not None:
                 return F.broadcast(df) if n <= BROADCAST_ROW_LIMIT else df
             return checked_broadcast(df)
