@@ -71,16 +71,63 @@ def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = DEFAULT_
     return df.withColumn(BUCKET, F.floor(micros / F.lit(bucket_seconds * 1_000_000)))
 
 
+FALLBACK_MAX_BUCKET_ROWS = 4_000_000
+_SUB_BITS = 20  # a hot bucket splits into at most 2^20 slices
+
+
+def _max_bucket_rows(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("dwell.bucket.maxRows", None)
+    return int(conf) if conf is not None else FALLBACK_MAX_BUCKET_ROWS
+
+
+def _ts_micros(c: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), c.cast("timestamp_ntz"))
+
+
+def _split_hot_buckets(d: DataFrame, keys: Sequence[str], ts_col: str, max_rows: int) -> DataFrame:
+    """Split every (key, bucket) holding more than ``max_rows`` rows into equal
+    time slices of about ``max_rows`` rows; the slice number is appended to the
+    bucket id, so buckets still sort in time order. The hot list comes from a
+    partial aggregate (map-side combine, tiny shuffle) and has at most
+    total rows / ``max_rows`` entries, a bound that makes broadcasting it safe
+    without a counting pass."""
+    part = [*keys, BUCKET]
+    ts = _ts_micros(F.col(ts_col))
+    hot = (
+        d.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
+        .where(F.col("_n") > max_rows)
+        .select(
+            *part,
+            F.least(F.ceil(F.col("_n") / F.lit(max_rows)), F.lit(2**_SUB_BITS - 1)).alias("_pieces"),
+            "_t0",
+            (F.col("_t1") - F.col("_t0") + 1).alias("_span"),
+        )
+    )
+    j = d.join(F.broadcast(hot), part, "left")
+    sub = F.when(
+        F.col("_pieces").isNotNull(),
+        F.floor((ts - F.col("_t0")) * F.col("_pieces") / F.col("_span")),
+    ).otherwise(F.lit(0))
+    return j.withColumn(BUCKET, F.shiftleft(F.col(BUCKET), _SUB_BITS) + sub.cast("long")).drop("_pieces", "_t0", "_span")
+
+
 def _keyed(df: DataFrame, keys: Sequence[str], ts_col: str, bucket_seconds: int) -> DataFrame:
-    """Rows with a key and a timestamp, bucketed. Stating the not-null filter
-    here keeps it identical on the main and the summary branch (otherwise the
-    optimizer infers it only on the join's summary side and the two branches
-    stop sharing their shuffle)."""
+    """Rows with a key and a timestamp, bucketed, hot buckets split (see
+    ``_split_hot_buckets``; ``dwell.bucket.maxRows`` = 0 turns that off).
+    Stating the not-null filter here keeps it identical on the main and the
+    summary branch (otherwise the optimizer infers it only on the join's
+    summary side and the two branches stop sharing their shuffle)."""
+    fresh = BUCKET not in df.columns
     d = add_bucket(df, ts_col, bucket_seconds)
-    cond = F.col(BUCKET).isNotNull()
+    cond = F.col(BUCKET).isNotNull() & F.col(ts_col).isNotNull()
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    return d.where(cond)
+    d = d.where(cond)
+    max_rows = _max_bucket_rows(df)
+    if fresh and max_rows > 0:
+        d = _split_hot_buckets(d, keys, ts_col, max_rows)
+    return d
 
 
 def with_prev(
