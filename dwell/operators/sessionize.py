@@ -162,7 +162,9 @@ def stitch(
     The merged row keeps the earliest session's fields and label, ends at the
     last merged end; chains merge transitively (islands)."""
     ident = ["app", "title", "_u", "start_time", "end_time"]
-    d = O.drop_bucket(sessions).withColumn("_u", F.nullif(F.col("url"), F.lit("")))
+    # sessions straight from ``sessionize`` keep their (device, start-time) bucket
+    # and partitioning: the scan below then needs no new shuffle
+    d = sessions.withColumn("_u", F.nullif(F.col("url"), F.lit("")))
     d = d.withColumn("_sk", F.struct("start_time", "end_time"))
 
     def same(cur, prev):
@@ -196,7 +198,7 @@ def gap_fill(sessions: DataFrame, gap_seconds: float = 60, device: str = "device
     """W4 short-gap resume in batch form: when the next session of the device
     starts 0..gap seconds after this one ends, the downtime is credited to this
     session (end := next start)."""
-    d = O.drop_bucket(sessions).withColumn("_sk", F.struct("start_time", "end_time"))
+    d = sessions.withColumn("_sk", F.struct("start_time", "end_time"))
     d = O.with_next(d, [device], ["start_time", "_sk"], ["start_time"], bucket_seconds, prefix="_n")
     gap = seconds_between(F.col("end_time"), F.col("_nstart_time"))
     fill = F.coalesce((gap >= 0) & (gap <= gap_seconds), F.lit(False))

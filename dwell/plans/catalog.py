@@ -40,12 +40,15 @@ def samples(spark: SparkSession, sf: str, device: str = "mod4") -> DataFrame:
     return SM.samples_from_events(SM.load(spark, sf, "events"), device)
 
 
-def labelled_sessions(spark: SparkSession, sf: str, device: str = "mod4") -> DataFrame:
-    """W1 sessions labelled by the legacy rules (no keyword index)."""
+def labelled_sessions(spark: SparkSession, sf: str, device: str = "mod4", keep_bucket: bool = False) -> DataFrame:
+    """W1 sessions labelled by the legacy rules (no keyword index). With
+    ``keep_bucket`` the sessions keep their (device, bucket) partitioning for a
+    following ordered scan (stitch, gap fill)."""
     rs = C.RuleSet.build(spark)
     raw = S.sessionize(samples(spark, sf, device))
     out = S.label_sessions(raw, lambda d: C.classify(d, rs, variant="legacy").drop("matched_keyword"))
-    return O.drop_bucket(S.session_columns(out))
+    cols = S.session_columns(out, extra=[O.BUCKET])
+    return cols if keep_bucket else O.drop_bucket(cols)
 
 
 SESSION_COLS = "start_time, end_time, duration_sec, app, title, url, category, is_productive, device_id"
@@ -176,7 +179,7 @@ SELECT start_time, end_time, {Q.secs('start_time', 'end_time')} AS duration_sec,
        is_productive, device_id FROM st_g""",
 )
 def q_stitch(spark, sf):
-    return S.stitch(labelled_sessions(spark, sf), gap_seconds=GAP_S)
+    return S.stitch(labelled_sessions(spark, sf, keep_bucket=True), gap_seconds=GAP_S)
 
 
 @register(
@@ -191,7 +194,7 @@ SELECT start_time, CASE WHEN resumed THEN ns ELSE end_time END AS end_time,
        app, title, url, category, is_productive, device_id, resumed FROM gf2""",
 )
 def q_gap_fill(spark, sf):
-    return S.gap_fill(labelled_sessions(spark, sf), gap_seconds=GAP_S)
+    return _drop(S.gap_fill(labelled_sessions(spark, sf, keep_bucket=True), gap_seconds=GAP_S))
 
 
 # ---------------------------------------------------------------- P5-P7
