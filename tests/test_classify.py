@@ -67,3 +67,26 @@ def test_rule_file_order(spark):
     out = [(r.category, r.rule_id) for r in classify(df, rs, variant="v1").collect()]
     assert out == [("B", "app:tool"), ("A", "domain:ex.com/aa"), ("B", "domain:ex.com/bb"), ("B", "domain:ex.com/a"),
                    ("A", "domain:site.org")]
+
+
+def test_rules_and_keyword_index_from_files(spark, tmp_path):
+    import json
+
+    from dwell.sources.rules import DEFAULT_RULES, keyword_index_frame
+
+    rules_path = tmp_path / "rules.json"
+    rules_path.write_text(json.dumps(DEFAULT_RULES, indent=2))
+    kw_path = tmp_path / "kw.json"
+    kw_path.write_text(json.dumps({"Entertainment": [{"keyword": " YouTube Video ", "count": 1}]}))
+    rs = RuleSet.build(spark, str(rules_path), keyword_index=str(kw_path))
+    df = spark.createDataFrame(
+        [("Slack", "x", ""), ("Unknown App", "Watching youtube video", ""), ("Chrome", "x", "https://zoom.us/j/1")],
+        "app string, title string, url string",
+    )
+    out = [(r.category, r.matched_keyword) for r in classify(df, rs, variant="legacy").collect()]
+    assert out == [("Communication", None), ("Entertainment", "youtube video"), ("Meetings", None)]
+    # a missing or unparsable keyword index is empty
+    assert keyword_index_frame(spark, str(tmp_path / "missing.json")).count() == 0
+    bad = tmp_path / "bad.json"
+    bad.write_text("{not json")
+    assert keyword_index_frame(spark, str(bad)).count() == 0
