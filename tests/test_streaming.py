@@ -94,3 +94,32 @@ def test_stream_segments_equal_batch(spark, n_files):
         for r in out.select("device_id", secs("start_time").alias("s"), secs("end_time").alias("e"), "app", "title", "url").collect()
     }
     assert got == batch and len(batch) > 50
+
+
+def test_stream_restart_from_checkpoint(spark):
+    """Stop after the first half of the files, restart from the same
+    checkpoint with the rest; the open sessions carried in state continue."""
+    sm = samples(spark, SF).select("device_id", "ts", "seq", "app", "title", "url")
+    batch = {tuple(r) for r in S.sessionize(sm).select(*SESSION_COLS).collect()}
+    path, schema = _write_cuts(sm, 4)
+    live = tempfile.mkdtemp(prefix="dwell-stream-live-")
+    out = tempfile.mkdtemp(prefix="dwell-stream-out-") + "/sessions"
+    ckpt = SS.checkpoint_location(spark, "restart")
+    import os
+
+    parts = sorted(os.listdir(path))
+
+    def run():
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(live)
+        q = (SS.stream_sessions(src).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(300)
+
+    for p in parts[:2]:
+        spark.read.parquet(f"{path}/{p}").coalesce(1).write.parquet(f"{live}/{p}")
+    run()
+    for p in parts[2:]:
+        spark.read.parquet(f"{path}/{p}").coalesce(1).write.parquet(f"{live}/{p}")
+    run()
+    got = {tuple(r) for r in spark.read.parquet(out).select(*SESSION_COLS).collect()}
+    assert got == batch
