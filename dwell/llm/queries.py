@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwell.llm import embed_dedup, line_dedup, mixing, token_files, topk_search, url_filter
+from dwell.llm import embed_dedup, line_dedup, mixing, token_files, topk_search, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_token_files": token_files.op6_token_files,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
