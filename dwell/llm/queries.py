@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwell.llm import embed_dedup, line_dedup, mixing, token_files, topk_search, toxicity, url_filter
+from dwell.llm import embed_dedup, line_dedup, mixing, sentencepiece_nbest, token_files, topk_search, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
