@@ -4,6 +4,7 @@ word hashing inside Arrow tasks, and distributed connected components."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,12 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@lru_cache(maxsize=1)
+def word_hash() -> WordHash:
+    """The worker's cache, kept for later tasks."""
+    return WordHash()
+
+
 def rolling(w: np.ndarray, consts: np.ndarray) -> np.ndarray:
     """Hash of every run of ``len(consts)`` consecutive word hashes."""
     k = len(consts)
@@ -109,9 +116,9 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_col: str = "_text") -> DataFrame:
-    """``mapInArrow`` over byte-bounded slices; ``fn`` is built once per task by
-    calling it with no argument when it is a factory (see ``factory``)."""
+def arrow_map(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text_col: str = "_text") -> DataFrame:
+    """``mapInArrow`` over byte-bounded slices. ``fn`` is a factory: called once
+    per task, it returns the function that turns a slice into a result batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()

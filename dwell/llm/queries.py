@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwell.llm import embed_dedup, line_dedup, mixing, sentencepiece_nbest, token_files, topk_search, toxicity, url_filter
+from dwell.llm import embed_dedup, line_dedup, mixing, ngram_join, sentencepiece_nbest, substring_dedup, token_files, topk_search, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_topk_search": topk_search.op7_topk,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_embedding_near_dedup": embed_dedup.op9_embedding_near_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
@@ -24,6 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op10_mixing": mixing.oracle(),
 }

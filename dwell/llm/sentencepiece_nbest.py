@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,16 @@ class Lattice:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], n_best: int = N_BEST):
         self.byte_ids, self.n = byte_ids, n_best
         self.ids = {p: i for p, (i, _) in pieces.items()}
-        # every prefix of a piece -> the piece's score, or None where the prefix is no piece
-        self.score: dict[str, float | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
-        self.score.update({p: s for p, (_, s) in pieces.items()})
+        self.score = {p: s for p, (_, s) in pieces.items()}
+        self.packed = {p: np.array([i], dtype="<i4").tobytes() for p, i in self.ids.items()}
+        # trie: character -> (score or None, children)
+        self.root: dict[str, tuple[float | None, dict]] = {}
+        for p, (_, s) in pieces.items():
+            node = self.root
+            for c in p[:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[p[-1]] = (s, node.get(p[-1], (None, {}))[1])
+        self.longest = max(map(len, pieces), default=1)
         self.alphabet = set("".join(pieces))
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         # id -> text; byte pieces above ASCII as the escapes that "surrogateescape" turns back into bytes
@@ -63,40 +71,40 @@ class Lattice:
         self._alternatives: dict[str, list[tuple[float, bytes]]] = {}
         self._splitters: dict[frozenset, re.Pattern] = {}
 
-    def _piece_ids(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8")]
-
     def _pack(self, pieces: list[str]) -> bytes:
-        return np.array([i for p in pieces for i in self._piece_ids(p)], dtype="<i4").tobytes()
+        get = self.packed.get
+        return b"".join([get(p) or self._pack_bytes(p) for p in pieces])
 
     def _forward(self, s: str) -> tuple[list[float], list[float], list[int]]:
         """Per position: best and second-best score of the paths to it, and where
         the best path's last piece starts (of equal ones the longest piece)."""
-        n, get, low = len(s), self.score.get, -np.inf
+        n, low, root = len(s), -np.inf, self.root
         best, second, back = [0.0] + [low] * n, [low] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            b1, b2 = best[i], second[i]
-            for j in range(i + 1, n + 1):
-                sc = get(s[i:j], low)
-                if sc is None or sc == low:
-                    if j == i + 1:
+            b1, b2, children = best[i], second[i], root
+            for j in range(i, n):
+                node = children.get(s[j])
+                if node is None:
+                    sc = None
+                else:
+                    sc, children = node
+                j1 = j + 1
+                if sc is None:
+                    if j == i:
                         # a character without a piece is an arc of its own: every position is reached
-                        x = b1 + self.unknown
-                        y = b2 + self.unknown
-                        go = sc is None
-                    elif sc is None:
-                        continue
-                    else:
+                        sc = self.unknown
+                    elif node is None:
                         break
-                else:
-                    x, y, go = b1 + sc, b2 + sc, True
-                if x > best[j]:
-                    second[j] = y if y > best[j] else best[j]
-                    best[j], back[j] = x, i
-                elif x > second[j]:
-                    second[j] = x
-                if not go:
+                    else:
+                        continue
+                x, old = b1 + sc, best[j1]
+                if x > old:
+                    y = b2 + sc
+                    second[j1] = y if y > old else old
+                    best[j1], back[j1] = x, i
+                elif x > second[j1]:
+                    second[j1] = x
+                if node is None:
                     break
         return best, second, back
 
@@ -119,7 +127,7 @@ class Lattice:
         if got is not None:
             return got
         best, _, _ = self._forward(s)
-        get, longest = self.score.get, max(map(len, self.ids), default=1)
+        get, longest = self.score.get, self.longest
         found: list[tuple[float, list[str]]] = []
         seq = 0
         heap: list[tuple] = [(-best[-1], len(s), seq, 0.0, None)]
@@ -240,8 +248,9 @@ class Lattice:
         return s[1:]
 
 
+@lru_cache(maxsize=2)
 def load(path: str | None = None, n_best: int = N_BEST) -> Lattice:
-    """A lattice over the normal pieces of a model file with byte fallback."""
+    """A lattice (kept with its cache for a worker's later tasks) over the normal pieces of a model file with byte fallback."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or default_model_path())

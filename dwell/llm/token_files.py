@@ -19,6 +19,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,12 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept with its cache for later tasks."""
+    return Encoder(path)
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -130,7 +137,7 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         store, root = _filesystem(folder)
         temp = f"{root}/_tmp-{part:05d}-{uuid.uuid4().hex}"
-        enc, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         ids, lens, tok = [], [], None
         for batch in batches:
             for s in slices(batch, "_text"):
