@@ -174,6 +174,7 @@ def embedding_near_duplicates(
     bits, tables = plan_tables(n, threshold, miss)
     buckets = _buckets(classes, bits, tables)
     counts = buckets.groupBy("dim", "t", "sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = write_table(counts, "emb-buckets")  # plain shuffles on both sides of the join: a hot bucket can be split
     where = buckets.join(counts, ["dim", "t", "sig"]).select("k1", "k2", F.struct("dim", "t", "sig", F.ceil(F.col("c") / block_rows).cast("int").alias("nb")).alias("s"))
     # at most one bucket per table and class
     mine = where.groupBy("k1", "k2").agg(F.collect_list("s").alias("ss"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.common import arrow_map, as_bytes, keyed_texts, table, u64_as_i64
+from dwell.llm.common import arrow_map, as_bytes, keyed_texts, table, u64_as_i64, write_table
 
 WINDOW = 3
 
@@ -54,6 +54,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     w = arrow_map(keyed_texts(docs, id_col, text_col), _window_hashes(window), "_id long, _th long, pos int, h1 long, h2 long")
     place = F.struct("_id", "_th", "pos")
     first = w.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "f")
+    first = write_table(first, "line-first")  # plain shuffles on both sides of the join: a hot window can be split
     later = w.join(first, ["h1", "h2"]).where(place > F.col("f"))
     # a document's starts are fewer than its lines
     return later.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("pos")).alias("starts"))

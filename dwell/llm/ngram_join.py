@@ -14,7 +14,8 @@ of the n-grams two sets of Jaccard similarity t share one within their prefixes
    texts are compared.
 
 Any set of common n-grams gives a valid order, so how they are found bears on
-the speed alone, never on the result.
+the speed alone, never on the result (they are counted with repeats, chunk by
+chunk, over all documents).
 """
 
 from __future__ import annotations
@@ -63,24 +64,27 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def _common(n: int):
+    consts = odd_constants(_SEED, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size = docs = 0
 
         def flush() -> pa.RecordBatch:
             g, c = np.unique(np.concatenate(held), return_counts=True)
-            hit = c >= max(COMMON_LEAST, COMMON_SHARE * len(held))
+            hit = c >= max(COMMON_LEAST, COMMON_SHARE * docs)
             return pa.RecordBatch.from_arrays([u64_as_i64(g[hit]), pa.array(c[hit].astype(np.int64))], names=["tok", "c"])
 
         for b in batches:
             for s in slices(b, "_text"):
-                for g in gram_sets(as_bytes(s.column(0)), n):
-                    held.append(g)
-                    size += len(g)
-                    if size >= CHUNK_GRAMS:
-                        yield flush()
-                        held, size = [], 0
-        if held:
+                # all runs of n words of the slice; the few that cross two texts don't matter to an order
+                h = rolling(word_hash().of([x for t in as_bytes(s.column(0)) for x in (t or b"").lower().split()]), consts)
+                held.append(h)
+                size, docs = size + len(h), docs + s.num_rows
+                if size >= CHUNK_GRAMS:
+                    yield flush()
+                    held, size, docs = [], 0, 0
+        if size:
             yield flush()
 
     return run
@@ -222,7 +226,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
 
     groups = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"))
     met = groups.select("gk", "n", F.explode("toks").alias("tok"))
-    shared = met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
+    shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok"), "ngram-shared")
     met = met.join(shared, "tok")
     members = nodes.select("gk", "n", "v")
     # members of one group share their whole prefix: one entry stands for it

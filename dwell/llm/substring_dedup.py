@@ -33,6 +33,7 @@ from dwell.llm.common import arrow_map, as_bytes, id_key, keyed_texts, mix64, od
 
 K = 20
 M = 6
+POSITION = np.uint64((1 << 20) - 1)
 _MMER_SEED, _EDGE_SEED, _RUN_SEED = 101, 202, 303
 
 
@@ -55,17 +56,18 @@ class PathPieces:
         self.inverse = pow(self.base, -1, 1 << 64)
         self._pow = self._inv = np.empty(0, dtype=np.uint64)
 
-    def _minimizers(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per edge: the smallest M-mer hash inside it and its (leftmost) position."""
+    def _minimizers(self, w: np.ndarray) -> np.ndarray:
+        """Per edge: its smallest M-mer as one key, the M-mer's leading 44 bits
+        above the low 20 of its position, so that the leftmost of equal ones wins."""
         mm = rolling(w, self.mmer)
-        n, span = len(w) - self.k + 1, self.k - self.m + 1
-        low, at = mm[:n].copy(), np.zeros(n, dtype=np.int64)
-        for j in range(1, span):
-            c = mm[j : j + n]
-            less = c < low
-            np.copyto(low, c, where=less)
-            at[less] = j
-        return low, at + np.arange(n)
+        v = (mm & ~POSITION) | (np.arange(len(mm), dtype=np.uint64) & POSITION)
+        span, n = self.k - self.m + 1, len(w) - self.k + 1
+        done = 1
+        while done < span:  # sliding minimum by doubling
+            step = min(done, span - done)
+            v = np.minimum(v[: len(v) - step], v[step:])
+            done += step
+        return v[:n]
 
     def of(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         """Pieces of the texts: doc (index), start (word), n (edges), mh (minimizer), ch (hash of the edges)."""
@@ -79,13 +81,13 @@ class PathPieces:
         ends = np.cumsum(lens)
         doc = np.repeat(np.arange(len(lens)), lens)[:n]
         inside = np.arange(n) + self.k <= ends[doc]
-        low, at = self._minimizers(w)
+        low = self._minimizers(w)
         g = rolling(w, self.edge)
         if len(self._pow) < n:
             self._pow, self._inv = _powers(self.base, 2 * n), _powers(self.inverse, 2 * n)
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * self._inv[:n], dtype=np.uint64)])
         new = np.ones(n, dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], n)
         ok = inside[first]
@@ -94,7 +96,7 @@ class PathPieces:
             "doc": doc[first],
             "start": first - (ends - lens)[doc[first]],
             "n": last - first,
-            "mh": low[first],
+            "mh": low[first] & ~POSITION,
             "ch": mix64((s[last] - s[first]) * self._pow[first] + (last - first).astype(np.uint64)),
         }
 
@@ -180,13 +182,14 @@ def repeated_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(_id, _th, start, n, fid, fth, fstart, digest): glued spans of n edges
     (n + k - 1 words) that start earlier elsewhere, with their source
     coordinates and the digest of the source's words. ``texts``: see ``keyed_texts``."""
-    pieces = arrow_map(texts, _pieces(k, m), "_id long, _th long, start int, n int, mh long, ch long")
-    rep = pieces.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh")
+    pieces = write_table(arrow_map(texts, _pieces(k, m), "_id long, _th long, start int, n int, mh long, ch long"), "sub-all")
+    # written, so that the join below has plain shuffles on both sides and a hot minimizer can be split
+    rep = write_table(pieces.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh"), "sub-minimizers")
     cand = write_table(pieces.join(rep, "mh"), "sub-pieces")
 
     place = F.struct("_id", "_th", "start")
     source = [F.col("f._id").alias("fid"), F.col("f._th").alias("fth"), F.col("f.start").alias("fstart")]
-    first = cand.groupBy("mh", "ch").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    first = write_table(cand.groupBy("mh", "ch").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "sub-first")
     later = cand.join(first.where("c > 1").select("mh", "ch", "f"), ["mh", "ch"]).where(place > F.col("f"))
     copies = later.select("_id", "_th", "start", "n", *source)
 
@@ -196,6 +199,7 @@ def repeated_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
     edges = arrow_map(texts.join(runs, ["_id", "_th"]).select("_id", "_th", "_text", "runs"), _edges(k), "_id long, _th long, start int, mh long, g long")
     edges = write_table(edges, "sub-edges")
     first_edge = edges.groupBy("mh", "g").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("mh", "g", "f")
+    first_edge = write_table(first_edge, "sub-first-edges")
     later_edges = edges.join(first_edge, ["mh", "g"]).where(place > F.col("f"))
     copies = copies.unionByName(later_edges.select("_id", "_th", "start", F.lit(1).alias("n"), *source))
 
