@@ -10,8 +10,8 @@ of the n-grams two sets of Jaccard similarity t share one within their prefixes
 3. Groups expand to members. Each node is verified against one hub of its
    buckets first, so that a large family of copies becomes one component after
    linear work; only pairs that still lie in different components go on. Of
-   these, sizes and the number of shared prefix n-grams filter before the
-   texts are compared.
+   these, sizes, parity bits and the number of shared prefix n-grams filter
+   before the sets are compared.
 
 Any set of common n-grams gives a valid order, so how they are found bears on
 the speed alone, never on the result (they are counted with repeats, chunk by
@@ -36,6 +36,9 @@ COMMON_SHARE = 0.001  # an n-gram is common if it is in this share of the docume
 COMMON_LEAST = 8
 CHUNK_GRAMS = 2_000_000
 MAX_COMMON = 200_000  # most common ones kept for the order (1.6 MB, broadcast)
+HUB_ROUNDS = 2
+BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
+LOWER_HALF = np.uint64(1 << 63)
 _SEED = 404
 
 
@@ -78,7 +81,9 @@ def _common(n: int):
         for b in batches:
             for s in slices(b, "_text"):
                 # all runs of n words of the slice; the few that cross two texts don't matter to an order
+                # (in the order by hash, prefixes lie in the lower half unless that is common throughout)
                 h = rolling(word_hash().of([x for t in as_bytes(s.column(0)) for x in (t or b"").lower().split()]), consts)
+                h = h[h < LOWER_HALF]
                 held.append(h)
                 size, docs = size + len(h), docs + s.num_rows
                 if size >= CHUNK_GRAMS:
@@ -125,17 +130,31 @@ def _signatures(n: int, percent: int, common):
     return build
 
 
-def _similar(n: int, percent: int):
+def _sets(n: int):
+    def build():
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = gram_sets(as_bytes(b.column(1)), n)
+            odd = np.stack([np.bincount((g % np.uint64(64 * len(BITS))).astype(np.int64), minlength=64 * len(BITS)) & 1 for g in sets])
+            bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+            cols = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS))]
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in sets], pa.binary()), *cols], names=["v", "grams", *BITS])
+
+        return work
+
+    return build
+
+
+def _similar(percent: int):
     def build():
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
             hits = []
-            kept, kept_set = None, None
-            for i, (hub, ta, tb) in enumerate(zip(b.column(1).to_pylist(), as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True)):
-                if hub != kept:  # rows of one hub come together
-                    kept, kept_set = hub, gram_sets([tb], n)[0]
-                a = gram_sets([ta], n)[0]
-                both = len(np.intersect1d(a, kept_set, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(kept_set) - both) and both:
+            for i, (ga, gb) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(ga, dtype=np.uint64), np.frombuffer(gb, dtype=np.uint64)
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     hits.append(i)
             if not hits:
                 return None
@@ -150,27 +169,33 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts link; b is the side that many pairs share."""
-    ta = texts.select(F.col("v").alias("a"), F.col("_text").alias("ta"))
-    tb = texts.select(F.col("v").alias("b"), F.col("_text").alias("tb"))
-    j = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return write_table(arrow_map(j, _similar(n, percent), "a long, b long", text_col="ta"), name)
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    sa = sets.select(F.col("v").alias("a"), F.col("grams").alias("ga"))
+    sb = sets.select(F.col("v").alias("b"), F.col("grams").alias("gb"))
+    j = pairs.join(sa, "a").join(sb, "b").select("a", "b", "ga", "gb")
+    return write_table(arrow_map(j, _similar(percent), "a long, b long", text_col="ga"), name)
 
 
-def _labelled(entries: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(entries with ``comp``, in n-grams that still join two components; labels)."""
-    labels = write_table(connected_components(links, f"{name}-cc").select(F.col("node").alias("v"), F.col("component").alias("comp")), f"{name}-labels")
+def _still_open(entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The entries with their ``comp``, of n-grams that still hold two components."""
+    labels = connected_components(links, f"{name}-cc").select(F.col("node").alias("v"), F.col("component").alias("comp"))
     e = entries.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     open_ = e.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    return write_table(e.join(open_, "tok"), f"{name}-entries"), labels
+    return write_table(e.join(open_, "tok"), name)
 
 
-def _hub_pairs(entries: DataFrame, pick, percent: int) -> DataFrame:
+def _hub_pairs(entries: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): each node with the hub of another component that it shares most
-    prefix n-grams with; a hub is one node per n-gram and size class."""
+    prefix n-grams with. A hub is, per n-gram and size class, the node whose
+    n-grams occur in most nodes: of a family of copies the one nearest to all.
+    Nodes in ``used`` were hubs before."""
     e = entries.withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    hubs = e.groupBy("tok", "sc").agg(pick(F.struct("v", "n", "comp")).alias("h"))
+    df = e.groupBy("tok", "sc").agg(F.count(F.lit(1)).alias("df"))
+    central = e.join(df, ["tok", "sc"]).groupBy("v").agg(F.sum("df").alias("cw"))
+    if used is not None:
+        central = central.join(used, "v", "left_anti")
+    hubs = e.join(central, "v").groupBy("tok", "sc").agg(F.max(F.struct("cw", "v", "n", "comp")).alias("h"))
     met = e.join(hubs, ["tok", "sc"]).where(F.col("comp") != F.col("h.comp"))
     met = met.where(_sizes_fit(F.col("n"), F.col("h.n"), percent))
     c = met.groupBy("v", F.col("h.v").alias("hub")).agg(F.sum("w").alias("c"))
@@ -178,16 +203,22 @@ def _hub_pairs(entries: DataFrame, pick, percent: int) -> DataFrame:
     return best.select(F.col("v").alias("a"), F.col("m.hub").alias("b"))
 
 
-def _rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that may still link. Within an n-gram the
     nodes outside its largest component meet the others, so copies that already
-    lie together never meet each other."""
+    lie together never meet each other; sizes and parity bits that rule a link
+    out are conditions of that join."""
     per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     big = per.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m")).select("tok", F.col("m.comp").alias("big"))
-    x = entries.join(big, "tok").where("comp <> big").select("tok", F.col("v").alias("v1"), F.col("n").alias("n1"), F.col("comp").alias("c1"), "big", "w")
-    y = entries.select("tok", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+    entries = entries.join(sets.select("v", *BITS), "v")
+    side = lambda i: [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
+    x = entries.join(big, "tok").where("comp <> big").select("tok", "big", "w", *side(1))
+    y = entries.select("tok", *side(2))
+    # cells of unequal parity hold at least one n-gram of one set alone
+    apart = sum((F.bit_count(F.col(f"{x}_1").bitwiseXOR(F.col(f"{x}_2"))) for x in BITS), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
     once = (F.col("c2") == F.col("big")) | (F.col("v1") < F.col("v2"))
-    j = x.join(y, "tok").where((F.col("c1") != F.col("c2")) & once & _sizes_fit(F.col("n1"), F.col("n2"), percent))
+    j = x.join(y, "tok").where((F.col("c1") != F.col("c2")) & once & _sizes_fit(F.col("n1"), F.col("n2"), percent) & near)
     swap = F.col("v1") < F.col("v2")
     j = j.select(
         F.least("v1", "v2").alias("a"),
@@ -227,7 +258,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     groups = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"))
     met = groups.select("gk", "n", F.explode("toks").alias("tok"))
     shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok"), "ngram-shared")
-    met = met.join(shared, "tok")
+    met = met.join(shared.hint("shuffle_hash"), "tok")
     members = nodes.select("gk", "n", "v")
     # members of one group share their whole prefix: one entry stands for it
     several = members.groupBy("gk", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gk", "n")
@@ -236,15 +267,17 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     entries = write_table(entries, "ngram-entries")
 
     who = entries.select("v").distinct().join(nodes.select("v", "_id", "_th"), "v")
-    held = write_table(texts.join(who, ["_id", "_th"]).select("v", "_text").dropDuplicates(["v"]), "ngram-texts")
-    links = None
-    left, labels = entries.withColumn("comp", F.col("v")), None
-    for step, pick in (("hub1", F.min), ("hub2", F.max), ("rest", None)):
-        pairs = _hub_pairs(left, pick, percent) if pick else _rest_pairs(left, percent)
-        new = _verified(pairs, held, n, percent, f"ngram-{step}")
+    texts = texts.join(who, ["_id", "_th"]).dropDuplicates(["v"]).select("v", "_text")
+    sets = write_table(arrow_map(texts, _sets(n), f"v long, grams binary, {', '.join(f'{x} long' for x in BITS)}"), "ngram-sets")
+    left, links, used = entries.withColumn("comp", F.col("v")), None, None
+    for step in range(HUB_ROUNDS):
+        pairs = write_table(_hub_pairs(left, used, percent), "ngram-hub-pairs")
+        hubs = pairs.select(F.col("b").alias("v")).distinct()
+        used = hubs if used is None else used.unionByName(hubs)
+        new = _verified(pairs, sets, percent, "ngram-links")
         links = new if links is None else links.unionByName(new)
-        if pick:
-            left, labels = _labelled(entries, links, f"ngram-{step}")
+        left = _still_open(entries, links, f"ngram-open{step}")
+    links = links.unionByName(_verified(_rest_pairs(left, sets, percent), sets, percent, "ngram-links"))
     comp = connected_components(links, "ngram-cc")
     sig_nodes = nodes.select("d1", "d2", "v", "_id").join(comp.select(F.col("node").alias("v"), "component"), "v", "left")
     sig_nodes = sig_nodes.withColumn("component", F.coalesce("component", "v"))

@@ -185,7 +185,7 @@ def repeated_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
     pieces = write_table(arrow_map(texts, _pieces(k, m), "_id long, _th long, start int, n int, mh long, ch long"), "sub-all")
     # written, so that the join below has plain shuffles on both sides and a hot minimizer can be split
     rep = write_table(pieces.groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh"), "sub-minimizers")
-    cand = write_table(pieces.join(rep, "mh"), "sub-pieces")
+    cand = write_table(pieces.join(rep.hint("shuffle_hash"), "mh"), "sub-pieces")
 
     place = F.struct("_id", "_th", "start")
     source = [F.col("f._id").alias("fid"), F.col("f._th").alias("fth"), F.col("f.start").alias("fstart")]
