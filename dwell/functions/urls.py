@@ -143,7 +143,7 @@ def _split_url(url: Column) -> dict[str, Column]:
     rest = F.substr(url, F.length(scheme) + 2)
     has_netloc = rest.startswith("//")
     netloc = F.when(has_netloc, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit(""))
-    after = F.when(has_netloc, F.regexp_extract(rest, r"^//[^/?#]*(.*)$", 1)).otherwise(rest)
+    after = F.when(has_netloc, F.regexp_extract(rest, r"(?s)^//[^/?#]*(.*)\z", 1)).otherwise(rest)
     return {"scheme": scheme, "netloc": netloc, "after": after}
 
 
@@ -186,13 +186,13 @@ def sanitize_urls(df: DataFrame, url: str = "url", on_error: str = "null", keep_
             "_path": F.substring_index(nf, "?", 1),
             "_query": F.when(F.instr(nf, "?") > 0, F.substr(nf, F.instr(nf, "?") + 1)).otherwise(F.lit("")),
             "_host": F.lower(F.when(br, F.regexp_extract(hi, r"\[([^\]]*)", 1)).otherwise(F.substring_index(hi, ":", 1))),
-            "_port": F.when(br, F.regexp_extract(hi, r"\][^:]*:(.*)$", 1)).otherwise(
+            "_port": F.when(br, F.regexp_extract(hi, r"(?s)\][^:]*:(.*)\z", 1)).otherwise(
                 F.when(F.instr(hi, ":") > 0, F.substr(hi, F.instr(hi, ":") + 1)).otherwise(F.lit(""))
             ),
         }
     )
     port = F.col("_port")
-    digits = port.rlike(r"^[0-9]+$") & (F.length(F.regexp_replace(port, "^0+", "")) <= 5)
+    digits = port.rlike(r"^[0-9]+\z") & (F.length(F.regexp_replace(port, "^0+", "")) <= 5)
     d = d.withColumns({"_pnum": F.when(digits, port.cast("int")), "_is_http": F.col("_scheme").isin("http", "https")})
     port_ok = (port == "") | (F.col("_pnum").isNotNull() & (F.col("_pnum") <= 65535))
     bad_br = F.col("_netloc").contains("[") != F.col("_netloc").contains("]")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dwell.session import path_exists
+
 SESSION_SCHEMA = T.StructType(
     [
         T.StructField("start_time", T.TimestampNTZType()),
@@ -26,6 +28,7 @@ SESSION_SCHEMA = T.StructType(
         T.StructField("device_id", T.StringType()),
     ]
 )
+STORED_SCHEMA = T.StructType([*SESSION_SCHEMA.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
 PARTITION_COLUMNS = ["year", "month", "device_id"]
 
 
@@ -80,9 +83,12 @@ def with_partition_columns(sessions: DataFrame) -> DataFrame:
 
 
 def write_sessions(sessions: DataFrame, root: str, mode: str = "append") -> None:
-    """Partitioned, snappy Parquet sink (append); creates the table if absent."""
+    """Partitioned, snappy Parquet sink (append); creates the table if absent.
+    Rows are dealt by partition and day first, so that a task writes few files
+    and a busy device is spread over its days."""
     (
         with_partition_columns(sessions)
+        .repartition(*PARTITION_COLUMNS, F.dayofmonth("start_time"))
         .write.mode(mode)
         .option("compression", "snappy")
         .partitionBy(*PARTITION_COLUMNS)
@@ -93,12 +99,9 @@ def write_sessions(sessions: DataFrame, root: str, mode: str = "append") -> None
 def read_sessions(spark: SparkSession, root: str, tolerant: bool = True) -> DataFrame:
     """S1/S2/S4 scan: explicit schema, old and new file generations merged,
     unreadable or vanished files skipped; no files -> typed empty frame."""
-    import os
-
-    if not root.startswith(("hdfs:", "s3", "gs:", "abfs")) and not os.path.exists(root):
-        empty_schema = T.StructType(SESSION_SCHEMA.fields + [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
-        return spark.createDataFrame([], empty_schema)
-    r = spark.read.option("mergeSchema", "true")
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], STORED_SCHEMA)
+    r = spark.read.schema(STORED_SCHEMA)
     if tolerant:
         r = r.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     return r.parquet(root)

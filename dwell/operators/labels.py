@@ -139,19 +139,19 @@ def compact_label_store(spark, root: str, version: str) -> dict[str, str]:
     version folder, so readers of an older version are never disturbed and a
     failed run leaves nothing half-written behind the last good version."""
     ev = spark.read.parquet(f"{root}/events")
+    from dwell.session import path_exists
+
     out = {}
     cl_path = f"{root}/engine_classifications"
     ov_path = f"{root}/user_overrides"
     base = f"{root.rstrip('/')}/compacted/{version}"
     ev.drop("batch_id").write.mode("overwrite").parquet(f"{base}/events")
     out["events"] = f"{base}/events"
-    import os
-
-    if cl_path.startswith(("hdfs:", "s3", "gs:", "abfs")) or os.path.exists(cl_path):
+    if path_exists(spark, cl_path):
         latest = latest_classification(spark.read.parquet(cl_path).drop("batch_id"))
         keep_referenced(latest, ev).write.mode("overwrite").parquet(f"{base}/engine_classifications")
         out["engine_classifications"] = f"{base}/engine_classifications"
-    if ov_path.startswith(("hdfs:", "s3", "gs:", "abfs")) or os.path.exists(ov_path):
+    if path_exists(spark, ov_path):
         cur = current_overrides(spark.read.parquet(ov_path).drop("batch_id"))
         keep_referenced(cur, ev).write.mode("overwrite").parquet(f"{base}/user_overrides")
         out["user_overrides"] = f"{base}/user_overrides"

@@ -24,8 +24,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BUCKET = "_bkt"
+NO_KEY = "(none)"
 
 
 def _epoch_ntz() -> Column:
@@ -113,12 +115,17 @@ def _split_hot_buckets(d: DataFrame, keys: Sequence[str], ts_col: str, max_rows:
 
 
 def _keyed(df: DataFrame, keys: Sequence[str], ts_col: str, bucket_seconds: int) -> DataFrame:
-    """Rows with a key and a timestamp, bucketed, hot buckets split (see
-    ``_split_hot_buckets``; ``dwell.bucket.maxRows`` = 0 turns that off).
+    """Rows with a timestamp, bucketed, hot buckets split (see
+    ``_split_hot_buckets``; ``dwell.bucket.maxRows`` = 0 turns that off). A null
+    string key is a key of its own, written as ``NO_KEY``; rows without a
+    timestamp have no place in an ordered scan.
     Stating the not-null filter here keeps it identical on the main and the
     summary branch (otherwise the optimizer infers it only on the join's
     summary side and the two branches stop sharing their shuffle)."""
     fresh = BUCKET not in df.columns
+    if fresh:
+        text = [k for k in keys if df.schema[k].dataType == StringType()]
+        df = df.withColumns({k: F.coalesce(F.col(k), F.lit(NO_KEY)) for k in text})
     d = add_bucket(df, ts_col, bucket_seconds)
     cond = F.col(BUCKET).isNotNull() & F.col(ts_col).isNotNull()
     for k in keys:

@@ -116,16 +116,14 @@ def segments(
     Like W1, but a title change with the same app and the same non-empty URL
     does not break the segment (the first title is kept), url is '' when
     missing, and idle samples (``idle`` true) close the open segment and leave
-    a hole. Samples without an app or titled 'frontProcess Error' are skipped
-    (P4) and do not close anything. Output: Event rows in epoch seconds.
+    a hole, whatever their app or title. Other samples without an app or titled
+    'frontProcess Error' are skipped (P4) and do not close anything. Output: Event rows in epoch seconds.
     """
     if isinstance(close_ts, str):
         close_ts = F.lit(close_ts).cast("timestamp_ntz")
-    d = samples.where(
-        F.col("app").isNotNull() & (F.col("app") != "") & ~F.coalesce(F.col("title") == "frontProcess Error", F.lit(False))
-    ).withColumn("url", F.coalesce(F.col("url"), F.lit("")))
     is_idle = F.coalesce(idle, F.lit(False)) if idle is not None else F.lit(False)
-    d = d.withColumn("_idle", is_idle)
+    d = samples.withColumn("_idle", is_idle).where(F.col("_idle") | not_glitch(legacy=False))
+    d = d.withColumn("url", F.coalesce(F.col("url"), F.lit("")))
     key = F.when(F.col("_idle"), F.struct(F.lit(True).alias("i"), F.lit(None).cast("string").alias("a"),
                                           F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("t"))).otherwise(
         F.struct(
@@ -232,14 +230,18 @@ def resume_seed(sessions: DataFrame, now: Column | str, gap_seconds: float = 60,
 # ---------------------------------------------------------------- sample filters
 
 
-def drop_glitches(samples: DataFrame, legacy: bool = True) -> DataFrame:
-    """Skip samples without an app (legacy: without any info) or titled
+def not_glitch(legacy: bool = True) -> Column:
+    """The sample has an app (legacy: even an empty one) and isn't titled
     'frontProcess Error'."""
     cond = F.col("app").isNotNull()
     if not legacy:
         cond = cond & (F.col("app") != "")
-    cond = cond & ~F.coalesce(F.col("title") == "frontProcess Error", F.lit(False))
-    return samples.where(cond)
+    return cond & ~F.coalesce(F.col("title") == "frontProcess Error", F.lit(False))
+
+
+def drop_glitches(samples: DataFrame, legacy: bool = True) -> DataFrame:
+    """P4 as a filter."""
+    return samples.where(not_glitch(legacy))
 
 
 def is_idle(idle_seconds: Column | str, threshold: Column | float) -> Column:

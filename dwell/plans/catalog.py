@@ -131,7 +131,7 @@ GAP_S = 900
     + f""",
 seg_in AS (
   SELECT device_id, ts, seq, app, title, coalesce(url, '') AS url, coalesce(idle_seconds >= {IDLE_S}, FALSE) AS idle
-  FROM samples WHERE app IS NOT NULL AND app <> '' AND coalesce(title <> 'frontProcess Error', TRUE)),
+  FROM samples WHERE coalesce(idle_seconds >= {IDLE_S}, FALSE) OR (app IS NOT NULL AND app <> '' AND coalesce(title <> 'frontProcess Error', TRUE))),
 seg_k AS (
   SELECT *, idle AS ki, CASE WHEN idle THEN NULL ELSE app END AS ka, CASE WHEN idle THEN NULL ELSE url END AS ku,
          CASE WHEN idle THEN NULL WHEN url = '' THEN title END AS kt FROM seg_in),
@@ -520,6 +520,42 @@ def q_weekly_totals(spark, sf):
     return RP.weekly_totals(labelled_sessions(spark, sf, "user"))
 
 
+def _sessions_of(name: str, condition: str) -> None:
+    """A picked-date filter: the sessions of the first recorded day / week / month."""
+    pick = getattr(RP, name)
+
+    @register(name, Q.sessions_ctes("user") + f"\nSELECT {SESSION_COLS} FROM sessions, (SELECT min(CAST(start_time AS DATE)) AS d FROM sessions) WHERE {condition}")
+    def query(spark, sf):
+        s = labelled_sessions(spark, sf, "user")
+        return pick(s, RP.first_date(s))
+
+
+_sessions_of("day_filter", "CAST(start_time AS DATE) = d")
+_sessions_of("week_filter", "date_trunc('week', start_time) = date_trunc('week', d)")
+_sessions_of("month_filter", "date_trunc('month', start_time) = date_trunc('month', d)")
+
+
+@register(
+    "weekly_totals_ordered",
+    WEEK_PARTS + "," + WEEK_TOTALS + """
+SELECT *, CAST(isodow(date) - 1 AS INTEGER) AS day_order, CASE WHEN productivity = 'productive' THEN 0 ELSE 1 END AS productive_order FROM wt""",
+)
+def q_weekly_totals_ordered(spark, sf):
+    return RP.ordered_totals(RP.weekly_totals(labelled_sessions(spark, sf, "user")))
+
+
+@register(
+    "month_head_count",
+    Q.sessions_ctes("user") + f"""
+, m AS (SELECT {SESSION_COLS}, count(*) OVER () AS month_rows FROM sessions, (SELECT min(CAST(start_time AS DATE)) AS d FROM sessions)
+  WHERE date_trunc('month', start_time) = date_trunc('month', d))
+SELECT * FROM m ORDER BY start_time, end_time, device_id, app, title, url NULLS FIRST LIMIT 5""",
+)
+def q_month_head_count(spark, sf):
+    s = labelled_sessions(spark, sf, "user")
+    return RP.month_head_count(s, RP.first_date(s))
+
+
 @register("monthly_totals", MONTH_PARTS + "," + MONTH_TOTALS + "\nSELECT * FROM mt")
 def q_monthly_totals(spark, sf):
     return RP.monthly_totals(labelled_sessions(spark, sf, "user"))
@@ -1021,7 +1057,7 @@ u2 AS (SELECT *, regexp_replace(raw, '[\\t\\r\\n]', '', 'g') AS u FROM u1),
 u3 AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM u2),
 u4 AS (SELECT *, substr(u, length(scheme) + 2) AS rest FROM u3),
 u5 AS (SELECT *, CASE WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//([^/?#]*)', 1) ELSE '' END AS netloc,
-              CASE WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//[^/?#]*(.*)$', 1) ELSE rest END AS after FROM u4),
+              CASE WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//[^/?#]*((?s).*)$', 1) ELSE rest END AS after FROM u4),
 u6 AS (SELECT *, split_part(after, '#', 1) AS no_frag,
               CASE WHEN instr(after, '#') > 0 THEN substr(after, instr(after, '#') + 1) ELSE '' END AS frag FROM u5),
 u7 AS (SELECT *, split_part(no_frag, '?', 1) AS path,

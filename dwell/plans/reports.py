@@ -34,24 +34,38 @@ def rint1(x: Column) -> Column:
 # ------------------------------------------------------------------- filters
 
 
+def _in_range(df: DataFrame, first: _dt.date, end: _dt.date, col: str) -> DataFrame:
+    """Rows of [first, end); on a stored table (year / month columns) its
+    partitions are pruned as well."""
+    out = df.where((F.col(col) >= F.lit(first).cast("timestamp_ntz")) & (F.col(col) < F.lit(end).cast("timestamp_ntz")))
+    if col == "start_time" and {"year", "month"} <= set(df.columns):
+        a, z = first.year * 12 + first.month, (end - _dt.timedelta(days=1))
+        months = [divmod(m - 1, 12) for m in range(a, z.year * 12 + z.month + 1)]
+        cond = F.lit(False)
+        for y, m in months:
+            cond = cond | ((F.col("year") == y) & (F.col("month") == m + 1))
+        out = out.where(cond)
+    return out
+
+
 def day_filter(df: DataFrame, date: str | _dt.date, col: str = "start_time") -> DataFrame:
     """Sessions starting on ``date`` (half-open range, prunes and pushes down)."""
     d = _d(date)
-    return df.where((F.col(col) >= F.lit(d).cast("timestamp_ntz")) & (F.col(col) < F.lit(d + _dt.timedelta(days=1)).cast("timestamp_ntz")))
+    return _in_range(df, d, d + _dt.timedelta(days=1), col)
 
 
 def week_filter(df: DataFrame, date: str | _dt.date, col: str = "start_time") -> DataFrame:
     """Sessions starting Monday..Sunday of the week of ``date``."""
     d = _d(date)
     mon = d - _dt.timedelta(days=d.weekday())
-    return df.where((F.col(col) >= F.lit(mon).cast("timestamp_ntz")) & (F.col(col) < F.lit(mon + _dt.timedelta(days=7)).cast("timestamp_ntz")))
+    return _in_range(df, mon, mon + _dt.timedelta(days=7), col)
 
 
 def month_filter(df: DataFrame, date: str | _dt.date, col: str = "start_time") -> DataFrame:
     """P10: sessions starting in the month of ``date``."""
     d = _d(date).replace(day=1)
     nxt = (d.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
-    return df.where((F.col(col) >= F.lit(d).cast("timestamp_ntz")) & (F.col(col) < F.lit(nxt).cast("timestamp_ntz")))
+    return _in_range(df, d, nxt, col)
 
 
 def prepare_summary(df: DataFrame) -> DataFrame:
@@ -104,8 +118,8 @@ def category_rollup(sessions: DataFrame, mode: str = "exact") -> DataFrame:
         .agg(
             (F.sum(micros_between("start_time", "end_time")) / F.lit(US_PER_MIN)).alias("minutes"),
             F.count(F.lit(1)).alias("parts"),
+            F.when(F.grouping("date") == 1, "all").when(F.grouping("category") == 1, "date").otherwise("date_category").alias("level"),
         )
-        .withColumn("level", F.when(F.col("date").isNull(), "all").when(F.col("category").isNull(), "date").otherwise("date_category"))
     )
 
 
@@ -182,13 +196,18 @@ def monthly_totals(sessions: DataFrame, date: str | None = None) -> DataFrame:
     ).agg((F.sum(micros_between("start_time", "end_time")) / F.lit(US_PER_MIN)).alias("duration_min"))
 
 
-def max_daily_total(sessions: DataFrame, period: str = "week") -> DataFrame:
-    """A3: per period, the largest daily total (both productivities), 0 when empty."""
+def max_daily_total(sessions: DataFrame, period: str = "week", date: str | _dt.date | None = None) -> DataFrame:
+    """A3: per period, the largest daily total (both productivities); for a
+    picked ``date`` one row for its period, 0 when nothing was recorded."""
     if period == "week":
-        t, key, day = weekly_totals(sessions), "week_start", ["day_label", "date"]
+        t, key, day = weekly_totals(sessions, date), "week_start", ["day_label", "date"]
     else:
-        t, key, day = monthly_totals(sessions), "month_start", ["day", "date"]
+        t, key, day = monthly_totals(sessions, date), "month_start", ["day", "date"]
     daily = t.groupBy(key, *day).agg(F.sum("duration_min").alias("total"))
+    if date is not None:
+        d = _d(date)
+        start = d - _dt.timedelta(days=d.weekday()) if period == "week" else d.replace(day=1)
+        return daily.agg(F.coalesce(F.max("total"), F.lit(0.0)).alias("max_daily_min")).select(F.lit(start).alias(key), "max_daily_min")
     return daily.groupBy(key).agg(F.coalesce(F.max("total"), F.lit(0.0)).alias("max_daily_min"))
 
 
@@ -221,6 +240,31 @@ def last_n_sessions(sessions: DataFrame, n: int = 5, device: str = "device_id")
     return top.drop("_r", O.BUCKET)
 
 
-def head(df: DataFrame, n: int = 5, order: str = "start_time") -> DataFrame:
-    """T5 head: first n rows by ``order`` (TakeOrderedAndProject)."""
-    return df.orderBy(order).limit(n)
+def month_head_count(sessions: DataFrame, date: str | _dt.date, n: int = 5) -> DataFrame:
+    """T5: the first ``n`` sessions of a month by start time, with the month's row count."""
+    month = month_filter(sessions, date)
+    total = month.agg(F.count(F.lit(1)).alias("month_rows"))
+    top = month.orderBy("start_time", "end_time", "device_id", "app", "title", "url").limit(n)
+    return top.join(F.broadcast(total))  # one row
+
+
+def ordered_totals(totals: DataFrame) -> DataFrame:
+    """T4: totals in chart order: by date (Mon..Sun within a week), productive
+    first; the order is given as columns as well."""
+    keyed = totals.withColumns(
+        {
+            "day_order": F.weekday("date"),
+            "productive_order": F.when(F.col("productivity") == "productive", 0).otherwise(1),
+        }
+    )
+    return keyed.orderBy("date", "productive_order")
+
+
+def by_start(sessions: DataFrame) -> DataFrame:
+    """Sessions by start time (a range-partitioned sort)."""
+    return sessions.orderBy("start_time", "end_time", "device_id", "app", "title", "url")
+
+
+def first_date(sessions: DataFrame) -> _dt.date:
+    """The first day on which a session starts (a partial aggregate, one row)."""
+    return sessions.agg(F.min(F.to_date("start_time"))).first()[0] or _dt.date(1970, 1, 1)

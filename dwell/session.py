@@ -7,7 +7,6 @@ the case for tests and the local benchmark.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -38,11 +37,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint root named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared folder; only when it is
-    unset (local tests) do we pick a scratch folder of our own.
+    On a cluster the setting must name a shared folder: without it this raises.
+    A scratch folder of our own is chosen on a single-JVM ``local`` master only.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="dwell-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,9 +58,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_sf_dir(default: str = "/root/testdata/sf0.1") -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in the file system that Spark resolves it in
+    (its scheme, or the cluster's default file system)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dwell.session import path_exists
+
 RULES_SCHEMA = "map<string, struct<apps: array<string>, domains: array<string>, productive: boolean>>"
 KEYWORD_INDEX_SCHEMA = "map<string, array<struct<keyword: string, count: bigint>>>"
 
@@ -55,7 +57,7 @@ DEFAULT_RULES: dict[str, dict] = {
         "domains": [
             "www.google.com/search", "google.com/search", "bing.com/search", "duckduckgo.com", "wikipedia.org",
             "chatgpt.com", "github.com", "scholar.google.com", "openreview.net", "text-compare.com",
-            "platform.openai.com", "wwwonderer.github.io", "www.geeksforgeeks.org", "m365.cloud.microsoft",
+            "platform.openai.com", "www.geeksforgeeks.org", "m365.cloud.microsoft",
             "gemini.google.com",
         ],
         "productive": True,
@@ -195,7 +197,7 @@ def domain_dim(rules_df: DataFrame) -> DataFrame:
 
 def keyword_index_frame(spark: SparkSession, index: dict | str | Path = DEFAULT_KEYWORD_INDEX) -> DataFrame:
     """S6 source: (category, cat_ord, ord, keyword, count); bad/missing JSON -> empty."""
-    if isinstance(index, (str, Path)) and not str(index).lstrip().startswith("{") and not Path(str(index)).exists():
+    if isinstance(index, (str, Path)) and not str(index).lstrip().startswith("{") and not path_exists(spark, str(index)):
         index = {}
     doc = _doc_frame(spark, index, KEYWORD_INDEX_SCHEMA)
     return (

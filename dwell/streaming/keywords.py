@@ -9,6 +9,7 @@ new keyword with count 1. Both states are O(1) / O(cap) per key.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -60,46 +61,69 @@ def stream_keyword_sessions(hits: DataFrame, reset_seconds: float = KEYWORD_SESS
     )
 
 
-def apply_capped_increments(entries: list[list], keywords: list[str], cap: int = KEYWORDS_PER_CATEGORY) -> list[list]:
-    """The reference's in-place capped counter, for one category, in hit order."""
-    pos = {k: i for i, (k, _) in enumerate(entries)}
-    for kw in keywords:
-        kw = (kw or "").strip().lower()
-        if not kw:
-            continue
-        if kw in pos:
-            entries[pos[kw]][1] += 1
-        elif len(entries) < cap:
-            pos[kw] = len(entries)
-            entries.append([kw, 1])
+class CappedIndex:
+    """At most ``cap`` counted keywords in fixed positions. A new keyword that
+    finds all positions taken starts at 1 in the position of least (count,
+    position). That position comes from a heap whose outdated entries are
+    skipped as they surface, so an update costs O(log cap)."""
+
+    def __init__(self, entries: list[list], cap: int):
+        self.cap = cap
+        self.words = [k for k, _ in entries]
+        self.counts = [int(c) for _, c in entries]
+        self.where = {k: p for p, k in enumerate(self.words)}
+        self.heap = [(c, p) for p, c in enumerate(self.counts)]
+        heapq.heapify(self.heap)
+        self.changed: set[int] = set()
+
+    def _set(self, position: int, count: int) -> None:
+        self.counts[position] = count
+        heapq.heappush(self.heap, (count, position))
+        self.changed.add(position)
+
+    def _weakest(self) -> int:
+        while self.heap[0][0] != self.counts[self.heap[0][1]]:
+            heapq.heappop(self.heap)
+        return self.heap[0][1]
+
+    def add(self, keyword: str | None) -> None:
+        word = (keyword or "").strip().lower()
+        if not word:
+            return
+        at = self.where.get(word)
+        if at is not None:
+            self._set(at, self.counts[at] + 1)
+            return
+        if len(self.words) < self.cap:
+            at = len(self.words)
+            self.words.append(word)
+            self.counts.append(0)
         else:
-            i = min(range(len(entries)), key=lambda j: (entries[j][1], j))
-            del pos[entries[i][0]]
-            entries[i] = [kw, 1]
-            pos[kw] = i
-    return entries
+            at = self._weakest()
+            del self.where[self.words[at]]
+            self.words[at] = word
+        self.where[word] = at
+        self._set(at, 1)
+
+    def entries(self) -> list[list]:
+        return [[w, c] for w, c in zip(self.words, self.counts, strict=True)]
 
 
 def _index_fn(cap: int):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
-        entries = json.loads(state.get[0]) if state.exists else []
-        entries = apply_capped_increments(entries, list(pdf["matched_keyword"]), cap)
-        state.update((json.dumps(entries),))
-        yield pd.DataFrame(
-            {
-                "category": key[0],
-                "position": list(range(len(entries))),
-                "keyword": [e[0] for e in entries],
-                "count": [int(e[1]) for e in entries],
-            }
-        )
+        index = CappedIndex(json.loads(state.get[0]) if state.exists else [], cap)
+        for word in pdf["matched_keyword"]:
+            index.add(word)
+        state.update((json.dumps(index.entries()),))
+        at = sorted(index.changed)
+        yield pd.DataFrame({"category": key[0], "position": at, "keyword": [index.words[p] for p in at], "count": [index.counts[p] for p in at]})
 
     return fn
 
 
 def stream_keyword_index(new_hits: DataFrame, cap: int = KEYWORDS_PER_CATEGORY) -> DataFrame:
-    """Per category, the capped keyword index after each micro-batch
+    """Per category, the entries of the capped keyword index that a micro-batch changed
     (input: counted hits, i.e. ``is_new`` rows of R8/W5)."""
     h = new_hits.where("is_new").select("category", "ts", "seq", "matched_keyword")
     return h.groupBy("category").applyInPandasWithState(

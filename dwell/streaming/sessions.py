@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dwell.operators.sessionize import not_glitch
+
 SESSION_OUT_SCHEMA = (
     "start_time timestamp_ntz, end_time timestamp_ntz, duration_sec double, app string, title string, url string, "
     "category string, is_productive boolean, device_id string"
@@ -149,10 +151,7 @@ def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str
         s = s.withColumn("is_idle", F.lit(False))
     if variant == "segments":
         closing = F.coalesce(F.col("is_close"), F.lit(False)) if "is_close" in cols else F.lit(False)
-        s = s.where(
-            closing
-            | (F.col("app").isNotNull() & (F.col("app") != "") & ~F.coalesce(F.col("title") == "frontProcess Error", F.lit(False)))
-        ).withColumn("url", F.coalesce(F.col("url"), F.lit("")))
+        s = s.where(closing | F.coalesce(F.col("is_idle"), F.lit(False)) | not_glitch(legacy=False)).withColumn("url", F.coalesce(F.col("url"), F.lit("")))
     if "category" not in cols:
         s = s.withColumn("category", F.lit(None).cast("string"))
     if "is_productive" not in cols:
@@ -185,10 +184,12 @@ def close_markers(devices: DataFrame, close_ts: str) -> DataFrame:
 
 
 def checkpoint_location(spark, name: str) -> str:
-    """Streaming checkpoints live under the shared ``spark.checkpoint.dir``."""
-    from dwell.session import scratch_path
+    """The checkpoint of the stream ``name``, under the shared
+    ``spark.checkpoint.dir``: the same folder on every call, so that a restarted
+    job goes on with its state and batch numbers."""
+    from dwell.session import ensure_checkpoint_dir
 
-    return scratch_path(spark, f"stream-{name}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
 
 
 def idempotent_batch_writer(root: str, partition_cols: tuple[str, ...] = ()):
@@ -235,7 +236,8 @@ def label_store_writer(root: str, ruleset, engine_version: str = "rules-v1"):
     cl_writer = idempotent_batch_writer(f"{root}/engine_classifications")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ev = valid_events(batch)
+        # both writes read the batch: keep it, so that the stream's state is run once
+        ev = valid_events(batch).persist()
         ev_writer(ev, batch_id)
         labels = classify_v1(ev, ruleset).select(
             F.col("id").alias("event_id"),
@@ -248,6 +250,7 @@ def label_store_writer(root: str, ruleset, engine_version: str = "rules-v1"):
             F.col("id").alias("seq"),
         )
         cl_writer(labels, batch_id)
+        ev.unpersist()
 
     return write
 

@@ -14,7 +14,6 @@ from dwell.operators import sessionize as S
 from dwell.operators.classify import RuleSet
 from dwell.streaming import keywords as SK
 from dwell.streaming import sessions as SS
-from dwell.streaming.keywords import apply_capped_increments
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -70,7 +69,10 @@ def test_stream_keyword_index_equals_sequential(spark):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
     out = _run(spark, SK.stream_keyword_index(stream, cap=3), "kw_index", mode="update")
     last_batch = out.collect()[-3:]
-    expect = apply_capped_increments([], [r[3] for r in rows], cap=3)
+    index = SK.CappedIndex([], 3)
+    for r in rows:
+        index.add(r[3])
+    expect = index.entries()
     assert [(r.keyword, r["count"]) for r in sorted(last_batch, key=lambda r: r.position)] == [tuple(e) for e in expect]
 
 

@@ -48,4 +48,13 @@ def test_prepare_summary_rounding(spark):
 
 def test_max_daily_total_empty_is_zero(spark, sess):
     empty = sess.where(F.lit(False))
-    assert RP.max_daily_total(empty).count() == 0
+    rows = RP.max_daily_total(empty, "week", "2024-01-03").collect()
+    assert [(str(r.week_start), r.max_daily_min) for r in rows] == [("2024-01-01", 0.0)]
+    assert [r.max_daily_min for r in RP.max_daily_total(empty, "month", "2024-01-03").collect()] == [0.0]
+
+
+def test_category_rollup_null_category(spark):
+    t = dt.datetime(2024, 1, 1, 9)
+    df = spark.createDataFrame([(t, t + dt.timedelta(minutes=5), None), (t, t + dt.timedelta(minutes=7), "A")], "start_time timestamp_ntz, end_time timestamp_ntz, category string")
+    got = sorted((r.level, str(r.category), r.minutes) for r in RP.category_rollup(df).collect())
+    assert got == [("all", "None", 12.0), ("date", "None", 12.0), ("date_category", "A", 7.0), ("date_category", "None", 5.0)]

@@ -20,6 +20,7 @@ def frame(spark, rows, device="d1"):
 
 def secs(rows):
     return [(r.app, (r.start_time - T0).total_seconds(), (r.end_time - T0).total_seconds()) for r in rows]
+from dwell.operators import ordered as O
 
 
 def test_rollover(spark):
@@ -152,3 +153,21 @@ def test_stitch_keeps_span_and_never_adds_time(spark):
     covered = st.agg(F.sum(S.micros_between("start_time", "end_time"))).first()[0]
     original_span = sum((e - s).total_seconds() for s, e in span(sess).values()) * 1e6
     assert covered <= original_span
+
+
+T0_ = dt.datetime(2024, 1, 1)
+
+
+def test_null_device_is_a_device_of_its_own(spark):
+    rows = [(None, T0_, 0, "A"), (None, T0_ + dt.timedelta(seconds=5), 1, "B"), ("d", T0_, 2, "A")]
+    df = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, seq long, app string")
+    got = sorted((r.device_id, r.app, r.prev_app) for r in O.with_prev(df, ["device_id"], ["ts", "seq"], ["app"]).collect())
+    assert got == [(O.NO_KEY, "A", None), (O.NO_KEY, "B", "A"), ("d", "A", None)]
+
+
+def test_idle_poll_without_app_closes_segment(spark):
+    at = lambda s: T0_ + dt.timedelta(seconds=s)
+    rows = [("d", at(0), 0, "A", "t", None, 0.0), ("d", at(600), 1, None, None, None, 900.0), ("d", at(3600), 2, "A", "t", None, 0.0), ("d", at(3610), 3, "B", "t", None, 0.0)]
+    df = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, seq long, app string, title string, url string, idle_seconds double")
+    got = S.segments(df, idle=S.is_idle("idle_seconds", 600)).collect()
+    assert sorted(r.end_ts - r.start_ts for r in got) == [10.0, 600.0]

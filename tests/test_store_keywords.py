@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dwell.operators import keywords as K
 from dwell.operators import labels as L
-from dwell.streaming.keywords import apply_capped_increments
+from dwell.streaming.keywords import CappedIndex
 
 
 def test_valid_events(spark):
@@ -64,9 +64,16 @@ def test_keyword_sessions(spark):
 
 
 def test_capped_replacement():
-    entries = [["a", 3], ["b", 1], ["c", 1]]
-    assert apply_capped_increments(entries, ["d"], cap=3) == [["a", 3], ["d", 1], ["c", 1]]
-    assert apply_capped_increments([["a", 1]], ["a", "b"], cap=3) == [["a", 2], ["b", 1]]
+    def after(entries, words):
+        index = CappedIndex(entries, 3)
+        for w in words:
+            index.add(w)
+        return index.entries()
+
+    assert after([["a", 3], ["b", 1], ["c", 1]], ["d"]) == [["a", 3], ["d", 1], ["c", 1]]
+    assert after([["a", 1]], ["a", " B ", None, ""]) == [["a", 2], ["b", 1]]
+    # equal counts: the first position; a replaced word starts over
+    assert after([], ["a", "b", "c", "c", "d", "a", "b"]) == [["a", 1], ["b", 2], ["c", 2]]
 
 
 def test_top_k_ties(spark):
