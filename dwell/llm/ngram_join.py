@@ -25,10 +25,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import NULL_ID, arrow_map, as_bytes, connected_components, keyed_texts, mix64, odd_constants, rolling, slices, table, u64_as_i64, word_hash, write_table
+from dwell.llm.common import NULL_ID, arrow_map, as_bytes, connected_components, discard, keyed_texts, mix64, odd_constants, rolling, slices, table, u64_as_i64, word_hash, write_table
 
 N = 5
 PERCENT = 75
@@ -36,7 +36,6 @@ COMMON_SHARE = 0.001  # an n-gram is common if it is in this share of the docume
 COMMON_LEAST = 8
 CHUNK_GRAMS = 2_000_000
 MAX_COMMON = 200_000  # most common ones kept for the order (1.6 MB, broadcast)
-HUB_ROUNDS = 2
 BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
 LOWER_HALF = np.uint64(1 << 63)
 _SEED = 404
@@ -130,26 +129,39 @@ def _signatures(n: int, percent: int, common):
     return build
 
 
-def _sets(n: int):
+def _packed(n: int):
+    """Texts, lower-cased and compressed, with the parity bits of their sets."""
+
     def build():
+        codec = pa.Codec("zstd")
+
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = gram_sets(as_bytes(b.column(1)), n)
-            odd = np.stack([np.bincount((g % np.uint64(64 * len(BITS))).astype(np.int64), minlength=64 * len(BITS)) & 1 for g in sets])
+            texts = [t.lower() for t in as_bytes(b.column(1))]
+            odd = np.stack([np.bincount((g % np.uint64(64 * len(BITS))).astype(np.int64), minlength=64 * len(BITS)) & 1 for g in gram_sets(texts, n)])
             bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
             cols = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS))]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in sets], pa.binary()), *cols], names=["v", "grams", *BITS])
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            return pa.RecordBatch.from_arrays([b.column(0), packed, pa.array([len(t) for t in texts], pa.int64()), *cols], names=["v", "packed", "size", *BITS])
 
         return work
 
     return build
 
 
-def _similar(percent: int):
+def _similar(n: int, percent: int):
     def build():
+        codec = pa.Codec("zstd")
+        kept: list = [None, None]
+
+        def grams(packed: bytes, size: int) -> np.ndarray:
+            return gram_sets([codec.decompress(packed, decompressed_size=size, asbytes=True)], n)[0]
+
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
             hits = []
-            for i, (ga, gb) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(ga, dtype=np.uint64), np.frombuffer(gb, dtype=np.uint64)
+            for i, (hub, pa_, sa, pb, sb) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True)):
+                if hub != kept[0]:  # rows of one hub come together
+                    kept[:] = hub, grams(pb, sb)
+                x, y = grams(pa_, sa), kept[1]
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
@@ -169,12 +181,12 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    sa = sets.select(F.col("v").alias("a"), F.col("grams").alias("ga"))
-    sb = sets.select(F.col("v").alias("b"), F.col("grams").alias("gb"))
-    j = pairs.join(sa, "a").join(sb, "b").select("a", "b", "ga", "gb")
-    return write_table(arrow_map(j, _similar(percent), "a long, b long", text_col="ga"), name)
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts link; b is the side that many pairs share."""
+    ta = texts.select(F.col("v").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa"))
+    tb = texts.select(F.col("v").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb"))
+    j = pairs.join(ta, "a").join(tb, "b").select("a", "b", "pa", "sa", "pb", "sb")
+    return write_table(arrow_map(j, _similar(n, percent), "a long, b long", text_col="pa"), name)
 
 
 def _still_open(entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -185,32 +197,27 @@ def _still_open(entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return write_table(e.join(open_, "tok"), name)
 
 
-def _hub_pairs(entries: DataFrame, used: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): each node with the hub of another component that it shares most
-    prefix n-grams with. A hub is, per n-gram and size class, the node whose
-    n-grams occur in most nodes: of a family of copies the one nearest to all.
-    Nodes in ``used`` were hubs before."""
+def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node with the hub that it shares most prefix n-grams with. A
+    hub is, per n-gram and size class, the node with most n-grams that occur
+    elsewhere (``cw``): of a family of copies one that is near to all."""
     e = entries.withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    df = e.groupBy("tok", "sc").agg(F.count(F.lit(1)).alias("df"))
-    central = e.join(df, ["tok", "sc"]).groupBy("v").agg(F.sum("df").alias("cw"))
-    if used is not None:
-        central = central.join(used, "v", "left_anti")
-    hubs = e.join(central, "v").groupBy("tok", "sc").agg(F.max(F.struct("cw", "v", "n", "comp")).alias("h"))
-    met = e.join(hubs, ["tok", "sc"]).where(F.col("comp") != F.col("h.comp"))
+    hubs = e.groupBy("tok", "sc").agg(F.max(F.struct("cw", "v", "n")).alias("h"))
+    met = e.join(hubs, ["tok", "sc"]).where(F.col("v") != F.col("h.v"))
     met = met.where(_sizes_fit(F.col("n"), F.col("h.n"), percent))
     c = met.groupBy("v", F.col("h.v").alias("hub")).agg(F.sum("w").alias("c"))
     best = c.groupBy("v").agg(F.max(F.struct("c", "hub")).alias("m"))
     return best.select(F.col("v").alias("a"), F.col("m.hub").alias("b"))
 
 
-def _rest_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(entries: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that may still link. Within an n-gram the
     nodes outside its largest component meet the others, so copies that already
     lie together never meet each other; sizes and parity bits that rule a link
     out are conditions of that join."""
     per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     big = per.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m")).select("tok", F.col("m.comp").alias("big"))
-    entries = entries.join(sets.select("v", *BITS), "v")
+    entries = entries.join(packed.select("v", *BITS), "v")
     side = lambda i: [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
     x = entries.join(big, "tok").where("comp <> big").select("tok", "big", "w", *side(1))
     y = entries.select("tok", *side(2))
@@ -254,36 +261,33 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     some = sigs.where("n > 0")
     nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("gk").alias("gk"))
     nodes = write_table(nodes.select("d1", "d2", "n", "gk", "r.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
+    slim = write_table(sigs.select("_id", "_th", "n", "d1", "d2"), "ngram-slim")
 
     groups = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"))
     met = groups.select("gk", "n", F.explode("toks").alias("tok"))
     shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok"), "ngram-shared")
     met = met.join(shared.hint("shuffle_hash"), "tok")
+    met = met.withColumn("cw", F.count(F.lit(1)).over(Window.partitionBy("gk", "n")))  # one prefix
     members = nodes.select("gk", "n", "v")
     # members of one group share their whole prefix: one entry stands for it
     several = members.groupBy("gk", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gk", "n")
-    inside = members.join(several, ["gk", "n"]).select(F.xxhash64("gk", "n").alias("tok"), "v", "n", F.col("n").cast("long").alias("w"))
-    entries = met.join(members, ["gk", "n"]).select("tok", "v", "n", F.lit(1).cast("long").alias("w")).unionByName(inside)
+    inside = members.join(several, ["gk", "n"]).select(F.xxhash64("gk", "n").alias("tok"), "v", "n", F.col("n").alias("w"), F.col("n").cast("long").alias("cw"))
+    entries = met.join(members, ["gk", "n"]).select("tok", "v", "n", F.lit(1).alias("w"), "cw").unionByName(inside)
     entries = write_table(entries, "ngram-entries")
+    discard(sigs)
 
     who = entries.select("v").distinct().join(nodes.select("v", "_id", "_th"), "v")
     texts = texts.join(who, ["_id", "_th"]).dropDuplicates(["v"]).select("v", "_text")
-    sets = write_table(arrow_map(texts, _sets(n), f"v long, grams binary, {', '.join(f'{x} long' for x in BITS)}"), "ngram-sets")
-    left, links, used = entries.withColumn("comp", F.col("v")), None, None
-    for step in range(HUB_ROUNDS):
-        pairs = write_table(_hub_pairs(left, used, percent), "ngram-hub-pairs")
-        hubs = pairs.select(F.col("b").alias("v")).distinct()
-        used = hubs if used is None else used.unionByName(hubs)
-        new = _verified(pairs, sets, percent, "ngram-links")
-        links = new if links is None else links.unionByName(new)
-        left = _still_open(entries, links, f"ngram-open{step}")
-    links = links.unionByName(_verified(_rest_pairs(left, sets, percent), sets, percent, "ngram-links"))
+    packed = write_table(arrow_map(texts, _packed(n), f"v long, packed binary, size long, {', '.join(f'{x} long' for x in BITS)}"), "ngram-texts")
+    links = _verified(_hub_pairs(entries, percent), packed, n, percent, "ngram-links")
+    left = _still_open(entries, links, "ngram-open")
+    links = links.unionByName(_verified(_rest_pairs(left, packed, percent), packed, n, percent, "ngram-links"))
     comp = connected_components(links, "ngram-cc")
     sig_nodes = nodes.select("d1", "d2", "v", "_id").join(comp.select(F.col("node").alias("v"), "component"), "v", "left")
     sig_nodes = sig_nodes.withColumn("component", F.coalesce("component", "v"))
     least = sig_nodes.groupBy("component").agg(F.min("_id").alias("least"))
     sig_nodes = sig_nodes.join(least, "component").select("d1", "d2", "least")
-    out = sigs.select("_id", "_th", "n", "d1", "d2").join(sig_nodes.withColumn("has", F.lit(1)), ["d1", "d2"], "left")
+    out = slim.join(sig_nodes.withColumn("has", F.lit(1)), ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id"))
     return out.select(
         F.nullif("_id", F.lit(NULL_ID)).alias("doc_id"),
