@@ -1,8 +1,9 @@
-"""Token-id files: flat unsigned 32-bit ids plus 64-bit document offsets.
+"""Token-id files: flat unsigned integer ids plus 64-bit document offsets.
 
 Layout of a data set folder (little-endian throughout):
 
-* ``tokens-PPPPP.bin``: the ids of partition P's documents, end id included;
+* ``tokens-PPPPP.bin``: the ids of partition P's documents, end id included,
+  as unsigned 16-bit integers where the vocabulary fits, else 32-bit;
 * ``offsets-PPPPP.bin``: unsigned 64-bit, one more than documents: where each
   starts within the partition's ids;
 * ``docs-PPPPP.bin``: signed 64-bit document ids.
@@ -36,6 +37,11 @@ PIECE_CHARS = 64  # longer pieces are encoded without going through the cache
 READ_DOCS = 2048
 
 
+def id_type(vocabulary: int) -> str:
+    """16 bits where every id fits, else 32."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class Encoder:
     """Byte-level BPE ids of whole texts.
 
@@ -50,6 +56,7 @@ class Encoder:
 
         self._tok = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self.dtype = id_type(self._tok.get_vocab_size())
         self._limit = cache_items
         self._cache: dict[str, bytes] = {}
 
@@ -57,8 +64,8 @@ class Encoder:
     def _visible(c: str) -> bool:
         return "!" <= c <= "~" or "À" <= c <= "ɏ"
 
-    def _raw(self, piece: str) -> bytes:
-        return np.array(self._tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _batch(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str]:
         parts = text.split(" ")
@@ -72,23 +79,19 @@ class Encoder:
                 out[-1] = f"{last} {p}"
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of ``text``."""
-        if not text:
-            return b""
-        if any(a in text for a in self._added):
-            return self._raw(text)
-        get, out = self._cache.get, []
-        for p in self._pieces(text):
-            b = get(p)
-            if b is None:
-                b = self._raw(p)
-                if len(p) <= PIECE_CHARS:
-                    if len(self._cache) >= self._limit:
-                        self._cache.clear()
-                    self._cache[p] = b
-            out.append(b)
-        return b"".join(out)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, as little-endian unsigned integers of ``dtype``."""
+        added = [any(a in t for a in self._added) for t in texts]
+        cut = [[t] if x or not t else self._pieces(t) for t, x in zip(texts, added, strict=True)]
+        need = {p for ps in cut for p in ps if p}
+        if len(self._cache) + len(need) > self._limit:
+            self._cache = {}
+        missing = [p for p in need if p not in self._cache]
+        local = dict(zip(missing, self._batch(missing), strict=True)) if missing else {}
+        self._cache.update((p, b) for p, b in local.items() if len(p) <= PIECE_CHARS)
+        local[""] = b""
+        cached = self._cache
+        return [b"".join([cached[p] if p in cached else local[p] for p in ps]) for ps in cut]
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +127,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encode every whole text (null: empty), append ``end_id``, and write the
     files in ascending id order (ties by text; null ids first, stored as -2^63). Returns the
-    partition table (part, n_docs, n_tokens, base_doc, base_token), one row per
+    partition table (part, n_docs, n_tokens, width in bytes, base_doc, base_token), one row per
     partition. An empty table writes no files and gives an empty table."""
     spark = docs.sparkSession
     path = tokenizer_path or default_tokenizer_path()
@@ -137,7 +140,8 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         store, root = _filesystem(folder)
         temp = f"{root}/_tmp-{part:05d}-{uuid.uuid4().hex}"
-        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(path)
+        end, width = np.array([end_id], dtype=enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
         ids, lens, tok = [], [], None
         for batch in batches:
             for s in slices(batch, "_text"):
@@ -145,10 +149,9 @@ def write_token_files(
                     store.create_dir(root, recursive=True)
                     tok = store.open_output_stream(f"{temp}.tokens")
                 ids.append(s.column(0).to_numpy())
-                for t in s.column(1).to_pylist():
-                    b = enc.encode(t) + end
-                    lens.append(len(b) // 4)
-                    tok.write(b)
+                coded = [b + end for b in enc.encode(s.column(1).to_pylist())]
+                lens.extend(len(b) // width for b in coded)
+                tok.write(b"".join(coded))
         if tok is None:
             return
         tok.close()
@@ -158,15 +161,15 @@ def write_token_files(
                 f.write(a.tobytes())
         for name in ("tokens", "offsets", "docs"):
             store.move(f"{temp}.{name}", f"{root}/{name}-{part:05d}.bin")
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(lens)]), pa.array([int(offsets[-1])])], names=["part", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(lens)]), pa.array([int(offsets[-1])]), pa.array([width])], names=["part", "n_docs", "n_tokens", "width"])
 
     # one row per partition: the prefix sums of the bases are taken over these
-    parts = sorted(d.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
+    parts = sorted(d.mapInArrow(run, "part long, n_docs long, n_tokens long, width long").collect())
     rows, doc, tok = [], 0, 0
     for p in parts:
-        rows.append((p["part"], p["n_docs"], p["n_tokens"], doc, tok))
+        rows.append((*p, doc, tok))
         doc, tok = doc + p["n_docs"], tok + p["n_tokens"]
-    return spark.createDataFrame(rows, "part long, n_docs long, n_tokens long, base_doc long, base_token long")
+    return spark.createDataFrame(rows, "part long, n_docs long, n_tokens long, width long, base_doc long, base_token long")
 
 
 def _map(store, path: str, dtype: str) -> np.ndarray:
@@ -188,12 +191,12 @@ def read_token_files(parts: DataFrame, folder: str) -> DataFrame:
         store, root = _filesystem(folder)
         for b in batches:
             for p in b.to_pylist():
-                tok = _map(store, f"{root}/tokens-{p['part']:05d}.bin", "<u4")
+                tok = _map(store, f"{root}/tokens-{p['part']:05d}.bin", f"<u{p['width']}")
                 off = _map(store, f"{root}/offsets-{p['part']:05d}.bin", "<u8")
                 ids = _map(store, f"{root}/docs-{p['part']:05d}.bin", "<i8")
                 for s in range(0, len(ids), READ_DOCS):
                     o = off[s : s + READ_DOCS + 1].astype(np.int64)
-                    crc = [zlib.crc32(tok[a:z]) for a, z in zip(o[:-1], o[1:], strict=True)]
+                    crc = [zlib.crc32(tok[a:z].astype("<u4")) for a, z in zip(o[:-1], o[1:], strict=True)]
                     i = ids[s : s + READ_DOCS].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(i, mask=i == NULL_ID), pa.array(o[:-1] + p["base_token"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
