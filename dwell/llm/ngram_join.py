@@ -81,7 +81,7 @@ def _common(n: int):
             for s in slices(b, "_text"):
                 # all runs of n words of the slice; the few that cross two texts don't matter to an order
                 # (in the order by hash, prefixes lie in the lower half unless that is common throughout)
-                h = rolling(word_hash().of([x for t in as_bytes(s.column(0)) for x in (t or b"").lower().split()]), consts)
+                h = rolling(word_hash().of(b" ".join([t or b"" for t in as_bytes(s.column(0))]).lower().split()), consts)
                 h = h[h < LOWER_HALF]
                 held.append(h)
                 size, docs = size + len(h), docs + s.num_rows
@@ -99,9 +99,10 @@ def _signatures(n: int, percent: int, common):
         last = common.value
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, keys, prefixes = [], [], [], []
+            sizes, digests, keys, prefixes, odd = [], [], [], [], []
             for g in gram_sets(as_bytes(b.column(2)), n):
                 sizes.append(len(g))
+                odd.append(np.bincount((g % np.uint64(64 * len(BITS))).view(np.int64), minlength=64 * len(BITS)) & 1)
                 digests.append(blake2b(g.tobytes(), digest_size=16).digest())
                 p = prefix_length(len(g), percent) if len(g) else 0
                 if len(last) and len(g):
@@ -110,6 +111,7 @@ def _signatures(n: int, percent: int, common):
                 prefixes.append(g[:p].view(np.int64))
                 keys.append(blake2b(g[:p].tobytes(), digest_size=8).digest())
             d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            bits = np.packbits(np.stack(odd).astype(np.uint8), axis=1).view(np.int64)
             off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [
@@ -120,8 +122,9 @@ def _signatures(n: int, percent: int, common):
                     pa.array(d[:, 1].copy()),
                     pa.array(np.frombuffer(b"".join(keys), dtype=np.int64)),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefixes))),
+                    *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS))],
                 ],
-                names=["_id", "_th", "n", "d1", "d2", "gk", "toks"],
+                names=["_id", "_th", "n", "d1", "d2", "gk", "toks", *BITS],
             )
 
         return work
@@ -129,43 +132,17 @@ def _signatures(n: int, percent: int, common):
     return build
 
 
-def _packed(n: int):
-    """Texts, lower-cased and compressed, with the parity bits of their sets."""
-
-    def build():
-        codec = pa.Codec("zstd")
-
-        def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t.lower() for t in as_bytes(b.column(1))]
-            odd = np.stack([np.bincount((g % np.uint64(64 * len(BITS))).astype(np.int64), minlength=64 * len(BITS)) & 1 for g in gram_sets(texts, n)])
-            bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-            cols = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS))]
-            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
-            return pa.RecordBatch.from_arrays([b.column(0), packed, pa.array([len(t) for t in texts], pa.int64()), *cols], names=["v", "packed", "size", *BITS])
-
-        return work
-
-    return build
-
-
 def _similar(n: int, percent: int):
     def build():
-        codec = pa.Codec("zstd")
         kept: list = [None, None]
 
-        def grams(packed: bytes, size: int) -> np.ndarray:
-            return gram_sets([codec.decompress(packed, decompressed_size=size, asbytes=True)], n)[0]
-
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
             hits = []
-            for i, (hub, pa_, sa, pb, sb) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True)):
+            for i, (hub, ta, tb) in enumerate(zip(b.column(1).to_pylist(), as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True)):
                 if hub != kept[0]:  # rows of one hub come together
-                    kept[:] = hub, grams(pb, sb)
-                x, y = grams(pa_, sa), kept[1]
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
+                    kept[:] = hub, gram_sets([tb], n)[0]
+                x, y = gram_sets([ta], n)[0], kept[1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     hits.append(i)
             if not hits:
@@ -181,12 +158,27 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+def _near(side1: str, side2: str, percent: int) -> Column:
+    """False only where the parity bits rule a link out: cells of unequal parity
+    hold at least one n-gram of one set alone."""
+    apart = sum((F.bit_count(F.col(f"{x}_{side1}").bitwiseXOR(F.col(f"{x}_{side2}"))) for x in BITS), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"n{side1}") + F.col(f"n{side2}")) * (100 - percent)
+
+
+def _side(i: str) -> list[Column]:
+    return [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts link; b is the side that many pairs share."""
-    ta = texts.select(F.col("v").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa"))
-    tb = texts.select(F.col("v").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb"))
-    j = pairs.join(ta, "a").join(tb, "b").select("a", "b", "pa", "sa", "pb", "sb")
-    return write_table(arrow_map(j, _similar(n, percent), "a long, b long", text_col="pa"), name)
+    pairs = write_table(pairs, "ngram-pairs")
+    who = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    who = write_table(who.join(nodes.select("v", "_id", "_th"), "v"), "ngram-who")
+    held = write_table(texts.join(who, ["_id", "_th"]).select("v", "_text").dropDuplicates(["v"]), "ngram-texts")
+    ta = held.select(F.col("v").alias("a"), F.col("_text").alias("ta"))
+    tb = held.select(F.col("v").alias("b"), F.col("_text").alias("tb"))
+    j = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    return write_table(arrow_map(j, _similar(n, percent), "a long, b long", text_col="ta"), "ngram-links")
 
 
 def _still_open(entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -197,7 +189,7 @@ def _still_open(entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return write_table(e.join(open_, "tok"), name)
 
 
-def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def _hub_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node with the hub that it shares most prefix n-grams with. A
     hub is, per n-gram and size class, the node with most n-grams that occur
     elsewhere (``cw``): of a family of copies one that is near to all."""
@@ -206,26 +198,23 @@ def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     met = e.join(hubs, ["tok", "sc"]).where(F.col("v") != F.col("h.v"))
     met = met.where(_sizes_fit(F.col("n"), F.col("h.n"), percent))
     c = met.groupBy("v", F.col("h.v").alias("hub")).agg(F.sum("w").alias("c"))
-    best = c.groupBy("v").agg(F.max(F.struct("c", "hub")).alias("m"))
-    return best.select(F.col("v").alias("a"), F.col("m.hub").alias("b"))
+    best = c.groupBy("v").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("v").alias("v1"), F.col("m.hub").alias("v2"))
+    best = best.join(nodes.select(*_side("1")), "v1").join(nodes.select(*_side("2")), "v2").where(_near("1", "2", percent))
+    return best.select(F.col("v1").alias("a"), F.col("v2").alias("b"))
 
 
-def _rest_pairs(entries: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that may still link. Within an n-gram the
     nodes outside its largest component meet the others, so copies that already
     lie together never meet each other; sizes and parity bits that rule a link
     out are conditions of that join."""
     per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     big = per.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m")).select("tok", F.col("m.comp").alias("big"))
-    entries = entries.join(packed.select("v", *BITS), "v")
-    side = lambda i: [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
-    x = entries.join(big, "tok").where("comp <> big").select("tok", "big", "w", *side(1))
-    y = entries.select("tok", *side(2))
-    # cells of unequal parity hold at least one n-gram of one set alone
-    apart = sum((F.bit_count(F.col(f"{x}_1").bitwiseXOR(F.col(f"{x}_2"))) for x in BITS), F.lit(0))
-    near = apart * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
+    entries = entries.join(nodes.select("v", *BITS), "v")
+    x = entries.join(big, "tok").where("comp <> big").select("tok", "big", "w", F.col("comp").alias("c1"), *_side("1"))
+    y = entries.select("tok", F.col("comp").alias("c2"), *_side("2"))
     once = (F.col("c2") == F.col("big")) | (F.col("v1") < F.col("v2"))
-    j = x.join(y, "tok").where((F.col("c1") != F.col("c2")) & once & _sizes_fit(F.col("n1"), F.col("n2"), percent) & near)
+    j = x.join(y, "tok").where((F.col("c1") != F.col("c2")) & once & _sizes_fit(F.col("n1"), F.col("n2"), percent) & _near("1", "2", percent))
     swap = F.col("v1") < F.col("v2")
     j = j.select(
         F.least("v1", "v2").alias("a"),
@@ -256,11 +245,11 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     common = common.orderBy(F.desc("c"), "tok").limit(MAX_COMMON).select("tok").collect()
     last = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], dtype=np.int64).view(np.uint64)))
     sigs = write_table(
-        arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, toks array<long>"), "ngram-sigs"
+        arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, toks array<long>, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sigs"
     )
     some = sigs.where("n > 0")
-    nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("gk").alias("gk"))
-    nodes = write_table(nodes.select("d1", "d2", "n", "gk", "r.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
+    nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("gk").alias("gk"), F.first(F.struct(*BITS)).alias("bits"))
+    nodes = write_table(nodes.select("d1", "d2", "n", "gk", "r.*", "bits.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
     slim = write_table(sigs.select("_id", "_th", "n", "d1", "d2"), "ngram-slim")
 
     groups = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"))
@@ -276,12 +265,9 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     entries = write_table(entries, "ngram-entries")
     discard(sigs)
 
-    who = entries.select("v").distinct().join(nodes.select("v", "_id", "_th"), "v")
-    texts = texts.join(who, ["_id", "_th"]).dropDuplicates(["v"]).select("v", "_text")
-    packed = write_table(arrow_map(texts, _packed(n), f"v long, packed binary, size long, {', '.join(f'{x} long' for x in BITS)}"), "ngram-texts")
-    links = _verified(_hub_pairs(entries, percent), packed, n, percent, "ngram-links")
+    links = _verified(_hub_pairs(entries, nodes, percent), texts, nodes, n, percent)
     left = _still_open(entries, links, "ngram-open")
-    links = links.unionByName(_verified(_rest_pairs(left, packed, percent), packed, n, percent, "ngram-links"))
+    links = links.unionByName(_verified(_rest_pairs(left, nodes, percent), texts, nodes, n, percent))
     comp = connected_components(links, "ngram-cc")
     sig_nodes = nodes.select("d1", "d2", "v", "_id").join(comp.select(F.col("node").alias("v"), "component"), "v", "left")
     sig_nodes = sig_nodes.withColumn("component", F.coalesce("component", "v"))
