@@ -32,7 +32,7 @@ from dwell.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_ITEMS = 300_000
+CACHE_ITEMS = 400_000  # per generation; two are kept
 PIECE_CHARS = 64  # longer pieces are encoded without going through the cache
 READ_DOCS = 2048
 
@@ -59,6 +59,7 @@ class Encoder:
         self.dtype = id_type(self._tok.get_vocab_size())
         self._limit = cache_items
         self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}  # the generation before
 
     @staticmethod
     def _visible(c: str) -> bool:
@@ -84,14 +85,17 @@ class Encoder:
         added = [any(a in t for a in self._added) for t in texts]
         cut = [[t] if x or not t else self._pieces(t) for t, x in zip(texts, added, strict=True)]
         need = {p for ps in cut for p in ps if p}
-        if len(self._cache) + len(need) > self._limit:
-            self._cache = {}
-        missing = [p for p in need if p not in self._cache]
-        local = dict(zip(missing, self._batch(missing), strict=True)) if missing else {}
-        self._cache.update((p, b) for p, b in local.items() if len(p) <= PIECE_CHARS)
+        if len(self._cache) > self._limit:
+            self._older, self._cache = self._cache, {}
+        cache, older = self._cache, self._older
+        local = {p: b for p in need if (b := cache.get(p) or older.get(p))}
+        missing = [p for p in need if p not in local]
+        if missing:
+            local.update(zip(missing, self._batch(missing), strict=True))
+        cache.update((p, b) for p, b in local.items() if len(p) <= PIECE_CHARS)
         local[""] = b""
-        cached = self._cache
-        return [b"".join([cached[p] if p in cached else local[p] for p in ps]) for ps in cut]
+        get = local.__getitem__
+        return [b"".join(map(get, ps)) for ps in cut]
 
 
 @lru_cache(maxsize=2)
