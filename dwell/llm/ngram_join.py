@@ -38,6 +38,7 @@ CHUNK_GRAMS = 2_000_000
 MAX_COMMON = 200_000  # most common ones kept for the order (1.6 MB, broadcast)
 BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
 LOWER_HALF = np.uint64(1 << 63)
+BITMAP_WORDS = 1 << 17
 _SEED = 404
 
 
@@ -174,7 +175,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, perc
     pairs = write_table(pairs, "ngram-pairs")
     who = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     who = write_table(who.join(nodes.select("v", "_id", "_th"), "v"), "ngram-who")
-    held = write_table(texts.join(who, ["_id", "_th"]).select("v", "_text").dropDuplicates(["v"]), "ngram-texts")
+    # a bitmap of fixed size (2 MB) spares most texts the shuffle; the join decides
+    cell = F.pmod(F.xxhash64("_id", "_th"), F.lit(64 * BITMAP_WORDS))
+    at = lambda d: d.withColumn("bit", (cell % 64).cast("int")).withColumn("word", F.floor(cell / 64).cast("int"))
+    bitmap = at(who).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    some = at(texts).join(F.broadcast(bitmap), "word").where(F.getbit("bits", "bit") == 1).drop("word", "bit", "bits")
+    held = write_table(some.join(who, ["_id", "_th"]).select("v", "_text").dropDuplicates(["v"]), "ngram-texts")
     ta = held.select(F.col("v").alias("a"), F.col("_text").alias("ta"))
     tb = held.select(F.col("v").alias("b"), F.col("_text").alias("tb"))
     j = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
