@@ -4,7 +4,7 @@ word hashing inside Arrow tasks, and distributed connected components."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dwell.session import scratch_path
 
+T = TypeVar("T")
 NULL_ID = -(2**63)
 SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
@@ -92,10 +93,20 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@lru_cache(maxsize=1)
+_HELD: list = [None, None]
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """A worker's cached helper, kept for its later tasks. One at a time: the
+    task of another operator drops it, so that caches never add up."""
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        _HELD[:] = key, make()
+    return _HELD[1]
+
+
 def word_hash() -> WordHash:
-    """The worker's cache, kept for later tasks."""
-    return WordHash()
+    return held(("words",), WordHash)
 
 
 def rolling(w: np.ndarray, consts: np.ndarray) -> np.ndarray:

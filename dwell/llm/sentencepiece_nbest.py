@@ -21,20 +21,19 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.common import arrow_map, table
+from dwell.llm.common import arrow_map, held, table
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # an uncovered character scores this much below the lowest piece
-CACHE_ITEMS = 300_000  # per generation; two are kept
+CACHE_ITEMS = 250_000  # per generation; two are kept
 CACHE_CHARS = 48  # longer segments are searched each time
 
 
@@ -248,9 +247,8 @@ class Lattice:
         return s[1:]
 
 
-@lru_cache(maxsize=2)
 def load(path: str | None = None, n_best: int = N_BEST) -> Lattice:
-    """A lattice (kept with its cache for a worker's later tasks) over the normal pieces of a model file with byte fallback."""
+    """A lattice over the normal pieces of a model file with byte fallback."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or default_model_path())
@@ -274,7 +272,7 @@ def encode(docs: DataFrame, model_path: str | None = None, n_best: int = N_BEST,
     d = docs.select(row, F.col(text_col).alias("_text"))
 
     def build():
-        lat = load(model_path, n_best)
+        lat = held(("pieces", model_path, n_best), lambda: load(model_path, n_best))
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             best = [lat.n_best(t) for t in b.column(1).to_pylist()]
@@ -303,7 +301,7 @@ def summarize(docs: DataFrame, model_path: str | None = None, n_best: int = N_BE
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
 
     def build():
-        lat = load(model_path, n_best)
+        lat = held(("pieces", model_path, n_best), lambda: load(model_path, n_best))
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[], [], [], [], []]

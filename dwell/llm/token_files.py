@@ -20,14 +20,13 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.common import NULL_ID, slices, table
+from dwell.llm.common import NULL_ID, held, slices, table
 from dwell.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -98,10 +97,8 @@ class Encoder:
         return [b"".join(map(get, ps)) for ps in cut]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder, kept with its cache for later tasks."""
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def default_tokenizer_path() -> str:
