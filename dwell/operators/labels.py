@@ -55,7 +55,7 @@ def sequential_ids(df: DataFrame, order: Sequence[str], id_col: str = "id", num_
 
 def latest_classification(log: DataFrame, engine_version: str | None = None) -> DataFrame:
     """W6 upsert semantics: one row per (event_id, engine_version), the latest
-    by (created_at, seq). A partial aggregate: no sort, skew-safe."""
+    by (created_at, seq). A partial aggregate (sort-based, as the value is a struct), skew-safe."""
     if engine_version is not None:
         log = log.where(F.col("engine_version") == engine_version)
     keys = ["event_id"] if engine_version is not None else ["event_id", "engine_version"]
