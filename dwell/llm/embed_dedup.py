@@ -156,7 +156,8 @@ def embedding_near_duplicates(
     non-finite components, and rows with a null id, link with nothing (their
     component is their own id; a null id has a null component and is kept).
     Vectors of different lengths don't link. Repeated rows count as separate
-    vectors of one class. An empty table gives an empty result."""
+    vectors of one class; different vectors of one id count their own links, but
+    share the component. An empty table gives an empty result."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     ok = valid(F.col("v")) & F.col("vec_id").isNotNull()
