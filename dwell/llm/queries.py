@@ -22,8 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
-    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filters": url_filter.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
