@@ -17,8 +17,10 @@ speculative task leaves the same files. Readers memory-map them.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from dwell.session import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 CACHE_ITEMS = 400_000  # per generation; two are kept
-PIECE_CHARS = 64  # longer pieces are encoded without going through the cache
+PIECE_CHARS = 64  # longer pieces are not kept
 READ_DOCS = 2048
 
 
@@ -44,10 +46,15 @@ def id_type(vocabulary: int) -> str:
 class Encoder:
     """Byte-level BPE ids of whole texts.
 
-    A single space between two visible characters always starts a new
-    pre-token, so the text is cut there and the pieces' ids are kept in a cache
-    of bounded size; anything else stays inside its piece, and the tokenizer
-    itself encodes every piece. Ids equal those of the text in one call (tested)."""
+    A lone space or newline between two visible characters always starts a new
+    pre-token, so a text without other white space is cut there into pieces
+    whose ids are kept in a cache of bounded size; every other text is encoded
+    in one call. Punctuation after a letter is a pre-token of its own as well,
+    so a piece's ids are those of its core and those of its punctuation. The
+    tokenizer itself encodes both. Ids equal those of the text in one call (tested)."""
+
+    #: a piece that ends in punctuation after a letter; an apostrophe may join letters and stays in the core
+    _TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
     def __init__(self, path: str, cache_items: int = CACHE_ITEMS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,45 +63,72 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self.dtype = id_type(self._tok.get_vocab_size())
+        self._code = "H" if self.dtype == "<u2" else "I"
         self._limit = cache_items
         self._cache: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}  # the generation before
+        self._tails: dict[str, bytes] = {}
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        code = self._code
+        return [array(code, e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keys(self, text: str) -> list[str]:
+        """Cache keys of a text's pieces: a piece led by its space goes without it,
+        one led by its newline with it; a key led by a space is the text after
+        that, as it stands (the first piece, and a text that can't be cut)."""
+        flat = text.replace("\n", " ")
+        # of the white space only the plain space is printable
+        if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " " or any(a in text for a in self._added):
+            return [" " + text]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = " " + keys[0]
+        return keys
 
     @staticmethod
-    def _visible(c: str) -> bool:
-        return "!" <= c <= "~" or "À" <= c <= "ɏ"
-
-    def _batch(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        vis = self._visible
-        for p in parts[1:]:
-            last = out[-1]
-            if p and last and vis(p[0]) and vis(last[-1]):
-                out.append(" " + p)
+    def _literal(key: str) -> str:
+        return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
+
+    def _fill(self, keys: list[str], out: dict[str, bytes]) -> None:
+        """Encode the pieces that no cache holds; their cores are pieces as well."""
+        tails, cache, older, new, parts = self._tails, self._cache, self._older, [], []
+        for k in keys:
+            # text that stands as it is may hold white space: never taken apart
+            m = self._TAIL.fullmatch(k) if k[0] != " " else None
+            if m:
+                parts.append((k, *m.groups()))
             else:
-                out[-1] = f"{last} {p}"
-        return out
+                new.append(k)
+        for c in {c for _, c, _ in parts}.difference(new, out):
+            b = cache.get(c) or older.get(c)
+            if b is None:
+                new.append(c)
+            else:
+                out[c] = b
+        out.update(zip(new, self._batch([self._literal(k) for k in new]), strict=True))
+        if len(tails) > self._limit:
+            tails.clear()
+        new = list({t for _, _, t in parts}.difference(tails))
+        tails.update(zip(new, self._batch(new), strict=True))
+        for k, c, t in parts:
+            out[k] = out[c] + tails[t]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned integers of ``dtype``."""
-        added = [any(a in t for a in self._added) for t in texts]
-        cut = [[t] if x or not t else self._pieces(t) for t, x in zip(texts, added, strict=True)]
-        need = {p for ps in cut for p in ps if p}
+        cut = [self._keys(t) if t else [] for t in texts]
         if len(self._cache) > self._limit:
             self._older, self._cache = self._cache, {}
         cache, older = self._cache, self._older
-        local = {p: b for p in need if (b := cache.get(p) or older.get(p))}
-        missing = [p for p in need if p not in local]
+        need = set().union(*cut).difference(cache)
+        local = {k: b for k in need if (b := older.get(k)) is not None}
+        missing = [k for k in need if k not in local]
         if missing:
-            local.update(zip(missing, self._batch(missing), strict=True))
-        cache.update((p, b) for p, b in local.items() if len(p) <= PIECE_CHARS)
-        local[""] = b""
-        get = local.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+            self._fill(missing, local)
+        cache.update(local)
+        out = [b"".join(map(cache.__getitem__, ks)) for ks in cut]
+        for k in [k for k in local if len(k) > PIECE_CHARS]:
+            del cache[k]
+        return out
 
 
 def encoder(path: str) -> Encoder:
