@@ -171,6 +171,9 @@ def test_encoder_equals_one_call():
     rng = random.Random(1)
     alphabet = ["a", "b", " ", "  ", "\n", "'s", "1", "é", "ß", "\u00a0", "\u3000", "中", "!", "...", "\t", "\x00", "\u200b", "😀", "'"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(800)] + [LONG, " ", "a <|endoftext|> b", "x" * 5000]
+    # texts that are cut: lone spaces and newlines only, words with punctuation behind and in them
+    words = ["foo", "foo,", "Foo.", "don't", "'s", "été,%%%", "a-b", "--", "x_1.", "9,", "中.", "ß'!", "²", "y" * 70 + "."]
+    texts += ["".join(w + rng.choice(" \n") for w in rng.choices(words, k=rng.randrange(1, 30))).strip() for _ in range(300)]
     for i in range(0, len(texts), 7):
         for t, b in zip(texts[i : i + 7], enc.encode(texts[i : i + 7]), strict=True):
             assert np.frombuffer(b, dtype=enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
