@@ -5,6 +5,7 @@ import pytest
 from dwell.operators.classify import RuleSet, classify
 from dwell.sources.rules import DEFAULT_KEYWORD_INDEX
 
+# Inputs and labels that must equal the reference's, then own cases.
 ROWS = [
     ("Visual Studio Code", "main.py", "", ("Coding", True), "app:visual studio code"),
     ("Google Chrome", "ChatGPT - prompt engineering", "https://chatgpt.com/session", ("Research", True), "domain:chatgpt.com"),
