@@ -37,12 +37,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays
-    (of rows that repeat its id, one per text hash group: the smallest hash)."""
-    near = ngram_join.near_duplicates(docs)
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(id_key("doc_id").alias("_id")).agg(F.min("text_hash").alias("_th"))
+    (of rows that repeat its id: the smallest text hash; of rows that repeat both:
+    any one). Documents without words link with nothing: all stay."""
+    near = ngram_join.near_duplicates(docs).where(F.col("component").isNotNull())
+    first = near.groupBy("component").agg(F.min(F.struct(id_key("doc_id").alias("_id"), F.col("text_hash").alias("_th"))).alias("f")).select("f.*")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, id_key("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
-    return keyed.join(first, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("row.*")
+    words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    keyed = docs.where(words).select(row, id_key("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    kept = keyed.join(first, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("row.*")
+    return kept.unionByName(docs.where(~words))
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,13 +237,15 @@ def _rest_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id): one row per input row.
+    """(doc_id, text_hash, n_shingles, component_id, component): one row per input row.
 
     Two texts link when 100 |both| >= percent |either| over their distinct word
     n-grams; the component is the smallest id reachable by links. Texts that
     are null, empty or without words have no n-grams and link with nothing. Equal sets
     link (repeated rows, too); rows of one id with different texts are
-    separate nodes. A null id sorts before every other, and is null in both columns.
+    separate nodes, so ``component_id`` may stand for several components;
+    ``component`` is a key of one alone (null without n-grams).
+    A null id sorts before every other, and is null in both id columns.
     Clashing columns are not touched. An empty table gives an empty result."""
     spark = docs.sparkSession
     texts = keyed_texts(docs, id_col, text_col)
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     sig_nodes = nodes.select("d1", "d2", "v", "_id").join(comp.select(F.col("node").alias("v"), "component"), "v", "left")
     sig_nodes = sig_nodes.withColumn("component", F.coalesce("component", "v"))
     least = sig_nodes.groupBy("component").agg(F.min("_id").alias("least"))
-    sig_nodes = sig_nodes.join(least, "component").select("d1", "d2", "least")
+    sig_nodes = sig_nodes.join(least, "component").select("d1", "d2", "least", "component")
     out = slim.join(sig_nodes.withColumn("has", F.lit(1)), ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id"))
     return out.select(
@@ -286,6 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
         F.col("_th").alias("text_hash"),
         F.col("n").cast("long").alias("n_shingles"),
         F.nullif(own, F.lit(NULL_ID)).alias("component_id"),
+        "component",
     )
 
 

@@ -35,3 +35,15 @@ def test_near_duplicates_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = P.one_of_each_group(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "5", "9", "None"]
+
+
+def test_each_component_keeps_one_whatever_its_ids(spark):
+    text = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, ""), (None, None), (None, None), (None, " \n")]  # unrelated, no id
+    rows += [(7, text("p")), (7, text("q")), (7, text("q")), (7, "")]  # one id, two texts, one of them twice
+    for k in range(16):  # rows (i, X), (i, Y) and (j, X'): whichever of X and Y has the smaller hash
+        rows += [(100 + k, text(f"x{k}_")), (100 + k, text(f"y{k}_")), (200 + k, text(f"x{k}_") + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in P.one_of_each_group(spark, docs, SF).collect())
+    want = [r for i, r in enumerate(rows) if i != 9 and not (r[0] or 0) >= 200]
+    assert got == sorted((str(i), str(t)) for i, t in want)
