@@ -3,8 +3,9 @@
 Documents are aggregated once into token totals per (source, language, topic)
 cell. The cell totals are raked, margin after margin, until each margin's
 shares meet its targets; a cell's raked total over its own total is the weight
-of its documents, and weight x keep_fraction is the probability by which a
-document is sampled. Only the cell table is iterated on; the documents are read
+of its documents, and weight x keep_fraction is the number of times a document
+is expected in the sample: its whole part as copies, the rest as the probability
+of one more. Only the cell table is iterated on; the documents are read
 for the totals and once more for the result.
 """
 
@@ -98,13 +99,16 @@ def mix(
     carry: bool = False,
 ) -> DataFrame:
     """One row per document: ``doc_id, source, lang, topic, n_tokens, weight,
-    prob, sampled`` (with ``carry``: the whole input row as struct ``row``, too).
+    prob, sampled, copies`` (with ``carry``: the whole input row as struct ``row``, too).
 
     weight: raked over observed tokens of the document's cell; prob =
     min(1, weight x keep_fraction); sampled: the id's hash falls below prob (a
-    null id: the text's hash), so repeated rows share a decision. Null source or
+    null id: the text's hash), so repeated rows share a decision. copies: how often
+    the sample holds the document; floor(weight x keep_fraction), and one more if the
+    hash falls below what is left, so that the cells' expected tokens are the raked
+    ones even where prob is cut at 1. Null source or
     lang are levels of their own. Documents without tokens (null, empty or blank text) weigh
-    nothing in any margin: weight 1, prob 1, kept. An empty table gives an empty result."""
+    nothing in any margin: weight 1, prob 1, kept once. An empty table gives an empty result."""
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))
     text = F.col(text_col)
     extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
@@ -126,7 +130,9 @@ def mix(
     ratio = raked.join(F.broadcast(tot)).select(*DIMS, F.round(F.col("x") * F.col("tot") / F.col("w"), 9).alias("ratio"))
     j = d.join(ratio, list(DIMS), "left")
     weight = F.when(F.col("n_tokens") > 0, F.col("ratio")).otherwise(F.lit(1.0))
-    j = j.withColumn("weight", weight).withColumn("prob", F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.round(F.col("weight") * F.lit(float(keep_fraction)), 9))).otherwise(F.lit(1.0)))
+    j = j.withColumn("weight", weight).withColumn("times", F.when(F.col("n_tokens") > 0, F.round(F.col("weight") * F.lit(float(keep_fraction)), 9)).otherwise(F.lit(1.0)))
+    j = j.withColumn("prob", F.least(F.lit(1.0), F.col("times")))
+    whole = F.floor("times")
     return j.select(
         "doc_id",
         F.col("o_source").alias("source"),
@@ -136,6 +142,7 @@ def mix(
         "weight",
         "prob",
         (F.col("u") < F.col("prob")).alias("sampled"),
+        (whole + (F.col("u") < F.col("times") - whole).cast("long")).alias("copies"),
         *(["row"] if carry else []),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from dwell.llm import sentencepiece_nbest
+from dwell.llm import mixing, sentencepiece_nbest
 from dwell.llm.common import write_table
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,14 @@ def test_each_component_keeps_one_whatever_its_ids(spark):
     got = sorted((str(r.doc_id), str(r.text)) for r in P.one_of_each_group(spark, docs, SF).collect())
     want = [r for i, r in enumerate(rows) if i != 9 and not (r[0] or 0) >= 200]
     assert got == sorted((str(i), str(t)) for i, t in want)
+
+
+def test_mixing_draws_rare_cells_up_to_their_target(spark):
+    rows = [(i, "big" if i >= 9 else "rare", "en", " ".join(["word"] * 50)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    target = (share := 0.01**0.5) / (share + 0.99**0.5)  # exponent 0.5 of the observed shares
+    n = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    assert all(n[i] in (5, 6) for i in range(9))  # 0.6 x 9.1 each
+    got = [r.doc_id for r in P.sample_mix(spark, docs, SF).select("doc_id").collect()]
+    assert all(got.count(i) == k for i, k in n.items())
+    assert abs(sum(i < 9 for i in got) / len(got) - target) < 0.015
