@@ -19,8 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dwell.operators.keywords import KEYWORD_SESSION_RESET_SECONDS, KEYWORDS_PER_CATEGORY
 
-HIT_OUT_SCHEMA = "context_key string, ts timestamp_ntz, seq long, category string, matched_keyword string, is_new boolean"
+HIT_OUT_SCHEMA = "context_key string, ts timestamp_ntz, seq long, category string, matched_keyword string, is_new boolean, is_late boolean"
 HIT_STATE_SCHEMA = "keyword string, ts timestamp_ntz, seq long"
+HIT_OUT = ["context_key", "ts", "seq", "category", "matched_keyword", "is_new", "is_late"]
 INDEX_OUT_SCHEMA = "category string, position int, keyword string, count long"
 INDEX_STATE_SCHEMA = "entries string"
 
@@ -28,11 +29,15 @@ INDEX_STATE_SCHEMA = "entries string"
 def _hits_fn(reset_seconds: float):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
+        after = pdf["ts"].notna()
         if state.exists:
             kw0, ts0, seq0 = state.get
             ts0 = pd.Timestamp(ts0)
-            # rows not after the last counted hit are late: dropped, as in stream_sessions
-            pdf = pdf[(pdf["ts"] > ts0) | ((pdf["ts"] == ts0) & (pdf["seq"] > seq0))].reset_index(drop=True)
+            after &= (pdf["ts"] > ts0) | ((pdf["ts"] == ts0) & (pdf["seq"] > seq0))
+        if not after.all():
+            # rows not after the last counted hit are late, as in stream_sessions: not judged, is_new is null
+            yield pdf[~after].assign(context_key=key[0], is_new=None, is_late=True)[HIT_OUT]
+            pdf = pdf[after].reset_index(drop=True)
             if pdf.empty:
                 return
         prev_kw = pdf["matched_keyword"].shift(1)
@@ -45,14 +50,14 @@ def _hits_fn(reset_seconds: float):
         pdf["is_new"] = ~same.fillna(False)
         last = pdf.iloc[-1]
         state.update((last["matched_keyword"], pd.Timestamp(last["ts"]).to_pydatetime(), int(last["seq"])))
-        pdf["context_key"] = key[0]
-        yield pdf[["context_key", "ts", "seq", "category", "matched_keyword", "is_new"]]
+        yield pdf.assign(context_key=key[0], is_new=pdf["is_new"].astype(object), is_late=False)[HIT_OUT]
 
     return fn
 
 
 def stream_keyword_sessions(hits: DataFrame, reset_seconds: float = KEYWORD_SESSION_RESET_SECONDS) -> DataFrame:
-    """Streaming W5 over keyword hits (context_key, ts, seq, category, matched_keyword)."""
+    """Streaming W5 over keyword hits (context_key, ts, seq, category, matched_keyword).
+    Late hits come out with ``is_late`` (``streaming.sessions.late_rows``) and null ``is_new``."""
     h = hits.where("context_key IS NOT NULL AND context_key <> ''").select(
         "context_key", "ts", "seq", "category", "matched_keyword"
     )

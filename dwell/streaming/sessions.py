@@ -4,10 +4,11 @@
 micro-batches in Spark's state store (``applyInPandasWithState``), so the
 stream emits exactly the sessions the batch ``sessionize`` returns for the same
 samples. Within a micro-batch the rows of a device are sorted by (ts, seq);
-rows not after the state's last (ts, seq) are late and are dropped (counted in
-``late_rows`` of the state), an explicit rule the capture loop never needed.
-A close marker (``is_close`` true, ``ts`` = close time) closes the open
-session of its device (R4); restarts resume from the checkpointed state (R5).
+rows not after the state's last (ts, seq), or without a ts, are late: they open and
+close nothing and come out marked ``is_late`` (see ``late_rows``), an explicit rule
+the capture loop never needed. Each close marker (``is_close`` true, ``ts`` = close
+time) closes the open session of its device at its place in that order (R4), and
+the rows after it go on, so micro-batch borders don't bear on the result; restarts resume from the checkpointed state (R5).
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from dwell.operators.sessionize import not_glitch
 
 SESSION_OUT_SCHEMA = (
     "start_time timestamp_ntz, end_time timestamp_ntz, duration_sec double, app string, title string, url string, "
-    "category string, is_productive boolean, device_id string"
+    "category string, is_productive boolean, device_id string, "
+    "is_late boolean, late_ts timestamp_ntz, late_seq long, late_is_close boolean, late_is_idle boolean"
 )
 SESSION_STATE_SCHEMA = (
     "open boolean, app string, title string, url string, start_ts timestamp_ntz, category string, is_productive boolean, "
     "last_ts timestamp_ntz, last_seq long, late_rows long, is_idle boolean"
 )
 _NULL = "\u0000<null>"
+_CLOSE = "\u0000<close>"
 
 
 def _key_frame(pdf: pd.DataFrame, variant: str) -> pd.DataFrame:
@@ -61,16 +64,15 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, va
         is_open, app, title, url, start, cat, prod, last_ts, last_seq, late = (False, None, None, None, None, None, None, None, None, 0)
         idle0 = False
     pdf = pdf.sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
+    after = pdf["ts"].notna()
     if last_ts is not None:
         last_ts = pd.Timestamp(last_ts)
-        after = (pdf["ts"] > last_ts) | ((pdf["ts"] == last_ts) & (pdf["seq"] > last_seq))
+        after &= (pdf["ts"] > last_ts) | ((pdf["ts"] == last_ts) & (pdf["seq"] > last_seq))
+    if not after.all():
         late += int((~after).sum())
+        yield _late_frame(pdf[~after], device)
         pdf = pdf[after].reset_index(drop=True)
-    closes = pdf[pdf["is_close"].fillna(False).astype(bool)]
-    rows = pdf[~pdf["is_close"].fillna(False).astype(bool)].reset_index(drop=True)
-    close_at = closes["ts"].max() if len(closes) else None
-    if len(closes):
-        rows = rows[rows["ts"] <= close_at].reset_index(drop=True)
+    rows = pdf.assign(is_close=pdf["is_close"].fillna(False).astype(bool))
 
     # prepend the open run as a pseudo-row so runs continue across batches
     if is_open:
@@ -81,16 +83,18 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, va
         rows = pd.concat([head, rows[head.columns]], ignore_index=True)
     out = pd.DataFrame(columns=["start_time", "end_time", "duration_sec", "app", "title", "url", "category", "is_productive", "device_id"])
     if len(rows):
+        # a close marker ends the run before it and is no run itself, like an idle sample
+        marker = rows["is_close"].astype(bool)
         kf = _key_frame(rows, variant)
+        kf.loc[marker] = _CLOSE
         change = np.ones(len(rows), dtype=bool)
         if len(rows) > 1:
             change[1:] = (kf.iloc[1:].values != kf.iloc[:-1].values).any(axis=1)
         starts = rows[change].reset_index(drop=True)
-        ends = list(starts["ts"].iloc[1:]) + [close_at]
-        starts = starts.assign(end_time=ends)
+        starts = starts.assign(end_time=starts["ts"].shift(-1))
         last = starts.iloc[-1]
-        closed = starts if close_at is not None else starts.iloc[:-1]
-        closed = closed[closed["app"].notna() & ~closed["is_idle"].fillna(False).astype(bool)]
+        closed = starts.iloc[:-1]
+        closed = closed[closed["app"].notna() & ~closed["is_close"].astype(bool) & ~closed["is_idle"].fillna(False).astype(bool)]
         if len(closed):
             out = pd.DataFrame(
                 {
@@ -105,19 +109,17 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, va
                     "device_id": device,
                 }
             )
-        if close_at is None:
+        if not last["is_close"]:
             has_lab = last["category"] is not None and not pd.isna(last["category"]) and not pd.isna(last["is_productive"])
             is_open, app, title, url, start = True, last["app"], last["title"], last["url"], last["ts"]
             idle0 = bool(last["is_idle"]) if not pd.isna(last["is_idle"]) else False
             cat = last["category"] if has_lab else None
             prod = bool(last["is_productive"]) if has_lab else None
         else:
-            is_open, app, title, url, start, cat, prod = False, None, None, None, None, None, None
+            is_open, app, title, url, start, cat, prod, idle0 = False, None, None, None, None, None, None, False
         if len(pdf):
             tail = pdf.iloc[-1]
             last_ts, last_seq = tail["ts"], int(tail["seq"])
-    elif close_at is not None:
-        is_open = False
     state.update(
         (
             bool(is_open), _s(app), _s(title), _s(url), None if start is None else pd.Timestamp(start).to_pydatetime(),
@@ -127,7 +129,18 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, va
             bool(idle0),
         )
     )
-    yield out
+    none = pd.Series([None] * len(out), dtype=object, index=out.index)
+    yield out.assign(is_late=False, late_ts=pd.Series(pd.NaT, index=out.index, dtype="datetime64[ns]"), late_seq=none, late_is_close=none, late_is_idle=none)
+
+
+def _late_frame(rows: pd.DataFrame, device: str) -> pd.DataFrame:
+    """Late rows as output rows: no session, their own fields kept."""
+    no_time = pd.Series(pd.NaT, index=rows.index, dtype="datetime64[ns]")
+    out = rows[["app", "title", "url", "category", "is_productive"]].astype(object)
+    return out.assign(
+        start_time=no_time, end_time=no_time, duration_sec=np.nan, device_id=device, is_late=True, late_ts=rows["ts"],
+        late_seq=rows["seq"].astype(object), late_is_close=rows["is_close"].astype(object), late_is_idle=rows["is_idle"].astype(object),
+    )
 
 
 def _s(v):
@@ -142,7 +155,10 @@ def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str
     ``is_idle`` samples close the open segment and leave a hole.
 
     ``samples`` needs device_id, ts, seq, app, title, url and optionally
-    category / is_productive / is_close (close marker rows) / is_idle."""
+    category / is_productive / is_close (close marker rows) / is_idle.
+
+    Late rows are rows of the output, too: ``on_time`` and ``late_rows`` (or, for
+    a sink, ``late_split_writer``) part them from the sessions."""
     import functools
 
     cols = samples.columns
@@ -167,6 +183,20 @@ def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str
     )
 
 
+def on_time(stream: DataFrame) -> DataFrame:
+    """The output of ``stream_sessions`` or ``stream_keyword_sessions`` without late rows."""
+    return stream.where("NOT is_late").drop(*[c for c in stream.columns if c == "is_late" or c.startswith("late_")])
+
+
+def late_rows(stream: DataFrame) -> DataFrame:
+    """Side output: the late input rows of ``stream_sessions`` or ``stream_keyword_sessions``."""
+    late = stream.where("is_late")
+    if "late_ts" not in stream.columns:
+        return late.drop("is_late", "is_new")
+    own = [F.col(f"late_{c}").alias(c) for c in ("is_close", "is_idle")]
+    return late.select("device_id", F.col("late_ts").alias("ts"), F.col("late_seq").alias("seq"), "app", "title", "url", "category", "is_productive", *own)
+
+
 def close_markers(devices: DataFrame, close_ts: str) -> DataFrame:
     """R4 end-of-stream markers: one row per device closing its open session."""
     return devices.select(
@@ -209,6 +239,21 @@ def idempotent_batch_writer(root: str, partition_cols: tuple[str, ...] = ()):
     return write
 
 
+def late_split_writer(write, write_late):
+    """``foreachBatch`` writer: on-time rows to ``write``, late ones to ``write_late``
+    (both ``(batch, batch_id)``, say two ``idempotent_batch_writer``)."""
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            write(on_time(batch), batch_id)
+            write_late(late_rows(batch), batch_id)
+        finally:
+            batch.unpersist()
+
+    return both
+
+
 def daily_totals_stream(sessions: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming daily minutes per productivity (tumbling 1-day windows on
     session start, watermark for late sessions)."""

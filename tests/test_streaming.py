@@ -2,6 +2,8 @@
 under several micro-batch cuts."""
 
 import datetime as dt
+import glob
+import os
 import tempfile
 
 import pytest
@@ -123,3 +125,44 @@ def test_stream_restart_from_checkpoint(spark):
     run()
     got = {tuple(r) for r in spark.read.parquet(out).select(*SESSION_COLS).collect()}
     assert got == batch
+
+
+def _cut_stream(spark, df, cuts, make, name):
+    path = tempfile.mkdtemp(prefix="dwell-stream-cut-")
+    for i, seqs in enumerate(cuts):
+        df.where(F.col("arrival").isin(seqs)).drop("arrival").coalesce(1).write.parquet(f"{path}/{i}")
+        os.utime(next(f for f in glob.glob(f"{path}/{i}/*.parquet")), (1e9 + i, 1e9 + i))
+    src = spark.readStream.schema(df.drop("arrival").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    return _run_stream(spark, make(src), name)
+
+
+CLOSE_SCHEMA = "arrival int, device_id string, ts timestamp_ntz, seq long, app string, title string, url string, is_close boolean"
+
+
+@pytest.mark.parametrize("variant", ["legacy", "segments"])
+def test_stream_close_markers_cut_the_batch_in_order(spark, variant):
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    marks = {2: None, 5: None, 6: None, 9: None}  # two of them in a row
+    rows = [(i, "d", t(i), i, None if i in marks else "AB"[i == 4], None if i in marks else "t", None, i in marks) for i in range(10)]
+    df = spark.createDataFrame(rows, CLOSE_SCHEMA)
+    want = [(0, 2, "A"), (3, 4, "A"), (4, 5, "B"), (7, 9, "A")]
+    for name, cuts in {"one": [range(10)], "some": [range(4), range(4, 7), range(7, 10)], "each": [[i] for i in range(10)]}.items():
+        out = _cut_stream(spark, df, [list(c) for c in cuts], lambda s: SS.stream_sessions(s, variant=variant), f"close_{variant}_{name}")
+        got = sorted((r.start_time, r.end_time, r.app) for r in SS.on_time(out).collect())
+        assert got == [(t(a), t(b), x) for a, b, x in want], name
+        assert SS.late_rows(out).count() == 0
+
+
+def test_stream_late_rows_come_out_aside(spark):
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(0, "d", t(0), 0, "A", "t", None, False), (0, "d", t(5), 5, "B", "t", None, False),
+            (1, "d", t(3), 3, "C", "late", "u", False), (1, "d", t(4), 2**62 + 1, None, None, None, True), (1, "d", t(8), 8, "D", "t", None, False)]
+    out = _cut_stream(spark, spark.createDataFrame(rows, CLOSE_SCHEMA), [[0], [1]], SS.stream_sessions, "late_sessions")
+    assert [(r.start_time, r.end_time, r.app) for r in SS.on_time(out).orderBy("start_time").collect()] == [(t(0), t(5), "A"), (t(5), t(8), "B")]
+    late = [(r.device_id, r.ts, r.seq, r.app, r.title, r.url, r.is_close) for r in SS.late_rows(out).orderBy("ts").collect()]
+    assert late == [r[1:] for r in rows[2:4]]
+    hits = [(0, "c", t(0), 0, "Cat", "a"), (0, "c", t(5), 5, "Cat", "a"), (1, "c", t(3), 3, "Cat", "b"), (1, "c", t(6), 6, "Cat", "a")]
+    df = spark.createDataFrame(hits, "arrival int, context_key string, ts timestamp_ntz, seq long, category string, matched_keyword string")
+    out = _cut_stream(spark, df, [[0], [1]], lambda s: SK.stream_keyword_sessions(s, reset_seconds=120), "late_hits")
+    assert {(r.seq, r.is_new) for r in SS.on_time(out).collect()} == {(0, True), (5, True), (6, False)}
+    assert [tuple(r) for r in SS.late_rows(out).collect()] == [hits[2][1:]]
