@@ -28,9 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of repeated three-line windows, and ``n_chars`` to
-    match; a document that loses all its lines is a copy and goes."""
+    match; a document that loses all its lines stays, with an empty text."""
     out = line_dedup.dedup_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     text = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
     return out.select(*[text[c].alias(c) if c in text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
@@ -39,10 +38,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each component of near duplicates the document with the smallest id stays
     (of rows that repeat its id: the smallest text hash; of rows that repeat both:
     any one). Documents without words link with nothing: all stay."""
-    near = ngram_join.near_duplicates(docs).where(F.col("component").isNotNull())
+    words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    near = ngram_join.near_duplicates(docs.where(words)).where(F.col("component").isNotNull())
     first = near.groupBy("component").agg(F.min(F.struct(id_key("doc_id").alias("_id"), F.col("text_hash").alias("_th"))).alias("f")).select("f.*")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     keyed = docs.where(words).select(row, id_key("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
     kept = keyed.join(first, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("row.*")
     return kept.unionByName(docs.where(~words))

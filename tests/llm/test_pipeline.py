@@ -58,3 +58,11 @@ def test_mixing_draws_rare_cells_up_to_their_target(spark):
     got = [r.doc_id for r in P.sample_mix(spark, docs, SF).select("doc_id").collect()]
     assert all(got.count(i) == k for i, k in n.items())
     assert abs(sum(i < 9 for i in got) / len(got) - target) < 0.015
+
+
+def test_line_dedup_stage_keeps_every_document(spark):
+    rows = [(1, "a\nb\nc\nd", 7), (2, "p\nq\nr", 5), (3, "a\nb\nc\np\nq\nr", 11), (4, "a\nb\nc\nd", 7), (None, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {tuple(r) for r in P.drop_repeated_lines(spark, docs, SF).collect()}
+    # 3 consists of passages of 1 and 2, but is a copy of neither
+    assert got == {rows[0], rows[1], (3, "", 0), (4, "", 0), rows[4]}
