@@ -11,12 +11,16 @@ for the totals and once more for the result.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwell.llm.common import table, write_table
 
-SWEEPS = 10
+SWEEPS = 10  # at least
+MAX_SWEEPS = 500
+TOLERANCE = 1e-6  # largest difference of a margin's share from its target at which raking ends
 KEEP_FRACTION = 0.6
 SEED = "mix-1"
 #: Per margin: an exponent (target share ~ observed share ** exponent), or a
@@ -67,22 +71,42 @@ def margin_targets(cells: DataFrame, dim: str, spec: float | dict[str, float]) -
     return m.join(F.broadcast(tot)).select(dim, (F.col("raw") / F.col("tot")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], sweeps: int = SWEEPS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """``cells(dims..., w > 0)`` -> the same with ``x``: raked shares summing to
     1. Each sweep scales the cells once per margin; a margin's total is a
-    partially aggregated sum, joined back; each sweep is written and reread."""
+    partially aggregated sum, joined back; each sweep is written and reread.
+
+    After ``sweeps`` sweeps more follow until every share is within ``tolerance`` of
+    its target; targets not met in MAX_SWEEPS (infeasible ones: a level whose cells
+    can't hold its share) are reported by a warning. No tolerance: ``sweeps`` sweeps."""
     dims = list(targets)
     files = 1 + cells.count() // CELLS_PER_FILE
-    tg = {d: write_table(margin_targets(cells, d, targets[d]).coalesce(files), f"mix-target-{d}") for d in dims}
+    ts = [f"t_{d}" for d in dims]
     cur = cells.withColumn("x", F.col("w"))
-    for _ in range(sweeps):
+    for d, t in zip(dims, ts, strict=True):
+        cur = cur.join(margin_targets(cells, d, targets[d]).withColumnRenamed("target", t), d)
+    cur = write_table(cur.select(*dims, "w", "x", *ts).coalesce(files), "mix-cells")
+    for i in range(1, max(sweeps, MAX_SWEEPS if tolerance is not None else 0) + 1):
         for d in dims:
-            f = cur.groupBy(d).agg(F.sum("x").alias("sx")).join(tg[d], d).select(d, (F.col("target") / F.col("sx")).alias("f"))
-            cur = cur.join(f, d).select(*dims, "w", (F.col("x") * F.col("f")).alias("x"))
+            f = cur.groupBy(d).agg((F.max(f"t_{d}") / F.sum("x")).alias("f"))
+            cur = cur.join(f, d).select(*dims, "w", (F.col("x") * F.col("f")).alias("x"), *ts)
         cur = write_table(cur.coalesce(files), "mix-cells")
+        if i >= sweeps and tolerance is not None:
+            worst = margin_error(cur, dims)
+            if worst <= tolerance:
+                return cur
+    if tolerance is not None:
+        warnings.warn(f"mixing: a margin is {worst:.2g} off its target after {i} sweeps", stacklevel=2)
     return cur
 
 
+def margin_error(cells: DataFrame, dims: list[str]) -> float:
+    """The largest difference of a raked share from its target over all margins."""
+    sums = cells.groupingSets([[F.col(d)] for d in dims], *dims).agg(F.sum("x").alias("sx"), *[F.max(f"t_{d}").alias(f"t_{d}") for d in dims])
+    target = F.coalesce(*[F.when(F.col(d).isNotNull(), F.col(f"t_{d}")) for d in dims])
+    return sums.agg(F.max(F.abs(F.col("sx") - target))).first()[0] or 0.0
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the md5 of seed and key: 52 bits, exact in a double."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
@@ -93,6 +117,7 @@ def mix(
     targets: dict[str, float | dict[str, float]] = TARGETS,
     keep_fraction: float = KEEP_FRACTION,
     sweeps: int = SWEEPS,
+    tolerance: float | None = TOLERANCE,
     seed: str = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -125,7 +150,7 @@ def mix(
     ).withColumn("topic", _level(F.col("o_topic")))
     cells = d.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("w")).where("w > 0")
     cells = write_table(cells, "mix-cells0")
-    raked = rake(cells, targets, sweeps)
+    raked = rake(cells, targets, sweeps, tolerance)
     tot = cells.agg(F.sum("w").alias("tot"))
     ratio = raked.join(F.broadcast(tot)).select(*DIMS, F.round(F.col("x") * F.col("tot") / F.col("w"), 9).alias("ratio"))
     j = d.join(ratio, list(DIMS), "left")
@@ -148,7 +173,7 @@ def mix(
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"))
+    out = mix(table(spark, sf_dir, "documents"), tolerance=None)  # its SQL states SWEEPS sweeps
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
 
 

@@ -108,6 +108,17 @@ def test_mixing_meets_margins_and_edges(spark):
     assert mixing.mix(no_docs(spark)).count() == 0
 
 
+def test_mixing_rakes_until_the_margins_are_met(spark):
+    n = {("a", "en"): 900, ("a", "de"): 1, ("b", "en"): 1, ("b", "de"): 100}  # source all but gives the language: 2 % off after 10 sweeps
+    rows = [(s, l, "word " * k) for (s, l), k in n.items()]
+    out = mixing.mix(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string")).toPandas()
+    for dim, power in (("source", 0.5), ("lang", 0.7)):
+        want = out.n_tokens.groupby(out[dim]).sum() / 1002
+        want = want**power / (want**power).sum()
+        got = (out.n_tokens * out.weight).groupby(out[dim]).sum() / 1002
+        assert ((got - want).abs() < 1e-5).all()
+
+
 # --- top-k ------------------------------------------------------------------
 
 
