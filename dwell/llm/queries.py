@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwell.llm import embed_dedup, line_dedup, mixing, ngram_join, sentencepiece_nbest, substring_dedup, token_files, topk_search, toxicity, url_filter
+from dwell.llm import (
+    conversation_repair,
+    embed_dedup,
+    line_dedup,
+    mixing,
+    ngram_join,
+    sentencepiece_nbest,
+    substring_dedup,
+    token_files,
+    topk_search,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
@@ -19,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_embedding_near_dedup": embed_dedup.op9_embedding_near_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op10_mixing": mixing.oracle(),
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
