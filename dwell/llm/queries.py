@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dwell.llm import (
     conversation_repair,
     embed_dedup,
+    lexical_search,
     line_dedup,
     mixing,
     ngram_join,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_embedding_near_dedup": embed_dedup.op9_embedding_near_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
@@ -40,5 +42,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op10_mixing": mixing.oracle(),
+    "op12_lexical_search": lexical_search.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
