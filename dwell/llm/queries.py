@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dwell.llm import (
     conversation_repair,
     embed_dedup,
+    language_id,
     lexical_search,
     line_dedup,
     mixing,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_embedding_near_dedup": embed_dedup.op9_embedding_near_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_language_id": language_id.op11_language_id,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
