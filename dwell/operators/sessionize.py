@@ -89,6 +89,36 @@ def sessionize(
     )
 
 
+def sessionize_silent(
+    samples: DataFrame,
+    silence_seconds: float,
+    device: str = "device_id",
+    ts: str = "ts",
+    seq: str = "seq",
+    bucket_seconds: int | None = O.DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """W1 sessions of devices that may fall silent (R4 without markers): a run that
+    no sample follows within ``silence_seconds`` ends that long after its last
+    sample, and the next sample opens a new session, be it equal or not. Nothing
+    stays open at the end."""
+    cols = [device, ts, seq, "app", "title", "url"]
+    s = O.with_next(samples.select(*cols), [device], [ts, seq], [ts], bucket_seconds)
+    after = F.timestamp_add("MICROSECOND", F.lit(round(silence_seconds * 1_000_000)), F.col(ts))
+    quiet = F.col(f"next_{ts}").isNull() | (seconds_between(F.col(ts), F.col(f"next_{ts}")) > silence_seconds)
+    # every sample brings its own closing row along, where one is due: no second scan
+    here = F.struct(F.col(ts).alias(ts), F.col(seq).alias(seq), F.lit(False).alias("_closing"))
+    mark = F.struct(after.alias(ts), F.lit(2**62).alias(seq), F.lit(True).alias("_closing"))
+    both = s.withColumn("_r", F.explode(F.when(quiet, F.array(here, mark)).otherwise(F.array(here)))).select(
+        device, "_r.*", *[F.when(~F.col("_r._closing"), F.col(c)).alias(c) for c in ("app", "title", "url")]
+    )
+    out = _change_points(both, F.struct("_closing", "app", "title", "url"), device, ts, seq, None, bucket_seconds)
+    out = out.where(~F.col("_closing") & F.col("app").isNotNull())
+    return out.select(
+        F.col(ts).alias("start_time"), F.col("_end").alias("end_time"), seconds_between(F.col(ts), F.col("_end")).alias("duration_sec"),
+        "app", "title", "url", F.col(device).alias("device_id"),
+    )
+
+
 def label_sessions(sessions: DataFrame, classifier) -> DataFrame:
     """Keep a session's label when both fields are set, else classify it
     (``classifier(df) -> df`` adding ``category``/``is_productive``)."""

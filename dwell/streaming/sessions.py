@@ -9,6 +9,10 @@ close nothing and come out marked ``is_late`` (see ``late_rows``), an explicit r
 the capture loop never needed. Each close marker (``is_close`` true, ``ts`` = close
 time) closes the open session of its device at its place in that order (R4), and
 the rows after it go on, so micro-batch borders don't bear on the result; restarts resume from the checkpointed state (R5).
+
+With ``silence_seconds`` a device needs no marker: an open session, or an idle hole, that
+no row follows within that time is closed at the last row's time plus it, by an event-time
+timer once the watermark is there (``sessionize.sessionize_silent`` is the batch form).
 """
 
 from __future__ import annotations
@@ -55,9 +59,34 @@ def _key_frame(pdf: pd.DataFrame, variant: str) -> pd.DataFrame:
     return k.where(k.notna(), _NULL)
 
 
-def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, variant: str = "legacy") -> Iterator[pd.DataFrame]:
+_MARKER_SEQ = 2**62
+
+
+def _silence_markers(rows: pd.DataFrame, last_ts, silence_us: int) -> pd.DataFrame:
+    """``rows`` (sorted) with a close marker wherever a device fell silent: after
+    the last row known before, or between two rows."""
+    before = rows["ts"].shift(1)
+    if len(rows) and last_ts is not None:
+        before.iloc[0] = last_ts
+    gap = pd.Timedelta(microseconds=silence_us)
+    # the row before a gap is no marker itself: nothing is open after one
+    quiet = (rows["ts"] - before > gap) & ~rows["is_close"].shift(1, fill_value=False).astype(bool)
+    if not quiet.any():
+        return rows
+    marks = rows[quiet].assign(ts=before[quiet] + gap, seq=_MARKER_SEQ, is_close=True, is_idle=False)
+    for c in ("app", "title", "url", "category", "is_productive"):
+        marks[c] = None
+    return pd.concat([rows, marks], ignore_index=True).sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
+
+
+def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, variant: str = "legacy", silence_us: int | None = None) -> Iterator[pd.DataFrame]:
     device = key[0]
-    pdf = pd.concat(list(pdfs), ignore_index=True)
+    if state.hasTimedOut:
+        # the watermark is past the last row and the silence: no row that is on time can come in between
+        at = pd.Timestamp(state.get[7]) + pd.Timedelta(microseconds=silence_us)
+        pdf = pd.DataFrame({"ts": [at], "seq": [_MARKER_SEQ], "app": [None], "title": [None], "url": [None], "category": [None], "is_productive": [None], "is_close": [True], "is_idle": [False]})
+    else:
+        pdf = pd.concat(list(pdfs), ignore_index=True)
     if state.exists:
         (is_open, app, title, url, start, cat, prod, last_ts, last_seq, late, idle0) = state.get
     else:
@@ -73,6 +102,8 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, va
         yield _late_frame(pdf[~after], device)
         pdf = pdf[after].reset_index(drop=True)
     rows = pdf.assign(is_close=pdf["is_close"].fillna(False).astype(bool))
+    if silence_us is not None and not state.hasTimedOut:
+        rows = _silence_markers(rows, last_ts if is_open else None, silence_us)
 
     # prepend the open run as a pseudo-row so runs continue across batches
     if is_open:
@@ -129,6 +160,9 @@ def _sessions_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, va
             bool(idle0),
         )
     )
+    if silence_us is not None and is_open:
+        due = (pd.Timestamp(last_ts) - pd.Timestamp(0)).value // 1_000_000 + silence_us // 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     none = pd.Series([None] * len(out), dtype=object, index=out.index)
     yield out.assign(is_late=False, late_ts=pd.Series(pd.NaT, index=out.index, dtype="datetime64[ns]"), late_seq=none, late_is_close=none, late_is_idle=none)
 
@@ -147,7 +181,9 @@ def _s(v):
     return None if v is None or (isinstance(v, float) and np.isnan(v)) else v
 
 
-def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str = "legacy") -> DataFrame:
+def stream_sessions(
+    samples: DataFrame, device: str = "device_id", variant: str = "legacy", silence_seconds: float | None = None, delay: str = "10 minutes"
+) -> DataFrame:
     """Streaming W1 (change-based sessions) with per-device state.
     ``variant="segments"`` is the newer capture loop (W2/R3): url '' when
     missing, title changes on an unchanged non-empty URL continue the segment,
@@ -158,7 +194,10 @@ def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str
     category / is_productive / is_close (close marker rows) / is_idle.
 
     Late rows are rows of the output, too: ``on_time`` and ``late_rows`` (or, for
-    a sink, ``late_split_writer``) part them from the sessions."""
+    a sink, ``late_split_writer``) part them from the sessions.
+
+    ``silence_seconds`` closes what no row follows in time (see the module's text);
+    ``delay`` is then how far rows may lag behind the newest one."""
     import functools
 
     cols = samples.columns
@@ -177,10 +216,14 @@ def stream_sessions(samples: DataFrame, device: str = "device_id", variant: str
     s = s.select(
         F.col(device).alias("device_id"), "ts", "seq", "app", "title", "url", "category", "is_productive", "is_close", "is_idle"
     )
-    return s.groupBy("device_id").applyInPandasWithState(
-        functools.partial(_sessions_fn, variant=variant), SESSION_OUT_SCHEMA, SESSION_STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    if silence_seconds is None:
+        silence_us, timeout = None, GroupStateTimeout.NoTimeout
+    else:
+        from dwell.streaming.asof import clocked
+
+        s, silence_us, timeout = clocked(s, delay), round(silence_seconds * 1_000_000), GroupStateTimeout.EventTimeTimeout
+    fn = functools.partial(_sessions_fn, variant=variant, silence_us=silence_us)
+    return s.groupBy("device_id").applyInPandasWithState(fn, SESSION_OUT_SCHEMA, SESSION_STATE_SCHEMA, "append", timeout)
 
 
 def on_time(stream: DataFrame) -> DataFrame:
