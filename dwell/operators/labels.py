@@ -70,10 +70,20 @@ def current_overrides(ops: DataFrame) -> DataFrame:
     return g.where(F.col("l.op") == "set").select("event_id", "l.category_id", "l.note", F.col("l.seq").alias("seq"))
 
 
-def effective_labels(events: DataFrame, classifications: DataFrame, overrides: DataFrame, engine_version: str) -> DataFrame:
+def without_deleted(rows: DataFrame, deleted: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """J6 cascade: rows whose event has no tombstone (``deleted.event_id``)."""
+    return rows.join(deleted.select(F.col("event_id").alias(id_col)), id_col, "left_anti").select(*rows.columns)
+
+
+def effective_labels(
+    events: DataFrame, classifications: DataFrame, overrides: DataFrame, engine_version: str, deleted: DataFrame | None = None
+) -> DataFrame:
     """User override > engine label of ``engine_version``; ``label_source``
     says which. Both label views are already hash-partitioned by event_id, so
-    the joins shuffle only the events side."""
+    the joins shuffle only the events side. ``deleted`` (event_id) are the
+    tombstones of J6: their events leave before the joins, and nothing else joins them."""
+    if deleted is not None:
+        events = without_deleted(events, deleted, "id")
     eng = latest_classification(classifications, engine_version).select(
         F.col("event_id").alias("id"), F.col("category_id").alias("engine_category")
     )
@@ -148,7 +158,9 @@ def compact_label_store(spark, root: str, version: str) -> dict[str, str]:
     ev.drop("batch_id").write.mode("overwrite").parquet(f"{base}/events")
     out["events"] = f"{base}/events"
     if path_exists(spark, cl_path):
-        latest = latest_classification(spark.read.parquet(cl_path).drop("batch_id"))
+        log = spark.read.parquet(cl_path).drop("batch_id")
+        rest = [c for c in log.columns if c not in ("event_id", "engine_version")]
+        latest = log.groupBy("event_id", "engine_version").agg(F.max_by(F.struct(*rest), F.struct("created_at", "seq")).alias("l")).select("event_id", "engine_version", "l.*")
         keep_referenced(latest, ev).write.mode("overwrite").parquet(f"{base}/engine_classifications")
         out["engine_classifications"] = f"{base}/engine_classifications"
     if path_exists(spark, ov_path):

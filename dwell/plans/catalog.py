@@ -1042,16 +1042,19 @@ def _segment_sql(seg: str) -> str:
     )
 
 
-def _sanitize_sql() -> str:
+URL_CORPUS_SQL = """
+  SELECT 'page' AS src, page_id AS id, url FROM pages
+  UNION ALL SELECT 'sample', seq, url FROM samples WHERE url IS NOT NULL"""
+
+
+def _sanitize_sql(head: str = SAMPLES_MOD4 + ",", corpus: str = URL_CORPUS_SQL) -> str:
     from dwell.functions import urls as U
 
     key_re = U.SENSITIVE_KEY_RE.replace("\\", "")
     return (
-        SAMPLES_MOD4
-        + f""",
-corpus AS (
-  SELECT 'page' AS src, page_id AS id, url FROM pages
-  UNION ALL SELECT 'sample', seq, url FROM samples WHERE url IS NOT NULL),
+        head
+        + f"""
+corpus AS ({corpus}),
 u1 AS (SELECT *, {_strip_sql("coalesce(url, '')")} AS raw FROM corpus),
 u2 AS (SELECT *, regexp_replace(raw, '[\\t\\r\\n]', '', 'g') AS u FROM u1),
 u3 AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM u2),
@@ -1129,6 +1132,213 @@ def q_redaction_report(spark, sf):
     return redaction_report(q_sanitize_urls(spark, sf))
 
 
+# --------------------------------------------------- streams and the label store
+
+STREAM_CUTS = 3
+#: the last row of a replayed stream: far beyond the data, it moves the watermark past all of it
+TICK = "timestamp_ntz'2200-01-01'"
+TICK_ID = "-9007199254740992"
+#: replayed spans of two streams don't fall together; a delay as long as the data keeps all rows on time
+REPLAY_DELAY = "3650 days"
+
+
+def _replayed(df: DataFrame, order: str, **tick) -> DataFrame:
+    from dwell.streaming import replay as RY
+
+    return RY.as_stream(RY.tick(df, **tick) if tick else df, order, STREAM_CUTS)
+
+
+@register("stream_override_asof", ORACLE["override_asof"])
+def q_stream_override_asof(spark, sf):
+    """J4 over two replayed streams."""
+    from dwell.functions.urls import tab_should_transmit
+    from dwell.streaming import replay as RY
+    from dwell.streaming.asof import stream_tab_override
+
+    snaps = SM.tab_snapshots(SM.load(spark, sf, "pages")).where(tab_should_transmit("url"))
+    ends = {"device_id": "'tick'", "ts": TICK, "seq": "0"}
+    out = stream_tab_override(_replayed(samples(spark, sf), "ts", **ends), _replayed(snaps, "ts", **ends), REPLAY_DELAY)
+    out = RY.run_to_table(out, "override_asof").where("NOT is_snapshot AND device_id <> 'tick'")
+    return out.drop("is_late", "is_snapshot")
+
+
+@register("stream_change_feed", ORACLE["change_feed"])
+def q_stream_change_feed(spark, sf):
+    """R7 over three replayed logs."""
+    from dwell.operators.labels import valid_events
+    from dwell.streaming import replay as RY
+    from dwell.streaming.feed import stream_change_feed
+
+    ev, cl, ov = _store(spark, sf)
+    out = stream_change_feed(
+        _replayed(valid_events(ev), "created_at", id=TICK_ID, created_at=TICK), _replayed(cl, "created_at", event_id=TICK_ID, seq="0", created_at=TICK), _replayed(ov, "seq"), REPLAY_DELAY
+    )
+    return RY.run_to_table(out, "change_feed").where(f"event_id <> {TICK_ID}").select("kind", "kind_ord", "event_id", "seq")
+
+
+SILENCE_S = 900
+SILENT_SQL = (
+    SAMPLES_MOD4
+    + f""",
+sil AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS nts FROM samples),
+mk AS (
+  SELECT device_id, ts, seq, app, title, url, FALSE AS closing FROM sil
+  UNION ALL
+  SELECT device_id, ts + INTERVAL {SILENCE_S} SECOND, 4611686018427387904, NULL, NULL, NULL, TRUE FROM sil
+  WHERE nts IS NULL OR {Q.secs('ts', 'nts')} > {SILENCE_S}),
+ml AS (SELECT *, lag(closing) OVER w AS pc, lag(app) OVER w AS pa, lag(title) OVER w AS pt, lag(url) OVER w AS pu, row_number() OVER w AS rn
+       FROM mk WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq)),
+mb AS (SELECT * FROM ml WHERE rn = 1 OR closing <> pc OR app IS DISTINCT FROM pa OR title IS DISTINCT FROM pt OR url IS DISTINCT FROM pu),
+me AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS end_time FROM mb)
+SELECT ts AS start_time, end_time, {Q.secs('ts', 'end_time')} AS duration_sec, app, title, url, device_id
+FROM me WHERE end_time IS NOT NULL AND NOT closing AND app IS NOT NULL"""
+)
+
+
+@register("silent_sessions", SILENT_SQL)
+def q_silent_sessions(spark, sf):
+    """R4 without markers: sessions of devices that fall silent."""
+    return S.sessionize_silent(samples(spark, sf), SILENCE_S)
+
+
+@register("stream_silent_sessions", SILENT_SQL)
+def q_stream_silent_sessions(spark, sf):
+    """The same from a replayed stream, closed by event-time timers."""
+    from dwell.streaming import replay as RY
+    from dwell.streaming import sessions as SS
+
+    src = _replayed(samples(spark, sf).drop("idle_seconds"), "ts", device_id="'tick'", ts=TICK, seq="0")
+    out = SS.on_time(RY.run_to_table(SS.stream_sessions(src, silence_seconds=SILENCE_S, delay=REPLAY_DELAY), "silent"))
+    return out.where("device_id <> 'tick'").select("start_time", "end_time", "duration_sec", "app", "title", "url", "device_id")
+
+
+DELETED_SQL = STORE + """,
+gone AS (SELECT DISTINCT id AS event_id FROM store_events WHERE id % 9 = 0),
+kept AS (SELECT * FROM valid WHERE id NOT IN (SELECT event_id FROM gone))
+SELECT v.id, coalesce(o.category_id, c.category_id) AS category_id,
+       CASE WHEN o.category_id IS NOT NULL THEN 'override' WHEN c.category_id IS NOT NULL THEN 'engine' END AS label_source,
+       c.category_id AS engine_category, o.category_id AS override_category
+FROM kept v LEFT JOIN (SELECT * FROM latest_c WHERE engine_version = 'rules-v1') c ON c.event_id = v.id
+LEFT JOIN cur_o o ON o.event_id = v.id"""
+
+
+def _tombstones(events: DataFrame) -> DataFrame:
+    """Every ninth event is deleted."""
+    return events.where(F.col("id") % 9 == 0).select(F.col("id").alias("event_id"))
+
+
+@register("labels_after_deletes", DELETED_SQL)
+def q_labels_after_deletes(spark, sf):
+    """Deletes take an event's labels and overrides along."""
+    from dwell.operators.labels import effective_labels, valid_events
+
+    ev, cl, ov = _store(spark, sf)
+    return effective_labels(valid_events(ev), cl, ov, "rules-v1", _tombstones(ev))
+
+
+@register("labels_after_compaction", DELETED_SQL)
+def q_labels_after_compaction(spark, sf):
+    """The logs arrive in commits of three streams, with compactions between
+    them; the reader merges compacted runs with later commits."""
+    from dwell.operators.labels import valid_events
+    from dwell.session import scratch_path
+    from dwell.streaming.store import Store
+
+    ev, cl, ov = _store(spark, sf)
+    store = Store(spark, scratch_path(spark, "store"))
+    utc = F.to_timestamp("created_at")
+    ev2 = valid_events(ev).withColumns({"created_at": utc, "stream_id": F.lit("a")})
+    cl2 = cl.withColumn("created_at", utc)
+    ov2 = ov.withColumn("created_at", F.to_timestamp(F.lit("2024-01-01")))
+    for i in range(STREAM_CUTS):
+        third = F.pmod(F.col("seq"), F.lit(STREAM_CUTS)) == i
+        store.commit("events", "r", i, {"events": ev2.where(F.col("id") % STREAM_CUTS == i)})
+        store.commit("labels", "r", i, {"engine_classifications": cl2.where(third)})
+        store.commit("user", f"r{i}", 0, {"user_overrides": ov2.where(third)})
+        if i == 1:
+            store.commit("user", "d", 0, {"tombstones": _tombstones(ev).withColumn("created_at", F.current_timestamp())})
+        if i < STREAM_CUTS - 1:
+            store.compact()
+    return store.effective("rules-v1")
+
+
+CAPTURE_SQL = (
+    SAMPLES_MOD4
+    + ","
+    + SNAPSHOTS_SQL
+    + """,
+cj AS (
+  SELECT s.*, p.title AS pt, p.url AS pu, p.ts AS pts FROM samples s
+  ASOF LEFT JOIN snaps_ok p ON s.device_id = p.device_id AND s.ts >= p.ts),
+co AS (
+  SELECT device_id, ts, seq, app, idle_seconds,
+         CASE WHEN app = 'Firefox' AND pts IS NOT NULL AND coalesce(pt, '') <> '' THEN pt ELSE title END AS title,
+         CASE WHEN app = 'Firefox' AND pts IS NOT NULL AND coalesce(pu, '') <> '' THEN pu ELSE url END AS url
+  FROM cj),
+san AS ("""
+    + _sanitize_sql("WITH ", "SELECT 'sample' AS src, seq AS id, url FROM co")
+    + f"""),
+cs AS (
+  SELECT co.* EXCLUDE (url), coalesce(CASE WHEN co.url IS NULL THEN NULL WHEN san.sanitize_error THEN trim(co.url) ELSE san.sanitized_url END, '') AS url,
+         coalesce(idle_seconds >= {IDLE_S}, FALSE) AS idle
+  FROM co JOIN san ON san.id = co.seq),
+ck AS (
+  SELECT *, CASE WHEN idle THEN NULL ELSE app END AS ka, CASE WHEN idle THEN NULL ELSE url END AS ku,
+         CASE WHEN idle THEN NULL WHEN url = '' THEN title END AS kt
+  FROM cs WHERE idle OR (app IS NOT NULL AND app <> '' AND coalesce(title <> 'frontProcess Error', TRUE))),
+cl AS (
+  SELECT *, row_number() OVER w AS rn, lag(idle) OVER w AS pi, lag(ka) OVER w AS pa, lag(ku) OVER w AS pku, lag(kt) OVER w AS pkt
+  FROM ck WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq)),
+cb AS (SELECT * FROM cl WHERE rn = 1 OR idle <> pi OR ka IS DISTINCT FROM pa OR ku IS DISTINCT FROM pku OR kt IS DISTINCT FROM pkt),
+ce AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS end_time FROM cb),
+cev AS (
+  SELECT device_id, {Q.us('ts')} / 1e6 AS start_ts, {Q.us('end_time')} / 1e6 AS end_ts, app, coalesce(title, '') AS title, url
+  FROM ce WHERE end_time IS NOT NULL AND NOT idle),"""
+    + Q.rule_dims_cte()
+    + ","
+    + Q.classify_cte("cev", ["device_id", "start_ts"], "cv", variant="v1")
+    + """
+SELECT device_id, start_ts, end_ts, app, title, url, category AS category_id, rule_id, CAST(1.0 AS DOUBLE) AS confidence,
+       '{"productive":' || CASE WHEN is_productive THEN 'true' ELSE 'false' END || '}' AS meta_json
+FROM cv"""
+)
+CAPTURED = ["device_id", "start_ts", "end_ts", "app", "title", "url", "category_id", "rule_id", "confidence", "meta_json"]
+
+
+def _capture_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    from dwell.functions.urls import tab_should_transmit
+
+    sm = samples(spark, sf).withColumn("is_idle", S.is_idle("idle_seconds", IDLE_S)).drop("idle_seconds")
+    return sm, SM.tab_snapshots(SM.load(spark, sf, "pages")).where(tab_should_transmit("url"))
+
+
+@register("capture_to_labels", CAPTURE_SQL)
+def q_capture_to_labels(spark, sf):
+    """The assembled pipeline over stored samples: J4, F15, W2, P3, F7."""
+    from dwell.streaming.capture import capture
+    from dwell.streaming.store import RulesEngine
+
+    return capture(*_capture_inputs(spark, sf), RulesEngine(C.RuleSet.build(spark))).select(*CAPTURED)
+
+
+@register("stream_capture_to_labels", CAPTURE_SQL)
+def q_stream_capture_to_labels(spark, sf):
+    """The same from two replayed streams into a committed store, and read back."""
+    from dwell.session import scratch_path
+    from dwell.streaming import sessions as SS
+    from dwell.streaming.capture import capture_stream
+    from dwell.streaming.store import RulesEngine, Store
+
+    sm, snaps = _capture_inputs(spark, sf)
+    ends = {"device_id": "'tick'", "ts": TICK, "seq": "0"}
+    store = Store(spark, scratch_path(spark, "capture"))
+    checkpoint = SS.checkpoint_location(spark, store.root.rsplit("/", 1)[1])
+    q = capture_stream(_replayed(sm, "ts", **ends), _replayed(snaps, "ts", **ends), store, "desk", RulesEngine(C.RuleSet.build(spark)), checkpoint, REPLAY_DELAY)
+    q.awaitTermination()
+    labels = store.labels("rules-v1").withColumnRenamed("event_id", "id")
+    return store.events().where("device_id <> 'tick'").join(labels, "id", "left").select(*CAPTURED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

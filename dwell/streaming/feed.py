@@ -33,11 +33,11 @@ def _feed_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, patien
     held = [tuple(x) for x in json.loads(held)]
     wm = state.getCurrentWatermarkMs() * 1000
     for p in pdfs:
-        held += [(int(k), int(s)) for k, s in zip(p["kind"], p["seq"], strict=True)]
+        held += [(int(k), None if pd.isna(s) else int(s)) for k, s in zip(p["kind"], p["seq"], strict=True)]
         times = p["us"].dropna()
         if len(times):
             last_us = max(int(times.max()), last_us or 0)
-    held.sort()
+    held.sort(key=lambda h: (h[0], h[1] is not None, h[1] or 0))
     out = []
     # kinds in order: what is released here may be what the next kind waits for
     for kind in range(len(KINDS)):
@@ -59,10 +59,10 @@ def _feed_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, patien
     if out:
         yield pd.DataFrame(
             {
-                "event_id": int(key[0]),
+                "event_id": pd.array([None if key[0] is None or pd.isna(key[0]) else int(key[0])] * len(out), dtype="Int64"),
                 "kind": [KINDS[k] for k, _, _ in out],
                 "kind_ord": [k for k, _, _ in out],
-                "seq": [s for _, s, _ in out],
+                "seq": pd.array([s for _, s, _ in out], dtype="Int64"),
                 "position": range(announced + 1, announced + 1 + len(out)),
                 "settled": [x for _, _, x in out],
             }

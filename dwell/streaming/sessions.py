@@ -268,7 +268,8 @@ def checkpoint_location(spark, name: str) -> str:
 def idempotent_batch_writer(root: str, partition_cols: tuple[str, ...] = ()):
     """R6 ``foreachBatch`` writer: each micro-batch lands in its own
     ``batch_id=`` partition with dynamic overwrite, so a retried batch replaces
-    its own output instead of duplicating it."""
+    its own output instead of duplicating it. The folder belongs to one stream and
+    one checkpoint; ``store.Store`` commits many streams and restarts on one root."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (
@@ -326,19 +327,21 @@ def label_store_writer(root: str, ruleset, engine_version: str = "rules-v1"):
     def write(batch: DataFrame, batch_id: int) -> None:
         # both writes read the batch: keep it, so that the stream's state is run once
         ev = valid_events(batch).persist()
-        ev_writer(ev, batch_id)
-        labels = classify_v1(ev, ruleset).select(
-            F.col("id").alias("event_id"),
-            F.lit(engine_version).alias("engine_version"),
-            "category_id",
-            "confidence",
-            "rule_id",
-            canonical_json("meta").alias("meta_json"),
-            F.current_timestamp().alias("created_at"),
-            F.col("id").alias("seq"),
-        )
-        cl_writer(labels, batch_id)
-        ev.unpersist()
+        try:
+            ev_writer(ev, batch_id)
+            labels = classify_v1(ev, ruleset).select(
+                F.col("id").alias("event_id"),
+                F.lit(engine_version).alias("engine_version"),
+                "category_id",
+                "confidence",
+                "rule_id",
+                canonical_json("meta").alias("meta_json"),
+                F.current_timestamp().alias("created_at"),
+                F.col("id").alias("seq"),
+            )
+            cl_writer(labels, batch_id)
+        finally:
+            ev.unpersist()
 
     return write
 
