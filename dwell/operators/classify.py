@@ -108,7 +108,9 @@ def classify(
     Unknown; app/title/host/path trimmed; emits ``rule_id``.
     ``variant="legacy"``: idle -> app -> host/path (keyword index first on
     ambiguous hosts) -> keyword index -> Unknown; no trimming; emits
-    ``matched_keyword`` (the keyword whose hit decided the label).
+    ``matched_keyword`` (the keyword whose hit decided the label) and, with a
+    keyword index, ``index_hit`` (keyword, category, productive): the first title candidate
+    that the index holds, whatever decided the label.
 
     Adds ``category``, ``is_productive``, ``rule_id`` / ``matched_keyword``
     (names prefixed with ``prefix``).
@@ -173,6 +175,7 @@ def classify(
         kw_hit = F.lit(False)
         kw_cat = kw_prod = kw_word = F.lit(None)
 
+    hit = F.when(kw_hit, F.struct(kw_word.cast("string").alias("keyword"), kw_cat.cast("string").alias("category"), kw_prod.cast("boolean").alias("productive")))
     use_kw = ~F.col("_idle") & ~app_hit & kw_hit & (~dom_hit | T.is_ambiguous_host(F.col("_host")))
     out = d.withColumns(
         {
@@ -187,6 +190,7 @@ def classify(
             .when(dom_hit, F.col("_dm.productive"))
             .otherwise(F.lit(False)),
             f"{prefix}matched_keyword": F.when(use_kw, kw_word.cast("string")),
+            **({f"{prefix}index_hit": hit} if ruleset.keywords is not None else {}),
         }
     )
     return out.drop(

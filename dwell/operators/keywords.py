@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwell.functions import text as T
@@ -76,23 +76,26 @@ def keyword_top_k(counts: DataFrame, k: int = KEYWORDS_PER_CATEGORY, salt_bucket
     return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("_salt", "_r")
 
 
-def label_backlog(classified: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """Rows that need an external label — they have a keyword and are on an
-    ambiguous host or still Unknown, and no candidate hit the keyword index.
-    One row per keyword (its first occurrence), since labels are cached by
-    keyword. A partial aggregate (min_by), never a group collect."""
+def _needs_label(host: Column) -> Column:
+    """The row has a keyword and is on an ambiguous host or still Unknown."""
+    return (F.size(T.keyword_candidates(F.col("title"))) > 0) & (T.is_ambiguous_host(host) | (F.col("category") == "Unknown"))
+
+
+def label_backlog(classified: DataFrame, ts: str = "ts", seq: str = "seq", known: DataFrame | None = None) -> DataFrame:
+    """Rows that need an external label and none of whose title candidates the
+    keyword index holds, whatever rule decided the row so far (``index_hit`` of
+    ``classify``). One row per keyword (its first occurrence), since labels are
+    cached by keyword; keywords of ``known`` have been asked for. A partial aggregate
+    (min_by), never a group collect."""
     cands = T.keyword_candidates(F.col("title"))
     host = T.url_host(F.col("url"))
-    need = (
-        (F.size(cands) > 0)
-        & (T.is_ambiguous_host(host) | (F.col("category") == "Unknown"))
-        & F.col("matched_keyword").isNull()
-    )
-    b = classified.where(need).withColumns(
+    b = classified.where(_needs_label(host) & F.col("index_hit").isNull()).withColumns(
         {"keyword": F.get(cands, 0), "cache_key": T.context_key(F.col("app"), host, F.col("title"))}
     )
     first = F.min_by(F.struct("app", "title", "url", "cache_key", "category", "is_productive", ts), F.struct(ts, seq))
     g = b.groupBy("keyword").agg(first.alias("f"), F.count(F.lit(1)).alias("rows"))
+    if known is not None:
+        g = g.join(known.select("keyword").distinct(), "keyword", "left_anti")
     return g.select(
         "keyword", "f.app", "f.title", "f.url", "f.cache_key", F.col("f.category").alias("rule_category"),
         F.col("f.is_productive").alias("rule_productive"), F.col(f"f.{ts}").alias("first_seen"), "rows",
@@ -107,43 +110,43 @@ def run_labeller(backlog: DataFrame, labeller: Callable[[Iterator[pd.DataFrame]]
 
 
 def apply_suggestions(classified: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Rows that need a label take the suggestion for one of their keyword
-    candidates (first hit wins); 'Unknown' suggestions are ignored, so the rule
-    label stays. Suggestions are one row per keyword (deduplicated backlog)."""
+    """A row that needs a label takes that of its first title candidate with
+    one: the keyword index's, else the accepted suggestion's ('Unknown' is none).
+    ``label_source`` says which ('index' also where an app, idle or host rule had
+    decided the row), ``hit_keyword`` names the keyword (W5 counts its hits).
+    Suggestions are one row per keyword (deduplicated backlog).
+
+    Only the rows that an index hit of the first candidate leaves open are joined:
+    each brings its candidates as rows, the suggestions meet them, and the answers
+    return by a row id; all other rows pass by without a shuffle."""
     sg = suggestions.where(F.col("category").isNotNull() & (F.col("category") != "Unknown")).select(
-        "keyword", "category", "productive"
+        F.col("keyword").alias("_k"), F.struct(F.col("category").alias("c"), F.coalesce("productive", F.lit(False)).alias("p"), F.col("keyword").alias("k")).alias("_s")
     )
     cands = T.keyword_candidates(F.col("title"))
-    host = T.url_host(F.col("url"))
-    need = (F.size(cands) > 0) & (T.is_ambiguous_host(host) | (F.col("category") == "Unknown")) & F.col("matched_keyword").isNull()
-    d = classified.withColumn("_need", need)
-    # Rows that need no suggestion (or lack a second candidate) get a
-    # deterministic key that can never match, spread by a row hash: no null key
-    # piles every such row into one shuffle partition. Whether the (one row per
-    # keyword) suggestion side is broadcast is left to the planner / AQE.
-    row_hash = F.xxhash64(*[F.col(c) for c in classified.columns]).cast("string")
-    for i in (1, 2):
-        cand = F.get(cands, i - 1)
-        d = d.withColumn(
-            f"_k{i}",
-            F.when(F.col("_need") & cand.isNotNull(), cand).otherwise(F.concat(F.lit("\u0001"), row_hash, F.lit(f"#{i}"))),
-        )
-    for i in (1, 2):
-        d = d.join(
-            sg.select(F.col("keyword").alias(f"_k{i}"), F.col("category").alias(f"_s{i}c"), F.col("productive").alias(f"_s{i}p")),
-            f"_k{i}",
-            "left",
-        )
-    hit = F.col("_need") & (F.col("_s1c").isNotNull() | F.col("_s2c").isNotNull())
-    cat = F.coalesce("_s1c", "_s2c")
-    prod = F.when(F.col("_s1c").isNotNull(), F.col("_s1p")).otherwise(F.col("_s2p"))
-    return d.withColumns(
+    hit = F.col("index_hit")
+    d = classified.withColumn("_need", _needs_label(T.url_host(F.col("url"))))
+    by_index = F.col("_need") & F.coalesce(hit.getField("keyword") == F.get(cands, 0), F.lit(False))
+    d = d.withColumn("_open", F.col("_need") & ~by_index).withColumns({"_k1": F.get(cands, 0), "_k2": F.get(cands, 1)})
+    rest = d.where(~F.coalesce("_open", F.lit(False))).withColumn("_s", F.lit(None).cast("struct<c:string,p:boolean,k:string>"))
+    todo = d.where("_open")
+    # an index hit here is one of the second candidate: only the first may come before it
+    todo = todo.join(sg.select(F.col("_k").alias("_k1"), F.col("_s").alias("_s1")), "_k1", "left")
+    second = F.when(F.col("_s1").isNull() & hit.isNull(), F.col("_k2"))
+    # a row that asks for no second label gets a key that can't match, spread by its hash
+    own = [c for c in ("title", "url", "app", "device_id", "ts", "seq") if c in classified.columns]
+    spread = F.concat(F.lit("\u0001"), F.xxhash64(*own).cast("string"))
+    todo = todo.withColumn("_k2", F.coalesce(second, spread)).join(sg.select(F.col("_k").alias("_k2"), F.col("_s").alias("_s2")), "_k2", "left")
+    todo = todo.withColumn("_s", F.coalesce("_s1", "_s2")).drop("_s1", "_s2")
+    out = rest.unionByName(todo)
+    indexed = F.col("_need") & F.col("_s").isNull() & hit.isNotNull()
+    return out.withColumns(
         {
-            "label_source": F.when(hit, F.lit("suggestion")).otherwise(F.lit("rules")),
-            "category": F.when(hit, cat).otherwise(F.col("category")),
-            "is_productive": F.when(hit, F.coalesce(prod, F.lit(False))).otherwise(F.col("is_productive")),
+            "label_source": F.when(F.col("_s").isNotNull(), F.lit("suggestion")).when(indexed, F.lit("index")).otherwise(F.lit("rules")),
+            "hit_keyword": F.coalesce(F.col("_s.k"), F.when(indexed, hit.getField("keyword")), F.col("matched_keyword")),
+            "category": F.coalesce(F.col("_s.c"), F.when(indexed, hit.getField("category")), F.col("category")),
+            "is_productive": F.coalesce(F.col("_s.p"), F.when(indexed, hit.getField("productive")), F.col("is_productive")),
         }
-    ).drop("_need", "_k1", "_k2", "_s1c", "_s2c", "_s1p", "_s2p")
+    ).drop("_need", "_open", "_k1", "_k2", "_s")
 
 
 def learned_rules(backlog: DataFrame, suggestions: DataFrame, rules_df: DataFrame) -> DataFrame:
@@ -171,7 +174,8 @@ def learned_rules(backlog: DataFrame, suggestions: DataFrame, rules_df: DataFram
         )).alias("_t")
     )
     cand = cand.withColumn("_t", F.concat("kind", F.lit("|"), "token"))
-    new = cand.join(F.broadcast(existing), ["category", "_t"], "left_anti").drop("_t")
+    # one row per rule token; whether that is small is known at run time, so the join is left to AQE
+    new = cand.join(existing, ["category", "_t"], "left_anti").drop("_t")
     # the earliest suggestion decides the flag (it creates a new category)
     return new.groupBy("category", "kind", "token").agg(
         F.min_by("productive", F.struct("first_seen", "keyword")).alias("productive"),

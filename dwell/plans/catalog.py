@@ -125,8 +125,7 @@ GAP_S = 900
 
 # ------------------------------------------------------------------ W2 segments
 
-@register(
-    "segments",
+SEGMENT_CTES = (
     SAMPLES_MOD4
     + f""",
 seg_in AS (
@@ -142,7 +141,14 @@ seg_l AS (
 seg_b AS (
   SELECT * FROM seg_l WHERE rn = 1 OR ki IS DISTINCT FROM pki OR ka IS DISTINCT FROM pka
                          OR ku IS DISTINCT FROM pku OR kt IS DISTINCT FROM pkt),
-seg_e AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS end_time FROM seg_b)
+seg_e AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS end_time FROM seg_b)"""
+)
+
+
+@register(
+    "segments",
+    SEGMENT_CTES
+    + f"""
 SELECT device_id, {Q.us('ts')} / 1e6 AS start_ts, {Q.us('end_time')} / 1e6 AS end_ts, app,
        coalesce(title, '') AS title, url, CAST(NULL AS VARCHAR) AS content_hash
 FROM seg_e WHERE end_time IS NOT NULL AND NOT idle""",
@@ -154,9 +160,34 @@ def q_segments(spark, sf):
 
 # ---------------------------------------------------------------- W3 / W4
 
+#: W2 segments as labelled sessions: idleness leaves holes between them, which W3 and W4 work on
+HOLED_SQL = (
+    SEGMENT_CTES
+    + f""",
+segs AS (
+  SELECT ts AS start_time, end_time, {Q.secs('ts', 'end_time')} AS duration_sec, app, coalesce(title, '') AS title, url, device_id
+  FROM seg_e WHERE end_time IS NOT NULL AND NOT idle),"""
+    + Q.rule_dims_cte()
+    + ","
+    + Q.classify_cte("segs", ["device_id", "start_time"], "seg_c", variant="legacy")
+    + f""",
+sessions AS (SELECT {SESSION_COLS} FROM seg_c)"""
+)
+
+
+def holed_sessions(spark, sf) -> DataFrame:
+    """W2 segments as labelled sessions, still bucketed."""
+    seg = S.segments(samples(spark, sf), idle=S.is_idle("idle_seconds", IDLE_S))
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    time = {n: F.timestamp_add("MICROSECOND", F.round(F.col(c) * 1e6).cast("long"), epoch) for n, c in (("start_time", "start_ts"), ("end_time", "end_ts"))}
+    seg = seg.withColumns(time).withColumn("duration_sec", S.seconds_between("start_time", "end_time"))
+    out = C.classify(seg, C.RuleSet.build(spark), variant="legacy")
+    return S.session_columns(out, extra=[O.BUCKET])
+
+
 @register(
     "stitch",
-    Q.sessions_ctes()
+    HOLED_SQL
     + f""",
 st AS (SELECT *, nullif(url, '') AS u FROM sessions),
 st_l AS (
@@ -179,12 +210,12 @@ SELECT start_time, end_time, {Q.secs('start_time', 'end_time')} AS duration_sec,
        is_productive, device_id FROM st_g""",
 )
 def q_stitch(spark, sf):
-    return S.stitch(labelled_sessions(spark, sf, keep_bucket=True), gap_seconds=GAP_S)
+    return S.stitch(holed_sessions(spark, sf), gap_seconds=GAP_S)
 
 
 @register(
     "gap_fill",
-    Q.sessions_ctes()
+    HOLED_SQL
     + f""",
 gf AS (SELECT *, lead(start_time) OVER (PARTITION BY device_id ORDER BY start_time, end_time) AS ns FROM sessions),
 gf2 AS (SELECT *, coalesce({Q.secs('end_time', 'ns')} >= 0 AND {Q.secs('end_time', 'ns')} <= {GAP_S}, FALSE) AS resumed
@@ -194,7 +225,7 @@ SELECT start_time, CASE WHEN resumed THEN ns ELSE end_time END AS end_time,
        app, title, url, category, is_productive, device_id, resumed FROM gf2""",
 )
 def q_gap_fill(spark, sf):
-    return _drop(S.gap_fill(labelled_sessions(spark, sf, keep_bucket=True), gap_seconds=GAP_S))
+    return _drop(S.gap_fill(holed_sessions(spark, sf), gap_seconds=GAP_S))
 
 
 # ---------------------------------------------------------------- P5-P7
@@ -222,8 +253,8 @@ devs AS (SELECT DISTINCT device_id FROM samples),
 settings AS (
   SELECT device_id, kv.key AS key, kv.value AS value FROM (
     SELECT device_id, unnest(list_slice([
-        {'key': 'displaysleep', 'value': '10'}, {'key': 'sleep', 'value': '0'},
-        {'key': 'screensaver', 'value': 'abc'}, {'key': 'screensaver', 'value': '300'}],
+        {'key': 'sleep', 'value': '0'}, {'key': 'screensaver', 'value': 'abc'},
+        {'key': 'displaysleep', 'value': '4'}, {'key': 'screensaver', 'value': '120'}],
         1, CAST(regexp_extract(device_id, '[0-9]+', 0) AS INTEGER) % 4 + 1)) AS kv FROM devs))"""
 
 
@@ -335,7 +366,10 @@ visits AS (
          page_id + {SM.VISIT_SEQ_OFFSET} AS seq, 'Google Chrome' AS app,
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, 0.0 AS idle_seconds
   FROM pages),
-kw_src AS (SELECT * FROM samples UNION ALL SELECT * FROM visits)"""
+embedded AS (
+  SELECT device_id, ts, seq + {SM.EMBEDDED_SEQ_OFFSET} AS seq, 'Slack' AS app, title, url, idle_seconds
+  FROM samples WHERE app = 'Firefox' AND seq % 3 = 0),
+kw_src AS (SELECT * FROM samples UNION ALL SELECT * FROM visits UNION ALL SELECT * FROM embedded)"""
 
 CLASSIFY_KW_SQL = (
     SAMPLES_MOD4
@@ -351,8 +385,9 @@ CLASSIFY_KW_SQL = (
 
 
 def keyword_corpus(spark, sf) -> DataFrame:
-    """Samples plus browser visits derived from pages: the input of keyword learning."""
-    return samples(spark, sf).unionByName(SM.browser_visits(SM.load(spark, sf, "pages")))
+    """Samples, browser visits derived from pages and pages seen inside apps: the input of keyword learning."""
+    embedded = SM.embedded_visits(SM.load(spark, sf, "events"))
+    return samples(spark, sf).unionByName(SM.browser_visits(SM.load(spark, sf, "pages"))).unionByName(embedded)
 
 
 @register(
@@ -819,19 +854,35 @@ def q_keyword_counts(spark, sf):
     return K.keyword_counts(_keyword_sessions(spark, sf))
 
 
+TOP_K = 5
+
+
 @register(
     "keyword_top_k",
-    KW_HITS_SQL
-    + KW_COUNTS_SQL
-    + """
+    CLASSIFY_KW_SQL
+    + f""",
+th AS (
+  SELECT *, {Q.keyword_sql('title')} AS kw, {_ctx_sql('app', 'host', 'title')} AS context_key FROM ckw),
+ts_ AS (
+  SELECT *, lag(kw) OVER w AS pk, lag(ts) OVER w AS pts, row_number() OVER w AS rn
+  FROM th WHERE kw IS NOT NULL AND context_key IS NOT NULL AND context_key <> ''
+  WINDOW w AS (PARTITION BY context_key ORDER BY ts, seq)),
+tc AS (
+  SELECT category, kw AS keyword, sum(CASE WHEN rn > 1 AND pk = kw AND {Q.secs('pts', 'ts')} < {GAP_S} THEN 0 ELSE 1 END)::BIGINT AS count,
+         min(ts) AS first_seen
+  FROM ts_ GROUP BY ALL)
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY category ORDER BY count DESC, first_seen, keyword) AS rank FROM kc)
-WHERE rank <= 2""",
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY count DESC, first_seen, keyword) AS rank FROM tc WHERE count > 0)
+WHERE rank <= {TOP_K}""",
 )
 def q_keyword_top_k(spark, sf):
+    """A6 over every title keyword (F3) of the corpus: categories hold more keywords than the index may keep."""
+    from dwell.functions import text as T
     from dwell.operators import keywords as K
 
-    return K.keyword_top_k(K.keyword_counts(_keyword_sessions(spark, sf)), k=2)
+    cl, _ = _keyword_classified(spark, sf)
+    hits = cl.withColumn("matched_keyword", T.keyword("title"))
+    return K.keyword_top_k(K.keyword_counts(K.keyword_sessions(K.keyword_hits(hits), reset_seconds=GAP_S)), k=TOP_K)
 
 
 BACKLOG_SQL = (
@@ -839,7 +890,7 @@ BACKLOG_SQL = (
     + f""",
 bl0 AS (
   SELECT *, cands[1] AS keyword, {_ctx_sql('app', 'host', 'title')} AS cache_key FROM ckw
-  WHERE len(cands) > 0 AND (host IN {Q.AMBIG} OR category = 'Unknown') AND matched_keyword IS NULL),
+  WHERE len(cands) > 0 AND (host IN {Q.AMBIG} OR category = 'Unknown') AND index_keyword IS NULL),
 backlog AS (
   SELECT keyword, arg_min(app, (ts, seq)) AS app, arg_min(title, (ts, seq)) AS title, arg_min(url, (ts, seq)) AS url,
          arg_min(cache_key, (ts, seq)) AS cache_key, arg_min(category, (ts, seq)) AS rule_category,
@@ -864,15 +915,20 @@ def q_label_backlog(spark, sf):
     BACKLOG_SQL
     + f""",
 ok AS (SELECT * FROM sugg WHERE category IS NOT NULL AND category <> 'Unknown'),
-ap AS (
-  SELECT c.*, (len(cands) > 0 AND (host IN {Q.AMBIG} OR c.category = 'Unknown') AND matched_keyword IS NULL) AS need,
+ap0 AS (
+  SELECT c.*, (len(cands) > 0 AND (host IN {Q.AMBIG} OR c.category = 'Unknown')) AS need,
+         i1.category AS i1c, i1.productive AS i1p, i2.category AS i2c, i2.productive AS i2p,
          s1.category AS s1c, s1.productive AS s1p, s2.category AS s2c, s2.productive AS s2p
-  FROM ckw c LEFT JOIN ok s1 ON s1.keyword = c.cands[1] LEFT JOIN ok s2 ON s2.keyword = c.cands[2])
+  FROM ckw c LEFT JOIN ok s1 ON s1.keyword = c.cands[1] LEFT JOIN ok s2 ON s2.keyword = c.cands[2]
+  LEFT JOIN kw_dim i1 ON i1.keyword = c.cands[1] LEFT JOIN kw_dim i2 ON i2.keyword = c.cands[2]),
+ap AS (
+  SELECT *, CASE WHEN NOT need THEN 0 WHEN i1c IS NOT NULL THEN 1 WHEN s1c IS NOT NULL THEN 2
+                 WHEN i2c IS NOT NULL THEN 3 WHEN s2c IS NOT NULL THEN 4 ELSE 0 END AS pick FROM ap0)
 SELECT device_id, seq, app, title, url,
-       CASE WHEN need AND (s1c IS NOT NULL OR s2c IS NOT NULL) THEN coalesce(s1c, s2c) ELSE category END AS category,
-       CASE WHEN need AND (s1c IS NOT NULL OR s2c IS NOT NULL)
-            THEN coalesce(CASE WHEN s1c IS NOT NULL THEN s1p ELSE s2p END, FALSE) ELSE is_productive END AS is_productive,
-       CASE WHEN need AND (s1c IS NOT NULL OR s2c IS NOT NULL) THEN 'suggestion' ELSE 'rules' END AS label_source
+       CASE pick WHEN 1 THEN i1c WHEN 2 THEN s1c WHEN 3 THEN i2c WHEN 4 THEN s2c ELSE category END AS category,
+       coalesce(CASE pick WHEN 1 THEN i1p WHEN 2 THEN s1p WHEN 3 THEN i2p WHEN 4 THEN s2p ELSE is_productive END, FALSE) AS is_productive,
+       CASE WHEN pick IN (1, 3) THEN 'index' WHEN pick IN (2, 4) THEN 'suggestion' ELSE 'rules' END AS label_source,
+       CASE pick WHEN 1 THEN cands[1] WHEN 2 THEN cands[1] WHEN 3 THEN cands[2] WHEN 4 THEN cands[2] ELSE matched_keyword END AS hit_keyword
 FROM ap""",
 )
 def q_apply_suggestions(spark, sf):
@@ -881,7 +937,7 @@ def q_apply_suggestions(spark, sf):
     cl, _ = _keyword_classified(spark, sf)
     sg = K.derived_suggestions(K.label_backlog(cl))
     out = K.apply_suggestions(cl, sg)
-    return out.select("device_id", "seq", "app", "title", "url", "category", "is_productive", "label_source")
+    return out.select("device_id", "seq", "app", "title", "url", "category", "is_productive", "label_source", "hit_keyword")
 
 
 @register(
@@ -1262,6 +1318,40 @@ def q_labels_after_compaction(spark, sf):
     return store.effective("rules-v1")
 
 
+@register(
+    "suggestion_cache",
+    BACKLOG_SQL
+    + """
+SELECT s.keyword, s.category, s.productive, CASE WHEN length(s.keyword) % 10 = 0 THEN 2 ELSE 1 END AS attempt FROM sugg s""",
+)
+def q_suggestion_cache(spark, sf):
+    """Two runs over one cache. The first asks for half of the backlog and fails
+    now and then; the second asks only for what has no answer yet."""
+    from dwell.operators import keywords as K
+    from dwell.operators import suggestions as SG
+    from dwell.session import scratch_path
+    from dwell.streaming.store import Store
+
+    cl, _ = _keyword_classified(spark, sf)
+    backlog = K.label_backlog(cl)
+    store = Store(spark, scratch_path(spark, "suggestions"))
+
+    def labeller(fails):
+        def answer(app, title, url):
+            n = len(title)
+            if fails and n % 5 == 0:
+                raise TimeoutError("no answer")
+            return {"category": ("Research", "Shopping", "Unknown")[n % 3], "productive": n % 2 == 0}
+
+        return answer
+
+    # the labeller sees the keyword itself, as the title it is to judge
+    asked = backlog.withColumn("title", F.col("keyword"))
+    SG.ask(store, asked.where(F.length("keyword") % 2 == 0), labeller(True), "first")
+    SG.ask(store, asked, labeller(False), "second")
+    return store.suggestions().select("keyword", "category", "productive", "attempt")
+
+
 CAPTURE_SQL = (
     SAMPLES_MOD4
     + ","

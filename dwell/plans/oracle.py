@@ -191,7 +191,8 @@ def classify_cte(src: str, keys: list[str], name: str, variant: str = "v1", keyw
               WHEN m.d_cat IS NOT NULL THEN m.d_cat ELSE 'Unknown' END AS category,
          CASE WHEN {idle} THEN FALSE WHEN a.category IS NOT NULL THEN a.productive WHEN {usekw} THEN {kwprod}
               WHEN m.d_cat IS NOT NULL THEN m.d_prod ELSE FALSE END AS is_productive,
-         CASE WHEN {usekw} THEN {kwword} END AS matched_keyword
+         CASE WHEN {usekw} THEN {kwword} END AS matched_keyword,
+         {kwword} AS index_keyword, {kwcat} AS index_category, {kwprod} AS index_productive
   FROM {name}_x x LEFT JOIN app_dim a ON x.app_n = a.app_token
   LEFT JOIN (SELECT * FROM {name}_m WHERE r = 1) m ON {on} {kw_join})"""
     return base + body

@@ -186,10 +186,10 @@ def device_settings(events: DataFrame) -> DataFrame:
     the devices that appear in ``events`` (values exercise zero and unparsable)."""
     devs = samples_from_events(events).select("device_id").distinct()
     kv = F.array(
-        F.struct(F.lit("displaysleep").alias("key"), F.lit("10").alias("value")),
         F.struct(F.lit("sleep").alias("key"), F.lit("0").alias("value")),
         F.struct(F.lit("screensaver").alias("key"), F.lit("abc").alias("value")),
-        F.struct(F.lit("screensaver").alias("key"), F.lit("300").alias("value")),
+        F.struct(F.lit("displaysleep").alias("key"), F.lit("4").alias("value")),
+        F.struct(F.lit("screensaver").alias("key"), F.lit("120").alias("value")),
     )
     idx = F.regexp_extract("device_id", "[0-9]+", 0).cast("int") % 4
     return devs.select("device_id", F.explode(F.slice(kv, 1, idx + 1)).alias("kv")).select(
@@ -215,6 +215,17 @@ def browser_visits(pages: DataFrame) -> DataFrame:
     )
 
 
+EMBEDDED_SEQ_OFFSET = 2_000_000_000
+
+
+def embedded_visits(events: DataFrame) -> DataFrame:
+    """Pages seen inside an app that has a rule of its own: every third 'Firefox'
+    sample once more as 'Slack' (so that app rules meet ambiguous hosts and titles
+    that the keyword index holds)."""
+    s = samples_from_events(events).where((F.col("app") == "Firefox") & (F.col("seq") % 3 == 0))
+    return s.withColumns({"app": F.lit("Slack"), "seq": F.col("seq") + F.lit(EMBEDDED_SEQ_OFFSET)})
+
+
 TAB_SNAPSHOT_SCHEMA = "url string, title string, tabId bigint, windowId bigint, timestamp string"
 
 

@@ -38,10 +38,11 @@ SCHEMAS = {
     "user_overrides": "event_id long, op string, category_id string, note string, created_at timestamp, seq long",
     "tombstones": "event_id long, created_at timestamp",
     "notices": "kind string, kind_ord int, event_id long, seq long",
+    "suggestions": "keyword string, category string, productive boolean, confidence double, rationale string, ok boolean, attempt int, asked_at timestamp",
     "late": "device_id string, ts timestamp_ntz, seq long, app string, title string, url string, is_idle boolean",
 }
-KEYS = {"events": ["id"], "engine_classifications": ["event_id", "engine_version"], "user_overrides": ["event_id"], "tombstones": ["event_id"]}
-ORDER = {"engine_classifications": ["created_at", "seq"], "user_overrides": ["seq", "created_at"], "events": ["created_at"], "tombstones": ["created_at"]}
+KEYS = {"events": ["id"], "engine_classifications": ["event_id", "engine_version"], "user_overrides": ["event_id"], "tombstones": ["event_id"], "suggestions": ["keyword"]}
+ORDER = {"engine_classifications": ["created_at", "seq"], "user_overrides": ["seq", "created_at"], "events": ["created_at"], "tombstones": ["created_at"], "suggestions": ["attempt", "asked_at"]}
 MAX_RUNS = 4
 
 
@@ -184,6 +185,10 @@ class Store:
     def effective(self, engine_version: str) -> DataFrame:
         return L.effective_labels(self.log("events"), self.log("engine_classifications"), self.log("user_overrides"), engine_version, self.deleted())
 
+    def suggestions(self) -> DataFrame:
+        """The last answer for each keyword that was ever asked for; ``ok`` is false where asking failed."""
+        return self._merged(self.log("suggestions"), "suggestions")
+
     def unlabelled(self, engine_version: str) -> DataFrame:
         """Events without a label of that engine: what a failed classification left to do."""
         return self.events().join(self.labels(engine_version).select(F.col("event_id").alias("id")), "id", "left_anti")

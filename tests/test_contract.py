@@ -49,3 +49,18 @@ def test_query_matches_duckdb(spark, name):
     orows = sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert len(srows) == len(orows)
     assert srows == orows
+
+
+def test_queries_change_their_input(spark):
+    """Operators that could pass rows through unchanged have work to do in the registered queries."""
+    from pyspark.sql import functions as F
+
+    sf, q = "/root/testdata/sf0.01", E.queries()
+    holed = catalog.holed_sessions(spark, sf).count()
+    assert q["stitch"](spark, sf).count() < holed
+    filled = q["gap_fill"](spark, sf).groupBy("resumed").count().collect()
+    assert {r["resumed"] for r in filled} == {True, False} and sum(r["count"] for r in filled) == holed
+    assert len({r.idle_threshold for r in q["idle_threshold"](spark, sf).collect()}) >= 3
+    top = q["keyword_top_k"](spark, sf)
+    assert top.groupBy("category").agg(F.max("rank").alias("m")).where(F.col("m") == catalog.TOP_K).count() >= 2
+    assert {r.label_source for r in q["apply_suggestions"](spark, sf).select("label_source").distinct().collect()} == {"rules", "index", "suggestion"}

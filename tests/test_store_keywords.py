@@ -84,3 +84,64 @@ def test_top_k_ties(spark):
     )
     out = K.keyword_top_k(counts, k=2, salt_buckets=3).orderBy("category", "rank").collect()
     assert [(r.category, r.keyword) for r in out] == [("C", "y"), ("C", "x"), ("D", "w")]
+
+
+def test_backlog_and_suggestions_follow_the_index(spark):
+    """A row that an app or idle rule decided still takes the index's label on an
+    ambiguous host; candidates are tried one after the other, the index before the
+    accepted suggestions."""
+    from dwell.operators.classify import RuleSet, classify
+
+    rs = RuleSet.build(spark, keyword_index={"Shopping": [{"keyword": "google maps", "count": 1}], "Coding": [{"keyword": "last words", "count": 1}]})
+    g = "https://www.google.com/x"
+    rows = [
+        (1, "Slack", "Google Maps", g), (2, "Idle", "Google Maps", g), (3, "Slack", "Google Maps", "https://example.org/"), (4, "Nope", "Other thing", ""),
+        (5, "Slack", "First thing and last words", g), (6, "Slack", "Other thing", g), (7, "Nope", "Asked twice some time", ""), (8, "Nope", "abc", ""), (9, "Nope", None, None),
+    ]
+    df = spark.createDataFrame([(*r, dt.datetime(2024, 1, 1), r[0]) for r in rows], "i int, app string, title string, url string, ts timestamp_ntz, seq long")
+    cl = classify(df, rs, variant="legacy")
+    assert {r.keyword for r in K.label_backlog(cl).collect()} == {"other thing", "asked twice"}
+    sg = spark.createDataFrame([("first thing", "Research", True), ("other thing", "Unknown", True), ("some time", "Meetings", None), ("google maps", "Never", True)], "keyword string, category string, productive boolean")
+    out = {r.i: (r.category, r.label_source, r.hit_keyword) for r in K.apply_suggestions(cl, sg).collect()}
+    assert out == {
+        1: ("Shopping", "index", "google maps"), 2: ("Shopping", "index", "google maps"), 3: ("Communication", "rules", None), 4: ("Unknown", "rules", None),
+        5: ("Research", "suggestion", "first thing"), 6: ("Communication", "rules", None), 7: ("Meetings", "suggestion", "some time"), 8: ("Unknown", "rules", None), 9: ("Unknown", "rules", None),
+    }
+    out = {r.i: (r.category, r.label_source) for r in K.apply_suggestions(cl, sg.limit(0)).collect()}
+    assert out[5] == ("Coding", "index") and out[7] == ("Unknown", "rules")
+
+
+def test_labeller_is_asked_once_over_all_runs(spark, tmp_path):
+    from dwell.operators import suggestions as SG
+    from dwell.session import scratch_path
+    from dwell.streaming.store import Store
+
+    calls = str(tmp_path / "calls")
+
+    def labeller(app, title, url):
+        with open(calls, "a") as f:
+            f.write(f"{title}\n")
+        if title == "bad":
+            raise ValueError("down")
+        return {"category": {"a": "Research", "b": "Unknown"}.get(title), "productive": 1}
+
+    def asked():
+        with open(calls) as f:
+            lines = f.read().split()
+        open(calls, "w").close()
+        return sorted(lines)
+
+    def backlog(*words):
+        return spark.createDataFrame([(w, "app", w, None) for w in words], "keyword string, app string, title string, url string")
+
+    store = Store(spark, scratch_path(spark, "sugg-test"))
+    assert SG.ask(store, backlog("a", "b", "bad"), labeller, "r1") and asked() == ["a", "b", "bad"]
+    assert not SG.ask(store, backlog("a", "z"), labeller, "r1") and asked() == []
+    for n in (2, 3):
+        store.compact()
+        assert SG.ask(store, backlog("a", "b", "bad", "c"), labeller) and asked() == (["bad", "c"] if n == 2 else ["bad"])
+    SG.ask(store, backlog("bad", "c"), labeller)
+    assert asked() == []  # failed three times
+    got = {r.keyword: (r.category, r.ok, r.attempt) for r in store.suggestions().collect()}
+    assert got == {"a": ("Research", True, 1), "b": ("Unknown", True, 1), "c": ("Unknown", True, 1), "bad": (None, False, 3)}
+    assert [(r.keyword, r.productive) for r in SG.accepted(store).collect()] == [("a", True)]
