@@ -7,12 +7,20 @@ thing that crosses bucket borders is a one-row-per-bucket summary:
 
 1. window over ``(key, bucket)`` ordered by the sort columns (the one full
    shuffle);
-2. aggregate the windowed rows per ``(key, bucket)`` (no new exchange: the
-   input is already clustered that way);
-3. a window over the summaries per key (rows per key = buckets per key, bounded
+2. the bucket's boundary row, found by its place in that window and carrying what
+   the bucket adds up to (no aggregate, no new exchange: both branches read one shuffle);
+3. a window over the boundary rows per key (rows per key = buckets per key, bounded
    by time span / bucket width);
-4. join the summaries back on ``(key, bucket)``: the big side keeps its
-   partitioning, only the summary side moves (AQE broadcasts it when small).
+4. join them back on ``(key, bucket)``: the big side keeps its
+   partitioning, only the boundary side moves (AQE broadcasts it when small).
+
+All frames run from the start of the partition to the current row, or one row to
+either side, so each window is linear in its rows. (A frame that reaches to the end of the
+partition is evaluated anew for every row.)
+
+Rows without a timestamp have no place in an order. The scans that add columns to
+rows pass them through with nulls in these, spread over buckets of their own; the scans
+that make new rows out of runs (``change_points``, ``islands``) leave them out.
 
 The bucket column is kept on the output so that a following scan over the same
 key reuses the partitioning without another exchange.
@@ -27,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 BUCKET = "_bkt"
-NO_KEY = "(none)"
+NO_KEY = "\u0000none"  # a null string key; no device can be called so
 
 
 def _epoch_ntz() -> Column:
@@ -36,6 +44,11 @@ DEFAULT_BUCKET_SECONDS = None  # resolved per session: conf "dwell.bucket.second
 FALLBACK_BUCKET_SECONDS = 3600
 
 
+#: buckets at or below this hold the rows without a timestamp, spread by a hash
+UNTIMED = -(2**62)
+UNTIMED_BUCKETS = 1024
+
+
 def bucket_width(df: DataFrame, bucket_seconds: int | None = None) -> int:
     """Time-bucket width in seconds: the explicit argument, else the session
     setting ``dwell.bucket.seconds`` (tune on a cluster: smaller splits hotter
@@ -50,16 +63,29 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def _whole_row(d: DataFrame, fn: str, order: Sequence[str]) -> Column:
-    """The first/last row of a bucket as one struct of *all* columns.
+def _alive(d: DataFrame) -> Column:
+    """A condition that always holds and reads every column.
+
+    On the boundary branch it keeps the columns below the window the same as on the
+    main branch, so that both read one shuffle (exchange reuse) instead of
+    scanning and shuffling a narrower copy of the input."""
+    cols = [F.size(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in d.schema]
+    return F.xxhash64(*cols) >= F.lit(-(2**63))
+
 
-    Referencing every column keeps the summary branch's projection identical
-    to the main branch, so both read one shuffle (exchange reuse) instead of
-    re-scanning and re-shuffling a narrower copy of the input. Callers keep it
-    alive with a (always true) ``IS NOT NULL`` filter on the aggregate."""
-    row = F.struct(*[F.col(c) for c in d.columns])
-    agg = F.max_by if fn == "max_by" else F.min_by
-    return agg(row, F.struct(*_cols(order)))
+def _boundary(d: DataFrame, at: Column, keys: Sequence[str], *cols: Column) -> DataFrame:
+    """One row per (key, bucket): the row where ``at`` holds."""
+    return d.where(at & _alive(d)).select(*keys, BUCKET, *cols)
+
+
+def _timed() -> Column:
+    """Not a filter before the shuffle (it would part the branches): rows with and
+    without a timestamp are kept apart in the windows over boundary rows."""
+    return F.col(BUCKET) > UNTIMED
+
+
+def _at_last(w) -> Column:
+    return F.lead(F.lit(1)).over(w).isNull()
 
 
 def add_bucket(df: DataFrame, ts_col: str, bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
@@ -114,27 +140,32 @@ def _split_hot_buckets(d: DataFrame, keys: Sequence[str], ts_col: str, max_rows:
     return j.withColumn(BUCKET, F.shiftleft(F.col(BUCKET), _SUB_BITS) + sub.cast("long")).drop("_pieces", "_t0", "_span")
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], ts_col: str, bucket_seconds: int) -> DataFrame:
-    """Rows with a timestamp, bucketed, hot buckets split (see
-    ``_split_hot_buckets``; ``dwell.bucket.maxRows`` = 0 turns that off). A null
-    string key is a key of its own, written as ``NO_KEY``; rows without a
-    timestamp have no place in an ordered scan.
-    Stating the not-null filter here keeps it identical on the main and the
-    summary branch (otherwise the optimizer infers it only on the join's
-    summary side and the two branches stop sharing their shuffle)."""
+def _keyed(df: DataFrame, keys: Sequence[str], ts_col: str, bucket_seconds: int, untimed: bool = True) -> DataFrame:
+    """Rows bucketed, hot buckets split (see ``_split_hot_buckets``;
+    ``dwell.bucket.maxRows`` = 0 turns that off). A null string key is a key of its
+    own, written as ``NO_KEY``. Rows without a timestamp go to buckets of their own,
+    or (``untimed`` false) out.
+    Stating the not-null filter here keeps it identical on both branches
+    (otherwise the optimizer infers it only on the join's boundary side and the
+    branches stop sharing their shuffle)."""
     fresh = BUCKET not in df.columns
     if fresh:
         text = [k for k in keys if df.schema[k].dataType == StringType()]
         df = df.withColumns({k: F.coalesce(F.col(k), F.lit(NO_KEY)) for k in text})
     d = add_bucket(df, ts_col, bucket_seconds)
-    cond = F.col(BUCKET).isNotNull() & F.col(ts_col).isNotNull()
+    cond = F.lit(True) if untimed else F.col(BUCKET).isNotNull() & F.col(ts_col).isNotNull()
     for k in keys:
         cond = cond & F.col(k).isNotNull()
     d = d.where(cond)
     max_rows = _max_bucket_rows(df)
     if fresh and max_rows > 0:
         d = _split_hot_buckets(d, keys, ts_col, max_rows)
-    return d
+    if untimed:
+        plain = [f.name for f in df.schema if f.dataType.typeName() != "map" and f.name != BUCKET]
+        spread = F.lit(UNTIMED) - F.pmod(F.xxhash64(*plain), F.lit(UNTIMED_BUCKETS))
+        d = d.withColumn(BUCKET, F.coalesce(BUCKET, spread))
+    # shuffled here and not below the window, so that what a scan derives from a row is computed behind the shuffle
+    return d.repartition(*keys, BUCKET) if fresh else d
 
 
 def with_prev(
@@ -151,18 +182,16 @@ def with_prev(
     d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order))
-    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns(
-        {f"_lag_{c}": F.lag(c).over(w) for c in cols}
-    )
-    summ = d1.groupBy(*part).agg(_whole_row(d1, "max_by", order).alias("_last")).where(F.col("_last").isNotNull())
-    ws = Window.partitionBy(*keys).orderBy(BUCKET)
-    summ = summ.select(*part, F.lag(F.struct(*[F.col("_last").getField(c).alias(c) for c in cols])).over(ws).alias("_pl"))
+    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns({f"_lag_{c}": F.lag(c).over(w) for c in cols}).withColumn("_end", _at_last(w))
+    last = _boundary(d1, F.col("_end"), keys, F.struct(*_cols(cols)).alias("_l"))
+    ws = Window.partitionBy(*keys, _timed()).orderBy(BUCKET)
+    summ = last.select(*part, F.lag("_l").over(ws).alias("_pl"))
     j = d1.join(summ, list(part), "left")
     first = F.col("_rn") == 1
     out = j.withColumns(
-        {f"{prefix}{c}": F.when(first, F.col("_pl").getField(c)).otherwise(F.col(f"_lag_{c}")) for c in cols}
-    ).withColumn(has_prev, (~first) | F.col("_pl").isNotNull())
-    return out.drop("_rn", "_pl", *[f"_lag_{c}" for c in cols])
+        {f"{prefix}{c}": F.when(~_timed(), F.lit(None)).when(first, F.col("_pl").getField(c)).otherwise(F.col(f"_lag_{c}")) for c in cols}
+    ).withColumn(has_prev, _timed() & ((~first) | F.col("_pl").isNotNull()))
+    return out.drop("_rn", "_pl", "_end", *[f"_lag_{c}" for c in cols])
 
 
 def with_next(
@@ -177,20 +206,18 @@ def with_next(
     d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order))
-    d1 = d.withColumns({f"_lead_{c}": F.lead(c).over(w) for c in cols}).withColumn(
-        "_rl", F.lead(F.lit(1)).over(w).isNull()
-    )
-    summ = d1.groupBy(*part).agg(_whole_row(d1, "min_by", order).alias("_first")).where(F.col("_first").isNotNull())
-    ws = Window.partitionBy(*keys).orderBy(BUCKET)
-    summ = summ.select(*part, F.lead(F.struct(*[F.col("_first").getField(c).alias(c) for c in cols])).over(ws).alias("_nf"))
+    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns({f"_lead_{c}": F.lead(c).over(w) for c in cols}).withColumn("_end", _at_last(w))
+    first = _boundary(d1, F.col("_rn") == 1, keys, F.struct(*_cols(cols)).alias("_f"))
+    ws = Window.partitionBy(*keys, _timed()).orderBy(BUCKET)
+    summ = first.select(*part, F.lead("_f").over(ws).alias("_nf"))
     j = d1.join(summ, list(part), "left")
     out = j.withColumns(
         {
-            f"{prefix}{c}": F.when(F.col("_rl"), F.col("_nf").getField(c)).otherwise(F.col(f"_lead_{c}"))
+            f"{prefix}{c}": F.when(~_timed(), F.lit(None)).when(F.col("_end"), F.col("_nf").getField(c)).otherwise(F.col(f"_lead_{c}"))
             for c in cols
         }
     )
-    return out.drop("_rl", "_nf", *[f"_lead_{c}" for c in cols])
+    return out.drop("_rn", "_end", "_nf", *[f"_lead_{c}" for c in cols])
 
 
 def with_last_non_null(
@@ -205,21 +232,14 @@ def with_last_non_null(
     ``order``): the backward as-of building block."""
     d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
-    w = Window.partitionBy(*part).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    d1 = d.withColumn("_lnn", F.last(value, ignorenulls=True).over(w))
-    # struct comparison orders by the sort columns first; max() skips nulls
-    summ = d1.groupBy(*part).agg(
-        F.max(F.when(F.col(value).isNotNull(), F.struct(*_cols(order), F.col(value).alias("_v"))))
-        .getField("_v")
-        .alias("_bl"),
-        _whole_row(d1, "max_by", order).alias("_w"),
-    ).where(F.col("_w").isNotNull()).drop("_w")
-    ws = (
-        Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    summ = summ.select(*part, F.last("_bl", ignorenulls=True).over(ws).alias("_pb"))
+    w = Window.partitionBy(*part).orderBy(*_cols(order))
+    d1 = d.withColumn("_lnn", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_end", _at_last(w))
+    # the bucket's last non-null value is the running one on its last row
+    last = _boundary(d1, F.col("_end"), keys, F.col("_lnn").alias("_bl"))
+    ws = Window.partitionBy(*keys, _timed()).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    summ = last.select(*part, F.last("_bl", ignorenulls=True).over(ws).alias("_pb"))
     j = d1.join(summ, list(part), "left")
-    return j.withColumn(out, F.coalesce(F.col("_lnn"), F.col("_pb"))).drop("_lnn", "_pb")
+    return j.withColumn(out, F.when(_timed(), F.coalesce(F.col("_lnn"), F.col("_pb")))).drop("_lnn", "_pb", "_end")
 
 
 def with_running_count(
@@ -234,24 +254,23 @@ def with_running_count(
     d = _keyed(df, keys, order[0], bucket_seconds)
     part = [*keys, BUCKET]
     f = F.col(flag).cast("long")
-    w = Window.partitionBy(*part).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    d1 = d.withColumn("_rc", F.sum(f).over(w))
-    summ = d1.groupBy(*part).agg(F.sum(f).alias("_bc"), _whole_row(d1, "max_by", order).alias("_w"))
-    summ = summ.where(F.col("_w").isNotNull()).drop("_w")
-    ws = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*part, F.coalesce(F.sum("_bc").over(ws), F.lit(0)).alias("_pc"))
+    w = Window.partitionBy(*part).orderBy(*_cols(order))
+    d1 = d.withColumn("_rc", F.sum(f).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_end", _at_last(w))
+    last = _boundary(d1, F.col("_end"), keys, F.col("_rc").alias("_bc"))
+    ws = Window.partitionBy(*keys, _timed()).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    summ = last.select(*part, F.coalesce(F.sum("_bc").over(ws), F.lit(0)).alias("_pc"))
     j = d1.join(summ, list(part), "left")
-    return j.withColumn(out, F.col("_rc") + F.col("_pc")).drop("_rc", "_pc")
+    return j.withColumn(out, F.when(_timed(), F.col("_rc") + F.col("_pc"))).drop("_rc", "_pc", "_end")
 
 
 def change_points(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    key: str,
+    key: str | Column,
     bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS,
 ) -> DataFrame:
-    """Run starts of ``key`` (null-safe) per ``keys`` in ``order``, in one pass.
+    """Run starts of ``key`` (null-safe; a column or an expression) per ``keys`` in ``order``, in one pass.
 
     Returns only the rows that start a run, with ``_next_start`` = ``order[0]``
     of the next run's start (null for the last run). Inside a bucket, a row
@@ -261,37 +280,31 @@ def change_points(
     resolved on one summary row per bucket.
     """
     ts = order[0]
-    d = _keyed(df, keys, ts, bucket_seconds)
+    d = _keyed(df, keys, ts, bucket_seconds, untimed=False)
+    if isinstance(key, Column):
+        d, key = d.withColumn("_key", key), "_key"
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order))
-    following = w.rowsBetween(1, Window.unboundedFollowing)
-    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_chg", (F.col("_rn") > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(w))
+    d1 = d.withColumn("_rn", F.row_number().over(w)).withColumn("_lk", F.lag(key).over(w))
+    # only the bucket's first row and the changes inside it go on: a run's last key is its first one
+    c = d1.where((F.col("_rn") == 1) | ~F.col(key).eqNullSafe(F.col("_lk"))).drop("_lk")
+    c = c.withColumn("_next_chg", F.lead(ts).over(w))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns(
+        {"_fk": F.first(key).over(so_far), "_fts": F.first(ts).over(so_far), "_fchg": F.first("_next_chg").over(so_far), "_end": _at_last(w)}
     )
-    d1 = d1.withColumn("_next_chg", F.first(F.when(F.col("_chg"), F.col(ts)), ignorenulls=True).over(following))
-    ordk = F.struct(*_cols(order))
-    summ = d1.groupBy(*part).agg(
-        F.min_by(F.col(key), ordk).alias("_fk"),
-        F.max_by(F.col(key), ordk).alias("_lk"),
-        F.min_by(F.col(ts), ordk).alias("_fts"),
-        F.min(F.when(F.col("_chg"), F.col(ts))).alias("_fchg"),
-        _whole_row(d1, "max_by", order).alias("_w"),
-    ).where(F.col("_w").isNotNull())
+    last = _boundary(c, F.col("_end"), keys, F.col("_fk"), F.col(key).alias("_lk"), F.col("_fts"), F.col("_fchg"))
     ws = Window.partitionBy(*keys).orderBy(BUCKET)
     first_is_start = F.lag(BUCKET).over(ws).isNull() | ~F.col("_fk").eqNullSafe(F.lag("_lk").over(ws))
-    summ = summ.select(*part, first_is_start.alias("_fis"), "_fts", "_fchg")
+    summ = last.select(*part, first_is_start.alias("_fis"), "_fts", "_fchg")
     summ = summ.withColumn("_bstart", F.when(F.col("_fis"), F.col("_fts")).otherwise(F.col("_fchg")))
-    summ = summ.select(
-        *part,
-        "_fis",
-        F.first("_bstart", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias("_nbs"),
-    )
-    j = d1.join(summ, list(part), "left")
-    start = F.when(F.col("_rn") == 1, F.col("_fis")).otherwise(F.col("_chg"))
+    later = Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*part, "_fis", F.last("_bstart", ignorenulls=True).over(later).alias("_nbs"))
+    j = c.drop("_fk", "_fts", "_fchg", "_end").join(summ, list(part), "left")
     return (
-        j.where(start)
+        j.where((F.col("_rn") > 1) | F.col("_fis"))
         .withColumn("_next_start", F.coalesce(F.col("_next_chg"), F.col("_nbs")))
-        .drop("_rn", "_chg", "_next_chg", "_fis", "_nbs")
+        .drop("_rn", "_next_chg", "_fis", "_nbs", "_key")
     )
 
 
@@ -311,34 +324,34 @@ def islands(
     first row of a bucket is resolved against the previous bucket's last row,
     and rows before the bucket's first new island inherit the island carried
     over from earlier buckets — all on one summary row per bucket."""
-    d = _keyed(df, keys, order[0], bucket_seconds)
+    d = _keyed(df, keys, order[0], bucket_seconds, untimed=False)
     part = [*keys, BUCKET]
     w = Window.partitionBy(*part).orderBy(*_cols(order))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     ok = F.struct(*_cols(order))
     d1 = d.withColumn("_rn", F.row_number().over(w)).withColumns({f"_l_{c}": F.lag(c).over(w) for c in cols})
     cont = same({c: F.col(c) for c in cols}, {c: F.col(f"_l_{c}") for c in cols})
     d1 = d1.withColumn("_inew", (F.col("_rn") > 1) & ~F.coalesce(cont, F.lit(False)))
-    d1 = d1.withColumn(
-        "_istart", F.last(F.when(F.col("_inew"), ok), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d1 = d1.withColumns(
+        {
+            "_istart": F.last(F.when(F.col("_inew"), ok), ignorenulls=True).over(so_far),
+            "_f": F.first(F.struct(*_cols(cols), ok.alias("_k"))).over(so_far),
+            "_end": _at_last(w),
+        }
     ).drop(*[f"_l_{c}" for c in cols])
-    summ = d1.groupBy(*part).agg(
-        F.min_by(F.struct(*_cols(cols), ok.alias("_k")), ok).alias("_f"),
-        F.max_by(F.struct(*_cols(cols)), ok).alias("_l"),
-        F.max(F.when(F.col("_inew"), ok)).alias("_li"),
-        _whole_row(d1, "max_by", order).alias("_w"),
-    ).where(F.col("_w").isNotNull())
+    last = _boundary(d1, F.col("_end"), keys, F.col("_f"), F.struct(*_cols(cols)).alias("_l"), F.col("_istart").alias("_li"))
     ws = Window.partitionBy(*keys).orderBy(BUCKET)
     prev = {c: F.lag(F.col("_l").getField(c)).over(ws) for c in cols}
     first_cont = F.lag(BUCKET).over(ws).isNotNull() & F.coalesce(
         same({c: F.col("_f").getField(c) for c in cols}, prev), F.lit(False)
     )
-    summ = summ.select(*part, (~first_cont).alias("_fnew"), F.col("_f._k").alias("_fk"), "_li")
+    summ = last.select(*part, (~first_cont).alias("_fnew"), F.col("_f._k").alias("_fk"), "_li")
     summ = summ.withColumn("_blast", F.coalesce(F.col("_li"), F.when(F.col("_fnew"), F.col("_fk"))))
     summ = summ.select(
         *part, "_fnew", "_fk",
         F.last("_blast", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
     )
-    j = d1.join(summ, list(part), "left")
+    j = d1.drop("_f", "_end").join(summ, list(part), "left")
     island = F.coalesce(F.col("_istart"), F.when(F.col("_fnew"), F.col("_fk")).otherwise(F.col("_carry")))
     return j.withColumn(out, island).drop("_rn", "_inew", "_istart", "_fnew", "_fk", "_carry")
 

@@ -43,11 +43,11 @@ def _change_points(
 ) -> DataFrame:
     """Keep the first sample of every run of equal ``key`` (null-safe) and give
     it ``end_time`` = ts of the next run's first sample (or ``close_ts``)."""
-    b = O.change_points(df.withColumn("_key", key), [device], [ts, seq], "_key", bucket_seconds)
+    b = O.change_points(df, [device], [ts, seq], key, bucket_seconds)
     end = F.col("_next_start")
     if close_ts is not None:
         end = F.coalesce(end, close_ts)
-    return b.withColumn("_end", end).where(F.col("_end").isNotNull()).drop("_next_start", "_key")
+    return b.withColumn("_end", end).where(F.col("_end").isNotNull()).drop("_next_start")
 
 
 def sessionize(

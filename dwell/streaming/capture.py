@@ -29,7 +29,7 @@ CARRY = (
     "device_id string, last_ts timestamp_ntz, last_seq long, open boolean, start_ts timestamp_ntz, start_seq long, app string, title string, url string, is_idle boolean"
 )
 ROW = ["device_id", "ts", "seq", "app", "title", "url", "is_idle"]
-NO_DEVICE = "(none)"
+NO_DEVICE = "\u0000none"
 
 
 def prepared(samples: DataFrame, variant: str, sanitize: bool) -> DataFrame:
@@ -67,7 +67,7 @@ def advance(rows: DataFrame, carry: DataFrame, variant: str, bucket_seconds: int
     late = late & (F.col("ts").isNull() | F.col("last_ts").isNotNull())
     on_time, behind = j.where(~late).select(*ROW), j.where(late).select(*ROW)
     heads = carry.where("open").select("device_id", F.col("start_ts").alias("ts"), F.col("start_seq").alias("seq"), "app", "title", "url", "is_idle")
-    points = O.change_points(heads.unionByName(on_time).withColumn("_key", _key(variant)), ["device_id"], ["ts", "seq"], "_key", bucket_seconds)
+    points = O.change_points(heads.unionByName(on_time), ["device_id"], ["ts", "seq"], _key(variant), bucket_seconds)
     last = on_time.groupBy("device_id").agg(F.max(F.struct("ts", "seq")).alias("l")).select("device_id", F.col("l.ts").alias("last_ts"), F.col("l.seq").alias("last_seq"))
     last = c.unionByName(last).groupBy("device_id").agg(F.max(F.struct("last_ts", "last_seq")).alias("l")).select("device_id", "l.*")
     still = points.where(F.col("_next_start").isNull()).select(

@@ -93,3 +93,38 @@ def test_hot_bucket_split_is_exact(spark, rows):
     assert c_rows == _collect(d, ["k", "seq", "_next_start"])
     plain = O.add_bucket(rows, "ts", 3600).select("k", O.BUCKET).distinct().count()
     assert n_buckets > plain  # hot hours really were split
+
+
+def test_rows_without_a_timestamp_pass_through(spark, rows):
+    """They keep their other columns, get nulls from the scan, and bear on no other row."""
+    lost = spark.createDataFrame([("a", None, 10_000 + i, "z", True) for i in range(50)] + [(None, None, 20_000, "z", True)], rows.schema)
+    nokey = spark.createDataFrame([(None, T0, 30_000, "n", True), (None, T0 + dt.timedelta(hours=5), 30_001, "m", False), ("(none)", T0, 30_002, "r", False)], rows.schema)
+    both = rows.unionByName(lost).unionByName(nokey)
+    plain = rows.unionByName(nokey)
+    for scan, cols in (
+        (lambda d, b: O.with_prev(d, ["k"], ["ts", "seq"], ["v"], b), ["prev_v", "has_prev"]),
+        (lambda d, b: O.with_next(d, ["k"], ["ts", "seq"], ["v"], b), ["next_v"]),
+        (lambda d, b: O.with_last_non_null(d, ["k"], ["ts", "seq"], "v", "o", b), ["o"]),
+        (lambda d, b: O.with_running_count(d, ["k"], ["ts", "seq"], "flag", "o", b), ["o"]),
+    ):
+        got = scan(both, 600)
+        assert _collect(got.where("ts IS NOT NULL"), ["k", "seq", *cols]) == _collect(scan(plain, 10**8), ["k", "seq", *cols])
+        side = got.where("ts IS NULL").collect()
+        assert len(side) == 51 and {tuple(r[c] for c in cols) for r in side} == {(None,) if len(cols) == 1 else (None, False)}
+    points = O.change_points(both, ["k"], ["ts", "seq"], F.struct("v"), 600)
+    assert _collect(points, ["k", "seq", "_next_start"]) == _collect(O.change_points(plain, ["k"], ["ts", "seq"], F.struct("v"), 10**8), ["k", "seq", "_next_start"])
+
+
+def test_one_scan_and_one_shuffle(spark, tmp_path, rows):
+    """Boundary rows come from the shuffle of the rows: the input is read once in the final plan."""
+    rows.repartition(2).write.parquet(f"{tmp_path}/rows")
+    spark.conf.set("dwell.bucket.maxRows", "0")
+    try:
+        src = spark.read.parquet(f"{tmp_path}/rows")
+        for df in (O.with_prev(src, ["k"], ["ts", "seq"], ["v"], 600), O.change_points(src, ["k"], ["ts", "seq"], F.struct("v"), 600)):
+            df = df.agg(F.bit_xor(F.xxhash64(*df.columns)))
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+    finally:
+        spark.conf.unset("dwell.bucket.maxRows")
