@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import table, write_table
+from dwell.llm.common import discard, table, write_table
 
-SWEEPS = 10  # at least
+SWEEPS = 5  # between two looks at the margins; a job each
 MAX_SWEEPS = 500
-TOLERANCE = 1e-6  # largest difference of a margin's share from its target at which raking ends
+TOLERANCE = 1e-10  # largest difference of a margin's share from its target at which raking ends
 KEEP_FRACTION = 0.6
 SEED = "mix-1"
 #: Per margin: an exponent (target share ~ observed share ** exponent), or a
@@ -73,12 +73,12 @@ def margin_targets(cells: DataFrame, dim: str, spec: float | dict[str, float]) -
 
 def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], sweeps: int = SWEEPS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """``cells(dims..., w > 0)`` -> the same with ``x``: raked shares summing to
-    1. Each sweep scales the cells once per margin; a margin's total is a
-    partially aggregated sum, joined back; each sweep is written and reread.
+    1. Each sweep scales the cells once per margin by a window sum over its level;
+    ``sweeps`` sweeps make one job, whose cells are written and reread.
 
-    After ``sweeps`` sweeps more follow until every share is within ``tolerance`` of
-    its target; targets not met in MAX_SWEEPS (infeasible ones: a level whose cells
-    can't hold its share) are reported by a warning. No tolerance: ``sweeps`` sweeps."""
+    Raking ends when every share is within ``tolerance`` of its target; targets not
+    met in MAX_SWEEPS (infeasible ones: a level whose cells can't hold its share)
+    are reported by a warning. No tolerance: ``sweeps`` sweeps."""
     dims = list(targets)
     files = 1 + cells.count() // CELLS_PER_FILE
     ts = [f"t_{d}" for d in dims]
@@ -86,18 +86,23 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], sweeps:
     for d, t in zip(dims, ts, strict=True):
         cur = cur.join(margin_targets(cells, d, targets[d]).withColumnRenamed("target", t), d)
     cur = write_table(cur.select(*dims, "w", "x", *ts).coalesce(files), "mix-cells")
-    for i in range(1, max(sweeps, MAX_SWEEPS if tolerance is not None else 0) + 1):
-        for d in dims:
-            f = cur.groupBy(d).agg((F.max(f"t_{d}") / F.sum("x")).alias("f"))
-            cur = cur.join(f, d).select(*dims, "w", (F.col("x") * F.col("f")).alias("x"), *ts)
+    done, worst = 0, 0.0
+    while True:
+        before = cur
+        for _ in range(sweeps):
+            for d, t in zip(dims, ts, strict=True):
+                cur = cur.withColumn("x", F.col("x") * (F.col(t) / F.sum("x").over(Window.partitionBy(d))))
         cur = write_table(cur.coalesce(files), "mix-cells")
-        if i >= sweeps and tolerance is not None:
-            worst = margin_error(cur, dims)
-            if worst <= tolerance:
-                return cur
-    if tolerance is not None:
-        warnings.warn(f"mixing: a margin is {worst:.2g} off its target after {i} sweeps", stacklevel=2)
-    return cur
+        discard(before)
+        done += sweeps
+        if tolerance is None:
+            return cur
+        worst = margin_error(cur, dims)
+        if worst <= tolerance:
+            return cur
+        if done >= MAX_SWEEPS:
+            warnings.warn(f"mixing: a margin is {worst:.2g} off its target after {done} sweeps", stacklevel=2)
+            return cur
 
 
 def margin_error(cells: DataFrame, dims: list[str]) -> float:
@@ -173,8 +178,12 @@ def mix(
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"), tolerance=None)  # its SQL states SWEEPS sweeps
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled", "copies")
+
+
+#: sweeps of the SQL: more than any scale of the test tables needs for TOLERANCE
+ORACLE_SWEEPS = 20
 
 
 def oracle(src: str = "documents", head: str = "", select: str | None = None) -> str:
@@ -191,7 +200,7 @@ def oracle(src: str = "documents", head: str = "", select: str | None = None) ->
         ctes.append(f"r_{dim} AS MATERIALIZED (SELECT k_{dim}, pow(sum(w) / (SELECT sum(w) FROM x0), {a}) AS raw FROM x0 GROUP BY ALL)")
         ctes.append(f"t_{dim} AS MATERIALIZED (SELECT k_{dim}, raw / (SELECT sum(raw) FROM r_{dim}) AS target FROM r_{dim})")
     i = 0
-    for _ in range(SWEEPS):
+    for _ in range(ORACLE_SWEEPS):
         for dim in TARGETS:
             ctes.append(
                 f"x{i + 1} AS MATERIALIZED (SELECT c.k_source, c.k_lang, c.k_topic, c.w, c.x * (t.target / s.sx) AS x FROM x{i} c JOIN t_{dim} t USING (k_{dim}) JOIN (SELECT k_{dim}, sum(x) AS sx FROM x{i} GROUP BY ALL) s USING (k_{dim}))"
@@ -200,6 +209,11 @@ def oracle(src: str = "documents", head: str = "", select: str | None = None) ->
     ctes.append(
         f"""m AS (SELECT d.*, CASE WHEN n_tokens > 0 THEN round(c.x * (SELECT sum(w) FROM x0) / c.w, 9) ELSE 1.0 END AS weight FROM d LEFT JOIN x{i} c USING (k_source, k_lang, k_topic))"""
     )
-    ctes.append(f"p AS (SELECT *, CASE WHEN n_tokens > 0 THEN least(1.0, round(weight * {KEEP_FRACTION}, 9)) ELSE 1.0 END AS prob FROM m)")
-    select = select or "SELECT doc_id, source, lang, o_topic AS topic, n_tokens, round(weight, 6) AS weight, round(prob, 6) AS prob, u < prob AS sampled FROM p"
+    ctes.append(
+        f"p AS (SELECT *, least(1.0, times) AS prob FROM (SELECT *, CASE WHEN n_tokens > 0 THEN round(weight * {KEEP_FRACTION}, 9) ELSE 1.0 END AS times FROM m))"
+    )
+    select = select or (
+        "SELECT doc_id, source, lang, o_topic AS topic, n_tokens, round(weight, 6) AS weight, round(prob, 6) AS prob, u < prob AS sampled, "
+        "floor(times)::BIGINT + (u < times - floor(times))::BIGINT AS copies FROM p"
+    )
     return "WITH " + head + ",\n".join(ctes) + "\n" + select

@@ -108,6 +108,19 @@ def test_mixing_meets_margins_and_edges(spark):
     assert mixing.mix(no_docs(spark)).count() == 0
 
 
+def test_mixing_sample_meets_the_margins(spark):
+    """With default parameters the expected sample's shares are the targets, rows that ask for more than one place included."""
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    rows = mixing.mix(docs).toPandas()
+    times = np.where(rows.n_tokens > 0, rows.weight * mixing.KEEP_FRACTION, 1.0)
+    assert ((rows.copies - times).abs() < 1).all() and (times > 1).any()
+    for dim, power in mixing.TARGETS.items():
+        want = rows.n_tokens.groupby(rows[dim]).sum() / rows.n_tokens.sum()
+        want = want**power / (want**power).sum()
+        got = (rows.n_tokens * times).groupby(rows[dim]).sum() / (rows.n_tokens * times).sum()
+        assert (got - want).abs().max() < 1e-6
+
+
 def test_mixing_rakes_until_the_margins_are_met(spark):
     n = {("a", "en"): 900, ("a", "de"): 1, ("b", "en"): 1, ("b", "de"): 100}  # source all but gives the language: 2 % off after 10 sweeps
     rows = [(s, l, "word " * k) for (s, l), k in n.items()]
@@ -162,6 +175,31 @@ def test_embedding_near_duplicates(spark):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_embedding_recall_on_planted_links(spark):
+    """Families of near copies around random vectors, cosines on both sides of the threshold."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for _ in range(150):
+        base = rng.standard_normal(32)
+        for _ in range(rng.integers(1, 9)):
+            v = base + rng.standard_normal(32) * rng.choice([0.1, 0.3, 0.4])
+            rows.append((len(rows), [float(x) for x in v * 10.0 ** rng.integers(-3, 4)]))
+    links = brute_links(rows)
+    assert len(links) > 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dedup.embedding_near_duplicates(df, block_rows=16).collect()}
+    found = sum(r.n_links for r in got.values()) / 2
+    assert 0.95 * len(links) <= found <= len(links)
+    comp = brute_components(got, links)
+    assert sum(comp[i] == r.component_id for i, r in got.items()) >= 0.95 * len(got)
+
+
+def test_embedding_extreme_norms(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1.0]), (4, [2e200, 1.0]), (5, [1e308, 1e308]), (6, [1e-308, 1e-308]), (7, [0.0, 5e-324])]
+    out = embed_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [None, 1.0]), (9, [])]
     out = embed_dedup.embedding_near_duplicates(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, n long"))
