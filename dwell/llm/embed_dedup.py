@@ -36,10 +36,17 @@ def plan_tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tup
     return bits, math.ceil(math.log(miss) / math.log(1 - p))
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the greatest component lies in [0.5, 1):
+    exact, and no square under- or overflows."""
+    _, e = np.frexp(np.abs(m).max(axis=1))
+    return np.ldexp(m, -e[:, None])
+
+
 def signatures(m: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     """(rows, tables) signatures; the hyperplanes come from the seed and the dimension alone."""
     planes = np.random.default_rng([seed, m.shape[1]]).standard_normal((m.shape[1], bits * tables))
-    pos = (m @ planes) > 0
+    pos = (scaled(m) @ planes) > 0
     return pos.reshape(len(m), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -104,6 +111,7 @@ def _verify(threshold: float, bits: int, tables: int):
         v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
         _, m = next(_by_dim(v))
         blk, cid, cnt = (t.column(c).to_numpy() for c in ("blk", "cid", "cnt"))
+        m = scaled(m)
         x = m / np.sqrt((m * m).sum(axis=1))[:, None]
         sig = signatures(m, bits, tables)[:, :tab] if tab else None
         bi = t.column("bi")[0].as_py()
