@@ -1268,6 +1268,32 @@ def q_stream_silent_sessions(spark, sf):
     return out.where("device_id <> 'tick'").select("start_time", "end_time", "duration_sec", "app", "title", "url", "device_id")
 
 
+def _calendar_sql(trunc: str) -> str:
+    daily = ORACLE["daily_productivity"]
+    return f"SELECT date_trunc('{trunc}', date)::DATE AS start, productivity, sum(minutes) AS minutes, sum(parts)::BIGINT AS parts FROM ({daily}) GROUP BY ALL"
+
+
+def _calendar(spark, sf, period: str) -> DataFrame:
+    from dwell.streaming import calendar as CA
+    from dwell.streaming import replay as RY
+
+    src = _replayed(labelled_sessions(spark, sf, "user"), "start_time", start_time=TICK, end_time=TICK)
+    out = RY.run_to_table(getattr(CA, period)(src, 3650), period)
+    return out.where("start < DATE'2190-01-01'").select("start", "productivity", F.round("minutes", 6).alias("minutes"), "parts")
+
+
+@register("stream_weekly_totals", f"SELECT start, productivity, round(minutes, 6) AS minutes, parts FROM ({_calendar_sql('week')})")
+def q_stream_weekly_totals(spark, sf):
+    """Weeks of a replayed stream of sessions."""
+    return _calendar(spark, sf, "weekly")
+
+
+@register("stream_monthly_totals", f"SELECT start, productivity, round(minutes, 6) AS minutes, parts FROM ({_calendar_sql('month')})")
+def q_stream_monthly_totals(spark, sf):
+    """Calendar months of a replayed stream of sessions."""
+    return _calendar(spark, sf, "monthly")
+
+
 DELETED_SQL = STORE + """,
 gone AS (SELECT DISTINCT id AS event_id FROM store_events WHERE id % 9 = 0),
 kept AS (SELECT * FROM valid WHERE id NOT IN (SELECT event_id FROM gone))
