@@ -1174,6 +1174,24 @@ def q_sanitize_urls(spark, sf):
     return sanitize_urls(url_corpus(spark, sf))
 
 
+def _forms_sql() -> str:
+    forms = ", ".join(Q.q(x) for x in SM.URL_FORMS)
+    h = "md5(event_id::VARCHAR)"
+    u = "concat_ws('-', " + ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ")"
+    url = f"list_extract([{forms}], (event_id % {len(SM.URL_FORMS)} + 1)::INT)"
+    for mark, value in (("{n}", "event_id::VARCHAR"), ("{h}", h), ("{u}", u), ("{t}", "'some+words' || repeat('+and+more', 15) || event_id::VARCHAR")):
+        url = f"replace({url}, '{mark}', {value})"
+    return f"SELECT 'form' AS src, event_id AS id, {url} AS url FROM events"
+
+
+@register("sanitize_url_forms", _sanitize_sql("WITH ", _forms_sql()))
+def q_sanitize_url_forms(spark, sf):
+    """F8-F13, F15 over URLs of every kind that they tell apart."""
+    from dwell.functions.urls import sanitize_urls
+
+    return sanitize_urls(SM.url_forms(SM.load(spark, sf, "events")))
+
+
 @register(
     "redaction_report",
     "WITH s AS (" + SANITIZE_SQL + ")\n"

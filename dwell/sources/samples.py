@@ -226,6 +226,47 @@ def embedded_visits(events: DataFrame) -> DataFrame:
     return s.withColumns({"app": F.lit("Slack"), "seq": F.col("seq") + F.lit(EMBEDDED_SEQ_OFFSET)})
 
 
+#: URL forms of our test adapter; {n} is the event's id, {h} the md5 of it, {u} that md5 as a UUID, {t} a long run of words
+URL_FORMS = [
+    "https://Example.com/item/{n}/view",
+    "https://example.com/u/{u}/edit?tab=1",
+    "https://example.com/profile/me{n}@example.org/x",
+    "https://example.com/t/aaa.{n}.bbb/end",
+    "https://example.com/h/{h}/",
+    "https://example.com/b/Zz_{n}-abcdefghijklmnopqrstuvwx",
+    "https://example.com/p/{t}",
+    "https://example.com//a//{n}//",
+    "https://user{n}:pw@example.com:8443/a?b=2&a=1#part-{n}",
+    "http://EXAMPLE.org?access_token=x{n}&q=ok",
+    "https://example.com/s?contact=me{n}@example.org&page=2",
+    "https://example.com/s?x={u}&y={h}&z=short",
+    "https://example.com/s?blob=abcdefghijklmnopqrstuvwx{n}&lang=en",
+    "https://example.com/s?to=https%3A%2F%2Fother.example%2F{n}&u=plain",
+    "https://example.com/s?to=https%253A%252F%252Fother.example%252F{n}",
+    "https://example.com/s?c=aB3%24{n}.aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24aB3%24",
+    "https://example.com/s?long={t}&empty=&flag",
+    "https://example.com/s?a.b.c=1&v=x.{n}.z&B=2&a=3&A=4",
+    "https://example.com:99999/bad/{n}",
+    "https://example.com/s?PIN={n}&Redirect=/home&next=1",
+    "ftp://example.com/{n}?token=1",
+    "mailto:someone{n}@example.com",
+    "  https://example.com/blank/{n}  ",
+    "about:blank#{n}",
+]
+
+
+def url_forms(events: DataFrame) -> DataFrame:
+    """URLs of every kind that the sanitizer tells apart: (src, id, url), a form per event."""
+    e = F.col("event_id")
+    h = F.md5(e.cast("string"))
+    u = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    t = F.concat(F.lit("some+words"), F.repeat(F.lit("+and+more"), 15), e.cast("string"))
+    url = F.element_at(F.array(*[F.lit(x) for x in URL_FORMS]), (F.pmod(e, F.lit(len(URL_FORMS))) + 1).cast("int"))
+    for mark, value in (("{n}", e.cast("string")), ("{h}", h), ("{u}", u), ("{t}", t)):
+        url = F.replace(url, F.lit(mark), value)
+    return events.select(F.lit("form").alias("src"), e.alias("id"), url.alias("url"))
+
+
 TAB_SNAPSHOT_SCHEMA = "url string, title string, tabId bigint, windowId bigint, timestamp string"
 
 

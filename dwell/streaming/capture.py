@@ -57,17 +57,20 @@ def _key(variant: str):
     return F.struct("is_idle", F.when(on, F.col("app")).alias("a"), F.when(on, F.col("url")).alias("u"), F.when(on & (F.col("url") == ""), F.col("title")).alias("t"))
 
 
-def advance(rows: DataFrame, carry: DataFrame, variant: str, bucket_seconds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def advance(
+    rows: DataFrame, carry: DataFrame, variant: str, bucket_seconds: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs that ended, next carry, late rows) of a batch of ``ROW`` rows. A run
     ends at the next run's first row; rows at or before their device's last one,
-    and rows without a time, are late."""
+    and rows without a time, are late. ``keep`` may persist the change points, which
+    the first two results share."""
     c = carry.select("device_id", "last_ts", "last_seq")
     j = rows.join(c, "device_id", "left")
     late = F.col("ts").isNull() | F.coalesce(F.struct("ts", "seq") <= F.struct("last_ts", "last_seq"), F.lit(False))
     late = late & (F.col("ts").isNull() | F.col("last_ts").isNotNull())
     on_time, behind = j.where(~late).select(*ROW), j.where(late).select(*ROW)
     heads = carry.where("open").select("device_id", F.col("start_ts").alias("ts"), F.col("start_seq").alias("seq"), "app", "title", "url", "is_idle")
-    points = O.change_points(heads.unionByName(on_time), ["device_id"], ["ts", "seq"], _key(variant), bucket_seconds)
+    points = keep(O.change_points(heads.unionByName(on_time), ["device_id"], ["ts", "seq"], _key(variant), bucket_seconds))
     last = on_time.groupBy("device_id").agg(F.max(F.struct("ts", "seq")).alias("l")).select("device_id", F.col("l.ts").alias("last_ts"), F.col("l.seq").alias("last_seq"))
     last = c.unionByName(last).groupBy("device_id").agg(F.max(F.struct("last_ts", "last_seq")).alias("l")).select("device_id", "l.*")
     still = points.where(F.col("_next_start").isNull()).select(
@@ -115,16 +118,20 @@ def capture_writer(
         if store.is_committed(stream, run, batch_id):
             return
         carry = store.last(stream, run, "carry", CARRY)
-        held = prepared(batch, variant, sanitize).persist()
-        ended = events = None
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return kept[-1]
+
         try:
-            ended, after, late = advance(held, carry, variant, bucket_seconds)
+            ended, after, late = advance(keep(prepared(batch, variant, sanitize)), carry, variant, bucket_seconds, keep)
             events = as_events(ended, variant, stream)
             if store.other_runs(stream, run):
                 # this checkpoint started over: what the stream sent before is known by its id
                 known = store.log("events").where(F.col("stream_id") == stream).select("id")
                 events = events.join(known, "id", "left_anti").select(*events.columns)
-            events = events.persist()
+            events = keep(events)
             tables = {"events": events, "carry": after, "late": late}
             recorded = events.select(F.lit("event_recorded").alias("kind"), F.lit(0).alias("kind_ord"), F.col("id").alias("event_id"), F.col("id").alias("seq"))
             labelled = F.lit("label_updated").alias("kind"), F.lit(1).alias("kind_ord"), "event_id", "seq"
@@ -136,9 +143,8 @@ def capture_writer(
                     on_failure(stream, batch_id, e)
                 store.commit(stream, run, batch_id, {**tables, "notices": recorded})
         finally:
-            held.unpersist()
-            if events is not None:
-                events.unpersist()
+            for df in kept:
+                df.unpersist()
 
     return write
 

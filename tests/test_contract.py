@@ -64,3 +64,15 @@ def test_queries_change_their_input(spark):
     top = q["keyword_top_k"](spark, sf)
     assert top.groupBy("category").agg(F.max("rank").alias("m")).where(F.col("m") == catalog.TOP_K).count() >= 2
     assert {r.label_source for r in q["apply_suggestions"](spark, sf).select("label_source").distinct().collect()} == {"rules", "index", "suggestion"}
+
+
+def test_url_forms_reach_every_rule(spark):
+    """Each placeholder, redaction, dropped part and failure of the sanitizer occurs in the registered corpus."""
+    rows = E.queries()["sanitize_url_forms"](spark, SF).collect()
+    seen = " ".join(r.sanitized_url or "" for r in rows)
+    assert all(p in seen for p in ("[INT]", "[UUID]", "[EMAIL]", "[JWT]", "[ID]", "[TEXT_LONG]", "_REDACTED_", "mailto:", "ftp://"))
+    assert {k for r in rows for k in r.redacted_keys} >= {"access_token", "contact", "x", "y", "blob", "to", "c", "long", "v", "PIN", "Redirect", "next"}
+    assert "z" not in {k for r in rows for k in r.redacted_keys}
+    assert any(r.dropped_fragment for r in rows) and any(r.sanitize_error for r in rows)
+    # "user1:pw@" goes, "someone1@example.com" of a mailto stays
+    assert not any("pw@" in (r.sanitized_url or "") for r in rows)
