@@ -40,16 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting must name a shared folder: without it this raises.
     A scratch folder of our own is chosen on a single-JVM ``local`` master only.
     """
+    sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        conf_dir = tempfile.mkdtemp(prefix="dwell-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+    if conf_dir:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
+        return conf_dir
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    # the setting can't be changed in a running session: the context remembers the folder
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dwell-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
