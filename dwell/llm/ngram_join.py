@@ -4,14 +4,19 @@ A document's set holds its distinct hashed word n-grams. In a fixed global order
 of the n-grams two sets of Jaccard similarity t share one within their prefixes
 (the first |x| - ceil(t|x|) + 1), so only prefixes meet:
 
-1. Order: n-grams common anywhere in the corpus go last, the rest by hash.
+1. Order: n-grams of the lower half of the hashes come first, by hash; those of
+   them that are common anywhere in the corpus after these, the rarest first;
+   the upper half last. A prefix is a quarter of a set, so it hardly ever leaves
+   the lower half.
 2. Equal sets collapse into one node; nodes of equal prefix and size into one
-   group, and groups meet on their prefix n-grams; n-grams of one group drop out.
-3. Groups expand to members. Each node is verified against one hub of its
-   buckets first, so that a large family of copies becomes one component after
-   linear work; only pairs that still lie in different components go on. Of
-   these, sizes, parity bits and the number of shared prefix n-grams filter
-   before the sets are compared.
+   group. Groups meet on their prefix n-grams; n-grams of one group drop out.
+3. Each group is first held against one hub of its n-grams and its members
+   against one of them, so that a large family of copies becomes one component
+   after linear work.
+4. Groups that do not yet lie in one component form group pairs. Sizes, the
+   places of the shared n-gram and the number of shared prefix n-grams filter
+   these; what is left expands to its members, whose parity bits and then whole
+   sets are compared.
 
 Any set of common n-grams gives a valid order, so how they are found bears on
 the speed alone, never on the result (they are counted with repeats, chunk by
@@ -25,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwell.llm.common import NULL_ID, arrow_map, as_bytes, connected_components, discard, keyed_texts, mix64, odd_constants, rolling, slices, table, u64_as_i64, word_hash, write_table
@@ -35,7 +40,7 @@ PERCENT = 75
 COMMON_SHARE = 0.001  # an n-gram is common if it is in this share of the documents of some chunk
 COMMON_LEAST = 8
 CHUNK_GRAMS = 2_000_000
-MAX_COMMON = 200_000  # most common ones kept for the order (1.6 MB, broadcast)
+MAX_COMMON = 200_000  # most common ones kept for the order (3.2 MB, broadcast)
 BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
 LOWER_HALF = np.uint64(1 << 63)
 BITMAP_WORDS = 1 << 17
@@ -97,7 +102,7 @@ def _common(n: int):
 
 def _signatures(n: int, percent: int, common):
     def build():
-        last = common.value
+        last, rank = common.value
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             sizes, digests, keys, prefixes, odd = [], [], [], [], []
@@ -107,8 +112,10 @@ def _signatures(n: int, percent: int, common):
                 digests.append(blake2b(g.tobytes(), digest_size=16).digest())
                 p = prefix_length(len(g), percent) if len(g) else 0
                 if len(last) and len(g):
-                    late = last[np.minimum(np.searchsorted(last, g), len(last) - 1)] == g
-                    g = np.concatenate([g[~late], g[late]])
+                    half = np.searchsorted(g, LOWER_HALF)
+                    low, at = g[:half], np.minimum(np.searchsorted(last, g[:half]), len(last) - 1)
+                    late = last[at] == low
+                    g = np.concatenate([low[~late], low[late][np.argsort(rank[at[late]])], g[half:]])
                 prefixes.append(g[:p].view(np.int64))
                 keys.append(blake2b(g[:p].tobytes(), digest_size=8).digest())
             d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
@@ -181,59 +188,84 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, perc
     bitmap = at(who).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     some = at(texts).join(F.broadcast(bitmap), "word").where(F.getbit("bits", "bit") == 1).drop("word", "bit", "bits")
     held = write_table(some.join(who, ["_id", "_th"]).select("v", "_text").dropDuplicates(["v"]), "ngram-texts")
+    discard(who)
     ta = held.select(F.col("v").alias("a"), F.col("_text").alias("ta"))
     tb = held.select(F.col("v").alias("b"), F.col("_text").alias("tb"))
     j = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return write_table(arrow_map(j, _similar(n, percent), "a long, b long", text_col="ta"), "ngram-links")
+    links = write_table(arrow_map(j, _similar(n, percent), "a long, b long", text_col="ta"), "ngram-links")
+    discard(pairs)
+    discard(held)
+    return links
 
 
-def _still_open(entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """The entries with their ``comp``, of n-grams that still hold two components."""
-    labels = connected_components(links, f"{name}-cc").select(F.col("node").alias("v"), F.col("component").alias("comp"))
-    e = entries.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    open_ = e.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    return write_table(e.join(open_, "tok"), name)
+def _need(a: Column, b: Column, percent: int) -> Column:
+    """Least overlap of linked sets of these sizes."""
+    return F.ceil((a + b) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _hub_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with the hub that it shares most prefix n-grams with. A
-    hub is, per n-gram and size class, the node with most n-grams that occur
+def _hub_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the first member of each group with that of the hub group that it
+    shares most prefix n-grams with, and the other members with the first. A hub
+    is, per n-gram and size class, the group with most n-grams that occur
     elsewhere (``cw``): of a family of copies one that is near to all."""
-    e = entries.withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    hubs = e.groupBy("tok", "sc").agg(F.max(F.struct("cw", "v", "n")).alias("h"))
-    met = e.join(hubs, ["tok", "sc"]).where(F.col("v") != F.col("h.v"))
-    met = met.where(_sizes_fit(F.col("n"), F.col("h.n"), percent))
-    c = met.groupBy("v", F.col("h.v").alias("hub")).agg(F.sum("w").alias("c"))
-    best = c.groupBy("v").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("v").alias("v1"), F.col("m.hub").alias("v2"))
-    best = best.join(nodes.select(*_side("1")), "v1").join(nodes.select(*_side("2")), "v2").where(_near("1", "2", percent))
-    return best.select(F.col("v1").alias("a"), F.col("v2").alias("b"))
-
-
-def _rest_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that may still link. Within an n-gram the
-    nodes outside its largest component meet the others, so copies that already
-    lie together never meet each other; sizes and parity bits that rule a link
-    out are conditions of that join."""
-    per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
-    big = per.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m")).select("tok", F.col("m.comp").alias("big"))
-    entries = entries.join(nodes.select("v", *BITS), "v")
-    x = entries.join(big, "tok").where("comp <> big").select("tok", "big", "w", F.col("comp").alias("c1"), *_side("1"))
-    y = entries.select("tok", F.col("comp").alias("c2"), *_side("2"))
-    once = (F.col("c2") == F.col("big")) | (F.col("v1") < F.col("v2"))
-    j = x.join(y, "tok").where((F.col("c1") != F.col("c2")) & once & _sizes_fit(F.col("n1"), F.col("n2"), percent) & _near("1", "2", percent))
-    swap = F.col("v1") < F.col("v2")
-    j = j.select(
-        F.least("v1", "v2").alias("a"),
-        F.greatest("v1", "v2").alias("b"),
-        F.when(swap, F.col("n1")).otherwise(F.col("n2")).alias("na"),
-        F.when(swap, F.col("n2")).otherwise(F.col("n1")).alias("nb"),
-        "w",
-    )
-    c = j.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("w").alias("c"))
-    # sets that link overlap in `need` n-grams; beyond the prefix that ends first at most `beyond` remain
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
-    beyond = F.greatest(*[F.ceil(F.col(x) * F.lit(percent / 100.0) - F.lit(1e-9)) - 1 for x in ("na", "nb")])
-    return c.where(F.col("c") + beyond >= need).select("a", "b")
+    e = met.withColumn("sc", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    hubs = e.groupBy("tok", "sc").agg(F.max(F.struct("cw", "rep", "n")).alias("h"))
+    at_hub = e.join(hubs, ["tok", "sc"]).where(F.col("rep") != F.col("h.rep"))
+    at_hub = at_hub.where(_sizes_fit(F.col("n"), F.col("h.n"), percent))
+    c = at_hub.groupBy("rep", F.col("h.rep").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
+    best = c.groupBy("rep").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("rep").alias("v1"), F.col("m.hub").alias("v2"))
+    several = groups.where("members > 1").select("gk", "n", "rep")
+    inside = nodes.select("gk", "n", "v").join(several, ["gk", "n"]).where("v <> rep").select(F.col("v").alias("v1"), F.col("rep").alias("v2"))
+    pairs = best.unionByName(inside)
+    pairs = pairs.join(nodes.select(*_side("1")), "v1").join(nodes.select(*_side("2")), "v2").where(_near("1", "2", percent))
+    return pairs.select(F.col("v1").alias("a"), F.col("v2").alias("b"))
+
+
+def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(g1, g2): pairs of groups that may hold a link between components; a group
+    of several components with itself. ``groups`` has the least and greatest
+    component of each. Within an n-gram the groups outside its largest component
+    meet the others, so copies that already lie together never meet each other.
+
+    Linked sets overlap in ``_need`` n-grams. Behind their first shared one, at
+    places i and j, at most min(n1 - i, n2 - j) are shared with it; a pair is
+    found where this suffices. Then all shared prefix n-grams are counted: beyond
+    the prefix that ends first at most n - |prefix| remain."""
+    e = met.join(groups.select("g", "lo", "hi"), "g")
+    per = e.where("lo = hi").groupBy("tok", "lo").agg(F.count(F.lit(1)).alias("c"))
+    big = per.groupBy("tok").agg(F.max(F.struct("c", "lo")).alias("m")).select("tok", F.col("m.lo").alias("big"))
+    span = e.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("tok")
+    # written, so that the join has plain shuffles on both sides and a hot n-gram can be split
+    span = write_table(span.join(big, "tok", "left"), "ngram-open")
+    e = write_table(e.join(span, "tok").withColumn("in_big", F.coalesce((F.col("lo") == F.col("big")) & (F.col("hi") == F.col("big")), F.lit(False))), "ngram-entries")
+    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "pos", "lo", "hi", "in_big")]]
+    x, y = e.where(~F.col("in_big")).select(*side(1)), e.select(*side(2))
+    apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
+    once = F.col("in_big2") | (F.col("g1") < F.col("g2"))
+    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & (room >= _need(F.col("n1"), F.col("n2"), percent))
+    pairs = x.join(y, "tok").where(apart & once & fits)
+    pairs = write_table(pairs.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct(), "ngram-group-pairs")
+    discard(span)
+    discard(e)
+    of = lambda i: groups.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "toks")])
+    both = pairs.join(of(1), "g1").join(of(2), "g2")
+    beyond = F.greatest(F.col("n1") - F.size("toks1"), F.col("n2") - F.size("toks2"))
+    enough = F.size(F.array_intersect("toks1", "toks2")) + beyond >= _need(F.col("n1"), F.col("n2"), percent)
+    alone = groups.where("lo <> hi").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    kept = write_table(both.where(enough).select("g1", "g2").unionByName(alone), "ngram-kept-pairs")
+    discard(pairs)
+    return kept
+
+
+def _member_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The members of the group pairs that lie in different components and that
+    their parity bits do not rule out."""
+    x = members.select(F.col("g").alias("g1"), F.col("comp").alias("c1"), *_side("1"))
+    y = members.select(F.col("g").alias("g2"), F.col("comp").alias("c2"), *_side("2"))
+    once = (F.col("g1") < F.col("g2")) | (F.col("v1") < F.col("v2"))
+    j = pairs.join(x, "g1").join(y, "g2").where((F.col("c1") != F.col("c2")) & once & _near("1", "2", percent))
+    return j.select(F.col("v1").alias("a"), F.col("v2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,44 +282,49 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     spark = docs.sparkSession
     texts = keyed_texts(docs, id_col, text_col)
     common = texts.select("_text").mapInArrow(_common(n), "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
-    common = common.orderBy(F.desc("c"), "tok").limit(MAX_COMMON).select("tok").collect()
-    last = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], dtype=np.int64).view(np.uint64)))
+    common = sorted(common.orderBy(F.desc("c"), "tok").limit(MAX_COMMON).collect(), key=lambda r: (r["c"], r["tok"]))
+    last = np.array([r["tok"] for r in common], dtype=np.int64).view(np.uint64)
+    order = np.argsort(last)
+    last = spark.sparkContext.broadcast((last[order], order))
     sigs = write_table(
         arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, toks array<long>, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sigs"
     )
+    last.unpersist()
     some = sigs.where("n > 0")
     nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("gk").alias("gk"), F.first(F.struct(*BITS)).alias("bits"))
-    nodes = write_table(nodes.select("d1", "d2", "n", "gk", "r.*", "bits.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
+    nodes = write_table(nodes.select("d1", "d2", "n", "gk", F.xxhash64("gk", "n").alias("g"), "r.*", "bits.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
     slim = write_table(sigs.select("_id", "_th", "n", "d1", "d2"), "ngram-slim")
 
-    groups = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"))
-    met = groups.select("gk", "n", F.explode("toks").alias("tok"))
-    shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok"), "ngram-shared")
-    met = met.join(shared.hint("shuffle_hash"), "tok")
-    met = met.withColumn("cw", F.count(F.lit(1)).over(Window.partitionBy("gk", "n")))  # one prefix
-    members = nodes.select("gk", "n", "v")
-    # members of one group share their whole prefix: one entry stands for it
-    several = members.groupBy("gk", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gk", "n")
-    inside = members.join(several, ["gk", "n"]).select(F.xxhash64("gk", "n").alias("tok"), "v", "n", F.col("n").alias("w"), F.col("n").cast("long").alias("cw"))
-    entries = met.join(members, ["gk", "n"]).select("tok", "v", "n", F.lit(1).alias("w"), "cw").unionByName(inside)
-    entries = write_table(entries, "ngram-entries")
+    first = nodes.groupBy("gk", "n").agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("g").alias("g"))
+    groups = write_table(some.groupBy("gk", "n").agg(F.first("toks").alias("toks")).join(first, ["gk", "n"]), "ngram-groups")
     discard(sigs)
-
-    links = _verified(_hub_pairs(entries, nodes, percent), texts, nodes, n, percent)
-    left = _still_open(entries, links, "ngram-open")
-    links = links.unionByName(_verified(_rest_pairs(left, nodes, percent), texts, nodes, n, percent))
+    met = groups.select("g", "n", "rep", F.posexplode("toks").alias("pos", "tok"))
+    shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok"), "ngram-shared")
+    met = write_table(met.join(shared.hint("shuffle_hash"), "tok"), "ngram-met")
+    discard(shared)
+    several = met.groupBy("g").agg(F.count(F.lit(1)).alias("cw"))  # one prefix
+    links = _verified(_hub_pairs(met.join(several, "g"), groups, nodes, percent), texts, nodes, n, percent)
+
+    labels = connected_components(links, "ngram-hub-cc").select(F.col("node").alias("v"), F.col("component").alias("comp"))
+    members = write_table(nodes.join(labels, "v", "left").select("g", "v", "n", *BITS, F.coalesce("comp", "v").alias("comp")), "ngram-members")
+    spans = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    pairs = _group_pairs(met, groups.select("g", "n", "toks").join(spans, "g"), percent)
+    links = links.unionByName(_verified(_member_pairs(pairs, members, percent), texts, nodes, n, percent))
+    for done in (met, groups, members, pairs):
+        discard(done)
     comp = connected_components(links, "ngram-cc")
     sig_nodes = nodes.select("d1", "d2", "v", "_id").join(comp.select(F.col("node").alias("v"), "component"), "v", "left")
-    sig_nodes = sig_nodes.withColumn("component", F.coalesce("component", "v"))
-    least = sig_nodes.groupBy("component").agg(F.min("_id").alias("least"))
-    sig_nodes = sig_nodes.join(least, "component").select("d1", "d2", "least", "component")
-    out = slim.join(sig_nodes.withColumn("has", F.lit(1)), ["d1", "d2"], "left")
-    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id"))
+    sig_nodes = write_table(sig_nodes.select("d1", "d2", "_id", F.coalesce("component", "v").alias("component")), "ngram-labels")
+    # both written, so that a large component, or the copies of one text, can be split
+    least = write_table(sig_nodes.groupBy("component").agg(F.min("_id").alias("least")), "ngram-least")
+    sig_nodes = write_table(sig_nodes.join(least, "component").select("d1", "d2", "least", "component"), "ngram-components")
+    linked = slim.where("n > 0").join(sig_nodes, ["d1", "d2"]).select("_id", "_th", "n", "least", "component")
+    out = linked.unionByName(slim.where("n = 0").select("_id", "_th", "n", F.col("_id").alias("least"), F.lit(None).cast("long").alias("component")))
     return out.select(
         F.nullif("_id", F.lit(NULL_ID)).alias("doc_id"),
         F.col("_th").alias("text_hash"),
         F.col("n").cast("long").alias("n_shingles"),
-        F.nullif(own, F.lit(NULL_ID)).alias("component_id"),
+        F.nullif("least", F.lit(NULL_ID)).alias("component_id"),
         "component",
     )
 
