@@ -13,10 +13,10 @@ of the n-grams two sets of Jaccard similarity t share one within their prefixes
 3. Each group is first held against one hub of its n-grams and its members
    against one of them, so that a large family of copies becomes one component
    after linear work.
-4. Groups that do not yet lie in one component form group pairs. Sizes, the
-   places of the shared n-gram and the number of shared prefix n-grams filter
-   these; what is left expands to its members, whose parity bits and then whole
-   sets are compared.
+4. Groups that do not yet lie in one component form group pairs on their rarest
+   prefix n-grams, by the number of groups that hold them. Sizes, parity bits and
+   the number of shared prefix n-grams filter these; what is left expands to its
+   members, whose parity bits and then whole sets are compared.
 
 Any set of common n-grams gives a valid order, so how they are found bears on
 the speed alone, never on the result (they are counted with repeats, chunk by
@@ -30,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dwell.llm.common import NULL_ID, arrow_map, as_bytes, connected_components, discard, keyed_texts, mix64, odd_constants, rolling, slices, table, u64_as_i64, word_hash, write_table
@@ -42,6 +42,7 @@ COMMON_LEAST = 8
 CHUNK_GRAMS = 2_000_000
 MAX_COMMON = 200_000  # most common ones kept for the order (3.2 MB, broadcast)
 BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
+FOLDED = [f"f{i}" for i in range(4)]  # the same in 256 cells
 LOWER_HALF = np.uint64(1 << 63)
 BITMAP_WORDS = 1 << 17
 _SEED = 404
@@ -71,6 +72,15 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
+def end_key(gram: int, last: np.ndarray, rank: np.ndarray) -> int:
+    """Place of an n-gram in the global order, as a signed 64-bit integer: never
+    descending along the order (neighbours may be equal)."""
+    if gram >= int(LOWER_HALF):
+        return (1 << 62) + (1 << 61) + (gram >> 3)
+    at = min(int(np.searchsorted(last, np.uint64(gram))), len(last) - 1)
+    return (1 << 62) + int(rank[at]) if int(last[at]) == gram else gram >> 2
+
+
 def _common(n: int):
     consts = odd_constants(_SEED, n)
 
@@ -105,7 +115,7 @@ def _signatures(n: int, percent: int, common):
         last, rank = common.value
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, keys, prefixes, odd = [], [], [], [], []
+            sizes, digests, keys, prefixes, odd, ends = [], [], [], [], [], []
             for g in gram_sets(as_bytes(b.column(2)), n):
                 sizes.append(len(g))
                 odd.append(np.bincount((g % np.uint64(64 * len(BITS))).view(np.int64), minlength=64 * len(BITS)) & 1)
@@ -116,6 +126,9 @@ def _signatures(n: int, percent: int, common):
                     low, at = g[:half], np.minimum(np.searchsorted(last, g[:half]), len(last) - 1)
                     late = last[at] == low
                     g = np.concatenate([low[~late], low[late][np.argsort(rank[at[late]])], g[half:]])
+                    ends.append(end_key(int(g[p - 1]), last, rank))
+                else:
+                    ends.append(0)  # no set, or no common n-gram in the corpus: either prefix may end first
                 prefixes.append(g[:p].view(np.int64))
                 keys.append(blake2b(g[:p].tobytes(), digest_size=8).digest())
             d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
@@ -129,10 +142,11 @@ def _signatures(n: int, percent: int, common):
                     pa.array(d[:, 0].copy()),
                     pa.array(d[:, 1].copy()),
                     pa.array(np.frombuffer(b"".join(keys), dtype=np.int64)),
+                    pa.array(ends, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefixes))),
                     *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS))],
                 ],
-                names=["_id", "_th", "n", "d1", "d2", "gk", "toks", *BITS],
+                names=["_id", "_th", "n", "d1", "d2", "gk", "fin", "toks", *BITS],
             )
 
         return work
@@ -166,13 +180,17 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _near(side1: str, side2: str, percent: int) -> Column:
+def _near(side1: str, side2: str, percent: int, bits: list[str] = BITS) -> Column:
     """False only where the parity bits rule a link out: cells of unequal parity
     hold at least one n-gram of one set alone."""
-    apart = sum((F.bit_count(F.col(f"{x}_{side1}").bitwiseXOR(F.col(f"{x}_{side2}"))) for x in BITS), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{x}_{side1}").bitwiseXOR(F.col(f"{x}_{side2}"))) for x in bits), F.lit(0))
     return apart * (100 + percent) <= (F.col(f"n{side1}") + F.col(f"n{side2}")) * (100 - percent)
 
 
+def _folded() -> list[Column]:
+    return [F.col(a).bitwiseXOR(F.col(b)).alias(x) for x, a, b in zip(FOLDED, BITS[:4], BITS[4:], strict=True)]
+
+
 def _side(i: str) -> list[Column]:
     return [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
 
@@ -227,23 +245,28 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     component of each. Within an n-gram the groups outside its largest component
     meet the others, so copies that already lie together never meet each other.
 
-    Linked sets overlap in ``_need`` n-grams. Behind their first shared one, at
-    places i and j, at most min(n1 - i, n2 - j) are shared with it; a pair is
-    found where this suffices. Then all shared prefix n-grams are counted: beyond
-    the prefix that ends first at most n - |prefix| remain."""
-    e = met.join(groups.select("g", "lo", "hi"), "g")
+    Linked sets overlap in ``_need`` n-grams. Of the prefix that ends first (by
+    ``fin``) at most n - need n-grams are then not in the other prefix, so that
+    of any n - need + 1 of them one is shared: those that the fewest groups hold
+    (``rank`` from 0; n-grams of one group come first). Groups that share less,
+    such as texts with a widespread passage, never meet. Groups of one member are
+    also held against parity bits (``f0``-``f3``, else null). Then all shared
+    prefix n-grams are counted: beyond the prefix that ends first at most
+    n - |prefix| remain."""
+    e = met.join(groups.select("g", "fin", "lo", "hi", *FOLDED), "g")
     per = e.where("lo = hi").groupBy("tok", "lo").agg(F.count(F.lit(1)).alias("c"))
     big = per.groupBy("tok").agg(F.max(F.struct("c", "lo")).alias("m")).select("tok", F.col("m.lo").alias("big"))
     span = e.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("tok")
     # written, so that the join has plain shuffles on both sides and a hot n-gram can be split
     span = write_table(span.join(big, "tok", "left"), "ngram-open")
     e = write_table(e.join(span, "tok").withColumn("in_big", F.coalesce((F.col("lo") == F.col("big")) & (F.col("hi") == F.col("big")), F.lit(False))), "ngram-entries")
-    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "pos", "lo", "hi", "in_big")]]
+    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "rank", "fin", "lo", "hi", "in_big")], *[F.col(c).alias(f"{c}_{i}") for c in FOLDED]]
     x, y = e.where(~F.col("in_big")).select(*side(1)), e.select(*side(2))
     apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
     once = F.col("in_big2") | (F.col("g1") < F.col("g2"))
-    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & (room >= _need(F.col("n1"), F.col("n2"), percent))
+    need = _need(F.col("n1"), F.col("n2"), percent)
+    rare = ((F.col("fin1") <= F.col("fin2")) & (F.col("rank1") <= F.col("n1") - need)) | ((F.col("fin2") <= F.col("fin1")) & (F.col("rank2") <= F.col("n2") - need))
+    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & rare & F.coalesce(_near("1", "2", percent, FOLDED), F.lit(True))
     pairs = x.join(y, "tok").where(apart & once & fits)
     pairs = write_table(pairs.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct(), "ngram-group-pairs")
     discard(span)
@@ -287,7 +310,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     order = np.argsort(last)
     last = spark.sparkContext.broadcast((last[order], order))
     sigs = write_table(
-        arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, toks array<long>, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sigs"
+        arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, fin long, toks array<long>, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sigs"
     )
     last.unpersist()
     some = sigs.where("n > 0")
@@ -295,20 +318,24 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     nodes = write_table(nodes.select("d1", "d2", "n", "gk", F.xxhash64("gk", "n").alias("g"), "r.*", "bits.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
     slim = write_table(sigs.select("_id", "_th", "n", "d1", "d2"), "ngram-slim")
 
-    first = nodes.groupBy("gk", "n").agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("g").alias("g"))
-    groups = write_table(some.groupBy("gk", "n").agg(F.first("toks").alias("toks")).join(first, ["gk", "n"]), "ngram-groups")
+    alone = F.struct(*[F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in FOLDED])
+    first = nodes.select("gk", "n", "g", "v", *_folded()).groupBy("gk", "n").agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("g").alias("g"), alone.alias("alone"))
+    prefix = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"), F.first("fin").alias("fin"))
+    groups = write_table(prefix.join(first, ["gk", "n"]).select("*", "alone.*").drop("alone"), "ngram-groups")
     discard(sigs)
-    met = groups.select("g", "n", "rep", F.posexplode("toks").alias("pos", "tok"))
-    shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok"), "ngram-shared")
-    met = write_table(met.join(shared.hint("shuffle_hash"), "tok"), "ngram-met")
+    met = groups.select("g", "n", "rep", F.size("toks").alias("p"), F.explode("toks").alias("tok"))
+    shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "ngram-shared")
+    one = Window.partitionBy("g")  # one prefix
+    met = met.join(shared.hint("shuffle_hash"), "tok").withColumn("cw", F.count(F.lit(1)).over(one))
+    rank = F.col("p") - F.col("cw") + F.row_number().over(one.orderBy("held", "tok")) - 1
+    met = write_table(met.select("tok", "g", "n", "rep", "cw", rank.alias("rank")), "ngram-met")
     discard(shared)
-    several = met.groupBy("g").agg(F.count(F.lit(1)).alias("cw"))  # one prefix
-    links = _verified(_hub_pairs(met.join(several, "g"), groups, nodes, percent), texts, nodes, n, percent)
+    links = _verified(_hub_pairs(met, groups, nodes, percent), texts, nodes, n, percent)
 
     labels = connected_components(links, "ngram-hub-cc").select(F.col("node").alias("v"), F.col("component").alias("comp"))
     members = write_table(nodes.join(labels, "v", "left").select("g", "v", "n", *BITS, F.coalesce("comp", "v").alias("comp")), "ngram-members")
     spans = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    pairs = _group_pairs(met, groups.select("g", "n", "toks").join(spans, "g"), percent)
+    pairs = _group_pairs(met.drop("rep", "cw"), groups.select("g", "n", "fin", "toks", *FOLDED).join(spans, "g"), percent)
     links = links.unionByName(_verified(_member_pairs(pairs, members, percent), texts, nodes, n, percent))
     for done in (met, groups, members, pairs):
         discard(done)
