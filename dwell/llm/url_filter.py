@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm.common import table
+from dwell.llm.common import table, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The contract's rules: (action, host, path).
@@ -97,11 +97,12 @@ def filter_urls(
     ex = urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), max(1, max_labels), max_dirs)).alias("expr"))
     ex = ex.select("host", "path", F.sha2("expr", 256).alias("digest")).withColumn("hp", F.substring("digest", 1, PREFIX_HEX))
     rf = rule_frame(spark, rules).select("action", "r_host", "r_path", "rule", F.col("digest").alias("r_digest"), F.substring("digest", 1, PREFIX_HEX).alias("hp"))
-    # the rules are a parameter: Spark sees the local table's size and broadcasts
-    # it, or shuffles both sides when the list is long
+    # the rules are a parameter; whether their side is broadcast is the planner's choice, by its size
     hits = ex.join(rf, "hp").where((F.col("digest") == F.col("r_digest")) & F.col("path").startswith(F.col("r_path")))
     rank = F.struct(F.length("rule"), F.length("r_host"), (F.col("action") == "block"), "rule", "action")
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("b")).select("host", "path", F.col("b.rule").alias("rule"), F.col("b.action").alias("action"))
+    # written, so that the join has plain shuffles on both sides and a popular url (or the empty one) can be split
+    best = write_table(best, "url-best")
     j = rows.join(best, ["host", "path"], "left")
     return j.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
