@@ -39,7 +39,7 @@ def test_busy_devices_are_packed_and_matched(spark):
     s = spark.createDataFrame(rows, "device_id string, s int, seq long, app string, title string, url string").withColumn("ts", A.F.expr(at))
     p = spark.createDataFrame(snaps, "device_id string, s int, seq long, title string, url string").withColumn("ts", A.F.expr(at))
     end = {"device_id": "'tick'", "ts": "timestamp_ntz'2025-01-01'", "seq": "0"}
-    got = RP.run_to_table(A.stream_tab_override(RP.as_stream(RP.tick(s.drop("s"), **end), "ts", 2), RP.as_stream(RP.tick(p.drop("s"), **end), "ts", 3), "3650 days"), "packed")
+    got = RP.run_to_table(A.stream_tab_override(RP.as_stream(RP.tick(s.drop("s"), **end), "ts", 2), RP.as_stream(RP.tick(p.drop("s"), **end), "ts", 3), "100 days"), "packed")
     got = {r.seq: r for r in got.where("NOT is_snapshot AND device_id IS DISTINCT FROM 'tick'").collect()}
     assert len(got) == len(rows)
     for d, t, i, app, title, url in rows:
