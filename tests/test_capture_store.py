@@ -193,3 +193,29 @@ def test_capture_stream_equals_batch_in_one_span(spark):
     got = store.events().where("device_id <> 'tick'").join(store.labels("rules-v1").withColumnRenamed("event_id", "id"), "id")
     assert sorted(map(tuple, got.select(*EVENT, "category_id").collect())) == want and len(want) > 100
     assert L.orphan_labels(store.events(), store.log("engine_classifications")).count() == 0
+
+
+def test_batches_of_a_stream_are_spread_and_empty_ones_commit_the_carry_alone(spark, monkeypatch):
+    """A device's rows come from J4 in one task: they leave it before their URLs are sanitized."""
+    store, engine = Store(spark, scratch_path(spark, "capture-spread")), RulesEngine(RuleSet.build(spark))
+    rows = [("a", at(i), i, "App", f"t{i // 10}", "", False) for i in range(200)]
+    seen, real = [], C.prepared
+
+    def noting(df, *args):
+        seen.append(df)
+        return real(df, *args)
+
+    monkeypatch.setattr(C, "prepared", noting)
+    writer = C.capture_writer(store, "s", engine)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writer(spark.createDataFrame(rows[:150], ROW).coalesce(1), 0)
+        assert seen[0].select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    writer(spark.createDataFrame([], ROW), 1)
+    names = store.commits()
+    assert len(names) == 2 and set(store._get(f"{store.root}/_commits/{names[1]}")["tables"]) == {"carry"}
+    writer(spark.createDataFrame(rows[150:], ROW), 2)
+    got = sorted(r["title"] for r in store.events().select("title").collect())
+    assert got == sorted(f"t{i}" for i in range(19)) and store.labels("rules-v1").count() == 19 and store.log("late").count() == 0
