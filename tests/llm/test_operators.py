@@ -212,6 +212,33 @@ def test_embedding_edges(spark):
 # --- token files --------------------------------------------------------------
 
 
+def test_encoder_takes_many_pieces_in_one_text():
+    """New pieces are encoded together, and their ids parted at the space that leads each;
+    where the vocabulary doesn't show it, one by one."""
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer_path()
+    words = [f"w{chr(97 + i % 26)}{i}x" for i in range(300)] + ["Ġ", "'s", "é'", "Ñandú", "日本", "a\u0301", "x;y", "end.", "(a)", "’t", "🙂"]
+    text = " ".join(words) + "\nnext line"
+    want = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids).tolist()
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.n = tok, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.n += len(texts)
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    for blind in (False, True):
+        enc = token_files.Encoder(path)
+        enc._tok = Counted(enc._tok)
+        if blind:
+            enc._spaced[:] = False
+        assert np.frombuffer(enc.encode([text])[0], dtype=enc.dtype).tolist() == want
+        assert (enc._tok.n > 300) if blind else (enc._tok.n < 30)
+
+
 def test_encoder_equals_one_call():
     from tokenizers import Tokenizer
 
