@@ -13,10 +13,12 @@ of the n-grams two sets of Jaccard similarity t share one within their prefixes
 3. Each group is first held against one hub of its n-grams and its members
    against one of them, so that a large family of copies becomes one component
    after linear work.
+   Of n-grams that the very same groups hold one stands for all (``w`` of them).
 4. Groups that do not yet lie in one component form group pairs on their rarest
-   prefix n-grams, by the number of groups that hold them. Sizes, parity bits and
-   the number of shared prefix n-grams filter these; what is left expands to its
-   members, whose parity bits and then whole sets are compared.
+   prefix n-grams, by the number of groups that hold them, as a rule once: at the
+   first that they share. Sizes, parity bits and the number of shared prefix
+   n-grams filter these; what is left expands to its members, whose parity bits
+   and then whole sets are compared.
 
 Any set of common n-grams gives a valid order, so how they are found bears on
 the speed alone, never on the result (they are counted with repeats, chunk by
@@ -42,7 +44,7 @@ COMMON_LEAST = 8
 CHUNK_GRAMS = 2_000_000
 MAX_COMMON = 200_000  # most common ones kept for the order (3.2 MB, broadcast)
 BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
-FOLDED = [f"f{i}" for i in range(4)]  # the same in 256 cells
+HEAD = 16  # rarest n-grams of a group that its entries carry, to pair it once
 LOWER_HALF = np.uint64(1 << 63)
 BITMAP_WORDS = 1 << 17
 _SEED = 404
@@ -180,17 +182,13 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _near(side1: str, side2: str, percent: int, bits: list[str] = BITS) -> Column:
+def _near(side1: str, side2: str, percent: int) -> Column:
     """False only where the parity bits rule a link out: cells of unequal parity
     hold at least one n-gram of one set alone."""
-    apart = sum((F.bit_count(F.col(f"{x}_{side1}").bitwiseXOR(F.col(f"{x}_{side2}"))) for x in bits), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{x}_{side1}").bitwiseXOR(F.col(f"{x}_{side2}"))) for x in BITS), F.lit(0))
     return apart * (100 + percent) <= (F.col(f"n{side1}") + F.col(f"n{side2}")) * (100 - percent)
 
 
-def _folded() -> list[Column]:
-    return [F.col(a).bitwiseXOR(F.col(b)).alias(x) for x, a, b in zip(FOLDED, BITS[:4], BITS[4:], strict=True)]
-
-
 def _side(i: str) -> list[Column]:
     return [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
 
@@ -230,7 +228,7 @@ def _hub_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int
     hubs = e.groupBy("tok", "sc").agg(F.max(F.struct("cw", "rep", "n")).alias("h"))
     at_hub = e.join(hubs, ["tok", "sc"]).where(F.col("rep") != F.col("h.rep"))
     at_hub = at_hub.where(_sizes_fit(F.col("n"), F.col("h.n"), percent))
-    c = at_hub.groupBy("rep", F.col("h.rep").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
+    c = at_hub.groupBy("rep", F.col("h.rep").alias("hub")).agg(F.sum("w").alias("c"))
     best = c.groupBy("rep").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("rep").alias("v1"), F.col("m.hub").alias("v2"))
     several = groups.where("members > 1").select("gk", "n", "rep")
     inside = nodes.select("gk", "n", "v").join(several, ["gk", "n"]).where("v <> rep").select(F.col("v").alias("v1"), F.col("rep").alias("v2"))
@@ -250,26 +248,33 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     of any n - need + 1 of them one is shared: those that the fewest groups hold
     (``rank`` from 0; n-grams of one group come first). Groups that share less,
     such as texts with a widespread passage, never meet. Groups of one member are
-    also held against parity bits (``f0``-``f3``, else null). Then all shared
-    prefix n-grams are counted: beyond the prefix that ends first at most
-    n - |prefix| remain."""
-    e = met.join(groups.select("g", "fin", "lo", "hi", *FOLDED), "g")
+    also held against parity bits (else null). A pair that shares n-grams of both
+    ``head``s, which begin the one order of all ranks, is formed at the first of these
+    alone: if any n-gram is rare enough, that one is. Then all shared prefix
+    n-grams are counted: beyond the prefix that ends first at most n - |prefix|
+    remain."""
+    e = met.join(groups.select("g", "lo", "hi"), "g")
     per = e.where("lo = hi").groupBy("tok", "lo").agg(F.count(F.lit(1)).alias("c"))
     big = per.groupBy("tok").agg(F.max(F.struct("c", "lo")).alias("m")).select("tok", F.col("m.lo").alias("big"))
     span = e.groupBy("tok").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("tok")
-    # written, so that the join has plain shuffles on both sides and a hot n-gram can be split
     span = write_table(span.join(big, "tok", "left"), "ngram-open")
-    e = write_table(e.join(span, "tok").withColumn("in_big", F.coalesce((F.col("lo") == F.col("big")) & (F.col("hi") == F.col("big")), F.lit(False))), "ngram-entries")
-    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "rank", "fin", "lo", "hi", "in_big")], *[F.col(c).alias(f"{c}_{i}") for c in FOLDED]]
+    in_big = F.coalesce((F.col("lo") == F.col("big")) & (F.col("hi") == F.col("big")), F.lit(False))
+    slim = write_table(e.join(span, "tok").select("tok", "g", "rank", in_big.alias("in_big")), "ngram-entries")
+    discard(span)
+    head = slim.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "tok"))), 1, HEAD).getField("tok").alias("head"))  # one prefix
+    # written, so that the join has plain shuffles on both sides and a hot n-gram can be split
+    e = write_table(slim.join(groups.select("g", "n", "fin", "lo", "hi", *BITS).join(head, "g"), "g"), "ngram-sides")
+    discard(slim)
+    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "rank", "fin", "lo", "hi", "in_big", "head")], *[F.col(c).alias(f"{c}_{i}") for c in BITS]]
     x, y = e.where(~F.col("in_big")).select(*side(1)), e.select(*side(2))
     apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
     once = F.col("in_big2") | (F.col("g1") < F.col("g2"))
     need = _need(F.col("n1"), F.col("n2"), percent)
     rare = ((F.col("fin1") <= F.col("fin2")) & (F.col("rank1") <= F.col("n1") - need)) | ((F.col("fin2") <= F.col("fin1")) & (F.col("rank2") <= F.col("n2") - need))
-    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & rare & F.coalesce(_near("1", "2", percent, FOLDED), F.lit(True))
-    pairs = x.join(y, "tok").where(apart & once & fits)
+    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & rare & F.coalesce(_near("1", "2", percent), F.lit(True))
+    first = F.coalesce(F.get(F.array_intersect("head1", "head2"), F.lit(0)) == F.col("tok"), F.lit(True))
+    pairs = x.join(y, "tok").where(apart & once & fits & first)
     pairs = write_table(pairs.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct(), "ngram-group-pairs")
-    discard(span)
     discard(e)
     of = lambda i: groups.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "toks")])
     both = pairs.join(of(1), "g1").join(of(2), "g2")
@@ -318,24 +323,27 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     nodes = write_table(nodes.select("d1", "d2", "n", "gk", F.xxhash64("gk", "n").alias("g"), "r.*", "bits.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
     slim = write_table(sigs.select("_id", "_th", "n", "d1", "d2"), "ngram-slim")
 
-    alone = F.struct(*[F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in FOLDED])
-    first = nodes.select("gk", "n", "g", "v", *_folded()).groupBy("gk", "n").agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("g").alias("g"), alone.alias("alone"))
+    alone = F.struct(*[F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in BITS])
+    first = nodes.groupBy("gk", "n").agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("g").alias("g"), alone.alias("alone"))
     prefix = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"), F.first("fin").alias("fin"))
     groups = write_table(prefix.join(first, ["gk", "n"]).select("*", "alone.*").drop("alone"), "ngram-groups")
     discard(sigs)
     met = groups.select("g", "n", "rep", F.size("toks").alias("p"), F.explode("toks").alias("tok"))
-    shared = write_table(met.groupBy("tok").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "ngram-shared")
+    shared = met.groupBy("tok").agg(F.count(F.lit(1)).alias("held"), F.bit_xor("g").alias("by")).where("held > 1")
+    same = Window.partitionBy("held", "by")  # n-grams of the same groups: the first stands for all
+    w = F.when(F.col("tok") == F.min("tok").over(same), F.count(F.lit(1)).over(same))
+    shared = write_table(shared.select("tok", "held", w.alias("w")), "ngram-shared")
     one = Window.partitionBy("g")  # one prefix
     met = met.join(shared.hint("shuffle_hash"), "tok").withColumn("cw", F.count(F.lit(1)).over(one))
     rank = F.col("p") - F.col("cw") + F.row_number().over(one.orderBy("held", "tok")) - 1
-    met = write_table(met.select("tok", "g", "n", "rep", "cw", rank.alias("rank")), "ngram-met")
+    met = write_table(met.select("tok", "g", "n", "rep", "cw", "w", rank.alias("rank")).where("w IS NOT NULL"), "ngram-met")
     discard(shared)
     links = _verified(_hub_pairs(met, groups, nodes, percent), texts, nodes, n, percent)
 
     labels = connected_components(links, "ngram-hub-cc").select(F.col("node").alias("v"), F.col("component").alias("comp"))
     members = write_table(nodes.join(labels, "v", "left").select("g", "v", "n", *BITS, F.coalesce("comp", "v").alias("comp")), "ngram-members")
     spans = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    pairs = _group_pairs(met.drop("rep", "cw"), groups.select("g", "n", "fin", "toks", *FOLDED).join(spans, "g"), percent)
+    pairs = _group_pairs(met.select("tok", "g", "rank"), groups.select("g", "n", "fin", "toks", *BITS).join(spans, "g"), percent)
     links = links.unionByName(_verified(_member_pairs(pairs, members, percent), texts, nodes, n, percent))
     for done in (met, groups, members, pairs):
         discard(done)
