@@ -310,8 +310,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     spark = docs.sparkSession
     texts = keyed_texts(docs, id_col, text_col)
     common = texts.select("_text").mapInArrow(_common(n), "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
-    common = sorted(common.orderBy(F.desc("c"), "tok").limit(MAX_COMMON).collect(), key=lambda r: (r["c"], r["tok"]))
-    last = np.array([r["tok"] for r in common], dtype=np.int64).view(np.uint64)
+    common = common.orderBy(F.desc("c"), "tok").limit(MAX_COMMON).toArrow()  # two arrays on the driver; the tasks' shares meet in a task
+    last = common["tok"].to_numpy()[np.lexsort([common[x].to_numpy() for x in ("tok", "c")])].view(np.uint64)
     order = np.argsort(last)
     last = spark.sparkContext.broadcast((last[order], order))
     sigs = write_table(

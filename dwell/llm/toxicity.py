@@ -3,8 +3,8 @@
 A word's vector is the sum of the hashed embeddings of the word and of its
 character prefixes. Filters of several widths slide over the words of the whole
 text, each keeps its maximum, and a logistic layer reads the maxima. The model
-is trained in numpy on a bounded sample of labelled rows and broadcast (its
-size is fixed by the parameters); scoring is one pass over the documents.
+is trained in numpy, in one task, on a bounded sample of labelled rows and broadcast
+(its size is fixed by the parameters); scoring is one pass over the documents.
 
 Scores are calibrated on rows kept out of the training; the decision threshold
 is fitted there as well, for each language. The score itself never sees the
@@ -13,6 +13,8 @@ language, source, id or a label.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +33,7 @@ DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # per width
 MAX_TRAIN_ROWS = 6_000  # labelled rows read for training, calibration and thresholds
-MAX_TRAIN_WORDS = 2_000_000  # words of one such row: longer ones are left out. The driver holds SUBWORDS x 4 bytes a word of all rows
+MAX_TRAIN_WORDS = 2_000_000  # words of one such row: longer ones are left out. The training task holds SUBWORDS x 4 bytes a word of all rows
 EPOCHS = 8
 BATCH = 32
 LEARNING_RATE = 0.02
@@ -131,7 +133,20 @@ def _threshold(score: np.ndarray, y: np.ndarray) -> float:
     return at
 
 
-def train(rows: list[tuple[np.ndarray, int, str | None]], seed: int = SEED) -> Model:
+def train(rows: list[tuple[np.ndarray, int, str | None]] | DataFrame, seed: int = SEED) -> Model:
+    """The model of (features, label, language) rows; of a :func:`training_sample`
+    (bounded) in one task, so that the driver gets the model alone."""
+    if not isinstance(rows, DataFrame):
+        return _train(rows, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_train(_rows(batches), seed))], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").toArrow()
+    return pickle.loads(got["model"][0].as_buffer()) if got.num_rows else _train([], seed)
+
+
+def _train(rows: list[tuple[np.ndarray, int, str | None]], seed: int) -> Model:
     """Fit on (features, label, language) rows. No labelled rows: every text scores 0; one class only: its rate (0 or 1)."""
     rng = np.random.default_rng(seed)
     k = len(WIDTHS) * FILTERS
@@ -221,18 +236,14 @@ def train(rows: list[tuple[np.ndarray, int, str | None]], seed: int = SEED) -> M
     return model
 
 
-def training_rows(
+def training_sample(
     docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic"
-) -> list[tuple[np.ndarray, int, str | None]]:
-    """The bounded training sample: MAX_TRAIN_ROWS labelled ids by the order of
-    their hash, met with the documents (the ids, bounded, are broadcast)."""
-    spark = docs.sparkSession
+) -> DataFrame:
+    """(_id, _y, _lang, f): the bounded training sample, MAX_TRAIN_ROWS labelled ids by
+    the order of their hash, met with the documents (the ids, bounded, are broadcast)."""
     ids = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     ids = ids.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
-    picked = ids.orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN_ROWS).collect()
-    if not picked:
-        return []
-    picked = spark.createDataFrame(picked, "_id long, _y int")
+    picked = ids.orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN_ROWS)
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     d = d.join(F.broadcast(picked), "_id").select("_id", "_y", "_lang", "_text")
 
@@ -245,15 +256,23 @@ def training_rows(
 
         return work
 
-    found = arrow_map(d, build, "_id long, _y int, _lang string, f binary").where("f IS NOT NULL").dropDuplicates(["_id"])
+    return arrow_map(d, build, "_id long, _y int, _lang string, f binary").where("f IS NOT NULL").dropDuplicates(["_id"])
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> list[tuple[np.ndarray, int, str | None]]:
     rows = []
-    for b in found.toArrow().to_batches():  # the arrays stay views of the batches
+    for b in batches:  # the arrays stay views of the batches
         for i, y, lang, f in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
             rows.append((i, (np.frombuffer(f.as_buffer(), dtype=np.int32).reshape(-1, SUBWORDS), int(y > 0), lang)))
     rows.sort(key=lambda r: r[0])
     return [r for _, r in rows]
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, **columns: str) -> list[tuple[np.ndarray, int, str | None]]:
+    """The rows of :func:`training_sample`, here, by ascending id."""
+    return _rows(training_sample(docs, labels, usable, **columns).toArrow().to_batches())
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(row, score, threshold, toxic): the input row as a struct, the score of its
     whole text, its language's threshold, and whether the score reaches it. Null
@@ -283,7 +302,7 @@ def held_out(col: str) -> Column:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id")))
+    model = train(training_sample(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id")))
     out = score(docs, model)
     return out.select(
         F.col("row.doc_id").alias("doc_id"),

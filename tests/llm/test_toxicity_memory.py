@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import ast
 import inspect
+import pickle
 import tracemalloc
 
-from dwell.llm import toxicity
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from dwell.llm import ngram_join, toxicity
 
 
 def test_training_functions_are_defined_once():
@@ -22,3 +27,25 @@ def test_embeddings_are_drawn_in_blocks():
     finally:
         tracemalloc.stop()
     assert peak < 1.5 * model.emb.nbytes
+
+
+def test_the_driver_never_holds_the_sample(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} {'bad' * (i % 2)}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    here = toxicity.train(toxicity.training_rows(docs, labels, F.lit(True)))
+    assert pickle.dumps(here) == pickle.dumps(toxicity.train(toxicity.training_sample(docs, labels, F.lit(True))))
+    none = toxicity.train(toxicity.training_sample(docs, labels, F.lit(False)))
+    assert none.constant == 0.0
+    monkeypatch.setattr(toxicity, "training_rows", lambda *a, **b: pytest.fail("the sample came to the driver"))
+    assert toxicity.op2_toxicity(spark, str(tmp_path)).count() == 60
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() <= 60
+
+
+def test_common_ngrams_come_as_arrays(spark, monkeypatch):
+    """Not as a Python object for each of up to MAX_COMMON n-grams."""
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "collect", lambda self: pytest.fail("rows came to the driver one by one"))
+    docs = spark.createDataFrame([(i, "a b c d e f g h" + f" x{i // 2}" * 9) for i in range(40)], "doc_id long, text string")
+    assert ngram_join.near_duplicates(docs).select("component_id").distinct().count() == 20
