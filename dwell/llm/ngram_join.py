@@ -16,9 +16,10 @@ of the n-grams two sets of Jaccard similarity t share one within their prefixes
    Of n-grams that the very same groups hold one stands for all (``w`` of them).
 4. Groups that do not yet lie in one component form group pairs on their rarest
    prefix n-grams, by the number of groups that hold them, as a rule once: at the
-   first that they share. Sizes, parity bits and the number of shared prefix
-   n-grams filter these; what is left expands to its members, whose parity bits
-   and then whole sets are compared.
+   first that they share. Sizes, parity bits and, where a group has several members,
+   the number of shared prefix n-grams filter these; what is left expands to its
+   members, whose sketches (parity bits that grow with the set) and then whole sets
+   are compared.
 
 Any set of common n-grams gives a valid order, so how they are found bears on
 the speed alone, never on the result (they are counted with repeats, chunk by
@@ -44,7 +45,7 @@ COMMON_LEAST = 8
 CHUNK_GRAMS = 2_000_000
 MAX_COMMON = 200_000  # most common ones kept for the order (3.2 MB, broadcast)
 BITS = [f"s{i}" for i in range(8)]  # parities of a set's n-grams in 512 cells
-HEAD = 16  # rarest n-grams of a group that its entries carry, to pair it once
+HEAD = 16  # n-grams that come before an entry's own in its group, which it carries to pair two groups once
 LOWER_HALF = np.uint64(1 << 63)
 BITMAP_WORDS = 1 << 17
 _SEED = 404
@@ -70,6 +71,14 @@ def gram_sets(texts: list[bytes | None], n: int = N) -> list[np.ndarray]:
     return out
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of a set's n-grams in twice as many cells or more (a power of two),
+    as 64-bit integers. Halves folded by XOR are the sketch of half as many cells."""
+    cells = max(64 * len(BITS), 1 << max(0, 2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(cells - 1)).view(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
@@ -117,10 +126,10 @@ def _signatures(n: int, percent: int, common):
         last, rank = common.value
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, keys, prefixes, odd, ends = [], [], [], [], [], []
+            sizes, digests, keys, prefixes, sketches, ends = [], [], [], [], [], []
             for g in gram_sets(as_bytes(b.column(2)), n):
                 sizes.append(len(g))
-                odd.append(np.bincount((g % np.uint64(64 * len(BITS))).view(np.int64), minlength=64 * len(BITS)) & 1)
+                sketches.append(sketch(g))
                 digests.append(blake2b(g.tobytes(), digest_size=16).digest())
                 p = prefix_length(len(g), percent) if len(g) else 0
                 if len(last) and len(g):
@@ -134,8 +143,8 @@ def _signatures(n: int, percent: int, common):
                 prefixes.append(g[:p].view(np.int64))
                 keys.append(blake2b(g[:p].tobytes(), digest_size=8).digest())
             d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            bits = np.packbits(np.stack(odd).astype(np.uint8), axis=1).view(np.int64)
-            off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, len(BITS))) for x in sketches])
+            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs)))
             return pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -145,10 +154,11 @@ def _signatures(n: int, percent: int, common):
                     pa.array(d[:, 1].copy()),
                     pa.array(np.frombuffer(b"".join(keys), dtype=np.int64)),
                     pa.array(ends, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefixes))),
+                    lists(prefixes),
+                    lists(sketches),
                     *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITS))],
                 ],
-                names=["_id", "_th", "n", "d1", "d2", "gk", "fin", "toks", *BITS],
+                names=["_id", "_th", "n", "d1", "d2", "gk", "fin", "toks", "sk", *BITS],
             )
 
         return work
@@ -189,8 +199,20 @@ def _near(side1: str, side2: str, percent: int) -> Column:
     return apart * (100 + percent) <= (F.col(f"n{side1}") + F.col(f"n{side2}")) * (100 - percent)
 
 
+def _close(side1: str, side2: str, percent: int) -> Column:
+    """As :func:`_near`, by the sketches: the one of more cells is folded to the other's."""
+    a, b = F.col(f"sk{side1}"), F.col(f"sk{side2}")
+    more = F.size(a) >= F.size(b)
+    long, short = F.when(more, a).otherwise(b), F.when(more, b).otherwise(a)
+    folds = F.sequence(F.lit(0), (F.size(long) / F.size(short)).cast("int") - 1)
+    odd = F.aggregate(folds, short, lambda x, i: F.zip_with(x, F.slice(long, i * F.size(short) + 1, F.size(short)), lambda p, q: p.bitwiseXOR(q)))
+    apart = F.aggregate(odd, F.lit(0), lambda x, p: x + F.bit_count(p))
+    n1, n2 = F.col(f"n{side1}"), F.col(f"n{side2}")
+    return _sizes_fit(n1, n2, percent) & (apart * (100 + percent) <= (n1 + n2) * (100 - percent))
+
+
 def _side(i: str) -> list[Column]:
-    return [F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"), *[F.col(x).alias(f"{x}_{i}") for x in BITS]]
+    return [F.col(c).alias(f"{c}{i}") for c in ("v", "n", "sk")]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -233,10 +255,25 @@ def _hub_pairs(met: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int
     several = groups.where("members > 1").select("gk", "n", "rep")
     inside = nodes.select("gk", "n", "v").join(several, ["gk", "n"]).where("v <> rep").select(F.col("v").alias("v1"), F.col("rep").alias("v2"))
     pairs = best.unionByName(inside)
-    pairs = pairs.join(nodes.select(*_side("1")), "v1").join(nodes.select(*_side("2")), "v2").where(_near("1", "2", percent))
+    pairs = pairs.join(nodes.select(*_side("1")), "v1").join(nodes.select(*_side("2")), "v2").where(_close("1", "2", percent))
     return pairs.select(F.col("v1").alias("a"), F.col("v2").alias("b"))
 
 
+def _formed(e: DataFrame, percent: int) -> DataFrame:
+    """(g1, g2, several): a row for each n-gram at which two groups form a pair."""
+    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "rank", "fin", "lo", "hi", "in_big", "members", "before")], *[F.col(c).alias(f"{c}_{i}") for c in BITS]]
+    x, y = e.where(~F.col("in_big")).select(*side(1)), e.select(*side(2))
+    apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
+    once = F.col("in_big2") | (F.col("g1") < F.col("g2"))
+    need = _need(F.col("n1"), F.col("n2"), percent)
+    rare = ((F.col("fin1") <= F.col("fin2")) & (F.col("rank1") <= F.col("n1") - need)) | ((F.col("fin2") <= F.col("fin1")) & (F.col("rank2") <= F.col("n2") - need))
+    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & rare & F.coalesce(_near("1", "2", percent), F.lit(True))
+    first = ~F.arrays_overlap("before1", "before2")
+    several = (F.col("members1") > 1) | (F.col("members2") > 1)
+    pairs = x.join(y, "tok").where(apart & once & fits & first)
+    return pairs.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), several.alias("several"))
+
+
 def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(g1, g2): pairs of groups that may hold a link between components; a group
     of several components with itself. ``groups`` has the least and greatest
@@ -248,11 +285,12 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     of any n - need + 1 of them one is shared: those that the fewest groups hold
     (``rank`` from 0; n-grams of one group come first). Groups that share less,
     such as texts with a widespread passage, never meet. Groups of one member are
-    also held against parity bits (else null). A pair that shares n-grams of both
-    ``head``s, which begin the one order of all ranks, is formed at the first of these
-    alone: if any n-gram is rare enough, that one is. Then all shared prefix
-    n-grams are counted: beyond the prefix that ends first at most n - |prefix|
-    remain."""
+    also held against parity bits (else null). A pair is not formed at an n-gram that
+    another shared one comes before, as far as the last HEAD before it (``before``)
+    show: all ranks are of one order, so that if any shared n-gram is rare enough, the
+    first is, and a shared passage forms its pair once. For pairs of which a group has
+    several members all shared prefix n-grams are then counted: beyond the prefix that
+    ends first at most n - |prefix| remain."""
     e = met.join(groups.select("g", "lo", "hi"), "g")
     per = e.where("lo = hi").groupBy("tok", "lo").agg(F.count(F.lit(1)).alias("c"))
     big = per.groupBy("tok").agg(F.max(F.struct("c", "lo")).alias("m")).select("tok", F.col("m.lo").alias("big"))
@@ -261,38 +299,35 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     in_big = F.coalesce((F.col("lo") == F.col("big")) & (F.col("hi") == F.col("big")), F.lit(False))
     slim = write_table(e.join(span, "tok").select("tok", "g", "rank", in_big.alias("in_big")), "ngram-entries")
     discard(span)
-    head = slim.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "tok"))), 1, HEAD).getField("tok").alias("head"))  # one prefix
+    before = Window.partitionBy("g").orderBy("rank").rowsBetween(-HEAD, -1)  # one prefix
+    e = slim.withColumn("before", F.collect_list("tok").over(before))
     # written, so that the join has plain shuffles on both sides and a hot n-gram can be split
-    e = write_table(slim.join(groups.select("g", "n", "fin", "lo", "hi", *BITS).join(head, "g"), "g"), "ngram-sides")
+    e = write_table(e.join(groups.select("g", "n", "fin", "lo", "hi", "members", *BITS), "g"), "ngram-sides")
     discard(slim)
-    side = lambda i: ["tok", *[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "rank", "fin", "lo", "hi", "in_big", "head")], *[F.col(c).alias(f"{c}_{i}") for c in BITS]]
-    x, y = e.where(~F.col("in_big")).select(*side(1)), e.select(*side(2))
-    apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
-    once = F.col("in_big2") | (F.col("g1") < F.col("g2"))
-    need = _need(F.col("n1"), F.col("n2"), percent)
-    rare = ((F.col("fin1") <= F.col("fin2")) & (F.col("rank1") <= F.col("n1") - need)) | ((F.col("fin2") <= F.col("fin1")) & (F.col("rank2") <= F.col("n2") - need))
-    fits = _sizes_fit(F.col("n1"), F.col("n2"), percent) & rare & F.coalesce(_near("1", "2", percent), F.lit(True))
-    first = F.coalesce(F.get(F.array_intersect("head1", "head2"), F.lit(0)) == F.col("tok"), F.lit(True))
-    pairs = x.join(y, "tok").where(apart & once & fits & first)
-    pairs = write_table(pairs.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct(), "ngram-group-pairs")
+    pairs = write_table(_formed(e, percent).distinct(), "ngram-group-pairs")
     discard(e)
-    of = lambda i: groups.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "toks")])
-    both = pairs.join(of(1), "g1").join(of(2), "g2")
+    counted = pairs.where("several").select("g1", "g2")
+    who = write_table(counted.select(F.col("g1").alias("g")).unionByName(counted.select(F.col("g2").alias("g"))).distinct(), "ngram-counted")
+    held = groups.join(who, "g")
+    of = lambda i: held.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "n", "toks")])
+    both = counted.join(of(1), "g1").join(of(2), "g2")
     beyond = F.greatest(F.col("n1") - F.size("toks1"), F.col("n2") - F.size("toks2"))
     enough = F.size(F.array_intersect("toks1", "toks2")) + beyond >= _need(F.col("n1"), F.col("n2"), percent)
+    rest = pairs.where("NOT several").select("g1", "g2")
     alone = groups.where("lo <> hi").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    kept = write_table(both.where(enough).select("g1", "g2").unionByName(alone), "ngram-kept-pairs")
+    kept = write_table(both.where(enough).select("g1", "g2").unionByName(rest).unionByName(alone), "ngram-kept-pairs")
     discard(pairs)
+    discard(who)
     return kept
 
 
 def _member_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The members of the group pairs that lie in different components and that
-    their parity bits do not rule out."""
+    their sketches do not rule out."""
     x = members.select(F.col("g").alias("g1"), F.col("comp").alias("c1"), *_side("1"))
     y = members.select(F.col("g").alias("g2"), F.col("comp").alias("c2"), *_side("2"))
     once = (F.col("g1") < F.col("g2")) | (F.col("v1") < F.col("v2"))
-    j = pairs.join(x, "g1").join(y, "g2").where((F.col("c1") != F.col("c2")) & once & _near("1", "2", percent))
+    j = pairs.join(x, "g1").join(y, "g2").where((F.col("c1") != F.col("c2")) & once & _close("1", "2", percent))
     return j.select(F.col("v1").alias("a"), F.col("v2").alias("b"))
 
 
@@ -315,35 +350,36 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     order = np.argsort(last)
     last = spark.sparkContext.broadcast((last[order], order))
     sigs = write_table(
-        arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, fin long, toks array<long>, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sigs"
+        arrow_map(texts, _signatures(n, percent, last), "_id long, _th long, n int, d1 long, d2 long, gk long, fin long, toks array<long>, sk array<long>, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sigs"
     )
     last.unpersist()
     some = sigs.where("n > 0")
-    nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("gk").alias("gk"), F.first(F.struct(*BITS)).alias("bits"))
+    nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_th")).alias("r"), F.first("n").alias("n"), F.first("gk").alias("gk"), F.first(F.struct("sk", *BITS)).alias("bits"))
     nodes = write_table(nodes.select("d1", "d2", "n", "gk", F.xxhash64("gk", "n").alias("g"), "r.*", "bits.*", F.xxhash64("r._id", "r._th").alias("v")), "ngram-nodes")
     slim = write_table(sigs.select("_id", "_th", "n", "d1", "d2"), "ngram-slim")
 
     alone = F.struct(*[F.when(F.count(F.lit(1)) == 1, F.first(x)).alias(x) for x in BITS])
     first = nodes.groupBy("gk", "n").agg(F.min("v").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("g").alias("g"), alone.alias("alone"))
     prefix = some.groupBy("gk", "n").agg(F.first("toks").alias("toks"), F.first("fin").alias("fin"))
-    groups = write_table(prefix.join(first, ["gk", "n"]).select("*", "alone.*").drop("alone"), "ngram-groups")
+    groups = write_table(prefix.join(first, ["gk", "n"]).select("*", F.size("toks").alias("p"), "alone.*").drop("alone"), "ngram-groups")
     discard(sigs)
-    met = groups.select("g", "n", "rep", F.size("toks").alias("p"), F.explode("toks").alias("tok"))
+    met = groups.select("g", F.explode("toks").alias("tok"))  # what else a group has is joined to the few shared ones
     shared = met.groupBy("tok").agg(F.count(F.lit(1)).alias("held"), F.bit_xor("g").alias("by")).where("held > 1")
     same = Window.partitionBy("held", "by")  # n-grams of the same groups: the first stands for all
     w = F.when(F.col("tok") == F.min("tok").over(same), F.count(F.lit(1)).over(same))
     shared = write_table(shared.select("tok", "held", w.alias("w")), "ngram-shared")
     one = Window.partitionBy("g")  # one prefix
     met = met.join(shared.hint("shuffle_hash"), "tok").withColumn("cw", F.count(F.lit(1)).over(one))
-    rank = F.col("p") - F.col("cw") + F.row_number().over(one.orderBy("held", "tok")) - 1
-    met = write_table(met.select("tok", "g", "n", "rep", "cw", "w", rank.alias("rank")).where("w IS NOT NULL"), "ngram-met")
+    met = met.withColumn("at", F.row_number().over(one.orderBy("held", "tok"))).where("w IS NOT NULL")
+    rank = F.col("p") - F.col("cw") + F.col("at") - 1
+    met = write_table(met.join(groups.select("g", "n", "rep", "p"), "g").select("tok", "g", "n", "rep", "cw", "w", rank.alias("rank")), "ngram-met")
     discard(shared)
     links = _verified(_hub_pairs(met, groups, nodes, percent), texts, nodes, n, percent)
 
     labels = connected_components(links, "ngram-hub-cc").select(F.col("node").alias("v"), F.col("component").alias("comp"))
-    members = write_table(nodes.join(labels, "v", "left").select("g", "v", "n", *BITS, F.coalesce("comp", "v").alias("comp")), "ngram-members")
+    members = write_table(nodes.join(labels, "v", "left").select("g", "v", "n", "sk", F.coalesce("comp", "v").alias("comp")), "ngram-members")
     spans = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    pairs = _group_pairs(met.select("tok", "g", "rank"), groups.select("g", "n", "fin", "toks", *BITS).join(spans, "g"), percent)
+    pairs = _group_pairs(met.select("tok", "g", "rank"), groups.select("g", "n", "fin", "toks", "members", *BITS).join(spans, "g"), percent)
     links = links.unionByName(_verified(_member_pairs(pairs, members, percent), texts, nodes, n, percent))
     for done in (met, groups, members, pairs):
         discard(done)
