@@ -45,7 +45,8 @@ def test_the_driver_never_holds_the_sample(spark, monkeypatch, tmp_path):
 
 def test_common_ngrams_come_as_arrays(spark, monkeypatch):
     """Not as a Python object for each of up to MAX_COMMON n-grams."""
-    kind = type(spark.range(0))
-    monkeypatch.setattr(kind, "collect", lambda self: pytest.fail("rows came to the driver one by one"))
+    kind, sizes = type(spark.range(0)), []
+    monkeypatch.setattr(kind, "collect", lambda self, f=kind.collect: sizes.append(len(r := f(self))) or r)
     docs = spark.createDataFrame([(i, "a b c d e f g h" + f" x{i // 2}" * 9) for i in range(40)], "doc_id long, text string")
     assert ngram_join.near_duplicates(docs).select("component_id").distinct().count() == 20
+    assert max(sizes) <= 1  # the fingerprints of components
