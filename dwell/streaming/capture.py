@@ -22,7 +22,7 @@ from dwell.functions.urls import sanitize_urls
 from dwell.operators import labels as L
 from dwell.operators import ordered as O
 from dwell.operators.sessionize import not_glitch
-from dwell.streaming.asof import epoch_micros, stream_tab_override
+from dwell.streaming.asof import epoch_micros, state_on_disk, stream_tab_override
 from dwell.streaming.store import Classifier, Store, label_rows
 
 CARRY = (
@@ -168,7 +168,8 @@ def capture_stream(samples: DataFrame, snapshots: DataFrame, store: Store, strea
         "device_id", F.when(~F.col("is_late"), F.col("ts")).alias("ts"), "seq", "app", "title", "url", idle.alias("is_idle")
     )
     out: DataStreamWriter = rows.writeStream.foreachBatch(capture_writer(store, stream, engine, variant, **options))
-    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state_on_disk(rows):
+        return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def capture(samples: DataFrame, snapshots: DataFrame, engine: Classifier, variant: str = "segments", sanitize: bool = True, bucket_seconds: int | None = None) -> DataFrame:
