@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,8 @@ def capture_writer(
         kept: list[DataFrame] = []
 
         def keep(df: DataFrame) -> DataFrame:
-            kept.append(df.persist())
+            # a watermark that jumps brings a stream's whole past in one batch: none of it stays on the heap
+            kept.append(df.persist(StorageLevel.DISK_ONLY))
             return kept[-1]
 
         try:

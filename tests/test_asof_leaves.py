@@ -127,3 +127,35 @@ def test_places_follow_the_order():
     assert order == sorted(order)
     for place in set(order) | {(-1, 0, 0), (9, 0, 0)}:
         assert A._before(places, place) == sum(p < place for p in order)
+
+
+def test_capture_waits_on_disk(spark, monkeypatch):
+    """The capture stream's state is in leaves on disk, what it keeps of a batch is off the heap, and the session's own settings stay."""
+    from dwell.operators.classify import RuleSet
+    from dwell.session import path_exists, scratch_path
+    from dwell.streaming import capture as C
+    from dwell.streaming import replay as RY
+    from dwell.streaming.store import RulesEngine, Store
+
+    monkeypatch.setattr(A, "LEAF_BYTES", LEAF)
+    # an attribute of the processor: the workers have it, too
+    assert A.TabOverride("legacy", (), None).leaf_bytes == LEAF
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s)"
+    n = 900
+    sm = spark.range(n).selectExpr("'d' AS device_id", "cast(id * 7919 % 5000 AS int) AS s", "id AS seq", "if(id % 3 = 0, 'Firefox', concat('App', id % 5)) AS app", "concat('t', id) AS title", "concat('https://a.org/p', id % 11) AS url", "false AS is_idle")
+    sm = sm.withColumn("ts", A.F.expr(at)).drop("s")
+    snaps = spark.range(100).selectExpr("'d' AS device_id", "cast(id * 53 % 5000 AS int) AS s", "id AS seq", "concat('S', id) AS title", "concat('https://b.org/q', id) AS url").withColumn("ts", A.F.expr(at)).drop("s")
+    engine = RulesEngine(RuleSet.build(spark))
+    cols = ["device_id", "start_ts", "end_ts", "app", "title", "url"]
+    want = sorted(map(tuple, C.capture(sm, snaps, engine).select(*cols).collect()))
+    levels, persist = [], type(sm).persist
+    monkeypatch.setattr(type(sm), "persist", lambda df, *level: levels.append(level) or persist(df, *level))
+    end = {"device_id": "'tick'", "ts": "timestamp_ntz'2200-01-01'", "seq": "0"}
+    store, checkpoint = Store(spark, scratch_path(spark, "capture-leaves")), scratch_path(spark, "ck")
+    before = {k: spark.conf.get(k, None) for k in A.DISK_STATE}
+    q = C.capture_stream(RY.as_stream(RY.tick(sm, **end), "ts", 2), RY.as_stream(RY.tick(snaps, **end), "ts", 2), store, "d", engine, checkpoint, "400 days")
+    assert {k: spark.conf.get(k, None) for k in A.DISK_STATE} == before
+    q.awaitTermination()
+    assert sorted(map(tuple, store.events().where("device_id <> 'tick'").select(*cols).collect())) == want and len(want) > 500
+    assert levels and all(level and not level[0].useMemory for level in levels)
+    assert path_exists(spark, f"{checkpoint}/state/0/_stateSchema") and not path_exists(spark, f"{checkpoint}/state/0/0/1.delta")
